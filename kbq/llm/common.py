@@ -133,6 +133,18 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about `limit` bytes of the text column (a longer text stands alone): bounds a task's memory."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(column(batch, text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        ends = np.cumsum(sizes)
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
     """Runs of rows with one key from batches that are sorted by it."""
     held: list[pa.RecordBatch] = []
