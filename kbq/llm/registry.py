@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbq.llm import simhash
+from kbq.llm import simhash, substring_dedup
 
-_MODULES = [simhash]
+_MODULES = [simhash, substring_dedup]
 
 
 def queries() -> dict:
