@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbq.llm import quality_rules, simhash, substring_dedup
+from kbq.llm import decontaminate, quality_rules, simhash, substring_dedup
 
-_MODULES = [quality_rules, simhash, substring_dedup]
+_MODULES = [decontaminate, quality_rules, simhash, substring_dedup]
 
 
 def queries() -> dict:
