@@ -166,21 +166,27 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Finished rows of documents without a hit block; the others go on, in shards of at most _SHARD rows."""
+        kept_type, places = pa.string(), pa.int32()
         for number, batch in enumerate(slices(batches, "text", 8 << 20)):
-            texts, hit = column(batch, "text"), column(batch, "blocks")
-            clean = hit.is_null()
-            _, _, offsets = ascii_words(texts)
-            n = np.diff(offsets)
-            digest, kept = [], []
-            for text in pc.if_else(clean, texts, None).to_pylist():
-                joined = None if text is None else b" ".join(text.encode().split())
-                digest.append(None if text is None else hashlib.sha256(joined).hexdigest())
-                kept.append(joined.decode() if with_text and text is not None else None)
-            core = batch.column(batch.schema.get_field_index("core")).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array(n), pa.array(np.zeros(len(n), np.int64)), pa.array(digest, pa.string()), pa.array(kept, pa.string()), pc.if_else(clean, None, texts), hit, pa.array((core << 32) | (number << 8) | (np.arange(len(n)) // _SHARD)), pa.array(np.arange(len(n), dtype=np.int32)), clean],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text", "blocks", "shard", "place", "done"],
-            )
+            hit = column(batch, "blocks").is_valid()
+            for going, part in ((False, batch.filter(pc.invert(hit))), (True, batch.filter(hit))):
+                size = part.num_rows
+                texts, core = column(part, "text"), column(part, "core").to_numpy()
+                n, digest, kept = [], [], []
+                for text in [] if going else texts.to_pylist():
+                    words = text.encode().split()
+                    joined = b" ".join(words)
+                    n.append(len(words))
+                    digest.append(hashlib.sha256(joined).hexdigest())
+                    kept.append(joined.decode() if with_text else None)
+                none = lambda kind: pa.nulls(size, kind)
+                out = {"doc_id": column(part, "doc_id")}
+                if going:
+                    place = np.arange(size, dtype=np.int32)
+                    out |= {"n_words": none(pa.int64()), "n_removed": none(pa.int64()), "kept_sha256": none(kept_type), "kept_text": none(kept_type), "text": texts, "blocks": column(part, "blocks"), "shard": pa.array((core << 32) | (number << 8) | (place // _SHARD)), "place": pa.array(place)}
+                else:
+                    out |= {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array([0] * size, pa.int64()), "kept_sha256": pa.array(digest, kept_type), "kept_text": pa.array(kept, kept_type), "text": none(kept_type), "blocks": column(part, "blocks"), "shard": none(pa.int64()), "place": none(places)}
+                yield pa.RecordBatch.from_pydict(out | {"done": pa.array([not going] * size)})
 
     joined = keyed.join(blocks, ["k1", "k2"], "left").select("doc_id", "text", "blocks", F.spark_partition_id().cast("long").alias("core"))
     passed = materialise(joined.mapInArrow(first_pass, f"{_RESULT}, text string, blocks array<int>, shard long, place int, done boolean"), "repeats", ("done",))
