@@ -186,7 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
                     out |= {"n_words": none(pa.int64()), "n_removed": none(pa.int64()), "kept_sha256": none(kept_type), "kept_text": none(kept_type), "text": texts, "blocks": column(part, "blocks"), "shard": pa.array((core << 32) | (number << 8) | (place // _SHARD)), "place": pa.array(place)}
                 else:
                     out |= {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array([0] * size, pa.int64()), "kept_sha256": pa.array(digest, kept_type), "kept_text": pa.array(kept, kept_type), "text": none(kept_type), "blocks": column(part, "blocks"), "shard": none(pa.int64()), "place": none(places)}
-                yield pa.RecordBatch.from_pydict(out | {"done": pa.array([not going] * size)})
+                yield pa.RecordBatch.from_pydict(out | {"done": pa.array([not going] * size, pa.bool_())})
 
     joined = keyed.join(blocks, ["k1", "k2"], "left").select("doc_id", "text", "blocks", F.spark_partition_id().cast("long").alias("core"))
     passed = materialise(joined.mapInArrow(first_pass, f"{_RESULT}, text string, blocks array<int>, shard long, place int, done boolean"), "repeats", ("done",))
