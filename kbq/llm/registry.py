@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbq.llm import decontaminate, quality_rules, secret_scan, simhash, substring_dedup
+from kbq.llm import decontaminate, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup
 
-_MODULES = [decontaminate, quality_rules, secret_scan, simhash, substring_dedup]
+_MODULES = [decontaminate, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup]
 
 
 def queries() -> dict:
