@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbq.llm import decontaminate, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup, token_files
+from kbq.llm import chat_format, decontaminate, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup, token_files
 
-_MODULES = [decontaminate, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup, token_files]
+_MODULES = [chat_format, decontaminate, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup, token_files]
 
 
 def queries() -> dict:
