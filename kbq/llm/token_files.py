@@ -32,13 +32,13 @@ from tokenizers import Tokenizer, pre_tokenizers
 from kbq.llm.common import column, materialise, read_back, slices, small, write_scratch
 
 #: The white space of the splitting pattern, and the pattern itself.
-_WHITE = "\t-\r \x85\xa0  -     　"
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ANY = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 #: Other white space than space and line feed, and characters that only some libraries count as such.
-_RARE_WHITE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+_RARE_WHITE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BLOCK = 1 << 20
 _KEPT = 500_000
 
