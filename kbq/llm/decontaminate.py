@@ -38,9 +38,10 @@ def windows(items: DataFrame, width: int = 13) -> tuple[DataFrame, DataFrame]:
     found = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.filter(words(F.col("text")), lambda w: w != "").alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     every = found.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s"), width).alias("w"))
-    keyed = materialise(every.select("item_id", "w", F.sha2(F.array_join("w", " "), 256).alias("window")).distinct(), "windows")
-    slots = keyed.select("window", "w").distinct().select("window", F.posexplode("w").alias("offset", "term"))
-    return materialise(slots, "slots"), keyed.select("window", "item_id")
+    owners = every.groupBy("w").agg(F.collect_set("item_id").alias("items"))
+    numbered = materialise(owners.select(F.monotonically_increasing_id().alias("window"), "w", "items"), "windows")
+    slots = numbered.select("window", F.posexplode("w").alias("offset", "term"))
+    return slots, numbered.select("window", F.explode("items").alias("item_id"))
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
