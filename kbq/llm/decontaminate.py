@@ -45,14 +45,15 @@ def windows(items: DataFrame, width: int = 13) -> tuple[DataFrame, DataFrame]:
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Stored postings (row, doc_id, term_id, position, n_words). term_id -1 marks the end of a row's words and carries n_words; row is a number of the stored table."""
-    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
+    """Stored postings (row, doc_id, tie, term_id, position, n_words). term_id -1 marks the end of a row's words and carries doc_id, n_words and a hash of the text (tie); row is a number of the stored table."""
+    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), words(F.col("text")).alias("w"))
     empty = (F.element_at("w", 1) == "").cast("int") + ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
-    ended = split.select("row", "doc_id", (F.size("w") - empty).cast("long").alias("n"), F.concat("w", F.array(F.lit(_END))).alias("w"))
-    places = ended.select("row", "doc_id", "n", F.posexplode("w").alias("position", "term"))
+    ended = split.select("row", "doc_id", "tie", (F.size("w") - empty).cast("long").alias("n"), F.concat("w", F.array(F.lit(_END))).alias("w"))
+    places = ended.select("row", "doc_id", "tie", "n", F.posexplode("w").alias("position", "term"))
     known = terms.union(terms.sparkSession.range(1).select(F.lit(_END), F.lit(-1).cast("long")))
     postings = places.join(small(known), "term")
-    return materialise(postings.select("row", F.when(F.col("term_id") == -1, F.col("doc_id")).alias("doc_id"), "term_id", "position", F.when(F.col("term_id") == -1, F.col("n")).alias("n_words")), "postings")
+    at_end = lambda c: F.when(F.col("term_id") == -1, F.col(c))
+    return materialise(postings.select("row", at_end("doc_id").alias("doc_id"), at_end("tie").alias("tie"), "term_id", "position", at_end("n").alias("n_words")), "postings")
 
 
 def find(postings: DataFrame, slots: DataFrame, slop: int = 0) -> DataFrame:
@@ -84,7 +85,7 @@ def find(postings: DataFrame, slots: DataFrame, slop: int = 0) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, row): a row for each row of docs.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, tie): a row for each row of docs; tie is a hash of the text.
 
     A document is contaminated if `share` * n_hit >= n_words and n_hit > 0.
     """
@@ -97,15 +98,21 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 13, share: int
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     covered = runs.withColumn("new", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(before, F.lit(-1))))).groupBy("row").agg(F.sum("new").alias("n_hit"))
     held = hits.select("row", "window").distinct().join(small(owners), "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    ends = postings.where("term_id = -1").select("row", "doc_id", "n_words")
+    ends = postings.where("term_id = -1").select("row", "doc_id", "tie", "n_words")
     out = ends.join(covered.join(held, "row"), "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    out = out.select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    out = out.select("doc_id", "tie", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
+    """docs without contaminated rows; equal texts have equal verdicts, so rows are dropped by their text's hash."""
+    bad = contaminated(docs, items, width, share).where("contaminated").select(F.col("tie").alias("t")).distinct()
+    return docs.join(small(materialise(bad, "contaminated")), F.xxhash64(F.col("text").cast("string")) == F.col("t"), "left_anti")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("row")
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("tie")
 
 
 ORACLE_SQL = {

@@ -74,7 +74,7 @@ _FEATURES = "doc_id long, stratum string, n_words long, word_chars long, n_symbo
 
 
 def features(docs: DataFrame, stratum: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each row of docs: the base statistics and those of RULES, with the columns of `carry` beside them (under their own names)."""
+    """A row for each row of docs: the base statistics and those of RULES, with the columns of `carry` beside them, named carry_<column>."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +104,11 @@ def features(docs: DataFrame, stratum: str = "lang", carry: tuple[str, ...] = ()
                 np.where(n >= 50, 1 - distinct / per_word, 0.0),
             ]
             out = {"doc_id": column(batch, "doc_id"), "stratum": column(batch, "stratum"), "n_words": n, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeated.astype(np.int64)}
-            out |= dict(zip(RULES, ratios)) | {c: column(batch, f"carry_{c}") for c in carry}
+            out |= dict(zip(RULES, ratios)) | {f"carry_{c}": column(batch, f"carry_{c}") for c in carry}
             yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
 
     kinds = dict(docs.dtypes)
-    return rows.mapInArrow(run, _FEATURES + "".join(f", `{c}` {kinds[c]}" for c in carry))
+    return rows.mapInArrow(run, _FEATURES + "".join(f", `carry_{c}` {kinds[c]}" for c in carry))
 
 
 def upper_bound(rejected: int, good: int, delta: float) -> float:
