@@ -167,3 +167,57 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 def unpack(table: pa.Table, name: str, dtype) -> np.ndarray:
     """The numpy arrays packed into a binary column, one after another."""
     return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), dtype)
+
+
+#: lengths[c]: the byte lengths of the four ids under control byte c.
+_LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.int64)
+
+
+def pack_block(values: np.ndarray) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of unsigned 32-bit values."""
+    values = values.astype(np.uint32)
+    size = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
+    code[: len(values)] = size - 1
+    quads = code.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    begin = np.cumsum(size) - size
+    data = np.zeros(int(size.sum()), np.uint8)
+    for k in range(4):
+        long = np.flatnonzero(size > k) if k else slice(None)
+        data[begin[long] + k] = values[long] >> np.uint32(8 * k) & np.uint32(0xFF)
+    return control.tobytes(), data.tobytes()
+
+
+def unpack_block(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The n values of a block."""
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    begin = np.cumsum(size) - size
+    raw = np.frombuffer(data, np.uint8)
+    values = raw[begin].astype(np.uint32) if n else np.zeros(0, np.uint32)
+    for k in range(1, 4):
+        long = np.flatnonzero(size > k)
+        if len(long):
+            values[long] |= raw[begin[long] + k].astype(np.uint32) << np.uint32(8 * k)
+    return values
+
+
+def pack_ints(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Unsigned 32-bit integers in as many bytes as they need; ascending ones as differences."""
+    values = values.astype(np.uint32)
+    if ascending and len(values):
+        values = np.concatenate([values[:1], np.diff(values)])
+    control, data = pack_block(values)
+    return np.uint32(len(values)).tobytes() + control + data
+
+
+def unpack_ints(packed: list[bytes | None], ascending: bool = False) -> np.ndarray:
+    """The values of several packs, one after another."""
+    out = [np.zeros(0, np.uint32)]
+    for pack in packed:
+        if pack:
+            n = int(np.frombuffer(pack, np.uint32, 1)[0])
+            control = -(-n // 4)
+            values = unpack_block(pack[4 : 4 + control], pack[4 + control :], n)
+            out.append(np.cumsum(values, dtype=np.uint32) if ascending else values)
+    return np.concatenate(out)

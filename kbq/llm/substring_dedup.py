@@ -27,10 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import ascii_words, column, grouped, materialise, n_buckets, rolling, rows_of, slices, starts_within, unpack, word_hashes
+from kbq.llm.common import ascii_words, column, grouped, materialise, n_buckets, pack_ints, rolling, rows_of, slices, starts_within, unpack, unpack_ints, word_hashes
 
 #: Words or windows a task holds before it hands on their packed arrays.
-_HELD = 2_000_000
+_HELD = 3_000_000
 #: Documents that are finished together in step 2.
 _SHARD = 1000
 
@@ -70,7 +70,7 @@ def hit_blocks(keyed: DataFrame, block: int) -> DataFrame:
             rows = []
             for bucket, s in _by_bucket(code >> np.uint64(32)):
                 t, b = slice(t_cut[bucket], t_cut[bucket + 1]), slice(b_cut[bucket], b_cut[bucket + 1])
-                rows.append((bucket, code[s].astype(np.uint32).tobytes(), twice[t].astype(np.uint32).tobytes(), h[b].astype(np.uint32).tobytes(), k1[b].tobytes(), k2[b].tobytes(), number[b].astype(np.int32).tobytes()))
+                rows.append((bucket, pack_ints(code[s] & np.uint64(0xFFFFFFFF), True), pack_ints(twice[t] & np.uint64(0xFFFFFFFF), True), h[b].astype(np.uint32).tobytes(), k1[b].tobytes(), k2[b].tobytes(), number[b].astype(np.int32).tobytes()))
             names = ["bucket", "probes", "twice", "hash", "k1", "k2", "number"]
             for at in range(0, len(rows), 64):
                 part = list(zip(*rows[at : at + 64]))
@@ -96,8 +96,8 @@ def hit_blocks(keyed: DataFrame, block: int) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "bucket"):
-            seen, count = np.unique(unpack(rows, "probes", np.uint32), return_counts=True)
-            again = np.union1d(seen[count > 1], unpack(rows, "twice", np.uint32))
+            seen, count = np.unique(unpack_ints(rows.column("probes").to_pylist(), True), return_counts=True)
+            again = np.union1d(seen[count > 1], unpack_ints(rows.column("twice").to_pylist(), True))
             hit = np.isin(unpack(rows, "hash", np.uint32), again)
             out = [pa.array(unpack(rows, name, dtype)[hit]) for name, dtype in (("k1", np.int64), ("k2", np.int64), ("number", np.int32))]
             yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "number"])
@@ -129,10 +129,10 @@ def repeated_windows(hit: DataFrame, window: int, block: int) -> DataFrame:
             shard, place = (column(batch, k).to_numpy() for k in ("shard", "place"))
             shard, row = shard[row], place[row]
             bucket = hashes % np.uint64(buckets)
-            order = np.lexsort((bucket, shard))
+            order = np.lexsort((row, bucket, shard))
             hashes, row, within, bucket, shard = (x[order] for x in (hashes, row, within, bucket, shard))
             for _, s in _by_bucket(shard):
-                rows = [(b, int(shard[s][0]), hashes[s][t].tobytes(), row[s][t].astype(np.int32).tobytes(), within[s][t].astype(np.int32).tobytes()) for b, t in _by_bucket(bucket[s])]
+                rows = [(b, int(shard[s][0]), hashes[s][t].tobytes(), pack_ints(row[s][t], True), pack_ints(within[s][t])) for b, t in _by_bucket(bucket[s])]
                 part = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), *(pa.array(x, pa.binary()) for x in part[2:])], names=["bucket", "shard", "hash", "row", "start"])
 
@@ -142,10 +142,10 @@ def repeated_windows(hit: DataFrame, window: int, block: int) -> DataFrame:
             again = count[inverse] > 1
             sizes = np.array([len(x) // 8 for x in rows.column("hash").to_pylist()])
             shard = np.repeat(rows.column("shard").to_numpy(), sizes)[again]
-            row, start = unpack(rows, "row", np.int32)[again], unpack(rows, "start", np.int32)[again]
-            order = np.argsort(shard, kind="stable")
+            row, start = (unpack_ints(rows.column(c).to_pylist(), c == "row")[again] for c in ("row", "start"))
+            order = np.lexsort((row, shard))
             shard, row, start = shard[order], row[order], start[order]
-            out = [(s, row[t].tobytes(), start[t].tobytes()) for s, t in _by_bucket(shard)]
+            out = [(s, pack_ints(row[t], True), pack_ints(start[t])) for s, t in _by_bucket(shard)]
             part = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], names=["shard", "rows", "starts"])
 
@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
     starts = repeated_windows(going.select("text", "blocks", "shard", "place"), window, block)
 
     def second_pass(left: pa.Table, right: pa.Table) -> pa.Table:
-        at_row, at_start = unpack(right, "rows", np.int32), unpack(right, "starts", np.int32)
+        at_row, at_start = (unpack_ints(right.column(c).to_pylist(), c == "rows").astype(np.int64) for c in ("rows", "starts"))
         order = np.argsort(at_row, kind="stable")
         at_row, at_start = at_row[order], at_start[order]
         n, removed, digest, kept = [], [], [], []

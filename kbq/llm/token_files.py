@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from kbq.llm.common import column, materialise, read_back, slices, small, write_scratch
+from kbq.llm.common import column, materialise, pack_block, read_back, slices, small, unpack_block, write_scratch
 
 #: The white space of the splitting pattern, and the pattern itself.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -156,39 +156,6 @@ def ranks(tokenised: DataFrame, vocabulary: int, kind) -> np.ndarray:
     return np.argsort(-counts, kind="stable").astype(np.uint32)
 
 
-#: lengths[c]: the byte lengths of the four ids under control byte c.
-_LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.int64)
-
-
-def pack_block(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
-    values = values.astype(np.uint32)
-    size = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    code[: len(values)] = size - 1
-    quads = code.reshape(-1, 4)
-    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    begin = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
-    for k in range(4):
-        long = np.flatnonzero(size > k) if k else slice(None)
-        data[begin[long] + k] = values[long] >> np.uint32(8 * k) & np.uint32(0xFF)
-    return control.tobytes(), data.tobytes()
-
-
-def unpack_block(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n values of a block."""
-    size = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    begin = np.cumsum(size) - size
-    raw = np.frombuffer(data, np.uint8)
-    values = raw[begin].astype(np.uint32)
-    for k in range(1, 4):
-        long = np.flatnonzero(size > k)
-        if len(long):
-            values[long] |= raw[begin[long] + k].astype(np.uint32) << np.uint32(8 * k)
-    return values
-
-
 _FILE = "part int, block int, n_docs long, n_tokens long, doc_ids binary, has_id binary, lengths binary, control binary, data binary"
 
 
