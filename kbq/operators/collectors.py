@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +50,11 @@ class KnowledgeBase:
 
     @classmethod
     def of(cls, docs: DataFrame, navigation: DataFrame | None = None) -> "KnowledgeBase":
-        """docs(uri, text); navigation: further edges (source_uri, target_uri, relation_type)."""
-        parsed = parse.artifacts(docs)
+        """docs(uri, text); navigation: further edges (source_uri, target_uri, relation_type).
+
+        Every check reads the parsed artifacts, so they are kept (in memory, on disk where they do not fit) and parsed once.
+        """
+        parsed = parse.artifacts(docs).persist(StorageLevel.MEMORY_AND_DISK)
         edges = graph.cross_references(graph.resolve(parse.links(parsed), parsed))
         if navigation is not None:
             edges = edges.unionByName(navigation)

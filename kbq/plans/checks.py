@@ -28,7 +28,7 @@ def query(oracle: str | None = None):
 
 
 def parsed(spark, sf_dir):
-    return parse.artifacts(kb_docs(spark, sf_dir))
+    return parse.artifacts(kb_docs(spark, sf_dir)).persist()
 
 
 def kb(spark, sf_dir):
