@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from kbq.llm.common import column, materialise, pack_block, read_back, slices, small, unpack_block, write_scratch
+from kbq.llm.common import bounded_batches, column, materialise, pack_block, read_back, slices, small, unpack_block, write_scratch, tidy
 
 #: The white space of the splitting pattern, and the pattern itself.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -89,8 +88,13 @@ class CachedTokenizer:
         for unit, again in zip(place, twice.tolist()):
             ids = self.known.get(unit)
             if ids is None:
-                parts = [self._word(w) for w in self.pattern.findall(unit)]
-                ids = parts[0] if len(parts) == 1 else tuple(i for p in parts for i in p)
+                bare = unit[1:] if unit[0] == " " else unit
+                if bare.isalpha():  # one pre-token: a run of letters with at most one space before it
+                    ids = self._word(unit)
+                elif bare[:-1].isalpha() and bare[-1] in ".,;!?":
+                    ids = self._word(unit[:-1]) + self._word(unit[-1])
+                else:
+                    ids = tuple(i for w in self.pattern.findall(unit) for i in self._word(w))
                 if again:
                     self.known[unit] = ids
             spelled.append(ids)
@@ -122,7 +126,7 @@ def tokenise(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
         tokenizer = _tokenizer(path)
         kind = np.uint16 if tokenizer.size <= 1 << 16 else np.uint32
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             ids, bounds = tokenizer.encode(column(batch, "text").to_pylist(), end)
             ids = ids.astype(kind)
             packed = [pack(ids[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
@@ -130,7 +134,7 @@ def tokenise(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, tie long, ids binary")
 
 
 def _unpacked(batch: pa.RecordBatch, kind) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +154,7 @@ def ranks(tokenised: DataFrame, vocabulary: int, kind) -> np.ndarray:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["id", "n"])
 
-    found = tokenised.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = tokenised.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(vocabulary, np.int64)
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()
     return np.argsort(-counts, kind="stable").astype(np.uint32)
@@ -163,6 +167,7 @@ def write_files(docs: DataFrame, target: str | None = None, path: str | None = N
     """Write docs' ids below `target` (a folder of the shared storage; scratch if not given): its path, and the ids by rank."""
     path = path or default_tokenizer()
     spark = docs.sparkSession
+    bounded_batches(spark)
     vocabulary = Tokenizer.from_file(path).get_vocab_size()
     kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
     tokenised = materialise(tokenise(docs, path, end), "tokens")
@@ -196,7 +201,7 @@ def write_files(docs: DataFrame, target: str | None = None, path: str | None = N
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokenised.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    blocks = ordered.select("doc_id", F.spark_partition_id().alias("part"), "ids").mapInArrow(run, _FILE)
+    blocks = ordered.select("doc_id", F.spark_partition_id().alias("part"), "ids").mapInArrow(tidy(run), _FILE)
     if target is None:
         return write_scratch(blocks, "token-files"), by_rank
     blocks.write.parquet(target)
@@ -222,7 +227,7 @@ def read_files(spark: SparkSession, target: str, by_rank: np.ndarray, with_ids:
                     out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    read = blocks.select("part", "block", "n_tokens", "doc_ids", "has_id", "lengths", "control", "data").mapInArrow(run, "part int, block int, doc_id long, inner long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    read = blocks.select("part", "block", "n_tokens", "doc_ids", "has_id", "lengths", "control", "data").mapInArrow(tidy(run), "part int, block int, doc_id long, inner long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     heads = blocks.groupBy("part", "block").agg(F.sum("n_tokens").alias("n"))
     within = heads.withColumn("before", F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n"))
     parts = heads.groupBy("part").agg(F.sum("n").alias("total"))  # one row a file
