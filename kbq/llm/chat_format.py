@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
-from kbq.llm.common import column
+from kbq.llm.common import bounded_batches, column
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>(.*?)<\|im_sep\|>(.*?)<\|im_end\|>", re.S)
@@ -111,6 +111,7 @@ def format_chats(conversations: DataFrame, path: str | None = None, learned: tup
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turn = F.struct(F.col("turn").cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
+    bounded_batches(conversations.sparkSession)
     whole = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     return whole.mapInArrow(run, "conv_id long, formatted string, ids array<int>, loss_mask array<boolean>, starts array<int>, stops array<int>")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +135,26 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of a few MB, so that long texts do not add up in an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run for mapInArrow, giving memory back when a task ends: workers are kept for later tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `limit` bytes of the text column (a longer text stands alone): bounds a task's memory."""
     for batch in batches:
@@ -185,6 +207,8 @@ def pack_block(values: np.ndarray) -> tuple[bytes, bytes]:
     data = np.zeros(int(size.sum()), np.uint8)
     for k in range(4):
         long = np.flatnonzero(size > k) if k else slice(None)
+        if k and not len(long):
+            break
         data[begin[long] + k] = values[long] >> np.uint32(8 * k) & np.uint32(0xFF)
     return control.tobytes(), data.tobytes()
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import column, slices
+from kbq.llm.common import bounded_batches, column, slices, tidy
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|iframe|svg|textarea|select|button|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
@@ -312,13 +312,14 @@ def train(spark: SparkSession, pages: DataFrame | None = None, sample: int = 200
     if pages is not None:
         marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).orderBy(F.xxhash64("url", "html")).limit(sample)
         labelled = labelled.unionByName(marked.select("html", F.lit(True).alias("own_main")))
-    found = labelled.mapInArrow(_count, "feature long, value long, label long, n long").groupBy("feature", "value", "label").agg(F.sum("n").alias("n")).collect()
+    found = labelled.mapInArrow(tidy(_count), "feature long, value long, label long, n long").groupBy("feature", "value", "label").agg(F.sum("n").alias("n")).collect()
     return Model({(r["feature"], r["value"], r["label"]): r["n"] for r in found})
 
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of pages."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    bounded_batches(pages.sparkSession)
     model = model or train(pages.sparkSession, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +327,7 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
             text = extract(column(batch, "html").to_pylist(), model)
             yield pa.RecordBatch.from_arrays([column(batch, "page_id"), column(batch, "url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import ascii_words, column, materialise, slices, small
+from kbq.llm.common import ascii_words, bounded_batches, column, materialise, slices, small, tidy
 
 #: Statistics that the learned rules bound from above, and the step of each one's grid of cutoffs.
 RULES = {
@@ -75,11 +75,11 @@ _FEATURES = "doc_id long, stratum string, n_words long, word_chars long, n_symbo
 
 def features(docs: DataFrame, stratum: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of docs: the base statistics and those of RULES, with the columns of `carry` beside them, named carry_<column>."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry if c != "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = column(batch, "text")
+            texts = pc.fill_null(column(batch, "text"), "")
             words, index, offsets = ascii_words(texts)
             n = np.diff(offsets)
             chars = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -104,11 +104,11 @@ def features(docs: DataFrame, stratum: str = "lang", carry: tuple[str, ...] = ()
                 np.where(n >= 50, 1 - distinct / per_word, 0.0),
             ]
             out = {"doc_id": column(batch, "doc_id"), "stratum": column(batch, "stratum"), "n_words": n, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeated.astype(np.int64)}
-            out |= dict(zip(RULES, ratios)) | {f"carry_{c}": column(batch, f"carry_{c}") for c in carry}
+            out |= dict(zip(RULES, ratios)) | {f"carry_{c}": column(batch, "text" if c == "text" else f"carry_{c}") for c in carry}
             yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
 
     kinds = dict(docs.dtypes)
-    return rows.mapInArrow(run, _FEATURES + "".join(f", `carry_{c}` {kinds[c]}" for c in carry))
+    return rows.mapInArrow(tidy(run), _FEATURES + "".join(f", `carry_{c}` {kinds[c]}" for c in carry))
 
 
 def upper_bound(rejected: int, good: int, delta: float) -> float:
@@ -161,6 +161,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
 
     labels: doc_id and quality (1 good, 0 bad). All labelled documents serve as holdout: nothing else is fitted on them.
     """
+    bounded_batches(docs.sparkSession)
     found = materialise(features(docs, stratum, carry), "quality")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
     numbers = found.select("doc_id", "stratum", *RULES)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import ascii_words, column, grouped, materialise, n_buckets, pack_ints, rolling, rows_of, slices, starts_within, unpack, unpack_ints, word_hashes
+from kbq.llm.common import ascii_words, bounded_batches, column, grouped, materialise, n_buckets, pack_ints, rolling, rows_of, slices, starts_within, unpack, unpack_ints, word_hashes, tidy
 
 #: Words or windows a task holds before it hands on their packed arrays.
 _HELD = 3_000_000
@@ -102,8 +102,8 @@ def hit_blocks(keyed: DataFrame, block: int) -> DataFrame:
             out = [pa.array(unpack(rows, name, dtype)[hit]) for name, dtype in (("k1", np.int64), ("k2", np.int64), ("number", np.int32))]
             yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "number"])
 
-    packed = keyed.mapInArrow(pack, schema).repartition("bucket").sortWithinPartitions("bucket")
-    hits = packed.mapInArrow(meet, "k1 long, k2 long, number int")
+    packed = keyed.mapInArrow(tidy(pack), schema).repartition("bucket").sortWithinPartitions("bucket")
+    hits = packed.mapInArrow(tidy(meet), "k1 long, k2 long, number int")
     return hits.groupBy("k1", "k2").agg(F.collect_set("number").alias("blocks"))
 
 
@@ -149,8 +149,8 @@ def repeated_windows(hit: DataFrame, window: int, block: int) -> DataFrame:
             part = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], names=["shard", "rows", "starts"])
 
-    packed = hit.mapInArrow(pack, schema).repartition("bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(meet, "shard long, rows binary, starts binary")
+    packed = hit.mapInArrow(tidy(pack), schema).repartition("bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(tidy(meet), "shard long, rows binary, starts binary")
 
 
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -158,6 +158,7 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_t
 
 def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]), a row for each row of docs; kept words are joined by one space."""
+    bounded_batches(docs.sparkSession)
     block = (window + 1) // 2
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
@@ -189,7 +190,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
                 yield pa.RecordBatch.from_pydict(out | {"done": pa.array([not going] * size, pa.bool_())})
 
     joined = keyed.join(blocks, ["k1", "k2"], "left").select("doc_id", "text", "blocks", F.spark_partition_id().cast("long").alias("core"))
-    passed = materialise(joined.mapInArrow(first_pass, f"{_RESULT}, text string, blocks array<int>, shard long, place int, done boolean"), "repeats", ("done",))
+    passed = materialise(joined.mapInArrow(tidy(first_pass), f"{_RESULT}, text string, blocks array<int>, shard long, place int, done boolean"), "repeats", ("done",))
     going = passed.where("not done").select("doc_id", "text", "blocks", "shard", "place")
     starts = repeated_windows(going.select("text", "blocks", "shard", "place"), window, block)
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import ascii_words, column, materialise, slices, small
+from kbq.llm.common import ascii_words, bounded_batches, column, materialise, slices, small, tidy
 
 #: Words that announce somebody else's, in the four languages.
 SAYING = {"said", "says", "say", "called", "wrote", "writes", "quote", "quoted", "quoting", "dit", "disait", "écrit", "sagte", "sagt", "schrieb", "dijo", "dice", "escribió"}
@@ -127,7 +127,7 @@ def _document_counts(rows: DataFrame, wanted: set[str] | None = None) -> DataFra
             n = np.bincount(pairs, minlength=len(words))
             yield pa.RecordBatch.from_arrays([pa.array(words[keep].tolist(), pa.string()), pa.array(n[keep])], names=["word", "n"])
 
-    return rows.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(train: DataFrame, terms: int = 2000, candidates: int = 50_000, z: float = 4.0, least: int = 3) -> dict[str, float]:
@@ -200,7 +200,7 @@ def features(docs: DataFrame, lexicon: dict[str, float], reach: int = 8) -> Data
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in values.T)], names=["doc_id", *FEATURES])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return rows.mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, np.ndarray]:
@@ -227,6 +227,7 @@ def score(docs: DataFrame, labels: DataFrame, terms: int = 2000, sample: int = 5
     """(doc_id, held_out, score, predicted, n_hits): a row for each row of docs."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounded_batches(docs.sparkSession)
     lexicon = learn_lexicon(rows.join(small(marks), "doc_id"), terms)
     found = materialise(features(rows, lexicon, reach), "toxicity")
     chosen = found.join(small(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(sample).select("toxic", *FEATURES).toArrow()
