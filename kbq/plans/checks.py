@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from kbq.functions import text as T
@@ -27,11 +29,14 @@ def query(oracle: str | None = None):
     return add
 
 
+@lru_cache(maxsize=4)
 def parsed(spark, sf_dir):
     return parse.artifacts(kb_docs(spark, sf_dir)).persist()
 
 
+@lru_cache(maxsize=4)
 def kb(spark, sf_dir):
+    """The knowledge base of one input folder; queries of a session share it."""
     return C.KnowledgeBase.of(kb_docs(spark, sf_dir))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbq.plans import checks
+from kbq.plans import checks, scores
 
-_MODULES = [checks]
+_MODULES = [checks, scores]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["signals"](spark, sf_dir)
+    return queries()["document_scorecard"](spark, sf_dir)
