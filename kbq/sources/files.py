@@ -11,7 +11,7 @@ EXTENSIONS = ["md", "markdown", "mdx", "txt", "rst"]
 
 def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(uri, text) of the documents below a folder or bucket prefix, local or not; uri is relative to it. exclude: substrings of uris."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).withColumn("path", F.col("_metadata.file_path"))
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path"))
     tail = root.rstrip("/").split("://")[-1]
     uri = F.regexp_replace(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), rf"^.*?\Q{tail}\E/?", "")
     found = rows.select(uri.alias("uri"), F.col("value").alias("text"))
