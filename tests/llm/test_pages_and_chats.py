@@ -122,6 +122,6 @@ def test_pipeline(spark, tmp_path):
         data = stage(spark, data, str(tmp_path))
         assert data.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     left = {r["doc_id"]: r["text"] for r in data.collect()}
-    assert set(left) == {*range(1, 30), 104} and left[104].endswith("[secret]")
+    assert set(left) == {*range(1, 30), 104} and left[104].endswith('[secret]"')
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == set(left) and all(out[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for d, t in left.items())
