@@ -54,6 +54,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About `rows` rows of df (all, if it has fewer), chosen by a hash of their keys: the same rows on any cluster, and none pass through one task."""
+    n = df.count()
+    return df if n <= rows else df.where(F.shiftrightunsigned(F.xxhash64(*keys), 32) < F.lit(int(rows / n * 2**32)))
+
+
 def n_buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Hash buckets for packed exchanges: they grow with the shuffle partitions the cluster is set to."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

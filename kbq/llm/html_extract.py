@@ -7,8 +7,8 @@ pages, smoothed. Sum-product messages go up the tree and down again, for the nod
 level; text is kept where the marginal of content is at least one half.
 
 Labelled pages are pages whose main part is marked: `labelled_pages()` makes a varied set by rule, and pages of the
-corpus that name their own main part (one article or main element) are added, at most `sample` of them (those with the
-smallest hash of url and html). Counts are summed by Spark.
+corpus that name their own main part (one article or main element) are added, about `sample` of them, chosen by a hash
+of page_id and url. Counts are summed by Spark.
 
 Inline elements belong to the block around them; a line break is white space. Scripts, styles, heads, templates and
 form controls have no text. Unclosed and misnested elements are closed where a new block or an outer end tag closes
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import bounded_batches, column, slices, tidy
+from kbq.llm.common import bounded_batches, column, hash_sample, slices, tidy
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|iframe|svg|textarea|select|button|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
@@ -310,7 +310,7 @@ def train(spark: SparkSession, pages: DataFrame | None = None, sample: int = 200
     """Counts over the labelled pages; a few hundred sums reach the driver."""
     labelled = spark.createDataFrame([(p, False) for p in labelled_pages()], "html string, own_main boolean")
     if pages is not None:
-        marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).orderBy(F.xxhash64("url", "html")).limit(sample)
+        marked = hash_sample(pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")), sample, "page_id", "url")
         labelled = labelled.unionByName(marked.select("html", F.lit(True).alias("own_main")))
     found = labelled.mapInArrow(tidy(_count), "feature long, value long, label long, n long").groupBy("feature", "value", "label").agg(F.sum("n").alias("n")).collect()
     return Model({(r["feature"], r["value"], r["label"]): r["n"] for r in found})
