@@ -7,8 +7,8 @@
    changed, added or lost), shorter ones exactly. Each distinct word of a batch is run once.
 3. Every hit has a window of `reach` words on both sides: other hits in it speak for abuse, quotation marks and verbs of
    saying for quotation.
-4. A logistic regression on these statistics gives the score. It is fitted on at most `sample` labelled training
-   documents (those with the smallest hash of doc_id); counts for the lexicon use all of them.
+4. A logistic regression on these statistics gives the score. It is fitted on about `sample` labelled training
+   documents, chosen by a hash of doc_id; counts for the lexicon use all of them.
 
 Labels, lang, source and doc_id are no inputs of a score. Held out are rows whose crc32(doc_id as text) mod 5 is 0, and
 rows with a null doc_id count as such. Null and empty texts have no words and score as a text without hits. Every row
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import ascii_words, bounded_batches, column, materialise, slices, small, tidy
+from kbq.llm.common import ascii_words, bounded_batches, column, hash_sample, materialise, slices, small, tidy
 
 #: Words that announce somebody else's, in the four languages.
 SAYING = {"said", "says", "say", "called", "wrote", "writes", "quote", "quoted", "quoting", "dit", "disait", "écrit", "sagte", "sagt", "schrieb", "dijo", "dice", "escribió"}
@@ -230,7 +230,7 @@ def score(docs: DataFrame, labels: DataFrame, terms: int = 2000, sample: int = 5
     bounded_batches(docs.sparkSession)
     lexicon = learn_lexicon(rows.join(small(marks), "doc_id"), terms)
     found = materialise(features(rows, lexicon, reach), "toxicity")
-    chosen = found.join(small(marks), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(sample).select("toxic", *FEATURES).toArrow()
+    chosen = hash_sample(found.join(small(marks), "doc_id"), sample, "doc_id").orderBy("doc_id", *FEATURES).select("toxic", *FEATURES).toArrow()
     y = chosen.column("toxic").to_numpy().astype(float)
     x = np.stack([chosen.column(f).to_numpy() for f in FEATURES], axis=1)
     if len(set(y.tolist())) < 2:
