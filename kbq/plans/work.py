@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from kbq.operators import collectors as C
 from kbq.operators import graph, parse
 from kbq.operators import problems as P
-from kbq.operators import scoring as S
 from kbq.operators import vector as V
 from kbq.plans import scores  # noqa: F401  its SQL parts are used below
 from kbq.plans.checks import kb
