@@ -26,7 +26,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from kbq.llm.common import bounded_batches, column, materialise, pack_block, read_back, slices, small, unpack_block, write_scratch, tidy
 
@@ -59,14 +59,14 @@ class CachedTokenizer:
         self.pattern = regex.compile(_PATTERN)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others move past 255
         moved = iter(range(256, 512))
-        self.letter = {b: chr(b) if b in visible else chr(next(moved)) for b in range(256)}
+        self.letter = {b: b if b in visible else next(moved) for b in range(256)}
         self.known: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
     def _word(self, word: str) -> tuple[int, ...]:
         found = self.words.get(word)
         if found is None:
-            found = tuple(t.id for t in self.model.tokenize("".join(map(self.letter.__getitem__, word.encode()))))
+            found = tuple(t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letter)))
             if len(word) < 40:
                 self.words[word] = found
         return found
