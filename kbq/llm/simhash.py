@@ -3,8 +3,8 @@
 A document's fingerprint has a bit for each of the 64 bits of XXH64, set if more than half of its word shingles have it
 set. Fingerprints that differ in at most `max_distance` bits (t) are linked; a class is a connected component of links.
 
-Cut into m = t + 1 segments on a ring, two linked fingerprints have a segment from which every chain of l consecutive
-segments differs in at most floor(l * t / m) = l - 1 bits. So they agree wholly on that segment and differ in at most
+Cut into m = t + 1 segments on a ring (three at least), two linked fingerprints have a segment from which every chain of l consecutive
+segments differs in at most floor(l * t / m) <= l - 1 bits. So they agree wholly on that segment and differ in at most
 one bit on the next: both are therefore found under a key made of the first segment and the second with one bit
 masked. Distinct fingerprints meet under such keys only; the longer chains are checked before the full distance, and
 what a key's fingerprints give is a forest of links, never all pairs. No candidate is dropped or capped.
@@ -84,9 +84,19 @@ def segments(m: int) -> list[tuple[int, int]]:
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
+def ring(max_distance: int) -> list[tuple[int, int]]:
+    """The segments for a distance: one more than it, and three at least, so that a key has room for its head."""
+    return segments(max(max_distance + 1, 3))
+
+
+def head_shift(cut: list[tuple[int, int]]) -> int:
+    """Where a key's head begins: above the widest two neighbours, for every start alike."""
+    return max(w + cut[(i + 1) % len(cut)][1] for i, (_, w) in enumerate(cut))
+
+
 def chain_keys(fp: np.ndarray, max_distance: int) -> np.ndarray:
     """(fingerprints, keys) matrix: for each start of a chain and each masked bit of its second segment a key."""
-    cut = segments(max_distance + 1)
+    cut = ring(max_distance)
     columns = []
     for i, (shift, width) in enumerate(cut):
         shift2, width2 = cut[(i + 1) % len(cut)]
@@ -94,21 +104,21 @@ def chain_keys(fp: np.ndarray, max_distance: int) -> np.ndarray:
         second = (fp >> np.uint64(shift2)) & np.uint64((1 << width2) - 1)
         for bit in range(width2):
             masked = second & ~np.uint64(1 << bit)
-            head = np.uint64(i * 64 + bit) << np.uint64(width + width2)
+            head = np.uint64(i * 64 + bit) << np.uint64(head_shift(cut))
             columns.append(head | (first << np.uint64(width2)) | masked)
     return np.stack(columns, axis=1)
 
 
 def chain_passes(diff: np.ndarray, start: int, max_distance: int) -> np.ndarray:
-    """Which differences keep every chain from segment `start` within its budget: l - 1 bits over l segments."""
-    cut = segments(max_distance + 1)
+    """Which differences keep every chain from segment `start` within its budget: l - 1 bits over l segments, max_distance at most."""
+    cut = ring(max_distance)
     seen = np.zeros(diff.shape, np.int64)
     ok = np.ones(diff.shape, bool)
     for length in range(1, len(cut) + 1):
         shift, width = cut[(start + length - 1) % len(cut)]
         part = (diff >> np.uint64(shift)) & np.uint64((1 << width) - 1)
         seen = seen + np.bitwise_count(part)
-        ok &= seen <= length - 1
+        ok &= seen <= min(length - 1, max_distance)
     return ok
 
 
@@ -132,7 +142,7 @@ def forest(fp: np.ndarray, start: int, max_distance: int) -> Iterator[tuple[np.n
 
 def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
     """(a, b), a < b unsigned: links among distinct fingerprints (column fp) that connect exactly what lies within max_distance."""
-    cut = segments(max_distance + 1)
+    cut = ring(max_distance)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,14 +153,6 @@ def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
                 out = [pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fp, keys.shape[1]).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(out, names=["key", "fp"])
 
-    def start_of(key: np.ndarray) -> np.ndarray:
-        """The chain's first segment: it stands above the bits of the two segments, whose widths depend on it."""
-        found = np.zeros(len(key), np.int64)
-        for i in range(len(cut)):
-            bits = cut[i][1] + cut[(i + 1) % len(cut)][1]
-            found[(key >> bits) // 64 == i] = i
-        return found
-
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             """Batches whose last key's rows wait for the next one."""
@@ -170,7 +172,7 @@ def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
             fp = fp_signed.view(np.uint64)
             begins = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
             sizes = np.diff(np.concatenate([begins, [len(key)]]))
-            starts = start_of(key[begins])
+            starts = (key[begins] >> head_shift(cut)) // 64
             found_a, found_b = [], []
             for i in range(len(cut)):  # the many groups of two at once
                 two = begins[(sizes == 2) & (starts == i)]

@@ -89,6 +89,32 @@ def test_simhash_links_random():
     assert groups(parent) == groups(want)
 
 
+@pytest.mark.parametrize("distance", [1, 2, 4])
+def test_simhash_links_of_all_patterns(spark, distance):
+    """Pairs at the greatest distance and one bit beyond it, with the bits spread over the segments in every way."""
+    from itertools import combinations_with_replacement
+
+    rng = random.Random(5)
+    cut = simhash.segments(5)
+    linked, apart = set(), []
+    for bits in (distance, distance + 1):
+        for pattern in combinations_with_replacement(range(5), bits):
+            for _ in range(3):
+                a, diff = rng.getrandbits(64), 0
+                for i in set(pattern):
+                    shift, width = cut[i]
+                    for b in rng.sample(range(width), pattern.count(i)):
+                        diff |= 1 << shift + b
+                pair = tuple(sorted((a, a ^ diff)))
+                if bits == distance:
+                    linked.add(pair)
+                else:
+                    apart.append(pair)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    distinct = spark.createDataFrame([(signed(x),) for pair in [*linked, *apart] for x in pair], "fp long").distinct()
+    assert {(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(distinct, distance).collect()} == linked
+
+
 def test_substring_dedup(docs, none):
     lists = [WORD.findall(t or "") for _, t in TEXTS]
     seen = Counter(tuple(w[i : i + 35]) for w in lists for i in range(len(w) - 34))
