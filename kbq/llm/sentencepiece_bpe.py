@@ -1,14 +1,15 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 The encoder follows the agenda of SentencePiece's BPE: the best-scored adjacent pair that forms a piece is merged
-first, the leftmost of equals. With dropout, a candidate merge is skipped if a keyed hash of (seed, unit, variant,
-where its two symbols begin, meet and end) falls below the rate. The draw belongs to the candidate, so results repeat
-on any cluster layout. Segmentations vary between the words of a text and between texts: a document's words take
-turns through `variants` draws, from a place that the keyed hash of the text sets. Without dropout the ids are those of
-the sentencepiece library, but for U+2581 in a text, which is spelled in bytes so that decoding gives it back.
+first, the leftmost of equals. With dropout, a candidate merge is skipped if a keyed hash of (seed, text, the unit's place in
+the text, where the candidate's two symbols begin, meet and end) falls below the rate. The draw belongs to the
+candidate, so results repeat on any cluster layout, and every occurrence of a word has draws of its own. With
+`variants` over zero a text's words take turns through so many draws per distinct unit instead. Without dropout the
+ids are those of the sentencepiece library, but for U+2581 in a text, which is spelled in bytes so that decoding gives
+it back.
 
 No piece has a space mark after another character, nor a line feed; a text is therefore cut before each run of spaces
-and around line feeds, and each distinct unit is encoded once a batch, many at a time: all units of one length walk
+and around line feeds, and each unit (without dropout each distinct unit) is encoded once a batch, many at a time: all units of one length walk
 their agendas together in numpy. Units over 64 characters take a heap, in n log n steps.
 
 Nulls are empty texts; an empty text has no tokens. Every row gives a row. No rows: no rows. Texts of any length are
@@ -197,29 +198,39 @@ class Pieces:
 
     def _learn(self, units: list[str], variant: int) -> None:
         """Segment units that are new and keep the result."""
-        hashes = self._unit_hashes(units, variant)
+        flat, size = self._segment(units, self._unit_hashes(units, variant))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        first = len(self.size)
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
+        self.known[variant].update(zip(units, range(first, first + len(units))))
+
+    def _segment(self, units: list[str], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units one after another, under the draws of their hashes, and how many each has."""
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        symbols: list[np.ndarray | None] = [None] * len(units)
+        size = np.zeros(len(units), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # units, and a row of ids for each
+        spelled = lambda i, symbols: found.append((np.array([i]), self._spell(units[i], symbols)[None, :]))
         for width in np.unique(lengths):
             which = np.flatnonzero(lengths == width)
             if width > _LONGEST:
                 for i in which:
-                    symbols[i] = self._spell(units[i], self.agenda(units[i], int(hashes[i])))
+                    spelled(i, self.agenda(units[i], int(hashes[i])))
                 continue
-            chars = np.frombuffer("".join(units[i] for i in which).encode("utf-32-le"), np.uint32).reshape(-1, width)
+            chars = np.frombuffer("".join(units[i] for i in which.tolist()).encode("utf-32-le"), np.uint32).reshape(-1, width)
             _, done = self._agendas(chars, hashes[which])
             for rows, ids, begin in done:
                 plain = (ids >= 0).all(axis=1)
-                for r, row in zip(which[rows[plain]].tolist(), ids[plain]):
-                    symbols[r] = row
+                found.append((which[rows[plain]], ids[plain]))
                 for r, row, at in zip(which[rows[~plain]].tolist(), ids[~plain], begin[~plain]):
-                    symbols[r] = self._spell(units[r], list(zip(row.tolist(), at.tolist())))
-        size = np.fromiter(map(len, symbols), np.int64, len(symbols))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-        first = len(self.size)
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *symbols])
-        self.known[variant].update(zip(units, range(first, first + len(units))))
+                    spelled(r, list(zip(row.tolist(), at.tolist())))
+        for which, ids in found:
+            size[which] = ids.shape[1]
+        begins = np.cumsum(size) - size
+        flat = np.zeros(int(size.sum()), np.int32)
+        for which, ids in found:
+            flat[begins[which][:, None] + np.arange(ids.shape[1])] = ids
+        return flat, size
 
     def _spell(self, unit: str, symbols: list[tuple[int, int]]) -> np.ndarray:
         """Characters without a piece become their bytes' ids."""
@@ -230,6 +241,8 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's ids begin (one entry more than texts)."""
+        if not self.variants:
+            return self._encode_each(texts)
         if len(self.size) > _KEPT_UNITS:
             self.forget()
         by_variant: list[list[str]] = [[] for _ in range(self.variants)]
@@ -256,6 +269,17 @@ class Pieces:
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[entry] - ends[:-1], size)]
         return ids, ends[np.array(bounds)]
 
+    def _encode_each(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """encode() with draws for every occurrence."""
+        lists = [_UNIT.findall(" " + text) if text else [] for text in texts]
+        keys = np.fromiter((xxhash.xxh64_intdigest(text or "", self.seed) for text in texts), np.uint64, len(texts))
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], counts)
+        hashes = mix(np.repeat(keys, counts) ^ mix(place.astype(np.uint64)))
+        flat, size = self._segment([u for units in lists for u in units], hashes)
+        return flat, np.concatenate([[0], np.cumsum(size)])[bounds]
+
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts, without the space that encoding puts in front."""
         size = self.spelled_len[ids]
@@ -276,7 +300,7 @@ def _pieces(*parameters) -> Pieces:
     return _LOADED[parameters]
 
 
-def encode(docs: DataFrame, model_file: str | None = None, rate: float = 0.1, seed: int = 1, variants: int = 2, text: str = "text", to: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_file: str | None = None, rate: float = 0.1, seed: int = 1, variants: int = 0, text: str = "text", to: str = "ids") -> DataFrame:
     """docs with an array<int> column of piece ids (empty for null texts)."""
     model_file = model_file or default_model()
 
@@ -314,7 +338,7 @@ def decode(docs: DataFrame, model_file: str | None = None, ids: str = "ids", to:
     return docs.mapInArrow(run, f"{kinds}, `{to}` string")
 
 
-def round_trip(docs: DataFrame, model_file: str | None = None, rate: float = 0.1, seed: int = 1, variants: int = 2) -> DataFrame:
+def round_trip(docs: DataFrame, model_file: str | None = None, rate: float = 0.1, seed: int = 1, variants: int = 0) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, decoded_sha256, lossless): each text encoded and decoded from its ids within one pass.
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit integers.

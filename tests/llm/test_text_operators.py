@@ -237,6 +237,27 @@ def test_sentencepiece(docs, none):
     assert sentencepiece_bpe.round_trip(none).count() == 0
 
 
+def test_sentencepiece_draws(docs):
+    """Every occurrence of a word has draws of its own, and gives what the agenda of that unit alone gives."""
+    model = sentencepiece_bpe.Pieces(sentencepiece_bpe.default_model(), 0.1, 1, 0)
+    ids, bounds = model.encode([" ".join(["station"] * 400), None, ""])
+    assert bounds.tolist() == [0, len(ids), len(ids), len(ids)] and model.decode(ids, bounds)[0] == " ".join(["station"] * 400)
+    units = [*[" station"] * 400, *[" " + "ab" * k for k in (1, 4, 9, 11, 40)], " a▁b", "\n", " 😀é"]
+    hashes = np.random.default_rng(1).integers(0, 2**63, len(units), dtype=np.uint64)
+    spelled = set()
+    flat, size = model._segment(units, hashes)
+    for u, h, got in zip(units, hashes, np.split(flat, np.cumsum(size)[:-1])):
+        got = got.tolist()
+        assert got == model._spell(u, model.agenda(u, int(h))).tolist()
+        if u == " station":
+            spelled.add(tuple(got))
+    assert len(spelled) > 4
+    text = docs.select(F.lit(" ".join(["station"] * 400)).alias("text")).limit(1)
+    one = sentencepiece_bpe.encode(text).first()["ids"]
+    begins = [i for i, x in enumerate(one) if model.spelled[model.spelled_at[x]] == 32]
+    assert len({tuple(one[a:b]) for a, b in zip(begins, [*begins[1:], None])}) > 4
+
+
 def test_token_files(spark, docs, none):
     import zlib
 
