@@ -85,8 +85,8 @@ def root_causes(problems: DataFrame) -> DataFrame:
     return third.select("problem_id", "uri", "pattern", key.alias("cluster"))
 
 
-def cross_checks(signals: DataFrame, connectivity: Column) -> DataFrame:
-    """(rule, fires): five rules over the counts of findings and over documents that have two kinds at once."""
+def cross_checks(signals: DataFrame, score: DataFrame) -> DataFrame:
+    """(rule, fires): five rules over the counts of findings and over documents that have two kinds at once. score: one row with the corpus's `connectivity`."""
     n = lambda kind: F.count_if(F.col("signal_type") == kind)
     heads = F.col("collector_id") == "heading_quality"
     per = signals.groupBy("uri").agg(
@@ -97,14 +97,14 @@ def cross_checks(signals: DataFrame, connectivity: Column) -> DataFrame:
     )
     one = per.agg(*[F.sum(c).alias(c) for c in ("broken_link", "orphan", "stale_content", "terminology_variant", "contradiction")], F.coalesce(F.max("retrieval"), F.lit(False)).alias("retrieval"), F.coalesce(F.max("context"), F.lit(False)).alias("context"))
     rules = {
-        "navigation_collapse": (F.col("broken_link") >= 2) & (F.col("orphan") >= 1) & (connectivity < 50),
+        "navigation_collapse": (F.col("broken_link") >= 2) & (F.col("orphan") >= 1) & (F.col("connectivity") < 50),
         "stale_kb_collapse": (F.col("stale_content") >= 2) & (F.col("orphan") >= 2),
         "retrieval_breakdown": F.col("retrieval"),
         "context_fragmentation": F.col("context"),
         "terminology_contradiction": (F.col("terminology_variant") >= 2) & (F.col("contradiction") >= 1),
     }
     rows = F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(c, F.lit(False)).alias("fires")) for k, c in rules.items()])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    return one.crossJoin(F.broadcast(score.select("connectivity"))).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def steps(signals: DataFrame) -> DataFrame:

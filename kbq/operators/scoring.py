@@ -95,10 +95,18 @@ def verdict(score: Column, documents: Column, signals: Column, critical: Column,
     )
 
 
-def gate(interpreted: DataFrame, score: Column, fail_on: list[str], least: int) -> DataFrame:
-    """exit_code: 2 if a finding has one of the severities, 1 if the score is below `least`, else 0."""
-    hit = F.coalesce(F.max(F.col("severity").isin(fail_on)), F.lit(False))
-    return interpreted.agg(F.when(hit, 2).when(score < least, 1).otherwise(0).alias("exit_code"))
+def corpus(interpreted: DataFrame) -> DataFrame:
+    """overall() of everything together, one row under the key `corpus`."""
+    keys = interpreted.sparkSession.createDataFrame([("all",)], "corpus string")
+    scored = collector_scores(interpreted.withColumn("corpus", F.lit("all")), keys)
+    return overall(dimension_scores(scored, ["corpus"]), ["corpus"])
+
+
+def gate(interpreted: DataFrame, score: DataFrame, fail_on: list[str], least: int) -> DataFrame:
+    """exit_code: 2 if a finding has one of the severities, 1 if the score is below `least`, else 0. score: one row with `adjusted`."""
+    hit = interpreted.agg(F.coalesce(F.max(F.col("severity").isin(fail_on)), F.lit(False)).alias("hit"))
+    both = hit.crossJoin(F.broadcast(score.select("adjusted")))  # one row each
+    return both.select(F.when(F.col("hit"), 2).when(F.col("adjusted") < least, 1).otherwise(0).alias("exit_code"))
 
 
 def contributors(interpreted: DataFrame) -> DataFrame:

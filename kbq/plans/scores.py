@@ -129,7 +129,7 @@ def verdict(spark, sf_dir):
 
 @query("SELECT CASE WHEN bool_or(severity = 'CRITICAL') THEN 2 WHEN false THEN 1 ELSE 0 END::INT AS exit_code FROM interp")
 def exit_gate(spark, sf_dir):
-    return S.gate(interpreted(spark, sf_dir), F.lit(100), ["CRITICAL"], 60)
+    return S.gate(interpreted(spark, sf_dir), S.corpus(interpreted(spark, sf_dir)), ["CRITICAL"], 60)
 
 
 @query("""SELECT collector_id || '/' || signal_type AS rule_id, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' WHEN 'LOW' THEN 'note' ELSE 'none' END AS level, coalesce(recommendation, '') AS message, uri AS location, coalesce(line, 1) AS start_line, signal_id AS fingerprint FROM interp""")

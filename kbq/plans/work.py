@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kbq.operators import collectors as C
 from kbq.operators import graph, parse
 from kbq.operators import problems as P
+from kbq.operators import scoring as S
 from kbq.operators import vector as V
 from kbq.plans import scores  # noqa: F401  its SQL parts are used below
 from kbq.plans.checks import kb
@@ -80,7 +81,7 @@ _n = lambda c: f"(SELECT count(*) FROM interp WHERE {c})"
   UNION ALL SELECT 'retrieval_breakdown', {_has("collector_id = 'heading_quality'", "signal_type = 'mixed_topics'")} UNION ALL SELECT 'context_fragmentation', {_has("signal_type = 'dangling_reference'", "signal_type = 'orphan_artifact'")}
   UNION ALL SELECT 'terminology_contradiction', {_n("signal_type = 'terminology_variant'")} >= 2 AND {_n("collector_id = 'contradiction_detection'")} >= 1""")
 def cross_checks(spark, sf_dir):
-    return P.cross_checks(interpreted(spark, sf_dir), F.lit(0))
+    return P.cross_checks(interpreted(spark, sf_dir), S.corpus(interpreted(spark, sf_dir)))
 
 
 @query("SELECT uri, signal_type, mark AS discriminator, p::INT AS priority FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY p, mark) AS r FROM (SELECT *, CASE signal_type WHEN 'no_date_signal' THEN 0 WHEN 'orphan_artifact' THEN 1 WHEN 'missing_canonical_source' THEN 2 END AS p FROM interp) WHERE p IS NOT NULL) WHERE r = 1")

@@ -118,3 +118,20 @@ def test_entry_survives_without_llm():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_gate_and_cross_checks_use_computed_scores(spark, monkeypatch):
+    from kbq.plans import scores, work
+
+    def given(*kinds):
+        signals = spark.createDataFrame([(c, t, f"{i}.md") for i, (c, t) in enumerate(kinds)], "collector_id string, signal_type string, uri string")
+        for module in (scores, work):
+            monkeypatch.setattr(module, "interpreted", lambda *_: scoring.interpret(signals, scoring.policy(spark)))
+        fires = {r["rule"]: r["fires"] for r in work.cross_checks(spark, "").collect()}
+        return scores.exit_gate(spark, "").first()["exit_code"], fires["navigation_collapse"]
+
+    link, orphan, apart = ("link_integrity", "broken_link"), ("link_integrity", "orphan"), ("knowledge_connectivity", "orphan_artifact")
+    assert given() == (0, False)
+    assert given(link, link, orphan) == (0, False)
+    assert given(*[link] * 20, orphan, *[apart] * 20) == (1, True)
+    assert given(link, ("heading_quality", "placeholder")) == (2, False)
