@@ -4,42 +4,45 @@ Texts are encoded with the tokenizers library and an end id is appended to each.
 and ranked by frequency, so that frequent ids take one byte, others two, three or four. A block of a file holds the
 documents' numbers and lengths, a control stream (two bits an id: its number of bytes less one, four ids a byte) and a
 data stream. Decoding looks a control byte up in a table of 256 rows that gives the lengths of its four ids, and
-gathers the data bytes in numpy; nothing is decoded id by id.
+gathers the data bytes in numpy; nothing is decoded id by id. The ids by rank lie beside the blocks, so that a folder
+can be read without anything else.
 
 Files are parts of a range partitioning by doc_id, each sorted by it (rows with one doc_id by their text's hash, null
-doc_ids first), written by Spark's own committer. A pre-token is encoded once a worker: GPT-style byte-level
-splitting never joins what comes before a run of white space with the run, so texts are cut there and the cuts kept.
+doc_ids first), written by Spark's own committer.
 
-Nulls are empty texts: they have the end id alone. Every row gives a row; no rows give no rows. Other columns are
-ignored.
+For byte-level models with the usual splitting pattern, a text is cut into units: before each run of spaces and line
+feeds that follows no other white space, and between a letter and a mark (ASCII). No piece of the pattern crosses such
+a place, so the library encodes each distinct unit once a worker, many in one call; what belongs to which unit follows
+from the pieces' lengths in bytes. Added tokens (special ones) are cut out first, as the library does. Models of any
+other make encode whole texts in the library.
+
+Nulls are empty texts: they have the end id alone. Every row gives a row; no rows give no rows. Texts of any length are
+encoded whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kbq.llm.common import bounded_batches, column, materialise, pack_block, read_back, slices, small, unpack_block, write_scratch, tidy
-
-#: The white space of the splitting pattern, and the pattern itself.
-_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from kbq.llm.common import bounded_batches, column, materialise, pack_block, read_back, scratch_root, slices, small, tidy, unpack_block
 
-_PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ANY = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
-#: Other white space than space and line feed, and characters that only some libraries count as such.
-_RARE_WHITE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BLOCK = 1 << 20
-_KEPT = 500_000
+#: Units that a worker keeps, and units that one call of the library encodes.
+_KEPT = 1_000_000
+_TOGETHER = 2000
 
 
 def default_tokenizer() -> str:
@@ -48,66 +51,131 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _flags(codes: str) -> np.ndarray:
+    """Which byte values are those of the (ASCII) characters."""
+    out = np.zeros(256, bool)
+    out[np.frombuffer(codes.encode(), np.uint8)] = True
+    return out
+
+
+_BREAK = _flags(" \n")
+_LETTER = _flags("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_MARK = _flags("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
+#: ASCII that some libraries count as white space.
+_SPACE = _flags("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f ")
+
+
+def _ends_in_white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is white space beyond ASCII (U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000)."""
+    one, two, three = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    general = (three == 0xE2) & (((two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))) | ((two == 0x81) & (one == 0x9F)))
+    return (one >= 0x80) & (((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | ((three == 0xE1) & (two == 0x9A) & (one == 0x80)) | general | ((three == 0xE3) & (two == 0x80) & (one == 0x80)))
+
+
+def units_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all texts one after another, and where each text's units begin (one entry more than texts)."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    buffer = texts.buffers()[2] or pa.py_buffer(b"")
+    data = np.frombuffer(buffer, np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    before, after = data[:-1], data[1:]
+    white = np.flatnonzero(_BREAK[after] & ~_SPACE[before]) + 1
+    white = white[~_ends_in_white(data, white)]
+    starts = np.zeros(len(data) + 1, bool)
+    starts[white] = True
+    starts[1:-1] |= _LETTER[before] & _MARK[after]
+    starts[bounds] = True
+    starts[len(data)] = True
+    cuts = np.flatnonzero(starts).astype(np.int32)
+    units = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data))
+    return units, np.searchsorted(cuts, bounds)
+
+
 class CachedTokenizer:
-    """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False) with special tokens read as text."""
+    """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str):
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        self.model, self.size = tokenizer.model, tokenizer.get_vocab_size()
-        self.plain = tokenizer.encode
-        self.pattern = regex.compile(_PATTERN)
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others move past 255
-        moved = iter(range(256, 512))
-        self.letter = {b: b if b in visible else next(moved) for b in range(256)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            found = tuple(t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letter)))
-            if len(word) < 40:
-                self.words[word] = found
-        return found
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with `end` after it, and where each one's ids begin (one entry more than texts)."""
-        if len(self.known) > _KEPT or len(self.words) > _KEPT:
-            self.known, self.words = {}, {}
-        units: list[str] = []
-        bounds = [0]
-        for text in texts:
-            if text:
-                units += (_ANY if _RARE_WHITE.search(text) else _PLAIN).findall(text)
-            bounds.append(len(units))
-        place = {u: i for i, u in enumerate(dict.fromkeys(units))}
-        entry = np.fromiter(map(place.__getitem__, units), np.int64, len(units))
-        twice = np.bincount(entry, minlength=len(place)) > 1
-        spelled = []
-        for unit, again in zip(place, twice.tolist()):
-            ids = self.known.get(unit)
-            if ids is None:
-                bare = unit[1:] if unit[0] == " " else unit
-                if bare.isalpha():  # one pre-token: a run of letters with at most one space before it
-                    ids = self._word(unit)
-                elif bare[:-1].isalpha() and bare[-1] in ".,;!?":
-                    ids = self._word(unit[:-1]) + self._word(unit[-1])
-                else:
-                    ids = tuple(i for w in self.pattern.findall(unit) for i in self._word(w))
-                if again:
-                    self.known[unit] = ids
-            spelled.append(ids)
-        size = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        flat = np.fromiter((i for ids in spelled for i in ids), np.int32, int(size.sum()))
-        begin = np.cumsum(size) - size
-        per_unit = size[entry]
-        ends = np.concatenate([[0], np.cumsum(per_unit)])
-        doc_end = ends[np.array(bounds)] + np.arange(len(bounds))  # the end ids move later documents on
-        ids = np.full(int(doc_end[-1]), end, np.int32)
-        doc = np.repeat(np.arange(len(texts)), np.diff(ends[np.array(bounds)]))
-        ids[np.arange(ends[-1]) + doc] = flat[np.arange(ends[-1]) + np.repeat(begin[entry] - ends[:-1], per_unit)]
-        return ids, doc_end
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each core a worker of its own
+        self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size()
+        made = json.loads(self.tokenizer.to_str())
+        added = {t["content"]: t["id"] for t in made["added_tokens"]}
+        splitter = made["pre_tokenizer"] or {}
+        self.by_unit = (
+            splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter["add_prefix_space"]
+            and made["model"]["type"] == "BPE" and not made["model"]["dropout"] and not made["model"].get("unk_token") and all(made[k] is None for k in ("normalizer", "truncation", "padding"))
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in made["added_tokens"])
+        )
+        self.added = added
+        longest_first = sorted(added, key=len, reverse=True)
+        self.at_added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+        self.n_bytes = np.zeros(self.size, np.int64)
+        for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.n_bytes[i] = len(piece.encode()) if piece in added else len(piece)  # a letter of a piece stands for a byte
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.flat, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _learn(self, units: list[str]) -> pa.Array:
+        """Have the library encode new units; returns them as they are kept. Units that begin with a break and do not end in white space are strung together, others go by themselves."""
+        apart = [u[0] not in " \n" or u[-1].isspace() or u[-1] in "\x1c\x1d\x1e\x1f\x85" for u in units]
+        strung = [u for u, a in zip(units, apart) if not a]
+        single = [u for u, a in zip(units, apart) if a]
+        order = pa.array(strung + single, pa.string())
+        calls = [["".join(strung[i : i + _TOGETHER])] for i in range(0, len(strung), _TOGETHER)] + [single[i : i + _TOGETHER] for i in range(0, len(single), _TOGETHER)]
+        ids = [np.array(e.ids, np.int32) for call in calls for e in self.tokenizer.encode_batch_fast(call, add_special_tokens=False)] + [np.zeros(0, np.int32)]
+        flat = np.concatenate(ids)
+        ends = np.cumsum(pc.binary_length(order).to_numpy(), dtype=np.int64)
+        stops = np.searchsorted(np.cumsum(self.n_bytes[flat]), ends, side="left") + 1
+        self.known = pa.concat_arrays([self.known, order])
+        self.flat = np.concatenate([self.flat, flat])
+        self.length = np.concatenate([self.length, np.diff(stops, prepend=0)])
+        return order
+
+    def _entries(self, units: pa.Array) -> np.ndarray:
+        """The place of each unit among the kept ones, after learning those that are new."""
+        first = len(self.known)
+        found = pc.index_in(units, value_set=self.known)
+        entry = found.fill_null(0).to_numpy().copy()
+        if found.null_count:
+            new = units.filter(found.is_null())
+            learned = self._learn(new.unique().to_numpy(zero_copy_only=False).tolist())
+            entry[found.is_null().to_numpy(zero_copy_only=False)] = first + pc.index_in(new, value_set=learned).to_numpy()
+        return entry
+
+    def _segments(self, texts: pa.Array, end: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Texts cut at added tokens: the pieces, the id that follows each, and where each text's pieces begin."""
+        lists = [self.at_added.split(t) for t in texts.to_pylist()]
+        pieces = [x for parts in lists for x in parts[::2]]
+        after = [i for parts in lists for i in [*(self.added[x] for x in parts[1::2]), end]]
+        sizes = np.array([(len(parts) + 1) // 2 for parts in lists], np.int64)
+        return pa.array(pieces, pa.string()), np.array(after, np.int32), np.concatenate([[0], np.cumsum(sizes)])
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with `end` after it, and where each one's ids begin (one entry more than texts). Nulls are empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.by_unit:
+            lists = [[*self.tokenizer.encode(t, add_special_tokens=False).ids, end] for t in texts.to_pylist()]
+            return np.array([i for ids in lists for i in ids], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+        after, of_text = np.full(len(texts), end, np.int32), None
+        if self.added and pc.any(pc.match_substring_regex(texts, self.at_added.pattern)).as_py():
+            texts, after, of_text = self._segments(texts, end)
+        if len(self.length) > _KEPT:
+            self.forget()
+        units, bounds = units_of(texts)
+        entry = self._entries(units)
+        begin = np.cumsum(self.length) - self.length
+        size = self.length[entry]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat((begin[entry] - ends[:-1]).astype(np.int32), size) + np.arange(ends[-1], dtype=np.int32)]
+        stops = ends[bounds] + np.arange(len(bounds))  # the ids that follow move later texts on
+        ids = np.empty(int(stops[-1]), np.int32)
+        last = np.zeros(len(ids), bool)
+        last[stops[1:] - 1] = True
+        ids[last], ids[~last] = after, flat
+        return ids, stops if of_text is None else stops[of_text]
 
 
 _LOADED: dict[str, CachedTokenizer] = {}
@@ -127,7 +195,7 @@ def tokenise(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
         kind = np.uint16 if tokenizer.size <= 1 << 16 else np.uint32
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, "text", 8 << 20):
-            ids, bounds = tokenizer.encode(column(batch, "text").to_pylist(), end)
+            ids, bounds = tokenizer.encode(column(batch, "text"), end)
             ids = ids.astype(kind)
             packed = [pack(ids[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "tie"), pa.array(packed, pa.binary())], names=["doc_id", "tie", "ids"])
@@ -161,10 +229,11 @@ def ranks(tokenised: DataFrame, vocabulary: int, kind) -> np.ndarray:
 
 
 _FILE = "part int, block int, n_docs long, n_tokens long, doc_ids binary, has_id binary, lengths binary, control binary, data binary"
+_RANKS = "ids binary"
 
 
-def write_files(docs: DataFrame, target: str | None = None, path: str | None = None, end: int = 0) -> tuple[str, np.ndarray]:
-    """Write docs' ids below `target` (a folder of the shared storage; scratch if not given): its path, and the ids by rank."""
+def write_files(docs: DataFrame, target: str | None = None, path: str | None = None, end: int = 0) -> str:
+    """Write docs' ids below `target` (a folder of the shared storage; scratch if not given), as blocks and the ids by rank; its path."""
     path = path or default_tokenizer()
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -202,15 +271,16 @@ def write_files(docs: DataFrame, target: str | None = None, path: str | None = N
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokenised.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     blocks = ordered.select("doc_id", F.spark_partition_id().alias("part"), "ids").mapInArrow(tidy(run), _FILE)
-    if target is None:
-        return write_scratch(blocks, "token-files"), by_rank
-    blocks.write.parquet(target)
-    return target, by_rank
+    target = target or f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
+    blocks.write.parquet(f"{target}/blocks")
+    spark.createDataFrame([(bytearray(by_rank.tobytes()),)], _RANKS).coalesce(1).write.parquet(f"{target}/ranks")
+    return target
 
 
-def read_files(spark: SparkSession, target: str, by_rank: np.ndarray, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document, decoded from the files."""
-    blocks = read_back(spark, target, _FILE)
+def read_files(spark: SparkSession, target: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document, decoded from the files below `target` alone."""
+    blocks = read_back(spark, f"{target}/blocks", _FILE)
+    by_rank = np.frombuffer(read_back(spark, f"{target}/ranks", _RANKS).first()["ids"], np.uint32)  # one entry per id of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,4 +308,4 @@ def read_files(spark: SparkSession, target: str, by_rank: np.ndarray, with_ids:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_files(spark, *write_files(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return read_files(spark, write_files(spark.read.parquet(f"{sf_dir}/documents.parquet")))

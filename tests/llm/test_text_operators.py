@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,27 +175,73 @@ def test_secrets(docs, none):
     assert by_id(got, "base") == sorted(want, key=repr)
     spans = {r["doc_id"]: r["all"] for r in got.collect()}
     assert "entropy_hex:9:49" in spans[10] and "entropy_mixed" in spans[11] and spans[5] == ""
+    assert {*docs.columns, "secret_spans"} == set(secret_scan.redact(docs.withColumn("secret_spans", F.lit(7))).columns)
     redacted = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
     assert redacted[5] is None and redacted[10].startswith("[secret]") and "04dbebab" not in redacted[10] and redacted[1] == _LONG
     assert secret_scan.scan(none).count() == 0
 
 
-def test_entropy_windows(spark):
+def high_spans(text):
+    """All entropy spans by definition."""
     from math import log2
 
-    rng = random.Random(1)
-    texts = ["".join(rng.choice("0123456789abcdef") for _ in range(50)) + "aaaaaaaaaaaaaaaaaaaaaaaaaaaa" for _ in range(5)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for r in df.select("doc_id", secret_scan.entropy_spans(F.col("text")).alias("s")).collect():
-        t, high = texts[r["doc_id"]], []
-        for i in range(len(t) - 19):
-            c = Counter(t[i : i + 20])
-            if -sum(n / 20 * log2(n / 20) for n in c.values()) >= secret_scan.BITS["entropy_hex"]:
-                if high and high[-1][1] >= i:
-                    high[-1][1] = i + 20
+    whole = [re.compile(p) for p in secret_scan.ALLOWED_WHOLE]
+    part = re.compile("|".join(secret_scan.ALLOWED_PART))
+    found = []
+    for c in re.finditer(secret_scan.CANDIDATE, text):
+        if re.fullmatch("[0-9]+", c[0]) or any(p.search(c[0]) for p in whole):
+            continue
+        runs = {}
+        for i in range(len(c[0]) - 19):
+            w = c[0][i : i + 20]
+            if any(m.start() < i + 20 and m.end() > i for m in part.finditer(c[0])):
+                continue
+            has = lambda p: re.search(p, w) is not None  # noqa: B023, E731
+            if has("[+/_=-]"):
+                kind = "entropy_base64"
+            elif has("[A-Z]") and has("[a-z]"):
+                kind = "entropy_mixed"
+            elif not has("[0-9]"):
+                kind = "entropy_letters"
+            elif not has("[A-Za-z]"):
+                continue
+            else:
+                kind = "entropy_alnum" if has("[G-Zg-z]") else "entropy_hex"
+            if -sum(n / 20 * log2(n / 20) for n in Counter(w).values()) + 1e-6 >= secret_scan.BITS[kind]:
+                spans = runs.setdefault(kind, [])
+                if spans and spans[-1][1] >= i:
+                    spans[-1][1] = i + 20
                 else:
-                    high.append([i, i + 20])
-        assert [[s["start"], s["stop"]] for s in r["s"]] == high
+                    spans.append([i, i + 20])
+        found += [(c.start() + a, secret_scan.KINDS.index(k), c.start() + z) for k, spans in runs.items() for a, z in spans]
+    return sorted(found)
+
+
+def test_entropy_windows(spark):
+    rng = random.Random(1)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    sets = ["0123456789abcdef", "0123456789ABCDEF", up + "234567", low + digits, low + up + digits, low + up, low, digits, low + up + digits + "+/_=-", "aab"]
+    texts = [draw(s, rng.randint(15, 45)) for s in sets for _ in range(6)]
+    texts += ["/".join([draw(sets[2], 30), "example", draw(sets[4], 24)]), "x0123456789" + draw(sets[3], 40), "the-quick-brown-fox-jumps-over", "getElementsByClassNameAndValue", "é\U0001f600 " + draw(sets[4], 700) + " " + draw(sets[0], 600)]
+    texts += ["".join(draw(rng.choice(sets), rng.randint(1, 30)) for _ in range(40)) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["s"]] for r in df.select("doc_id", F.array_sort(secret_scan.entropy_spans(F.col("text"))).alias("s")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == high_spans(text), text
+    kinds = {k for spans in got.values() for _, k, _ in spans}
+    assert len(kinds) == len(secret_scan.BITS)
+
+
+def test_secrets_in_long_texts(spark):
+    """A megabyte of dashed words, a hundred thousand matches, and a key at the end of each."""
+    key = "ZmFrZVNlY3JldEtleTEyMzQ1Njc4OTA"
+    texts = ["ab-" * 400_000 + "ab", "token=abcdef " * 100_000 + key, "0123456789abcdef" * 60_000, "é" * 1_000_000 + " " + key, "A1b" * 300_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(len(texts))
+    got = {r["doc_id"]: r for r in df.select("doc_id", secret_scan.secret_spans(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n"), F.get("s", F.size("s") - 1).alias("last")).collect()}
+    assert got[0]["n"] == 0 and got[1]["n"] == 100_001 and got[2]["n"] == 1 and got[3]["n"] == 1 and got[3]["last"]["start"] == 1_000_001
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert out[0] == texts[0] and out[1] == "[secret] " * 100_000 + "[secret]" and out[3] == "é" * 1_000_000 + " [secret]"
 
 
 def test_quality(spark, docs, none):
@@ -258,26 +306,34 @@ def test_sentencepiece_draws(docs):
     assert len({tuple(one[a:b]) for a, b in zip(begins, [*begins[1:], None])}) > 4
 
 
-def test_token_files(spark, docs, none):
-    import zlib
-
+def test_token_files(spark, docs, none, tmp_path):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_files.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     cached = token_files.CachedTokenizer(token_files.default_tokenizer())
-    for _ in range(500):
-        t = "".join(random.choice(" \n\t a'sé1½,.\x1c　Ω") for _ in range(random.randint(0, 14)))
-        assert cached.encode([t], 0)[0].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
-    found = token_files.read_files(spark, *token_files.write_files(docs)).orderBy("start").collect()
+    plain = lambda t: [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+    parts = [*" \n\t a'sé1½,.\x1c\u3000Ω\xa0\x85", "<|endoftext|>", "  ", "\n\n", " the", "don't", "日本", "\U0001f600", "<|", "|>"]
+    for _ in range(300):
+        texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(random.randint(1, 5))]
+        ids, bounds = cached.encode(pa.array([None, *texts]), 0)
+        assert [x.tolist() for x in np.split(ids, bounds[1:-1])] == [[0], *map(plain, texts)]
+    assert plain("a <|endoftext|> b")[2] == 50256
+    long = "<|endoftext|> long   text\n" * 40_000 + "x" * 20_000
+    assert cached.encode(pa.array([long]), 0)[0].tolist() == plain(long)
+    found = token_files.read_files(spark, token_files.write_files(docs)).orderBy("start").collect()
     at = 0
     for r in found:
         assert r["start"] == at
         at += r["n_tokens"]
-    want = sorted((zlib.crc32(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, t in TEXTS))
-    assert sorted(r["ids_crc32"] for r in found) == want
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert sorted(r["ids_crc32"] for r in found) == sorted(crc(plain(t or "")) for _, t in TEXTS)
     assert [r["doc_id"] for r in found if r["doc_id"] is not None] == sorted(d for d, _ in TEXTS if d is not None)
-    assert token_files.read_files(spark, *token_files.write_files(none)).count() == 0
+    assert token_files.read_files(spark, token_files.write_files(none)).count() == 0
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    target = token_files.write_files(docs, f"{tmp_path}/other", public_tokenizers.path("word_bpe_49k.json"), 49407)
+    want = sorted(crc([*other.encode(t or "", add_special_tokens=False).ids, 49407]) for _, t in TEXTS)
+    assert sorted(r["ids_crc32"] for r in token_files.read_files(spark, target, with_ids=True).collect()) == want
 
 
 def test_packed_integers():
