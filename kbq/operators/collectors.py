@@ -10,12 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbq.functions import text as T
 from kbq.operators import graph, parse
+from kbq.session import written
 
 # The word lists, patterns and pairs that findings are defined by.
 STOPWORDS = "the a an is are was were be been being have has had do does did will would could should may might must shall can need dare to of in for on with at by from as into through during before after above below up down out off over under again further then once here there when where why how all each few more most other some such no nor not only own same so than too very just also and or but if while about this that these those it its they them their we us our you your he she his her".split()
@@ -43,22 +43,24 @@ VERIFICATION = "verif|test|check|confirm|validate|troubleshoot|error|debug|commo
 
 @dataclass
 class KnowledgeBase:
-    """Parsed artifacts and the edges among them."""
+    """Parsed artifacts, their links with what they lead to, and the edges among them."""
 
     artifacts: DataFrame
+    resolved: DataFrame
     edges: DataFrame
 
     @classmethod
     def of(cls, docs: DataFrame, navigation: DataFrame | None = None) -> "KnowledgeBase":
         """docs(uri, text); navigation: further edges (source_uri, target_uri, relation_type).
 
-        Every check reads the parsed artifacts, so they are kept (in memory, on disk where they do not fit) and parsed once.
+        Documents are parsed and links resolved once; both are written, and every check starts from a scan of the columns it needs.
         """
-        parsed = parse.artifacts(docs).persist(StorageLevel.MEMORY_AND_DISK)
-        edges = graph.cross_references(graph.resolve(parse.links(parsed), parsed))
+        parsed = written(parse.artifacts(docs), "artifacts")
+        resolved = written(graph.resolve(parse.links(parsed), parsed), "resolved")
+        edges = graph.cross_references(resolved)
         if navigation is not None:
             edges = edges.unionByName(navigation)
-        return cls(parsed, graph.prune(edges, parsed))
+        return cls(parsed, resolved, written(graph.prune(edges, parsed), "edges"))
 
 
 #: id -> (dimension, scope, function); scope cross_artifact means findings depend on other documents.
@@ -122,12 +124,19 @@ def _quoted(term: str) -> str:
     return "".join(f"\\{c}" if not c.isalnum() and c != " " else c for c in term)
 
 
+def _any_term() -> str:
+    """One pattern for all terms in any case, longer ones first."""
+    return r"(?i)\b(?:" + "|".join(_quoted(t) for t in sorted({t.lower() for t in TERMS}, key=lambda t: (-len(t), t))) + r")\b"
+
+
 @collector("terminology_consistency", "consistency", "cross_artifact")
 def terminology_variants(kb: KnowledgeBase) -> DataFrame:
-    """Documents that use another spelling of a term than most documents do."""
+    """Documents that use another spelling of a term than most documents do. A text is read once for all terms; which spellings a place uses is told from its few distinct forms."""
     group = lambda t: "".join(c for c in t.lower() if c not in " -_/")
-    rows = [F.struct(F.lit(group(t)).alias("term_group"), F.lit(t).alias("variant"), F.lit(i).alias("place"), (F.contains(F.col("low"), F.lit(t.lower())) & F.col("all_text").rlike(("(?i)" if t.islower() else "") + rf"\b{_quoted(t)}\b")).alias("used")) for i, t in enumerate(TERMS)]
-    used = kb.artifacts.withColumn("low", F.lower("all_text")).select("uri", F.explode(F.filter(F.array(*rows), lambda r: r["used"])).alias("r")).select("uri", "r.term_group", "r.variant", "r.place")
+    uses = lambda t: F.exists("forms", lambda m: m.rlike(("(?i)" if t.islower() else "") + rf"\b{_quoted(t)}\b"))
+    rows = [F.when(uses(t), F.struct(F.lit(group(t)).alias("term_group"), F.lit(t).alias("variant"), F.lit(i).alias("place"))) for i, t in enumerate(TERMS)]
+    forms = kb.artifacts.select("uri", F.array_distinct(F.regexp_extract_all("all_text", F.lit(_any_term()), F.lit(0))).alias("forms")).where(F.size("forms") > 0)
+    used = forms.select("uri", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("uri", "r.*")
     counts = used.groupBy("term_group", "variant", "place").agg(F.count("*").alias("n"), F.min("uri").alias("first_uri"))
     order = Window.partitionBy("term_group").orderBy(F.desc("n"), "first_uri", "place")
     ranked = counts.withColumn("r", F.row_number().over(order)).withColumn("variants", F.count("*").over(Window.partitionBy("term_group")))
@@ -174,23 +183,18 @@ def _contexts(text: Column, pattern: str, reach: int) -> Column:
     return F.aggregate(rows, start, step, lambda done: done["found"])
 
 
-def deprecation_conflicts(kb: KnowledgeBase, salts: int = 16) -> DataFrame:
+def deprecation_conflicts(kb: KnowledgeBase) -> DataFrame:
     """Documents that call something deprecated in words of which another document's recommendation shares two.
 
-    Contexts meet through an inverted index on their words, never pairwise; contexts with the same words are one entry,
-    and a word's entries are dealt to `salts` tasks.
+    A context stands under each pair of its words. Of a pair's recommendations only the first and last document matter:
+    one is enough, two tell whether it is another than the claim's own. So the work is that of one join on pairs with
+    one row a pair on the right, however frequent a word is.
     """
-    useful = lambda words: F.filter(words, lambda w: ~w.isin(SMALL_WORDS))
-    side = lambda pattern, reach: kb.artifacts.where(F.col("all_text").rlike(pattern)).select("uri", F.explode(_contexts(F.col("all_text"), pattern, reach)).alias("w")).select("uri", F.array_sort(useful(F.col("w"))).alias("w"))
-    claims, advice = side(DEPRECATION, 50), side(RECOMMENDATION, 30)
-    # which documents give advice in these words: one is enough, two tell whether it is another than the claim's own
-    kinds = advice.groupBy("w").agg(F.min("uri").alias("first"), F.max("uri").alias("last"))
-    forms = claims.select("w").distinct().withColumn("claim", F.sha2(F.array_join("w", " "), 256))
-    left = forms.select("claim", F.explode("w").alias("word")).withColumn("salt", F.pmod(F.xxhash64("claim"), F.lit(salts)))
-    right = kinds.withColumn("advice", F.sha2(F.array_join("w", " "), 256)).select("advice", "first", "last", F.explode("w").alias("word")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    shared = left.join(right, ["word", "salt"]).groupBy("claim", "advice").agg(F.count("*").alias("n"), F.max("first").alias("first"), F.max("last").alias("last")).where("n >= 2")
-    reach = shared.groupBy("claim").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    hit = claims.withColumn("claim", F.sha2(F.array_join("w", " "), 256)).join(reach, "claim").where("first <> uri or last <> uri")
+    useful = lambda words: F.array_sort(F.filter(words, lambda w: ~w.isin(SMALL_WORDS)))
+    pairs = lambda w: F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda b: F.concat_ws(" ", a, b))))
+    side = lambda pattern, reach: kb.artifacts.where(F.col("all_text").rlike(pattern)).select("uri", F.explode(_contexts(F.col("all_text"), pattern, reach)).alias("w")).select("uri", F.explode(pairs(useful(F.col("w")))).alias("pair")).distinct()
+    advice = side(RECOMMENDATION, 30).groupBy("pair").agg(F.min("uri").alias("first"), F.max("uri").alias("last"))
+    hit = side(DEPRECATION, 50).join(advice, "pair").where("first <> uri or last <> uri")
     return _found(hit.select("uri").distinct(), "contradiction_detection", "deprecation_vs_recommendation")
 
 
@@ -260,13 +264,13 @@ def link_integrity(kb: KnowledgeBase) -> DataFrame:
 
 def broken_links(kb: KnowledgeBase) -> DataFrame:
     """One row a document with links that lead nowhere."""
-    broken = graph.resolve(parse.links(kb.artifacts), kb.artifacts).where("resolved is null")
+    broken = kb.resolved.where("resolved is null")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]), " ")
     return _found(broken.groupBy("uri").agg(listed.alias("targets"), F.count("*").alias("n")), "link_integrity", "broken_link", targets=F.col("targets"), broken_link_count=F.col("n"))
 
 
 def orphan_documents(kb: KnowledgeBase) -> DataFrame:
-    found = graph.orphans(kb.artifacts, graph.resolve(parse.links(kb.artifacts), kb.artifacts), kb.edges)
+    found = graph.orphans(kb.artifacts, kb.resolved, kb.edges)
     return _found(found, "link_integrity", "orphan")
 
 

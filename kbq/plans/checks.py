@@ -29,9 +29,8 @@ def query(oracle: str | None = None):
     return add
 
 
-@lru_cache(maxsize=4)
 def parsed(spark, sf_dir):
-    return parse.artifacts(kb_docs(spark, sf_dir)).persist()
+    return kb(spark, sf_dir).artifacts
 
 
 @lru_cache(maxsize=4)
@@ -114,8 +113,7 @@ def page_domains(spark, sf_dir):
 
 @query("SELECT uri, pos::BIGINT AS pos, target, line::BIGINT AS line, resolved FROM res")
 def resolved_links(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    return _big(graph.resolve(parse.links(p), p).select("uri", "pos", "target", "line", "resolved"), "pos", "line")
+    return _big(kb(spark, sf_dir).resolved.select("uri", "pos", "target", "line", "resolved"), "pos", "line")
 
 
 @query("SELECT source_uri, target_uri, relation_type FROM edge")

@@ -19,7 +19,7 @@ SELECT doc_id, lang, source, 'kb/s' || cast(doc_id % 20 as string) || '/doc_' ||
   || (CASE WHEN doc_id % 4 = 0 THEN 'Use FastAPI with Docker.' WHEN doc_id % 4 = 1 THEN 'Use Fast API with Docker.' ELSE 'Use plain services.' END) || chr(10) || chr(10)
   || (CASE WHEN doc_id % 11 = 0 THEN 'This requires Python 3.' || cast(9 + doc_id % 3 as string) || '.' || chr(10) || chr(10) ELSE '' END)
   || (CASE WHEN doc_id % 13 = 0 THEN 'Response caching is ' || (CASE WHEN doc_id % 2 = 0 THEN 'enabled' ELSE 'disabled' END) || ' by default.' || chr(10) || chr(10) ELSE '' END)
-  || (CASE WHEN doc_id % 17 = 0 THEN 'The legacy token endpoint is deprecated.' || chr(10) || chr(10) WHEN doc_id % 17 = 1 THEN 'We recommend the legacy token endpoint.' || chr(10) || chr(10) ELSE '' END)
+  || (CASE WHEN doc_id % 17 = 0 THEN 'The legacy token endpoint is deprecated.' || chr(10) || chr(10) WHEN doc_id % 17 = 1 THEN 'Best practice: the legacy token endpoint.' || chr(10) || chr(10) ELSE '' END)
   || (CASE WHEN doc_id % 8 = 0 THEN 'Tutorial: how to start.' || chr(10) || '1. Install' || chr(10) || '2. Verify' || chr(10) || chr(10) ELSE '' END)
   || (CASE WHEN doc_id % 6 = 0 THEN '```sql' || chr(10) || 'select 1' || chr(10) || '```' || chr(10) || chr(10) ELSE '' END)
   || '[next](doc_' || cast(doc_id + 20 as string) || '.md) [side](../s' || cast((doc_id + 1) % 20 as string) || '/doc_' || cast(doc_id + 1 as string) || '.md#top)'

@@ -15,7 +15,7 @@ from kbq.plans import oracle
 from kbq.plans.checks import _big, kb
 from kbq.plans.fixture import kb_docs
 from kbq.plans.oracle import sql
-from kbq.session import prepare, table
+from kbq.session import prepare, table, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,12 +56,11 @@ def query(oracle_sql: str | None = None):
 @lru_cache(maxsize=4)
 def interpreted(spark, sf_dir):
     docs = kb_docs(spark, sf_dir).select("uri", "lang")
-    return S.interpret(C.signals(kb(spark, sf_dir)), S.policy(spark)).join(docs, "uri").persist()
+    return written(S.interpret(C.signals(kb(spark, sf_dir)), S.policy(spark)).join(docs, "uri"), "signals")
 
 
-@lru_cache(maxsize=4)
 def by_document(spark, sf_dir):
-    return S.collector_scores(interpreted(spark, sf_dir), kb_docs(spark, sf_dir).select("uri")).persist()
+    return S.collector_scores(interpreted(spark, sf_dir), kb_docs(spark, sf_dir).select("uri"))
 
 
 @query("SELECT signal_id, uri, collector_id, signal_type, severity, penalty::BIGINT AS penalty, recommendation, occurrence::BIGINT AS occurrence FROM interp")

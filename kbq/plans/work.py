@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from kbq.operators import collectors as C
-from kbq.operators import graph, parse
 from kbq.operators import problems as P
 from kbq.operators import scoring as S
 from kbq.operators import vector as V
@@ -17,7 +15,7 @@ from kbq.plans.checks import kb
 from kbq.plans.fixture import kb_docs
 from kbq.plans.oracle import _list, sql
 from kbq.plans.scores import by_document, day_runs, interpreted
-from kbq.session import prepare, table
+from kbq.session import prepare, shared_folder, table
 from kbq.streaming import runs as R
 
 QUERIES: dict = {}
@@ -119,7 +117,7 @@ def fixed_canonical(spark, sf_dir):
 @query("SELECT kb.uri, sha256(CASE WHEN g.uri IS NULL THEN text ELSE g.fixed END) AS fixed FROM kb LEFT JOIN (SELECT uri, replace(replace(replace(max(t), max(a), max(x)), max(b), max(y)), max(c), max(z)) AS fixed FROM (SELECT k.uri, k.text AS t, CASE i WHEN 1 THEN src ELSE '' END AS a, CASE i WHEN 1 THEN dst ELSE '' END AS x, CASE i WHEN 2 THEN src ELSE '' END AS b, CASE i WHEN 2 THEN dst ELSE '' END AS y, CASE i WHEN 3 THEN src ELSE '' END AS c, CASE i WHEN 3 THEN dst ELSE '' END AS z FROM kb k JOIN (SELECT uri, '[' || text || '](' || target || ')' AS src, text AS dst, row_number() OVER (PARTITION BY uri ORDER BY pos) AS i FROM res WHERE resolved IS NULL) q ON k.uri = q.uri) GROUP BY uri) g ON kb.uri = g.uri")
 def fixed_links(spark, sf_dir):
     k = kb(spark, sf_dir)
-    broken = graph.resolve(parse.links(k.artifacts), k.artifacts).where("resolved is null").select("uri", "text", "target")
+    broken = k.resolved.where("resolved is null").select("uri", "text", "target")
     return P.unlink(kb_docs(spark, sf_dir).select("uri", "text"), broken).select("uri", F.sha2("text", 256).alias("fixed"))
 
 
@@ -163,8 +161,7 @@ def daily_means(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="kbq-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_type, count(*) AS events, round(sum(value), 4) AS total FROM events WHERE value >= 10 GROUP BY event_type")
