@@ -12,7 +12,24 @@ SEVERITY_WEIGHTS = {"CRITICAL": 1.0, "HIGH": 0.7, "MEDIUM": 0.4, "LOW": 0.1}
 PARTS = {"encoding": 0.40, "outcome": 0.25, "retrieval": 0.35}
 HALF_LIVES = (21.0, 180.0)
 BUDGET = 0.20
-DANGLING_FIXES = [("as mentioned above", "as described in this document"), ("as mentioned below", "as described in this document"), ("see above", "see the relevant section"), ("see below", "see the relevant section"), ("the previous example", "the example"), ("previous section", "relevant section")]
+DEFAULT_WEIGHT = 0.1
+DANGLING_FIXES = [
+    (r"see above", "see the referenced documentation"),
+    (r"see below", "see the following documentation"),
+    (r"see (?:the )?previous section", "see the referenced documentation"),
+    (r"see (?:the )?next section", "see the following documentation"),
+    (r"as (?:you will|you'll) see below", "as shown in the following example"),
+    (r"as (?:you will|you'll) see above", "as shown in the previous example"),
+    (r"as (?:mentioned|described|explained) above", "as described in the documentation"),
+    (r"as (?:mentioned|described|explained) below", "as described in the documentation"),
+    (r"as (?:you )?(?:read|saw) above", "as described earlier"),
+    (r"as (?:you )?(?:read|saw) below", "as described in the following"),
+    (r"as explained above", "as described in the documentation"),
+    (r"as you saw in (?!\[)", "as described in "),
+    (r"the (?:above|previous) (?:sections?|examples?|code)", "the referenced section"),
+    (r"the (?:below|following|next) (?:sections?|examples?|code)", "the relevant section"),
+    (r"as described in (?!\[)", "as described in the documentation. "),
+]
 
 
 def clusters(signals: DataFrame) -> DataFrame:
@@ -41,14 +58,16 @@ def staleness(age_days: Column) -> Column:
     return F.greatest(F.pow(F.lit(0.5), age_days / F.lit(short)) + F.lit(0.1) * F.pow(F.lit(0.5), age_days / F.lit(long)), F.lit(0.01))
 
 
-def salience(problems: DataFrame, signals: DataFrame, dimensions: DataFrame, strategies: DataFrame | None = None) -> DataFrame:
+def salience(problems: DataFrame, signals: DataFrame, dimensions: DataFrame, strategies: DataFrame | None = None, ages: DataFrame | None = None) -> DataFrame:
     """(collector_id, signal_type, uri, n, salience) of clusters.
 
-    encoding: mean weight of the findings' severities; outcome: 1 - the best known success rate for the kind (0.5 if
-    unknown); retrieval: what the document's dimension lacks to 100. signals: uri, collector_id, signal_type, severity;
-    dimensions: uri, collector_id, score; strategies: issue_type, rate.
+    encoding: mean weight of the findings' severities (DEFAULT_WEIGHT for unlisted ones); outcome: 1 - the best known
+    success rate for the kind (0.5 if unknown); retrieval: what the document's dimension lacks to 100. signals: uri,
+    collector_id, signal_type, severity; dimensions: uri, collector_id, score; strategies: issue_type, rate; ages: uri,
+    age_days since a finding of the document was last seen, of which the newest counts (fresh if there is none).
     """
-    weight = F.element_at(F.create_map(*[F.lit(x) for p in SEVERITY_WEIGHTS.items() for x in p]), F.col("severity"))
+    weights = F.create_map(*[F.lit(x) for p in SEVERITY_WEIGHTS.items() for x in p])
+    weight = F.coalesce(F.element_at(weights, F.col("severity")), F.lit(DEFAULT_WEIGHT))
     keys = ["collector_id", "signal_type", "uri"]
     encoded = signals.groupBy(*keys).agg(F.avg(weight).alias("encoding"))
     joined = problems.join(encoded, keys).join(dimensions.select("uri", "collector_id", (1 - F.col("score") / 100).alias("retrieval")), ["uri", "collector_id"], "left")
@@ -57,8 +76,32 @@ def salience(problems: DataFrame, signals: DataFrame, dimensions: DataFrame, str
     else:
         best = strategies.groupBy(F.col("issue_type").alias("signal_type")).agg((1 - F.max("rate")).alias("outcome"))
         joined = joined.join(F.broadcast(best), "signal_type", "left").withColumn("outcome", F.coalesce("outcome", F.lit(0.5)))
+    if ages is None:
+        joined = joined.withColumn("fresh", F.lit(1.0))
+    else:
+        newest = ages.groupBy("uri").agg(F.min("age_days").alias("age_days"))
+        joined = joined.join(newest, "uri", "left").withColumn("fresh", F.coalesce(staleness(F.col("age_days")), F.lit(1.0)))
     total = F.lit(PARTS["encoding"]) * F.col("encoding") + F.lit(PARTS["outcome"]) * F.col("outcome") + F.lit(PARTS["retrieval"]) * F.coalesce("retrieval", F.lit(0.5))
-    return joined.select(*keys, "n", F.round(total * size_penalty(F.col("n")), 6).alias("salience"))
+    return joined.select(*keys, "n", F.round(total * size_penalty(F.col("n")) * F.col("fresh"), 6).alias("salience"))
+
+
+def ranked_queue(ranked: DataFrame, threshold: float) -> DataFrame:
+    """ranked with `kept` (at or above the threshold) beside the rest: the queue and its skip list."""
+    return ranked.withColumn("kept", F.col("salience") >= threshold)
+
+
+def upsert_queue(current: DataFrame, discovered: DataFrame, wont_fix: DataFrame | None = None) -> DataFrame:
+    """The queue (problem_id, category, uris, salience, status) after a discovery (problem_id, category, uris, salience): open entries take the new salience, closed ones never reopen, new ones are open unless their signature is in wont_fix(signature)."""
+    fresh = discovered if wont_fix is None else discovered.withColumn("signature", signature(F.col("category"), F.col("uris"))).join(wont_fix, "signature", "left_anti").drop("signature")
+    new = fresh.select("problem_id", F.col("category").alias("new_category"), F.col("uris").alias("new_uris"), F.col("salience").alias("new_salience"))
+    both = current.join(new, "problem_id", "full_outer")
+    taken = F.col("new_salience").isNotNull() & F.coalesce(F.col("status") == "open", F.lit(True))
+    return both.select("problem_id", F.coalesce("category", "new_category").alias("category"), F.coalesce("uris", "new_uris").alias("uris"), F.when(taken, F.col("new_salience")).otherwise(F.col("salience")).alias("salience"), F.coalesce("status", F.lit("open")).alias("status"))
+
+
+def signature(category: Column, uris: Column) -> Column:
+    """What a problem that is not to be fixed is known by: its category and sorted documents."""
+    return F.concat_ws("|", category, F.array_join(F.array_sort(uris), "|"))
 
 
 def queue(ranked: DataFrame, threshold: float, suppressed: DataFrame | None = None) -> DataFrame:
@@ -68,21 +111,36 @@ def queue(ranked: DataFrame, threshold: float, suppressed: DataFrame | None = No
 
 
 def root_causes(problems: DataFrame) -> DataFrame:
-    """problems (problem_id, uri, signal_type, category) with pattern and cluster.
+    """problems (problem_id, uri, signal_type, category, evidence array<string>) with pattern and cluster.
 
-    Each problem joins the first that applies: its folder (two problems or more), its kind (two documents or more), its
-    category (two or more left), else it stands alone.
+    Each problem joins the first that applies: its folder (two problems or more), its kind (two documents or more), the
+    first of its evidence strings that two problems share, its category (two or more left), else it stands alone.
     """
-    at_folder = Window.partitionBy("folder")
-    base = problems.withColumn("folder", T.directory(F.col("uri"))).withColumn("in_folder", F.count("*").over(at_folder))
-    first = base.withColumn("pattern", F.when((F.col("folder") != "") & (F.col("in_folder") >= 2), "directory"))
-    rest = first.where("pattern is null")
-    kinds = rest.groupBy("signal_type").agg(F.countDistinct("uri").alias("d")).where("d >= 2").select("signal_type", F.lit(True).alias("by_kind"))
-    second = first.join(F.broadcast(kinds), "signal_type", "left").withColumn("pattern", F.coalesce("pattern", F.when(F.col("by_kind"), "systemic_type")))
-    left = second.where("pattern is null").groupBy("category").count().where("count >= 2").select("category", F.lit(True).alias("by_category"))
-    third = second.join(F.broadcast(left), "category", "left").withColumn("pattern", F.coalesce("pattern", F.when(F.col("by_category"), "category"), F.lit("singleton")))
-    key = F.when(F.col("pattern") == "directory", F.col("folder")).when(F.col("pattern") == "systemic_type", F.col("signal_type")).when(F.col("pattern") == "category", F.col("category")).otherwise(F.col("problem_id"))
-    return third.select("problem_id", "uri", "pattern", key.alias("cluster"))
+    flag = lambda df, key, name: df.select(key, F.lit(True).alias(name))
+    base = problems.withColumn("folder", T.directory(F.col("uri")))
+    folders = base.where("folder <> ''").groupBy("folder").count().where("count >= 2")
+    first = base.join(flag(folders, "folder", "by_folder"), "folder", "left").withColumn("pattern", F.when(F.col("by_folder"), "directory"))
+    kinds = first.where("pattern is null").groupBy("signal_type").agg(F.countDistinct("uri").alias("d")).where("d >= 2")
+    second = first.join(flag(kinds, "signal_type", "by_kind"), "signal_type", "left").withColumn("pattern", F.coalesce("pattern", F.when(F.col("by_kind"), "systemic_type")))
+    refs = second.where("pattern is null").select("problem_id", F.explode(F.array_distinct("evidence")).alias("ref"))
+    shared = refs.join(refs.groupBy("ref").count().where("count >= 2").select("ref"), "ref").groupBy("problem_id").agg(F.min("ref").alias("ref"))
+    third = second.join(shared, "problem_id", "left").withColumn("pattern", F.coalesce("pattern", F.when(F.col("ref").isNotNull(), "shared_evidence")))
+    left = third.where("pattern is null").groupBy("category").count().where("count >= 2")
+    last = third.join(flag(left, "category", "by_category"), "category", "left").withColumn("pattern", F.coalesce("pattern", F.when(F.col("by_category"), "category"), F.lit("singleton")))
+    key = F.when(F.col("pattern") == "directory", F.col("folder")).when(F.col("pattern") == "systemic_type", F.col("signal_type")).when(F.col("pattern") == "shared_evidence", F.col("ref")).when(F.col("pattern") == "category", F.col("category")).otherwise(F.col("problem_id"))
+    return last.select("problem_id", "uri", "pattern", key.alias("cluster"))
+
+
+def evidence_refs(text: Column) -> Column:
+    """array<string>: quoted strings of more than two characters in a finding's description."""
+    return F.regexp_extract_all(text, F.lit(r"""["']([^"']{3,})["']"""), F.lit(1))
+
+
+def synthesis(clustered: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(cluster, pattern, problems, documents, salience, strategy): one proposal a root-cause cluster, from root_causes' rows and salience (problem_id, salience); a cluster is as salient as its most salient problem."""
+    strategy = F.when(F.col("pattern") == "singleton", "fix_document").when(F.col("pattern") == "directory", "fix_folder").otherwise("fix_systemic")
+    per = clustered.join(ranked, "problem_id").groupBy("pattern", "cluster").agg(F.count("*").alias("problems"), F.countDistinct("uri").alias("documents"), F.max("salience").alias("salience"))
+    return per.withColumn("strategy", strategy)
 
 
 def cross_checks(signals: DataFrame, score: DataFrame) -> DataFrame:

@@ -87,11 +87,11 @@ def overall(dimensions: DataFrame, by: list[str]) -> DataFrame:
     return wide.withColumn("base", base).select(*by, *WEIGHTS, "base", capped.alias("adjusted"), reasons.alias("caps"))
 
 
-def verdict(score: Column, documents: Column, signals: Column, critical: Column, age_days: Column, prior: Column) -> Column:
+def verdict(score: Column, documents: Column, signals: Column, critical: Column, age_days: Column, prior: Column, drop: int = 10, critical_from: int = 3, healthy_from: int = 70, healthy_critical: int = 0) -> Column:
     """The first rule that holds; prior is the score of the run before, or null."""
     return (
-        F.when((documents < 10) | (signals < 5), "INSUFFICIENT_DATA").when(age_days > 90, "STALE").when((score < 30) | (critical >= 3), "CRITICAL")
-        .when(prior - score > 10, "DEGRADING").when((score >= 70) & (critical == 0), "HEALTHY").otherwise("MODERATE")
+        F.when((documents < 10) | (signals < 5), "INSUFFICIENT_DATA").when(age_days > 90, "STALE").when((score < 30) | (critical >= critical_from), "CRITICAL")
+        .when(prior - score > drop, "DEGRADING").when((score >= healthy_from) & (critical <= healthy_critical), "HEALTHY").otherwise("MODERATE")
     )
 
 
@@ -109,6 +109,13 @@ def gate(interpreted: DataFrame, score: DataFrame, fail_on: list[str], least: in
     return both.select(F.when(F.col("hit"), 2).when(F.col("adjusted") < least, 1).otherwise(0).alias("exit_code"))
 
 
+def gates(interpreted: DataFrame, scores: DataFrame, by: list[str], fail_on: list[str], least: int) -> DataFrame:
+    """(key..., exit_code): gate() for every key of scores (key..., adjusted)."""
+    hit = interpreted.groupBy(*by).agg(F.max(F.col("severity").isin(fail_on)).alias("hit"))
+    code = F.when(F.coalesce("hit", F.lit(False)), 2).when(F.col("adjusted") < least, 1).otherwise(0)
+    return scores.join(hit, by, "left").select(*by, code.alias("exit_code"))
+
+
 def contributors(interpreted: DataFrame) -> DataFrame:
     """What costs how much: groups by dimension, check, kind and cause with penalty and the gain of mending them."""
     spark = interpreted.sparkSession

@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STOPWORDS = "a an and are as at be by for from has have in is it its of on or that the this to was were will with".split()
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(uri, term, tf): words of two characters and more (a-z, 0-9) and their character trigrams."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(STOPWORDS))
+def _terms(text: Column) -> Column:
+    """array<string>: words of two characters and more (a-z, 0-9) and their character trigrams, repeats included."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(STOPWORDS))
     grams = lambda w: F.when(F.length(w) >= 3, F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.concat(F.lit("c3:"), F.substring(w, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-    return docs.select("uri", F.explode(F.concat(words, F.flatten(F.transform(words, grams)))).alias("term")).groupBy("uri", "term").agg(F.count("*").alias("tf"))
+    return F.element_at(F.transform(F.array(words), lambda ws: F.concat(ws, F.flatten(F.transform(ws, grams)))), 1)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(uri, term, tf)."""
+    return docs.select("uri", F.explode(_terms(F.col("text"))).alias("term")).groupBy("uri", "term").agg(F.count("*").alias("tf"))
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term), once for each document that has it: repeats are dropped within the row, so only terms are shuffled."""
+    return docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
 
 
 def idf(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -21,25 +35,60 @@ def idf(found: DataFrame, docs: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def buckets(term: Column, size: int, probes: int) -> Column:
+    """array<int>: places of a term, from the MD5 of its number and itself (first 32 bits)."""
+    place = lambda k: (F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}:"), term).cast("binary")), 1, 8), 16, 10).cast("long") % size).cast("int")
+    return F.array(*[place(k) for k in range(probes)])
+
+
 def embed(found: DataFrame, weights: DataFrame, size: int = 384, probes: int = 3) -> DataFrame:
     """(uri, dim, value): each term adds its weight to `probes` hashed places, with a sign by the place's parity; rows have length 1."""
-    bucket = lambda k: F.pmod(F.xxhash64("term", F.lit(k)), F.lit(size)).cast("int")
-    weighed = found.join(weights, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf")).select("uri", "w", F.explode(F.array(*[bucket(k) for k in range(probes)])).alias("dim"))
+    weighed = found.join(weights, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf")).select("uri", "w", F.explode(buckets(F.col("term"), size, probes)).alias("dim"))
     summed = weighed.groupBy("uri", "dim").agg(F.sum(F.when(F.col("dim") % 2 == 0, F.col("w")).otherwise(-F.col("w"))).alias("value"))
-    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("uri")))
-    return summed.withColumn("value", F.col("value") / norm)
+    norms = summed.groupBy("uri").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    return summed.join(norms, "uri").select("uri", "dim", (F.col("value") / F.col("norm")).alias("value"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest rows of each stated query by cosine; null embeddings are left out.
+_BLOCK = "ids array<long>, matrix binary"
 
-    Queries are a stated, counted set, sent to every executor; each task scores its rows against them and the window
-    keeps k a query.
+
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(ids, matrix): unit vectors of up to `size` rows as one matrix of 64-bit floats; rows stay in their partitions."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                vectors = np.stack([np.asarray(v, np.float64) for v in part.column(1).to_pylist()])
+                norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+                unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+                yield pa.RecordBatch.from_pydict({"ids": pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), "matrix": pa.array([unit.tobytes()], pa.binary())})
+
+    given = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull())
+    return rows.where(given & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(pack, _BLOCK)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest rows of each query by cosine, exactly. All vectors have one width; null or empty embeddings, those with a null entry and null ids are left out; a zero vector is at similarity 0 of all.
+
+    Queries are a stated set against all rows, in blocks: rows are packed into matrices where they lie, every block of
+    queries meets every block of rows in one matrix product, and k candidates a query leave each pair of blocks.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda df, name: df.where("embedding is not null").select(F.col("vec_id").alias(name), F.col("embedding").alias(f"{name}_e"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias(f"{name}_n"))
-    scored = unit(rows, "vec_id").crossJoin(F.broadcast(unit(queries, "query_id"))).where("vec_id <> query_id")
-    similarity = F.round(dot(F.col("vec_id_e"), F.col("query_id_e")) / (F.col("vec_id_n") * F.col("query_id_n")), 6)
-    ranked = scored.select("query_id", "vec_id", similarity.alias("similarity"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                q_ids, ids = np.array(r["q_ids"]), np.array(r["ids"])
+                width = len(r["matrix"]) // 8 // len(ids)
+                score = np.frombuffer(r["q_matrix"], np.float64).reshape(-1, width) @ np.frombuffer(r["matrix"], np.float64).reshape(-1, width).T
+                score[q_ids[:, None] == ids[None, :]] = -2  # a row is none of its own neighbours
+                order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 6)), axis=1)[:, :k]
+                found = np.take_along_axis(score, order, axis=1)
+                keep = found > -2
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], found.shape)[keep]), pa.array(ids[order][keep]), pa.array(found[keep])], names=["query_id", "vec_id", "similarity"])
+
+    asked = _blocks(queries, block).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    pairs = _blocks(rows, block).crossJoin(asked)
+    found = pairs.mapInArrow(best, "query_id long, vec_id long, similarity double").withColumn("similarity", F.round("similarity", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -126,11 +126,34 @@ def verdict(spark, sf_dir):
     return scored.select("lang", S.verdict(F.col("adjusted"), F.col("docs"), F.col("signals"), F.col("critical"), F.lit(0), F.lit(None).cast("int")).alias("verdict"))
 
 
-@query("SELECT CASE WHEN bool_or(severity = 'CRITICAL') THEN 2 WHEN false THEN 1 ELSE 0 END::INT AS exit_code FROM interp")
+_corpus = _overall("corpus").format(dims="(SELECT 'all' AS corpus, dimension, floor(avg(score))::INT AS score FROM (SELECT dimension, c.collector_id, greatest(0, 100 - coalesce(sum(penalty), 0))::INT AS score FROM chk c LEFT JOIN interp i USING (collector_id) GROUP BY ALL) GROUP BY dimension)")
+
+
+@query(f"SELECT CASE WHEN (SELECT bool_or(severity = 'CRITICAL') FROM interp) THEN 2 WHEN adjusted < 60 THEN 1 ELSE 0 END::INT AS exit_code FROM ({_corpus})")
 def exit_gate(spark, sf_dir):
     return S.gate(interpreted(spark, sf_dir), S.corpus(interpreted(spark, sf_dir)), ["CRITICAL"], 60)
 
 
+_doc_gate = "SELECT uri, CASE WHEN coalesce(hit, false) THEN 2 WHEN adjusted < 60 THEN 1 ELSE 0 END::INT AS exit_code FROM ucard LEFT JOIN (SELECT uri, bool_or(severity = 'CRITICAL') AS hit FROM interp GROUP BY uri) USING (uri)"
+
+
+@query(_doc_gate)
+def document_gates(spark, sf_dir):
+    """The gate for every document by itself: all three codes occur."""
+    return S.gates(interpreted(spark, sf_dir), document_scorecard(spark, sf_dir), ["uri"], ["CRITICAL"], 60)
+
+
+@query("""SELECT run::BIGINT AS run, score, CASE WHEN users < 10 OR events < 5 THEN 'INSUFFICIENT_DATA' WHEN date_diff('day', d, DATE '2024-04-15') > 90 THEN 'STALE' WHEN score < 30 OR critical >= 8 THEN 'CRITICAL' WHEN prior - score > 4 THEN 'DEGRADING' WHEN score >= 51 AND critical <= 2 THEN 'HEALTHY' ELSE 'MODERATE' END AS verdict
+  FROM (SELECT *, lag(score) OVER (ORDER BY run) AS prior FROM (SELECT run, d, count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (value >= 99) AS critical, round(100 * avg((value < 50)::INT))::INT AS score FROM day GROUP BY run, d))""")
+def run_verdicts(spark, sf_dir):
+    """A verdict for every day as a run, with the run before it and its age on a stated day; thresholds that let every verdict occur."""
+    rows = day_runs(spark, sf_dir).groupBy("run", "d").agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") >= 99).alias("critical"), F.round(100 * F.avg((F.col("value") < 50).cast("int"))).cast("int").alias("score"))
+    one = rows.withColumn("prior", F.lag("score").over(Window.orderBy("run")))  # one row a run
+    age = F.date_diff(F.lit("2024-04-15").cast("date"), "d")
+    found = S.verdict(F.col("score"), F.col("users"), F.col("events"), F.col("critical"), age, F.col("prior"), drop=4, critical_from=8, healthy_from=51, healthy_critical=2)
+    return _big(one.select("run", "score", found.alias("verdict")), "run")
+
+
 @query("""SELECT collector_id || '/' || signal_type AS rule_id, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' WHEN 'LOW' THEN 'note' ELSE 'none' END AS level, coalesce(recommendation, '') AS message, uri AS location, coalesce(line, 1) AS start_line, signal_id AS fingerprint FROM interp""")
 def sarif_rows(spark, sf_dir):
     return S.sarif(interpreted(spark, sf_dir))
@@ -235,7 +258,11 @@ def change_events(spark, sf_dir):
     return H.changes(snap.where("doc_id % 10 <> 0").drop("doc_id"), edited.where("doc_id % 10 <> 1").drop("doc_id"))
 
 
-@query("SELECT signal_id, max(run)::BIGINT AS run, arg_max(n, run) AS n FROM (SELECT run, user_id::VARCHAR || ':' || event_type AS signal_id, count(*) AS n FROM day WHERE run IN (1, 2) GROUP BY ALL) GROUP BY signal_id")
+@query("SELECT signal_id, max(run)::BIGINT AS run, arg_max(n, run) AS n FROM (SELECT run, user_id::VARCHAR || ':' || event_type AS signal_id, count(*) AS n FROM day GROUP BY ALL) GROUP BY signal_id")
 def upserted_signals(spark, sf_dir):
-    rows = day_runs(spark, sf_dir).groupBy("run", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("signal_id")).agg(F.count("*").alias("n"))
-    return _big(H.upsert(rows.where("run = 1"), rows.where("run = 2"), ["signal_id"]), "run").select("signal_id", "run", "n")
+    """The last day's rows put over the newest row of each signal of all days before."""
+    rows = written(day_runs(spark, sf_dir).groupBy("run", F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("signal_id")).agg(F.count("*").alias("n")), "run-signals")
+    last = rows.agg(F.max("run").alias("last"))
+    marked = rows.crossJoin(F.broadcast(last))  # one row
+    newest = marked.where("run < last").groupBy("signal_id").agg(F.max("run").alias("run"), F.max_by("n", "run").alias("n"))
+    return _big(H.upsert(newest, marked.where("run = last").select("signal_id", "run", "n"), ["signal_id"]), "run").select("signal_id", "run", "n")

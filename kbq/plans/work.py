@@ -10,7 +10,7 @@ from kbq.operators import collectors as C
 from kbq.operators import problems as P
 from kbq.operators import scoring as S
 from kbq.operators import vector as V
-from kbq.plans import scores  # noqa: F401  its SQL parts are used below
+from kbq.plans import oracle, scores  # noqa: F401  the SQL parts of scores are used below
 from kbq.plans.checks import kb
 from kbq.plans.fixture import kb_docs
 from kbq.plans.oracle import _list, sql
@@ -47,15 +47,21 @@ def urgent_problems(spark, sf_dir):
     return P.urgent(interpreted(spark, sf_dir))
 
 
-_SALIENCE = """SELECT collector_id, signal_type, uri, n, round((0.40::DOUBLE * encoding + 0.25::DOUBLE * 0.5::DOUBLE + 0.35::DOUBLE * coalesce(1 - score / 100.0::DOUBLE, 0.5)) * (1 / (1 + log2(n))), 6) AS salience FROM
-  (SELECT collector_id, signal_type, uri, count(*) AS n, avg(CASE severity WHEN 'CRITICAL' THEN 1.0::DOUBLE WHEN 'HIGH' THEN 0.7::DOUBLE WHEN 'MEDIUM' THEN 0.4::DOUBLE WHEN 'LOW' THEN 0.1::DOUBLE END) AS encoding FROM interp GROUP BY ALL) p
-  LEFT JOIN (SELECT uri, collector_id, score FROM ucol) d USING (uri, collector_id)"""
+_SALIENCE = """SELECT collector_id, signal_type, uri, n, round((0.40::DOUBLE * encoding + 0.25::DOUBLE * 0.5::DOUBLE + 0.35::DOUBLE * coalesce(1 - score / 100.0::DOUBLE, 0.5)) * (1 / (1 + log2(n)))
+  * coalesce(greatest(power(0.5::DOUBLE, age / 21.0::DOUBLE) + 0.1::DOUBLE * power(0.5::DOUBLE, age / 180.0::DOUBLE), 0.01::DOUBLE), 1.0::DOUBLE), 6) AS salience FROM
+  (SELECT collector_id, signal_type, uri, count(*) AS n, avg(CASE severity WHEN 'CRITICAL' THEN 1.0::DOUBLE WHEN 'HIGH' THEN 0.7::DOUBLE WHEN 'MEDIUM' THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END) AS encoding FROM interp GROUP BY ALL) p
+  LEFT JOIN (SELECT uri, collector_id, score FROM ucol) d USING (uri, collector_id) LEFT JOIN (SELECT uri, doc_id % 50 AS age FROM kb WHERE doc_id % 3 <> 0) USING (uri)"""
+
+
+def last_seen(spark, sf_dir):
+    """Days since the findings of a document were last seen; a third of the documents is not followed."""
+    return kb_docs(spark, sf_dir).where("doc_id % 3 <> 0").select("uri", (F.col("doc_id") % 50).alias("age_days"))
 
 
 @query(_SALIENCE)
 def salience(spark, sf_dir):
     found = interpreted(spark, sf_dir)
-    return P.salience(P.clusters(found), found, by_document(spark, sf_dir))
+    return P.salience(P.clusters(found), found, by_document(spark, sf_dir), ages=last_seen(spark, sf_dir))
 
 
 @query(f"SELECT * FROM ({_SALIENCE}) WHERE salience >= 0.3 AND NOT (collector_id = 'freshness' AND uri LIKE '%7.md')")
@@ -65,17 +71,46 @@ def problem_queue(spark, sf_dir):
     return P.queue(salience(spark, sf_dir), 0.3, wont)
 
 
-@query("""SELECT problem_id, uri, CASE WHEN in_folder >= 2 THEN 'directory' ELSE 'other' END AS pattern, regexp_extract(uri, '^(.+/)', 1) AS cluster FROM (SELECT *, count(*) OVER (PARTITION BY regexp_extract(uri, '^(.+/)', 1)) AS in_folder FROM (SELECT collector_id || ':' || signal_type || ':' || uri AS problem_id, uri FROM interp GROUP BY collector_id, signal_type, uri))""")
+_PROBLEMS = """SELECT collector_id || ':' || signal_type || ':' || uri AS problem_id, CASE WHEN doc_id % 4 = 0 THEN 'doc_' || doc_id || '.md' ELSE uri END AS uri, CASE WHEN doc_id % 8 = 0 THEN signal_type || doc_id ELSE signal_type END AS signal_type,
+  CASE WHEN doc_id % 24 = 0 THEN collector_id || doc_id ELSE collector_id END AS category, CASE WHEN doc_id % 16 = 0 THEN ['heading ' || (doc_id % 7), 'doc ' || doc_id] ELSE [] END AS evidence FROM (SELECT DISTINCT collector_id, signal_type, uri FROM interp) JOIN kb USING (uri)"""
+oracle.PARTS |= {
+    "prob": _PROBLEMS,
+    "prob1": r"SELECT *, CASE WHEN folder <> '' AND count(*) OVER (PARTITION BY folder) >= 2 THEN 'directory' END AS p1 FROM (SELECT *, regexp_extract(uri, '^(.+/)', 1) AS folder FROM prob)",
+    "prob2": "SELECT x.*, CASE WHEN p1 IS NULL AND d >= 2 THEN 'systemic_type' END AS p2 FROM prob1 x LEFT JOIN (SELECT signal_type, count(DISTINCT uri) AS d FROM prob1 WHERE p1 IS NULL GROUP BY signal_type) USING (signal_type)",
+    "prob3": "SELECT x.*, ref FROM prob2 x LEFT JOIN (SELECT problem_id, min(ref) AS ref FROM (SELECT *, count(*) OVER (PARTITION BY ref) AS n FROM (SELECT problem_id, unnest(evidence) AS ref FROM prob2 WHERE p1 IS NULL AND p2 IS NULL)) WHERE n >= 2 GROUP BY problem_id) USING (problem_id)",
+    "prob4": """SELECT x.problem_id, x.uri, coalesce(p1, p2, CASE WHEN ref IS NOT NULL THEN 'shared_evidence' WHEN c >= 2 THEN 'category' ELSE 'singleton' END) AS pattern, CASE WHEN p1 IS NOT NULL THEN folder WHEN p2 IS NOT NULL THEN signal_type WHEN ref IS NOT NULL THEN ref WHEN c >= 2 THEN x.category ELSE x.problem_id END AS cluster
+  FROM prob3 x LEFT JOIN (SELECT category, count(*) AS c FROM prob3 WHERE p1 IS NULL AND p2 IS NULL AND ref IS NULL GROUP BY category) USING (category)""",
+}
+
+
+def problem_rows(spark, sf_dir):
+    """Problems of which some lie outside of folders, are of kinds or categories of their own, or name evidence."""
+    found = P.clusters(interpreted(spark, sf_dir)).join(kb_docs(spark, sf_dir).select("uri", "doc_id"), "uri")
+    d = F.col("doc_id")
+    evidence = F.when(d % 16 == 0, F.array(F.concat(F.lit("heading "), (d % 7).cast("string")), F.concat(F.lit("doc "), d.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return found.select(
+        F.concat_ws(":", "collector_id", "signal_type", "uri").alias("problem_id"), F.when(d % 4 == 0, F.concat(F.lit("doc_"), d.cast("string"), F.lit(".md"))).otherwise(F.col("uri")).alias("uri"),
+        F.when(d % 8 == 0, F.concat("signal_type", d.cast("string"))).otherwise(F.col("signal_type")).alias("signal_type"), F.when(d % 24 == 0, F.concat("collector_id", d.cast("string"))).otherwise(F.col("collector_id")).alias("category"), evidence.alias("evidence"),
+    )
+
+
+@query("SELECT * FROM prob4")
 def root_cause_clusters(spark, sf_dir):
-    found = P.clusters(interpreted(spark, sf_dir))
-    return P.root_causes(found.select(F.concat_ws(":", "collector_id", "signal_type", "uri").alias("problem_id"), "uri", "signal_type", F.col("collector_id").alias("category")))
+    return P.root_causes(problem_rows(spark, sf_dir))
+
+
+@query(f"""SELECT pattern, cluster, count(*) AS problems, count(DISTINCT q.uri) AS documents, max(salience) AS salience, CASE pattern WHEN 'singleton' THEN 'fix_document' WHEN 'directory' THEN 'fix_folder' ELSE 'fix_systemic' END AS strategy
+  FROM prob4 q JOIN ({_SALIENCE}) s ON q.problem_id = s.collector_id || ':' || s.signal_type || ':' || s.uri GROUP BY ALL""")
+def root_cause_proposals(spark, sf_dir):
+    ranked = salience(spark, sf_dir).select(F.concat_ws(":", "collector_id", "signal_type", "uri").alias("problem_id"), "salience")
+    return P.synthesis(P.root_causes(problem_rows(spark, sf_dir)), ranked)
 
 
 _has = lambda a, b: f"EXISTS (SELECT uri FROM interp WHERE {a} INTERSECT SELECT uri FROM interp WHERE {b})"
 _n = lambda c: f"(SELECT count(*) FROM interp WHERE {c})"
 
 
-@query(f"""SELECT 'navigation_collapse' AS rule, {_n("signal_type = 'broken_link'")} >= 2 AND {_n("signal_type = 'orphan'")} >= 1 AS fires UNION ALL SELECT 'stale_kb_collapse', {_n("signal_type = 'stale_content'")} >= 2 AND {_n("signal_type = 'orphan'")} >= 2
+@query(f"""SELECT 'navigation_collapse' AS rule, {_n("signal_type = 'broken_link'")} >= 2 AND {_n("signal_type = 'orphan'")} >= 1 AND (SELECT connectivity FROM ({scores._corpus})) < 50 AS fires UNION ALL SELECT 'stale_kb_collapse', {_n("signal_type = 'stale_content'")} >= 2 AND {_n("signal_type = 'orphan'")} >= 2
   UNION ALL SELECT 'retrieval_breakdown', {_has("collector_id = 'heading_quality'", "signal_type = 'mixed_topics'")} UNION ALL SELECT 'context_fragmentation', {_has("signal_type = 'dangling_reference'", "signal_type = 'orphan_artifact'")}
   UNION ALL SELECT 'terminology_contradiction', {_n("signal_type = 'terminology_variant'")} >= 2 AND {_n("collector_id = 'contradiction_detection'")} >= 1""")
 def cross_checks(spark, sf_dir):
@@ -99,8 +134,9 @@ def fixed_metadata(spark, sf_dir):
 
 
 _phrases = "text"
-for _a, _b in P.DANGLING_FIXES:
-    _phrases = f"regexp_replace({_phrases}, '(?i){_a}', '{_b}', 'g')"
+for _a, _b in P.DANGLING_FIXES:  # RE2 has no lookahead: the character after the phrase is matched and put back
+    _a, _b = (_a.removesuffix("(?!\\[)") + "([^\\[]|$)", _b + "\\1") if _a.endswith("(?!\\[)") else (_a, _b)
+    _phrases = f"regexp_replace({_phrases}, '(?i){oracle._q(_a)}', '{oracle._q(_b)}', 'g')"
 
 
 @query(f"SELECT uri, sha256({_phrases}) AS fixed FROM kb")
@@ -136,22 +172,23 @@ _FEATURES = rf"""(SELECT uri, term, count(*) AS tf FROM (SELECT uri, unnest(ws)
 @query(f"SELECT term, count(*) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1, 6) AS idf FROM {_FEATURES} GROUP BY term")
 def idf(spark, sf_dir):
     docs = table(prepare(spark), sf_dir, "documents").select(F.col("doc_id").alias("uri"), "text")
-    return V.idf(V.features(docs), docs).withColumn("idf", F.round("idf", 6))
+    return V.idf(V.document_frequencies(docs), docs).withColumn("idf", F.round("idf", 6))
 
 
-@query()
+@query(f"""SELECT uri, dim, round(value / sqrt(sum(value * value) OVER (PARTITION BY uri)), 6) AS value FROM (SELECT uri, dim, sum(CASE WHEN dim % 2 = 0 THEN w ELSE -w END) AS value FROM (SELECT uri, (1 + ln(tf)) * idf AS w, (('0x' || substring(md5(k || ':' || term), 1, 8))::BIGINT % 384)::INT AS dim
+  FROM {_FEATURES} JOIN (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM {_FEATURES} GROUP BY term) USING (term), range(0, 3) AS r(k)) GROUP BY uri, dim)""")
 def tfidf_hashed_long(spark, sf_dir):
     docs = table(prepare(spark), sf_dir, "documents").select(F.col("doc_id").alias("uri"), "text")
-    found = V.features(docs)
-    return V.embed(found, V.idf(found, docs).select("term", "idf")).withColumn("value", F.round("value", 6))
+    weights = V.idf(V.document_frequencies(docs), docs).select("term", "idf")
+    return V.embed(V.features(docs), weights).withColumn("value", F.round("value", 6))
 
 
 @query("""SELECT query_id, vec_id, similarity, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, r.vec_id, round(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: q.embedding[i]::DOUBLE * r.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(r.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS similarity
-  FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id < 20 AND q.embedding IS NOT NULL AND r.embedding IS NOT NULL)) WHERE rank <= 5""")
+  FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0 AND q.embedding IS NOT NULL AND r.embedding IS NOT NULL)) WHERE rank <= 5""")
 def cosine_topk(spark, sf_dir):
-    """The five nearest rows of twenty stated query vectors."""
+    """The five nearest rows of every vector whose id is divisible by 20."""
     rows = table(prepare(spark), sf_dir, "embeddings").select("vec_id", "embedding")
-    return V.nearest(rows.where("vec_id < 20"), rows).withColumn("rank", F.col("rank").cast("long"))
+    return V.nearest(rows.where("vec_id % 20 = 0"), rows).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT ts::DATE::TIMESTAMP AS day, count(*) AS events, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
