@@ -54,6 +54,27 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the other columns of table, which has one row for each key and in `n` the number of rows that have it (null keys match nothing).
+
+    A key with more than its share of the rows (over a quarter of a shuffle partition's mean) is sent to every executor,
+    so its rows stay where they are; there are at most four such keys for each partition. The other keys meet by a
+    shuffle. table is read twice: give one that is written.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = (table.agg(F.sum("n")).first()[0] or 0) / (4 * parts)
+    hot, cold = table.where(F.col("n") > least).drop("n"), table.where(F.col("n") <= least).drop("n")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """About `rows` rows of df (all, if it has fewer), chosen by a hash of their keys: the same rows on any cluster, and none pass through one task."""
     n = df.count()
