@@ -7,11 +7,14 @@ Cut into m = t + 1 segments on a ring (three at least), two linked fingerprints
 segments differs in at most floor(l * t / m) <= l - 1 bits. So they agree wholly on that segment and differ in at most
 one bit on the next: both are therefore found under a key made of the first segment and the second with one bit
 masked. Distinct fingerprints meet under such keys only; the longer chains are checked before the full distance, and
-what a key's fingerprints give is a forest of links, never all pairs. No candidate is dropped or capped.
+what a key's fingerprints give is a forest of links, never all pairs. No candidate is dropped or capped. A key that
+many fingerprints share is cut again by the bits outside of it.
 
-Nulls and texts without words have fingerprint zero, linked like any other. Copies share a fingerprint and meet in a
+Classes are found among distinct fingerprints; rows meet only their own fingerprint's entry, and fingerprints or
+classes with a large share of the rows are not shuffled. Nulls and texts without words have fingerprint zero, linked like any other. Copies share a fingerprint and meet in a
 row count only. Rows with a null doc_id are kept; a class's id is the smallest doc_id that is not null. An empty table
-gives an empty result. Columns other than doc_id and text are ignored.
+gives an empty result. Texts of any length are read whole. Columns other than doc_id and text are ignored; keep_one
+carries them, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import ascii_words, bounded_batches, column, drop_scratch, read_back, slices, small, write_scratch, tidy
+from kbq.llm.common import ascii_words, bounded_batches, column, drop_scratch, free_name, join_hot, materialise, read_back, slices, small, tidy, write_scratch
 
 _CHUNK = 1 << 16
+#: Pairs compared at once, and fingerprints of a key that are compared without further cuts.
+_CELLS = 1 << 20
+_DENSE = 2000
 
 
 def shingle_hashes(texts: pa.Array, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +135,8 @@ def forest(fp: np.ndarray, start: int, max_distance: int) -> Iterator[tuple[np.n
         root, rest = rest[:1], rest[1:]
         front, reached = root, []
         while len(front) and len(rest):
-            block, front = front[:256], front[256:]
+            size = max(1, _CELLS // len(rest))
+            block, front = front[:size], front[size:]
             linked = chain_passes(block[:, None] ^ rest[None, :], start, max_distance).any(axis=0)
             if linked.any():
                 reached.append(rest[linked])
@@ -140,6 +147,23 @@ def forest(fp: np.ndarray, start: int, max_distance: int) -> Iterator[tuple[np.n
             yield np.repeat(root, len(members)), members
 
 
+def forests(fp: np.ndarray, start: int, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """forest() for a key of any size: of many fingerprints those are compared that agree on one of max_distance + 1 stretches of the bits outside the key, as linked ones do."""
+    if len(fp) <= _DENSE:
+        yield from forest(fp, start, max_distance)
+        return
+    cut = ring(max_distance)
+    outside = [shift + b for k, (shift, width) in enumerate(cut) if k not in (start, (start + 1) % len(cut)) for b in range(width)]
+    for stretch in np.array_split(np.array(outside), max_distance + 1):
+        mask = np.uint64(sum(1 << int(b) for b in stretch))
+        order = np.argsort(fp & mask, kind="stable")
+        some = fp[order]
+        cuts = np.flatnonzero(np.diff(some & mask)) + 1
+        for group in np.split(some, cuts):
+            if len(group) > 1:
+                yield from forest(group, start, max_distance)
+
+
 def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
     """(a, b), a < b unsigned: links among distinct fingerprints (column fp) that connect exactly what lies within max_distance."""
     cut = ring(max_distance)
@@ -155,16 +179,20 @@ def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def whole() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            """Batches whose last key's rows wait for the next one."""
-            held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+            """Batches whose last key's rows wait until that key ends."""
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             for batch in batches:
-                key = np.concatenate([held[0], column(batch, "key").to_numpy()])
-                fp = np.concatenate([held[1], column(batch, "fp").to_numpy()])
-                if len(key):
-                    end = int(np.searchsorted(key, key[-1]))
-                    yield key[:end], fp[:end]
-                    held = [key[end:], fp[end:]]
-            yield held[0], held[1]
+                key, fp = column(batch, "key").to_numpy(), column(batch, "fp").to_numpy()
+                if not len(key):
+                    continue
+                end = int(np.searchsorted(key, key[-1]))
+                if end or (held and held[-1][0][-1] != key[-1]):
+                    held.append((key[:end], fp[:end]))
+                    yield tuple(np.concatenate(x) for x in zip(*held))
+                    held = []
+                held.append((key[end:], fp[end:]))
+            if held:
+                yield tuple(np.concatenate(x) for x in zip(*held))
 
         for key, fp_signed in whole():
             if len(key) < 2:
@@ -180,7 +208,7 @@ def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
                 found_a.append(fp[two][ok])
                 found_b.append(fp[two + 1][ok])
             for g in np.flatnonzero(sizes > 2):
-                for a, b in forest(fp[begins[g] : begins[g] + sizes[g]], int(starts[g]), max_distance):
+                for a, b in forests(fp[begins[g] : begins[g] + sizes[g]], int(starts[g]), max_distance):
                     found_a.append(a)
                     found_b.append(b)
             a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -203,8 +231,9 @@ def components(edges: DataFrame) -> DataFrame:
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b"), F.col("a")))
         near = both if large else both.where("v < u")
-        least = near.groupBy("u").agg(F.min("v").alias("least")).withColumn("m", F.least("u", "least")).select("u", "m")
-        joined = near.join(least, "u")
+        least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        least = materialise(least, "least")
+        joined = join_hot(near, least, "u")
         if large:
             out = joined.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         else:
@@ -230,36 +259,36 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classed(docs: DataFrame, width: int = 4, seed: int = 42, max_distance: int = 4) -> DataFrame:
-    """(doc_id, tie, fp, root), a row for each row of docs: root is the same for all of a class."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    marked = fingerprints(docs, width, seed)
-    marked = read_back(spark, write_scratch(marked, "fingerprints"), marked.schema)
-    distinct = marked.select("fp").distinct()
-    roots = components(links(distinct, max_distance)).select(F.col("node").alias("fp"), "root")
-    return marked.join(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "fp").select("doc_id", "tie", "fp", "root")
+def classed(docs: DataFrame, first: Column, width: int = 4, seed: int = 42, max_distance: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(rows, entries): rows has (doc_id, tie, fp) for each row of docs, entries (fp, n, first) for each distinct fingerprint: its rows and the least value of `first`, an expression over rows, in the whole class."""
+    bounded_batches(docs.sparkSession)
+    rows = materialise(fingerprints(docs, width, seed), "fingerprints")
+    distinct = materialise(rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(first).alias("first")), "distinct")
+    rooted = materialise(components(links(distinct.select("fp"), max_distance)).select(F.col("node").alias("fp"), "root"), "roots")
+    members = materialise(distinct.join(rooted, "fp").select("fp", "root", F.col("n").alias("copies"), "first"), "members")
+    of_root = materialise(members.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")), "classes")
+    linked = join_hot(members, of_root, "root").select("fp", F.col("copies").alias("n"), F.col("least").alias("first"))
+    return rows, materialise(linked.unionByName(distinct.join(rooted, "fp", "left_anti")), "entries")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, seed: int = 42, max_distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of docs. fingerprint: 16 lowercase hex digits."""
-    found = classed(docs, width, seed, max_distance)
-    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, entries = classed(docs, F.col("doc_id"), width, seed, max_distance)
+    found = join_hot(rows, entries, "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 4, seed: int = 42, max_distance: int = 4) -> DataFrame:
     """docs without near-duplicates: of each class the row with the smallest doc_id stays (of equals the one with the smallest hash of its text, nulls last); of wholly repeated rows one stays."""
-    spark = docs.sparkSession
-    found = classed(docs, width, seed, max_distance)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    first = found.groupBy("root").agg(F.min(row).alias("first"))
-    rest = found.groupBy("root", "doc_id", "tie").count().join(first, "root").where(~row.eqNullSafe(F.col("first")) | (F.col("count") > 1))
-    path = write_scratch(rest.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), row.eqNullSafe(F.col("first")).alias("stays")), "near-duplicates")
-    rest = read_back(spark, path, "d long, t long, stays boolean")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("t"))
+    rows, entries = classed(docs, row, width, seed, max_distance)
+    marked = join_hot(rows, entries, "fp").select("doc_id", "tie", row.eqNullSafe(F.col("first")).alias("stays"))
+    other, tie, stays = (free_name(docs, c) for c in ("other", "tie", "stays"))
+    judged = marked.groupBy("doc_id", "tie").agg(F.max("stays").alias(stays), F.count("*").alias("n")).where(~F.col(stays) | (F.col("n") > 1))
+    rest = materialise(judged.select(F.col("doc_id").alias(other), F.col("tie").alias(tie), F.col(stays)), "near-duplicates")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(other)) & (F.xxhash64(F.col("text").cast("string")) == F.col(tie))
     kept = docs.join(small(rest), same, "left_anti")
-    repeated = docs.join(small(rest.where("stays")), same, "left_semi")
+    repeated = docs.join(small(rest.where(F.col(stays))), same, "left_semi")
     return kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
