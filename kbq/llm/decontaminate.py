@@ -9,7 +9,7 @@ words of its position in the phrase (proximity matches).
 Words are runs of letters a-z, digits and code points from 0x80 on, after A-Z are lower-cased. A window is `width`
 consecutive words of one item, or the whole of a shorter item. Null texts have no words; null item ids count as the
 empty string, items with the same id as one. Every row of docs gives a row, also repeated ones and those with a null
-doc_id. Empty tables: no documents give no rows, no items give zero hits. Other columns are ignored. The benchmark is
+doc_id. Empty tables: no documents give no rows, no items give zero hits. Texts of any length are indexed whole. Other columns are ignored; clean() carries them. The benchmark is
 broadcast only if its terms or windows are counted to be few; otherwise Spark shuffles.
 """
 
@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kbq.llm.common import materialise, small
+from kbq.llm.common import free_name, materialise, small
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands after the last word of each text, as a term of its own: its posting tells how many words the row has.
@@ -59,7 +59,7 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def find(postings: DataFrame, slots: DataFrame, slop: int = 0) -> DataFrame:
     """(row, window, start, length): places of the windows in the indexed rows. slots: (window, offset, term_id)."""
     real = postings.where("term_id >= 0").select("row", "position", "term_id")
-    counts = real.groupBy("term_id").count()
+    counts = small(materialise(real.groupBy("term_id").count(), "term-counts"))  # one row a benchmark term
     by_rarity = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "term_id", "offset")
     ranked = slots.join(counts, "term_id", "left").withColumn("rank", F.row_number().over(by_rarity)).withColumn("length", F.count("*").over(Window.partitionBy("window")))
     ranked = materialise(ranked.select("window", "offset", "term_id", "rank", "length"), "ranked")
@@ -107,8 +107,9 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = 13, share: int
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
     """docs without contaminated rows; equal texts have equal verdicts, so rows are dropped by their text's hash."""
-    bad = contaminated(docs, items, width, share).where("contaminated").select(F.col("tie").alias("t")).distinct()
-    return docs.join(small(materialise(bad, "contaminated")), F.xxhash64(F.col("text").cast("string")) == F.col("t"), "left_anti")
+    tie = free_name(docs, "tie")
+    bad = contaminated(docs, items, width, share).where("contaminated").select(F.col("tie").alias(tie)).distinct()
+    return docs.join(small(materialise(bad, "contaminated")), F.xxhash64(F.col("text").cast("string")) == F.col(tie), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
