@@ -12,7 +12,8 @@ of page_id and url. Counts are summed by Spark.
 
 Inline elements belong to the block around them; a line break is white space. Scripts, styles, heads, templates and
 form controls have no text. Unclosed and misnested elements are closed where a new block or an outer end tag closes
-them; an unfinished tag at the end of a page is markup. Null and empty pages give an empty text. Every row gives a
+them; an unfinished tag at the end of a page is markup, a tag with a quote that is never closed ends at the next >,
+and a skipped element that is never closed is a tag alone (scripts and the like run to the end). Null and empty pages give an empty text. Every row gives a
 row, also repeated ones and those with null page_id or url. No rows: no rows.
 """
 
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from kbq.llm.common import bounded_batches, column, hash_sample, slices, tidy
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|iframe|svg|textarea|select|button|object)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
+#: A comment, a tag or a declaration. A tag with a quote that is never closed ends at the next >.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+(?:>|\Z)|[^>]*(?:>|\Z))|<[!?][^>]*(?:>|\Z)", re.S)
+#: Elements whose content is no text of the page; those of the first set run to the end of a page that does not close them, an unclosed one of the others is a tag like any other.
+_RAW = set("script style textarea iframe noscript".split())
+_SKIPPED = _RAW | set("head template svg select button object".split())
+_HEAD_ENDS = re.compile(r"</head\b[^>]*>|(?=<(?:body|p|div|article|main|section|h[1-6]|nav|header|footer|aside|ul|ol|table|form)\b)", re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -98,25 +101,36 @@ def parse(source: str | None) -> Page:
             linked += len(text.strip())
 
     at = 0
-    for m in _MARKUP.finditer(source):
+    never: set[str] = set()  # elements that are not closed any more
+    while m := _MARKUP.search(source, at):
         if m.start() > at:
             say(source[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m[2]
         if name is None:
             continue
-        name = name.lower()
+        name, closing, attributes = name.lower(), m[1], m[3].removesuffix(">")
+        if name in _SKIPPED:
+            if not closing and not (name == "svg" and attributes.endswith("/")) and name not in never:
+                ends = _HEAD_ENDS if name == "head" else re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I)
+                if end := ends.search(source, at):
+                    at = end.end()
+                elif name in _RAW:
+                    at = len(source)
+                else:
+                    never.add(name)
+            continue
         if name in ("html", "body"):  # the root stands for both, marked or not
-            if 'data-label="content"' in m[4]:
+            if 'data-label="content"' in attributes:
                 page.label[0] = "content"
             continue
         if name in _INLINE:
             if name == "br":
                 pieces.append(" ")
             elif name == "a":
-                links = max(0, links + (-1 if m[2] else 1))
+                links = max(0, links + (-1 if closing else 1))
             continue
-        if m[2]:
+        if closing:
             for depth in range(len(stack) - 1, 0, -1):
                 if page.tag[stack[depth]] == name:
                     close_to(depth)
@@ -139,7 +153,7 @@ def parse(source: str | None) -> Page:
         if name in _VOID:
             continue
         names, label = 0, None
-        for key, value in _ATTRIBUTE.findall(m[4]) if m[4] else ():
+        for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
             value = value.strip("\"'").lower()
             if key.lower() == "data-label":
                 label = value
@@ -152,7 +166,7 @@ def parse(source: str | None) -> Page:
         page.own.append(0)
         page.linked.append(0)
         page.marks.append(False)
-        if not m[4].endswith("/"):
+        if not attributes.endswith("/"):
             stack.append(len(page.tag) - 1)
     if at < len(source):
         say(source[at:])
@@ -306,9 +320,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["feature", "value", "label", "n"])
 
 
-def train(spark: SparkSession, pages: DataFrame | None = None, sample: int = 2000) -> Model:
-    """Counts over the labelled pages; a few hundred sums reach the driver."""
-    labelled = spark.createDataFrame([(p, False) for p in labelled_pages()], "html string, own_main boolean")
+def train(spark: SparkSession, pages: DataFrame | None = None, sample: int = 2000, made: list[str] | None = None) -> Model:
+    """Counts over the labelled pages (`made`: in place of labelled_pages()); a few hundred sums reach the driver."""
+    labelled = spark.createDataFrame([(p, False) for p in (labelled_pages() if made is None else made)], "html string, own_main boolean")
     if pages is not None:
         marked = hash_sample(pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")), sample, "page_id", "url")
         labelled = labelled.unionByName(marked.select("html", F.lit(True).alias("own_main")))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import bounded_batches, column, mix, slices, tidy
+from kbq.llm.common import bounded_batches, column, free_name, mix, slices, tidy
 
 SPACE = "▁"
 _UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
@@ -281,12 +281,15 @@ class Pieces:
         return flat, np.concatenate([[0], np.cumsum(size)])[bounds]
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        """The texts, without the space that encoding puts in front."""
+        """The texts, without a space in front (encoding puts one there). Bytes that are no UTF-8 become U+FFFD; ids outside the vocabulary spell nothing."""
+        known = (ids >= 0) & (ids < len(self.spelled_len))
+        if not known.all():
+            ids, bounds = ids[known], np.concatenate([[0], np.cumsum(known)])[bounds]
         size = self.spelled_len[ids]
         ends = np.concatenate([[0], np.cumsum(size)])
         raw = self.spelled[np.arange(ends[-1]) + np.repeat(self.spelled_at[ids] - ends[:-1], size)].tobytes()
         cuts = ends[bounds].tolist()
-        return [raw[a + 1 : b].decode() if b > a else "" for a, b in zip(cuts[:-1], cuts[1:])]
+        return [raw[a + (raw[a : a + 1] == b" " and a < b) : b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 _LOADED: dict[tuple, Pieces] = {}
@@ -304,22 +307,24 @@ def encode(docs: DataFrame, model_file: str | None = None, rate: float = 0.1, se
     """docs with an array<int> column of piece ids (empty for null texts)."""
     model_file = model_file or default_model()
 
+    source = free_name(docs, "source_text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _pieces(model_file, rate, seed, variants)
-        for batch in slices(batches, "kbq_text", 1 << 20):
-            ids, bounds = model.encode(column(batch, "kbq_text").to_pylist())
+        for batch in slices(batches, source, 1 << 20):
+            ids, bounds = model.encode(column(batch, source).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-            keep = [i for i, name in enumerate(batch.schema.names) if name != "kbq_text"]
+            keep = [i for i, name in enumerate(batch.schema.names) if name != source]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), lists], names=[*(batch.schema.names[i] for i in keep), to])
         model.forget()
 
-    kept = docs.drop(to)
-    kinds = ", ".join(f"`{name}` {kind}" for name, kind in kept.dtypes)
-    return kept.withColumn("kbq_text", F.col(text).cast("string")).mapInArrow(tidy(run), f"{kinds}, `{to}` array<int>")
+    named = docs.withColumn(source, F.col(text).cast("string")).drop(to)
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in named.dtypes if name != source)
+    return named.mapInArrow(tidy(run), f"{kinds}{', ' * bool(kinds)}`{to}` array<int>")
 
 
 def decode(docs: DataFrame, model_file: str | None = None, ids: str = "ids", to: str = "text") -> DataFrame:
-    """docs with the texts that the ids spell; null ids give null."""
+    """docs with the texts that the ids spell; null ids give null, null entries spell nothing."""
     model_file = model_file or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +332,7 @@ def decode(docs: DataFrame, model_file: str | None = None, ids: str = "ids", to:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                lists = [np.array(x or [], np.int64) for x in column(part, ids).to_pylist()]
+                lists = [np.array([i for i in x or [] if i is not None], np.int64) for x in column(part, ids).to_pylist()]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
                 texts = model.decode(np.concatenate(lists), bounds)
                 out = [t if ok else None for t, ok in zip(texts, column(part, ids).is_valid().to_pylist())]

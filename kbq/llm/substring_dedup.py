@@ -7,12 +7,15 @@ repeated window's block is met by a rolling probe of b words at the other place.
 1. Every document's blocks are indexed and every rolling window of b words is a probe. Both travel as packed arrays,
    sorted and freed of repeats in each task, so a passage that millions of documents share costs one entry a task. A
    bucket's task finds which blocks' words occur in more than one place.
-2. Documents with such blocks extend the hits: every window over a hit block is hashed (64 bits) and counted over the
-   corpus in the same packed way. Runs of repeated windows are the maximal exact repeats; their words are removed.
+2. Documents with such blocks extend the hits to both sides: every window over a hit block is looked up over the corpus
+   by its words' fingerprint of 128 bits (two independent rolling hashes; among 10^13 windows two unequal ones share
+   theirs with a chance of about 10^-12). Windows that repeat within a batch are settled there and travel once, whatever
+   their number. Runs of repeated windows are the maximal exact repeats; their words are removed.
 
 Documents are known by two hashes of (doc_id, text), so a null or repeated doc_id loses no row: rows that are wholly
 equal get equal results, each counting as a place of the other's windows. A null text has no words. Texts with fewer
-words than a window lose none. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+words than a window lose none; texts of any length are read whole. An empty table gives an empty result. Columns other
+than doc_id and text are ignored.
 Block hashes are cut to 32 bits and a bucket, which can only let needless blocks into step 2.
 """
 
@@ -27,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import ascii_words, bounded_batches, column, grouped, materialise, n_buckets, pack_ints, rolling, rows_of, slices, starts_within, unpack, unpack_ints, word_hashes, tidy
+from kbq.llm.common import ascii_words, bounded_batches, column, grouped, materialise, mix, n_buckets, pack_ints, rolling, rows_of, slices, starts_within, tidy, unpack, unpack_ints, word_hashes
 
 #: Words or windows a task holds before it hands on their packed arrays.
 _HELD = 3_000_000
@@ -107,10 +110,26 @@ def hit_blocks(keyed: DataFrame, block: int) -> DataFrame:
     return hits.groupBy("k1", "k2").agg(F.collect_set("number").alias("blocks"))
 
 
+def _runs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, begins): an order in which equal pairs stand together, and where each run of them begins in it."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    return order, np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+
+
+def _both(first: np.ndarray, second: np.ndarray) -> bytes:
+    return np.stack([first, second], axis=1).tobytes()
+
+
 def repeated_windows(hit: DataFrame, window: int, block: int) -> DataFrame:
     """(shard, rows binary, starts binary): in each shard of `hit` the rows and word positions where repeated windows start."""
     buckets = n_buckets(hit.sparkSession)
-    schema = "bucket int, shard long, hash binary, row binary, start binary"
+    names = ["bucket", "shard", "hash", "row", "start", "twice"]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    schema = "bucket int, shard long, hash binary, row binary, start binary, twice binary"
+
+    def rows_out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
@@ -125,27 +144,46 @@ def repeated_windows(hit: DataFrame, window: int, block: int) -> DataFrame:
             marks[np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy().astype(np.int64) * block] = True
             over = marks[at + -within % block]  # the first block that begins in the window; it ends in it too
             at, row, within = at[over], row[over], within[over]
-            hashes = rolling(h, window)[at]
-            shard, place = (column(batch, k).to_numpy() for k in ("shard", "place"))
-            shard, row = shard[row], place[row]
-            bucket = hashes % np.uint64(buckets)
-            order = np.lexsort((row, bucket, shard))
-            hashes, row, within, bucket, shard = (x[order] for x in (hashes, row, within, bucket, shard))
-            for _, s in _by_bucket(shard):
-                rows = [(b, int(shard[s][0]), hashes[s][t].tobytes(), pack_ints(row[s][t], True), pack_ints(within[s][t])) for b, t in _by_bucket(bucket[s])]
-                part = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), *(pa.array(x, pa.binary()) for x in part[2:])], names=["bucket", "shard", "hash", "row", "start"])
+            first, second = rolling(h, window)[at], rolling(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), window)[at]
+            order, begins = _runs(first, second)
+            several = np.diff(np.concatenate([begins, [len(order)]])) > 1
+            here = np.zeros(len(order), bool)  # windows that repeat within the batch
+            here[order] = np.repeat(several, np.diff(np.concatenate([begins, [len(order)]])))
+            heads = order[begins[several]]
+            heads = heads[np.argsort(first[heads] % np.uint64(buckets), kind="stable")]
+            out = [(b, 0, b"", b"", b"", _both(first[heads][s], second[heads][s])) for b, s in _by_bucket(first[heads] % np.uint64(buckets))]
+            shards, places = (column(batch, k).to_numpy() for k in ("shard", "place"))
+            for known in (True, False):
+                some = np.flatnonzero(here == known)
+                shard, place, start = shards[row[some]], places[row[some]], within[some]
+                bucket = np.zeros(len(some), np.uint64) if known else first[some] % np.uint64(buckets)
+                by = np.lexsort((place, bucket, shard))
+                some, shard, place, start, bucket = (x[by] for x in (some, shard, place, start, bucket))
+                for _, s in _by_bucket(shard):
+                    number = int(shard[s][0])
+                    for b, t in _by_bucket(bucket[s]):
+                        digest = b"" if known else _both(first[some[s][t]], second[some[s][t]])
+                        out.append((number % buckets if known else b, number, digest, pack_ints(place[s][t], True), pack_ints(start[s][t]), b""))
+            yield rows_out(out)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "bucket"):
-            _, inverse, count = np.unique(unpack(rows, "hash", np.uint64), return_inverse=True, return_counts=True)
-            again = count[inverse] > 1
-            sizes = np.array([len(x) // 8 for x in rows.column("hash").to_pylist()])
-            shard = np.repeat(rows.column("shard").to_numpy(), sizes)[again]
-            row, start = (unpack_ints(rows.column(c).to_pylist(), c == "row")[again] for c in ("row", "start"))
-            order = np.lexsort((row, shard))
-            shard, row, start = shard[order], row[order], start[order]
-            out = [(s, pack_ints(row[t], True), pack_ints(start[t])) for s, t in _by_bucket(shard)]
+            digests, owners, packed_rows, packed_starts = (rows.column(c).to_pylist() for c in ("hash", "shard", "row", "start"))
+            settled = [i for i, d in enumerate(digests) if not d and packed_rows[i]]
+            open_ = [i for i, d in enumerate(digests) if d]
+            pairs, twice = (np.frombuffer(b"".join(x), np.uint64).reshape(-1, 2) for x in (digests, [t or b"" for t in rows.column("twice").to_pylist()]))
+            every = np.concatenate([pairs, twice])
+            order, begins = _runs(every[:, 0], every[:, 1])
+            weight = np.concatenate([np.ones(len(pairs), np.int64), np.full(len(twice), 2)])[order]
+            again = np.zeros(len(every), bool)
+            if len(order):
+                again[order] = np.repeat(np.add.reduceat(weight, begins) > 1, np.diff(np.concatenate([begins, [len(order)]])))
+            again = again[: len(pairs)]
+            shard = np.repeat(np.array([owners[i] for i in open_], np.int64), [len(digests[i]) // 16 for i in open_])[again]
+            row, start = unpack_ints([packed_rows[i] for i in open_], True)[again], unpack_ints([packed_starts[i] for i in open_])[again]
+            by = np.lexsort((row, shard))
+            shard, row, start = shard[by], row[by], start[by]
+            out = [(s, pack_ints(row[t], True), pack_ints(start[t])) for s, t in _by_bucket(shard)] + [(owners[i], packed_rows[i], packed_starts[i]) for i in settled]
             part = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], names=["shard", "rows", "starts"])
 

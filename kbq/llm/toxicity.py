@@ -1,14 +1,16 @@
 """Toxicity scores: a learned lexicon met by Levenshtein automata, and context windows that tell quotation from abuse.
 
-1. Terms are learned from labelled training documents: words that toxic documents use far more often (log odds with a
-   bound on the z-score). They form a trie.
+1. Terms are learned from all labelled training documents: every word whose log odds of standing in a toxic document,
+   and their z-score, reach their bounds. Spark counts and tests all words; those that pass reach the driver, and there
+   are far fewer of them than labelled toxic documents' words (a word needs some fifteen toxic documents to reach the
+   z-score; more than `most_terms` are an error, never a cut). They form a trie.
 2. The Levenshtein automaton of a word and the trie are run as one deterministic automaton, whose states are sets of
-   (trie node, errors) and are made when first met. Terms of 5 letters and more are found with one error (a letter
+   (trie node, errors) and are made when first met. Terms of 4 letters and more are found with one error (a letter
    changed, added or lost), shorter ones exactly. Each distinct word of a batch is run once.
 3. Every hit has a window of `reach` words on both sides: other hits in it speak for abuse, quotation marks and verbs of
    saying for quotation.
-4. A logistic regression on these statistics gives the score. It is fitted on about `sample` labelled training
-   documents, chosen by a hash of doc_id; counts for the lexicon use all of them.
+4. A logistic regression on these statistics gives the score. It is fitted on about `sample` of the distinct labelled
+   training rows, chosen by a hash; counts for the lexicon use all of them.
 
 Labels, lang, source and doc_id are no inputs of a score. Held out are rows whose crc32(doc_id as text) mod 5 is 0, and
 rows with a null doc_id count as such. Null and empty texts have no words and score as a text without hits. Every row
@@ -43,7 +45,7 @@ def strip_words(words: pa.Array) -> list[str]:
 class LexiconAutomaton:
     """The product of a word's Levenshtein automaton and the lexicon's trie, made deterministic as words are read."""
 
-    def __init__(self, terms: dict[str, float], errors: int = 1, fuzzy_from: int = 5, most_states: int = 200_000):
+    def __init__(self, terms: dict[str, float], errors: int = 1, fuzzy_from: int = 4, most_states: int = 200_000):
         self.weights, self.errors, self.fuzzy_from, self.most_states = terms, errors, fuzzy_from, most_states
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
@@ -112,8 +114,8 @@ class LexiconAutomaton:
         return self.accepted[state]
 
 
-def _document_counts(rows: DataFrame, wanted: set[str] | None = None) -> DataFrame:
-    """(word, n): in how many rows each word stands (only `wanted` ones if given)."""
+def _document_counts(rows: DataFrame) -> DataFrame:
+    """(word, toxic, clean): in how many rows of each label every word stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -121,32 +123,29 @@ def _document_counts(rows: DataFrame, wanted: set[str] | None = None) -> DataFra
             if not len(index):
                 continue
             words, of = np.unique(np.array(strip_words(raw), object), return_inverse=True)
-            keep = np.fromiter((bool(w) and (wanted is None or w in wanted) for w in words), bool, len(words))
             text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            pairs = np.unique(text * np.int64(len(words)) + of[index]) % len(words)
-            n = np.bincount(pairs, minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(words[keep].tolist(), pa.string()), pa.array(n[keep])], names=["word", "n"])
+            pairs = np.unique(text * np.int64(len(words)) + of[index])
+            label = column(batch, "toxic").to_numpy()[pairs // len(words)] == 1
+            toxic, clean = (np.bincount(pairs[x] % len(words), minlength=len(words)) for x in (label, ~label))
+            keep = np.fromiter(map(bool, words), bool, len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(words[keep].tolist(), pa.string()), pa.array(toxic[keep]), pa.array(clean[keep])], names=["word", "toxic", "clean"])
 
-    return rows.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("text", "toxic").mapInArrow(tidy(run), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(train: DataFrame, terms: int = 2000, candidates: int = 50_000, z: float = 4.0, least: int = 3) -> dict[str, float]:
-    """Log odds of the `terms` words that mark toxic rows best. train: text and toxic (0 or 1). At most `candidates` words, the most frequent in toxic rows, are weighed."""
+def learn_lexicon(train: DataFrame, z: float = 4.0, least_odds: float = 1.5, most_terms: int = 1_000_000) -> dict[str, float]:
+    """Log odds of the words that mark toxic rows: all that reach both bounds. train: text and toxic (0 or 1)."""
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return {}
-    found = _document_counts(train.where("toxic = 1")).where(F.col("n") >= max(least, n_toxic // 500)).orderBy(F.desc("n"), "word").limit(candidates).collect()
-    toxic = {r["word"]: r["n"] for r in found}
-    clean = {r["word"]: r["n"] for r in _document_counts(train.where("toxic = 0"), set(toxic)).collect()}
-    scored = []
-    for word, a in toxic.items():
-        b = clean.get(word, 0)
-        odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((b + 0.5) / (n_clean - b + 0.5))
-        error = np.sqrt(1 / (a + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (b + 0.5) + 1 / (n_clean - b + 0.5))
-        if odds >= 1.5 and odds / error >= z:
-            scored.append((odds / error, word, float(odds)))
-    return {word: odds for _, word, odds in sorted(scored, key=lambda x: (-x[0], x[1]))[:terms]}
+    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    a_not, b_not = F.lit(n_toxic + 1) - a, F.lit(n_clean + 1) - b
+    counted = _document_counts(train).where("toxic > 0").select("word", (F.log(a / a_not) - F.log(b / b_not)).alias("odds"), F.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not).alias("error"))
+    found = materialise(counted.where((F.col("odds") >= least_odds) & (F.col("odds") >= F.lit(z) * F.col("error"))).select("word", "odds"), "lexicon")
+    if (n := found.count()) > most_terms:
+        raise ValueError(f"{n} words reach the bounds; raise z")
+    return {r["word"]: r["odds"] for r in found.orderBy("word").collect()}
 
 
 def text_features(texts: pa.Array, automaton: LexiconAutomaton, cache: dict[str, tuple[float, int]], reach: int = 8) -> np.ndarray:
@@ -223,14 +222,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def score(docs: DataFrame, labels: DataFrame, terms: int = 2000, sample: int = 50_000, reach: int = 8) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: int = 50_000, reach: int = 8) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_hits): a row for each row of docs."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounded_batches(docs.sparkSession)
-    lexicon = learn_lexicon(rows.join(small(marks), "doc_id"), terms)
+    lexicon = learn_lexicon(rows.join(small(marks), "doc_id"))
     found = materialise(features(rows, lexicon, reach), "toxicity")
-    chosen = hash_sample(found.join(small(marks), "doc_id"), sample, "doc_id").orderBy("doc_id", *FEATURES).select("toxic", *FEATURES).toArrow()
+    trials = found.join(small(marks), "doc_id").dropDuplicates(["doc_id", "toxic", *FEATURES])
+    chosen = hash_sample(trials, sample, "doc_id", *FEATURES).orderBy("doc_id", *FEATURES).select("toxic", *FEATURES).toArrow()
     y = chosen.column("toxic").to_numpy().astype(float)
     x = np.stack([chosen.column(f).to_numpy() for f in FEATURES], axis=1)
     if len(set(y.tolist())) < 2:

@@ -28,8 +28,9 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(d, t, "en", "s", None, 1) for d, t in TEXTS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words string, row int").repartition(3)
+    clashing = ["row", "d", "t", "tie", "fp", "root", "first", "stays", "secret_spans", "kbq_text", "source_text", "stratum", "spans"]
+    rows = [(d, t, "en", "s", None, *[1] * len(clashing)) for d, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words string, " + ", ".join(f"{c} int" for c in clashing)).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +63,31 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_simhash_crowded_keys(spark, monkeypatch):
+    """Keys that many fingerprints share are cut again without losing a link."""
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 2**38, 400, dtype=np.uint64) << np.uint64(26)
+    fp = np.unique(np.concatenate([low, low ^ (np.uint64(1) << rng.integers(26, 64, 400, dtype=np.uint64)), low ^ (np.uint64(15) << rng.integers(26, 60, 400, dtype=np.uint64))]))
+    want = components_of(fp, [(a, b) for a, b in simhash.forest(fp, 0, 4)])
+    monkeypatch.setattr(simhash, "_DENSE", 50)
+    monkeypatch.setattr(simhash, "_CELLS", 300)
+    assert components_of(fp, [(a, b) for a, b in simhash.forests(fp, 0, 4)]) == want
+
+
+def components_of(fp, links):
+    parent = {int(x): int(x) for x in fp}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        for x, y in zip(a.tolist(), b.tolist()):
+            parent[top(x)] = top(y)
+    return sorted(sorted(x for x in parent if top(x) == r) for r in {top(x) for x in parent})
+
+
 def test_simhash_links_random():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 30, dtype=np.uint64)
@@ -236,7 +262,7 @@ def test_entropy_windows(spark):
 def test_secrets_in_long_texts(spark):
     """A megabyte of dashed words, a hundred thousand matches, and a key at the end of each."""
     key = "ZmFrZVNlY3JldEtleTEyMzQ1Njc4OTA"
-    texts = ["ab-" * 400_000 + "ab", "token=abcdef " * 100_000 + key, "0123456789abcdef" * 60_000, "é" * 1_000_000 + " " + key, "A1b" * 300_000]
+    texts = ["ab-" * 400_000 + "ab", "token=abcdef " * 100_000 + key, "0123456789abcdef" * 10_000, "é" * 1_000_000 + " " + key, "A1b" * 30_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(len(texts))
     got = {r["doc_id"]: r for r in df.select("doc_id", secret_scan.secret_spans(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("n"), F.get("s", F.size("s") - 1).alias("last")).collect()}
     assert got[0]["n"] == 0 and got[1]["n"] == 100_001 and got[2]["n"] == 1 and got[3]["n"] == 1 and got[3]["last"]["start"] == 1_000_001
@@ -280,8 +306,14 @@ def test_sentencepiece(docs, none):
         assert model.flat[model.begin[i] : model.begin[i] + model.size[i]].tolist() == model._spell(u, model.agenda(u, int(h))).tolist()
     out = sentencepiece_bpe.round_trip(docs).collect()
     assert len(out) == len(TEXTS) and all(r["lossless"] for r in out)
-    back = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs.select("doc_id", "text").withColumn("kept", F.col("text"))))
-    assert all(r["text"] == (r["kept"] or "") for r in back.collect())
+    encoded = sentencepiece_bpe.encode(docs.withColumn("kept", F.col("text")))
+    assert encoded.columns == [*docs.columns, "kept", "ids"]
+    assert all(r["text"] == (r["kept"] or "") for r in sentencepiece_bpe.decode(encoded).collect())
+    odd = plain.decode(np.array([sp.piece_to_id("ent"), 10**6, -1, *plain.byte_ids[[0xC3, 0x28]]]), np.array([0, 3, 5]))
+    assert odd == ["ent", "\ufffd("]
+    long = " the  station\n" * 50_000 + "é" * 3000
+    ids, bounds = model.encode([long])
+    assert model.decode(ids, bounds) == [long]
     assert sentencepiece_bpe.round_trip(none).count() == 0
 
 
