@@ -38,6 +38,11 @@ def lifecycle(seen: DataFrame) -> DataFrame:
     return per.withColumn("status", status).drop("gap", "last_run")
 
 
+def oldest_open(state: DataFrame, n: int) -> DataFrame:
+    """The n oldest findings of a lifecycle state that are open."""
+    return state.where(F.col("status").isin("new", "persistent", "recurring")).orderBy("first_seen", "signal_id").limit(n)
+
+
 def advance(state: DataFrame, current: DataFrame, run: int) -> DataFrame:
     """The lifecycle state after one more run: state(signal_id, first_seen, last_seen, runs, status), current(signal_id)."""
     now = current.select("signal_id").distinct().withColumn("here", F.lit(True))

@@ -116,17 +116,18 @@ def gates(interpreted: DataFrame, scores: DataFrame, by: list[str], fail_on: lis
     return scores.join(hit, by, "left").select(*by, code.alias("exit_code"))
 
 
-def contributors(interpreted: DataFrame) -> DataFrame:
-    """What costs how much: groups by dimension, check, kind and cause with penalty and the gain of mending them."""
+def contributors(interpreted: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What costs how much: groups by dimension, check and kind with penalty and the gain of mending them, over everything or for each key."""
+    by = by or []
     spark = interpreted.sparkSession
     checks = spark.createDataFrame([(n, d) for n, (d, _, _) in REGISTRY.items()], "collector_id string, dimension string")
     sizes = checks.groupBy("dimension").agg(F.count("*").alias("checks"))
     weights = spark.createDataFrame(list(WEIGHTS.items()), "dimension string, weight double")
     rank = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
-    grouped = interpreted.join(F.broadcast(checks.join(sizes, "dimension").join(weights, "dimension")), "collector_id").groupBy("dimension", "collector_id", "signal_type", "checks", "weight").agg(
+    grouped = interpreted.join(F.broadcast(checks.join(sizes, "dimension").join(weights, "dimension")), "collector_id").groupBy(*by, "dimension", "collector_id", "signal_type", "checks", "weight").agg(
         F.count("*").alias("signals"), F.countDistinct("uri").alias("documents"), F.sum("penalty").alias("penalty"), F.max_by("severity", F.element_at(rank, F.col("severity"))).alias("severity")
     )
-    total = F.sum("penalty").over(Window.partitionBy("collector_id"))
+    total = F.sum("penalty").over(Window.partitionBy(*by, "collector_id"))
     gain = F.greatest(F.lit(0), 100 - F.greatest(F.lit(0), total - F.col("penalty"))) - F.greatest(F.lit(0), 100 - total)
     return grouped.withColumn("collector_gain", gain).withColumn("score_gain", F.round(F.col("collector_gain") / F.col("checks") * F.col("weight"), 6)).drop("checks", "weight")
 

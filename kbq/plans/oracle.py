@@ -85,17 +85,18 @@ PARTS |= {
 }
 
 
-def sql(select: str) -> str:
-    """select with a WITH clause of the parts it names, directly or through others."""
+def sql(select: str, instead: dict[str, str] | None = None) -> str:
+    """select with a WITH clause of the parts it names, directly or through others. instead: parts to put in place of those of the same name."""
+    parts = PARTS | (instead or {})
     needed: set[str] = set()
     todo = [select]
     while todo:
         text = todo.pop()
-        for name in PARTS:
+        for name in parts:
             if name not in needed and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b|\({name}\b", text):
                 needed.add(name)
-                todo.append(PARTS[name])
+                todo.append(parts[name])
     if not needed:
         return select
-    listed = ",\n".join(f"{name} AS MATERIALIZED ({text})" for name, text in PARTS.items() if name in needed)
+    listed = ",\n".join(f"{name} AS MATERIALIZED ({text})" for name, text in parts.items() if name in needed)
     return f"WITH {listed}\n{select}"

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbq.plans import checks, scores, work
+from kbq.plans import checks, runs, scores, work
 
-_MODULES = [checks, scores, work]
+_MODULES = [checks, scores, work, runs]
 
 
 def queries() -> dict:
