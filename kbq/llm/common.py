@@ -28,14 +28,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. A lost executor never loses it."""
-    return read_back(df.sparkSession, write_scratch(df, name, partition_by), df.schema)
+    return read_back(df.sparkSession, write_scratch(df, name, partition_by, compression), df.schema)
 
 
-def write_scratch(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> str:
+def write_scratch(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), compression: str = "snappy") -> str:
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", compression).parquet(path)
     return path
 
 

@@ -8,8 +8,8 @@ repeated window's block is met by a rolling probe of b words at the other place.
    sorted and freed of repeats in each task, so a passage that millions of documents share costs one entry a task. A
    bucket's task finds which blocks' words occur in more than one place.
 2. Documents with such blocks extend the hits to both sides: every window over a hit block is looked up over the corpus
-   by its words' fingerprint of 128 bits (two independent rolling hashes; among 10^13 windows two unequal ones share
-   theirs with a chance of about 10^-12). Windows that repeat within a batch are settled there and travel once, whatever
+   by its words' fingerprint of 96 bits (from two independent rolling hashes; the chance that any two unequal ones of
+   10^13 windows share theirs is below one in a thousand). Windows that repeat within a batch are settled there and travel once, whatever
    their number. Runs of repeated windows are the maximal exact repeats; their words are removed.
 
 Documents are known by two hashes of (doc_id, text), so a null or repeated doc_id loses no row: rows that are wholly
@@ -117,8 +117,14 @@ def _runs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
 
 
+#: A fingerprint as it travels.
+_PAIR = np.dtype([("first", "<u8"), ("second", "<u4")])
+
+
 def _both(first: np.ndarray, second: np.ndarray) -> bytes:
-    return np.stack([first, second], axis=1).tobytes()
+    out = np.empty(len(first), _PAIR)
+    out["first"], out["second"] = first, second.astype(np.uint32)
+    return out.tobytes()
 
 
 def repeated_windows(hit: DataFrame, window: int, block: int) -> DataFrame:
@@ -171,15 +177,15 @@ def repeated_windows(hit: DataFrame, window: int, block: int) -> DataFrame:
             digests, owners, packed_rows, packed_starts = (rows.column(c).to_pylist() for c in ("hash", "shard", "row", "start"))
             settled = [i for i, d in enumerate(digests) if not d and packed_rows[i]]
             open_ = [i for i, d in enumerate(digests) if d]
-            pairs, twice = (np.frombuffer(b"".join(x), np.uint64).reshape(-1, 2) for x in (digests, [t or b"" for t in rows.column("twice").to_pylist()]))
+            pairs, twice = (np.frombuffer(b"".join(x), _PAIR) for x in (digests, [t or b"" for t in rows.column("twice").to_pylist()]))
             every = np.concatenate([pairs, twice])
-            order, begins = _runs(every[:, 0], every[:, 1])
+            order, begins = _runs(every["first"], every["second"])
             weight = np.concatenate([np.ones(len(pairs), np.int64), np.full(len(twice), 2)])[order]
             again = np.zeros(len(every), bool)
             if len(order):
                 again[order] = np.repeat(np.add.reduceat(weight, begins) > 1, np.diff(np.concatenate([begins, [len(order)]])))
             again = again[: len(pairs)]
-            shard = np.repeat(np.array([owners[i] for i in open_], np.int64), [len(digests[i]) // 16 for i in open_])[again]
+            shard = np.repeat(np.array([owners[i] for i in open_], np.int64), [len(digests[i]) // _PAIR.itemsize for i in open_])[again]
             row, start = unpack_ints([packed_rows[i] for i in open_], True)[again], unpack_ints([packed_starts[i] for i in open_])[again]
             by = np.lexsort((row, shard))
             shard, row, start = shard[by], row[by], start[by]
@@ -228,7 +234,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) ->
                 yield pa.RecordBatch.from_pydict(out | {"done": pa.array([not going] * size, pa.bool_())})
 
     joined = keyed.join(blocks, ["k1", "k2"], "left").select("doc_id", "text", "blocks", F.spark_partition_id().cast("long").alias("core"))
-    passed = materialise(joined.mapInArrow(tidy(first_pass), f"{_RESULT}, text string, blocks array<int>, shard long, place int, done boolean"), "repeats", ("done",))
+    passed = materialise(joined.mapInArrow(tidy(first_pass), f"{_RESULT}, text string, blocks array<int>, shard long, place int, done boolean"), "repeats", ("done",), "zstd")
     going = passed.where("not done").select("doc_id", "text", "blocks", "shard", "place")
     starts = repeated_windows(going.select("text", "blocks", "shard", "place"), window, block)
 
