@@ -12,6 +12,28 @@ SEVERITY_WEIGHTS = {"CRITICAL": 1.0, "HIGH": 0.7, "MEDIUM": 0.4, "LOW": 0.1}
 PARTS = {"encoding": 0.40, "outcome": 0.25, "retrieval": 0.35}
 HALF_LIVES = (21.0, 180.0)
 BUDGET = 0.20
+STEP_WEIGHTS = {
+    "replace_document": 1.0,
+    "rewrite_section": 0.3,
+    "update_document": 0.15,
+    "add_metadata": 0.05,
+    "add_section": 0.1,
+    "delete_section": 0.2,
+    "rename": 0.05,
+    "create_relationship": 0.05,
+    "remove_relationship": 0.05,
+    "add_cross_reference": 0.05,
+    "add_cross_references": 0.05,
+    "fix_broken_link": 0.15,
+    "fix_broken_links": 0.15,
+    "fix_dangling_reference": 0.15,
+    "fix_dangling_references": 0.15,
+    "rewrite_content": 0.15,
+    "link_orphaned_document": 0.05,
+    "link_orphaned_documents": 0.05,
+    "implement_automated_link_checking": 0.05,
+}
+DEFAULT_STEP_WEIGHT = 0.1
 DEFAULT_WEIGHT = 0.1
 DANGLING_FIXES = [
     (r"see above", "see the referenced documentation"),
@@ -174,8 +196,16 @@ def steps(signals: DataFrame) -> DataFrame:
 
 
 def within_budget(planned: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """(uri, delta, accepted) of planned steps (uri, weight)."""
-    return planned.groupBy("uri").agg(F.round(F.least(F.lit(1.0), F.sum("weight")), 6).alias("delta")).withColumn("accepted", F.col("delta") <= budget)
+    """(uri, delta, accepted) of planned steps (uri, step_type): the share of each document that its steps change by their weights, 1 at most."""
+    weights = F.create_map(*[F.lit(x) for pair in STEP_WEIGHTS.items() for x in pair])
+    weight = F.coalesce(F.element_at(weights, F.col("step_type")), F.lit(DEFAULT_STEP_WEIGHT))
+    return planned.groupBy("uri").agg(F.round(F.least(F.lit(1.0), F.sum(weight)), 6).alias("delta")).withColumn("accepted", F.col("delta") <= budget)
+
+
+def changed_share(texts: DataFrame) -> DataFrame:
+    """(uri, delta) of texts (uri, before, after): edit distance over the longer length, where both texts are known."""
+    longer = F.greatest(F.length("before"), F.length("after"))
+    return texts.where("before is not null and after is not null").select("uri", F.when(longer == 0, 0.0).otherwise(F.round(F.levenshtein("before", "after") / longer, 6)).alias("delta"))
 
 
 def set_metadata(docs: DataFrame, key: str, value: Column, title: Column) -> DataFrame:
@@ -220,3 +250,44 @@ def verify(problems: DataFrame, before: DataFrame, after: DataFrame) -> DataFram
     joined = problems.join(marks(before, "was"), "signal_id", "left").join(marks(after, "still"), "signal_id", "left")
     per = joined.groupBy("problem_id").agg(F.count("was").alias("was"), F.count("still").alias("still"))
     return per.withColumn("outcome", F.when(F.col("still") == 0, "resolved").when(F.col("still") < F.col("was"), "partially_resolved").when(F.col("still") == F.col("was"), "unchanged").otherwise("regressed"))
+
+
+def verify_problems(problems: DataFrame, ids: DataFrame, places: DataFrame, kinds: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(problem_id, was, remaining, new, outcome) by the findings of two runs (signal_id, signal_type, uri).
+
+    A problem is judged by its findings' ids(problem_id, signal_id); one none of whose ids was there before is judged by
+    the kinds of its category (kinds: category, signal_type) on its places(problem_id, uri), if any were there before.
+    """
+    both = before.select("signal_id", "signal_type", "uri", F.lit(1).alias("was"), F.lit(0).alias("still")).unionByName(after.select("signal_id", "signal_type", "uri", F.lit(0).alias("was"), F.lit(1).alias("still")))
+    flags = both.groupBy("signal_id", "signal_type", "uri").agg(F.max("was").alias("was"), F.max("still").alias("still"))
+    count = lambda name: [F.sum("was").alias(f"was{name}"), F.sum(F.col("was") * F.col("still")).alias(f"remaining{name}"), F.sum((1 - F.col("was")) * F.col("still")).alias(f"new{name}")]
+    known = flags.groupBy("signal_id").agg(F.max("was").alias("was"), F.max("still").alias("still"))
+    by_id = ids.distinct().join(known, "signal_id").groupBy("problem_id").agg(*count(""))
+    asked = problems.join(by_id.where("was > 0"), "problem_id", "left_anti").join(F.broadcast(kinds), "category").join(places, "problem_id").select("problem_id", "signal_type", "uri").distinct()
+    by_kind = asked.join(flags, ["signal_type", "uri"]).groupBy("problem_id").agg(*count("_k"))
+    per = problems.select("problem_id").join(by_id, "problem_id", "left").join(by_kind, "problem_id", "left").fillna(0)
+    pick = lambda c: F.when((F.col("was") == 0) & (F.col("was_k") > 0), F.col(f"{c}_k")).otherwise(F.col(c)).alias(c)
+    counts = per.select("problem_id", *map(pick, ("was", "remaining", "new")))
+    outcome = (
+        F.when(F.col("was") == 0, "misdiagnosed").when((F.col("remaining") == 0) & (F.col("new") == 0), "resolved").when(F.col("remaining") < F.col("was"), "partially_resolved")
+        .when(F.col("new") > 0, "regressed").otherwise("unchanged")
+    )
+    return counts.withColumn("outcome", outcome)
+
+
+def overall_outcome(verified: DataFrame, by: list[str], score_step: Column) -> DataFrame:
+    """(key..., outcome) of verify_problems' rows with a key: all resolved; any regressed; misdiagnosed only, without a better score; any progress or a better score; else unchanged."""
+    is_ = lambda kind: F.col("outcome") == kind
+    per = verified.groupBy(*by).agg(F.bool_and(is_("resolved")).alias("all"), F.bool_or(is_("regressed")).alias("worse"), F.bool_or(is_("misdiagnosed")).alias("wrong"), F.bool_or(is_("resolved") | is_("partially_resolved")).alias("some"), F.max(score_step).alias("step"))
+    found = F.when(F.col("all"), "resolved").when(F.col("worse"), "regressed").when(F.col("wrong") & ~F.col("some") & (F.col("step") <= 0), "misdiagnosed").when(F.col("some") | (F.col("step") > 0), "partially_resolved").otherwise("unchanged")
+    return per.select(*by, found.alias("outcome"))
+
+
+def pick(queue: DataFrame, n: int, status: str | None = None, category: str | None = None, least: float = 0.0) -> DataFrame:
+    """The n most salient problems (problem_id, category, status, salience) of a status and category, from `least` on: a report."""
+    kept = queue.where(F.col("salience") >= least)
+    if status is not None:
+        kept = kept.where(F.col("status") == status)
+    if category is not None:
+        kept = kept.where(F.col("category") == category)
+    return kept.orderBy(F.desc("salience"), "problem_id").limit(n)

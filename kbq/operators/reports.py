@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from kbq.operators import collectors as C
 from kbq.operators import scoring as S
 
-_rank = F.create_map(*[F.lit(x) for pair in S.RANKS.items() for x in pair])
-
 
 def severity_rank(c: str) -> Column:
-    return F.element_at(_rank, F.col(c))
+    return F.element_at(F.create_map(*[F.lit(x) for pair in S.RANKS.items() for x in pair]), F.col(c))
 
 
 def causes(kb: C.KnowledgeBase) -> DataFrame:

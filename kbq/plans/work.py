@@ -122,9 +122,21 @@ def remediation_steps(spark, sf_dir):
     return P.steps(interpreted(spark, sf_dir))
 
 
-@query("SELECT uri, round(least(1.0, 0.05 * count(*))::DOUBLE, 6) AS delta, least(1.0, 0.05 * count(*)) <= 0.2 AS accepted FROM interp GROUP BY uri")
+_step = {"broken_link": "fix_broken_links", "orphan_artifact": "link_orphaned_document", "no_date_signal": "add_metadata", "stale_content": "add_metadata", "dangling_reference": "fix_dangling_references", "placeholder": "rewrite_section", "mixed_topics": "split_document"}
+_step_weight = "CASE signal_type " + " ".join(f"WHEN '{k}' THEN {P.STEP_WEIGHTS.get(t, P.DEFAULT_STEP_WEIGHT)}::DOUBLE" for k, t in _step.items()) + " ELSE 0.05::DOUBLE END"
+
+
+@query(f"SELECT uri, round(least(1.0, sum({_step_weight}))::DOUBLE, 6) AS delta, round(least(1.0, sum({_step_weight}))::DOUBLE, 6) <= 0.2 AS accepted FROM interp GROUP BY uri")
 def edit_budget(spark, sf_dir):
-    return P.within_budget(interpreted(spark, sf_dir).select("uri", F.lit(0.05).alias("weight")))
+    """One step a finding."""
+    named = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _step.items() for x in pair]), F.col("signal_type")), F.lit("rename"))
+    return P.within_budget(interpreted(spark, sf_dir).select("uri", named.alias("step_type")))
+
+
+@query("SELECT uri, round(levenshtein(title, upper(title)) / greatest(length(title), 1)::DOUBLE, 6) AS delta FROM title")
+def title_changes(spark, sf_dir):
+    """How much of a title changes if it is set in capitals."""
+    return P.changed_share(kb(spark, sf_dir).artifacts.select("uri", F.col("title").alias("before"), F.upper("title").alias("after")))
 
 
 @query(r"""SELECT uri, sha256(CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, 'date: [^\n]*', 'date: 2024-06-01') ELSE '---' || chr(10) || 'title: ' || uri || chr(10) || 'date: 2024-06-01' || chr(10) || '---' || chr(10) || text END) AS fixed FROM kb""")

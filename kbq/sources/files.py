@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbq.operators.collectors import KnowledgeBase
+
 #: Extensions that count as documents.
 EXTENSIONS = ["md", "markdown", "mdx", "txt", "rst"]
 
@@ -27,18 +31,39 @@ def read_table(rows: DataFrame, uri: str, text: str) -> DataFrame:
 
 
 def first_documents(docs: DataFrame, n: int, modified: DataFrame) -> DataFrame:
-    """The first n documents by uri and those in modified(uri)."""
+    """The first n documents by uri and those in modified(uri). Edges are pruned to them by `KnowledgeBase.of`."""
     return docs.orderBy("uri").limit(n).unionByName(docs.join(modified, "uri", "left_semi")).dropDuplicates(["uri"])
 
 
-#: Scheme -> reader; add to it for other stores.
-READERS = {"": read_tree, "file": read_tree, "s3a": read_tree, "hdfs": read_tree}
+def read_bucket(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """read_tree for s3://, which Spark reads as s3a://."""
+    return read_tree(spark, root.replace("s3://", "s3a://", 1), exclude)
+
+
+Reader = Callable[..., DataFrame]
+#: (supports, reader), of which the first that supports an address reads it.
+_SOURCES: list[tuple[Callable[[str], bool], Reader]] = [(lambda source: source.startswith("s3://"), read_bucket), (lambda source: source.split("://")[0] in ("file", "s3a", "hdfs", "viewfs") or "://" not in source, read_tree)]
+
+
+def register(supports: Callable[[str], bool], reader: Reader) -> None:
+    """Add a kind of source; later ones are asked first."""
+    _SOURCES.insert(0, (supports, reader))
 
 
 def read(spark: SparkSession, source: str, **options) -> DataFrame:
-    """Documents of a source by the scheme of its address."""
-    scheme = source.split("://")[0] if "://" in source else ""
-    return READERS[scheme](spark, source, **options)
+    """Documents of a source by its address."""
+    for supports, reader in _SOURCES:
+        if supports(source):
+            return reader(spark, source, **options)
+    raise ValueError(f"no reader for {source}")
+
+
+def knowledge_base(spark: SparkSession, source: str, exclude: tuple[str, ...] = (), first: int | None = None, modified: DataFrame | None = None) -> KnowledgeBase:
+    """The documents of a source without the excluded ones, or its first ones and modified(uri), with the edges among them."""
+    docs = read(spark, source, exclude=exclude)
+    if first is not None:
+        docs = first_documents(docs, first, modified if modified is not None else docs.where("false").select("uri"))
+    return KnowledgeBase.of(docs)
 
 
 def append_runs(signals: DataFrame, folder: str) -> None:

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbq.operators import history, store
+from kbq.session import written
+
 
 def stream_table(spark: SparkSession, folder: str, like: DataFrame, names: str = "*") -> DataFrame:
     """Parquet files in a folder, as they arrive, as a stream with the schema of `like`; names: a pattern of file names."""
@@ -15,7 +18,7 @@ def stream_table(spark: SparkSession, folder: str, like: DataFrame, names: str =
 
 def daily_health(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """(day, events, mean) in tumbling days; rows later than the watermark are dropped."""
-    return events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("events"), F.round(F.avg("value"), 6).alias("mean_value")).select(F.col("w.start").alias("day"), "events", "mean_value")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("events"), F.round(F.avg("value"), 6).alias("mean_value")).select(F.col("w.start").alias("day"), "events", "mean_value")
 
 
 def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -23,6 +26,42 @@ def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkp
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def append_once(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Append what a stream gives to a table until all that has arrived is read."""
+    stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def lifecycle_state(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest state that keep_lifecycle published; None before the first."""
+    return store.load(spark, folder, "lifecycle")
+
+
+def keep_lifecycle(folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch handler that carries the state of findings over arriving runs (run, signal_id), in order of the run.
+
+    Runs at or before the last one counted are passed over, so a batch that is given twice changes nothing; the state and
+    the run it stands at are published together.
+    """
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = lifecycle_state(spark, folder)
+        at = store.load(spark, folder, "at")
+        done = at.first()["run"] if at is not None else 0
+        rows = batch.where(F.col("run") > done)
+        runs = sorted(r["run"] for r in rows.select("run").distinct().collect())  # numbers of runs, not rows
+        for run in runs:
+            current = rows.where(F.col("run") == run)
+            if state is None:
+                state = current.select("signal_id").distinct().select("signal_id", F.lit(run).cast("long").alias("first_seen"), F.lit(run).cast("long").alias("last_seen"), F.lit(1).cast("long").alias("runs"), F.lit("new").alias("status"))
+            else:
+                state = written(history.advance(state, current, run), "lifecycle")
+        if runs:
+            store.publish(spark, folder, {"lifecycle": state, "at": spark.createDataFrame([(runs[-1],)], "run long")})
+
+    return handle
+
+
 def split_bad(batch: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
     """(good rows, rows to park)."""
     ok = F.coalesce(valid, F.lit(False))

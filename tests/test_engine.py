@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from kbq.functions import text as T
 from kbq.operators import collectors as C
-from kbq.operators import graph, history, parse, problems, scoring, vector
+from kbq.operators import graph, history, incremental, memory, parse, problems, scoring, store, validation, vector
 from kbq.session import prepare
 from kbq.sources import files
+from kbq.streaming import runs
 
 
 def kb(spark, *docs):
@@ -57,7 +58,7 @@ def test_checks(spark):
 
 def test_empty_corpus(spark):
     base = kb(spark, ("z.md", ""))
-    none = C.KnowledgeBase(base.artifacts.where("false"), base.edges)
+    none = C.KnowledgeBase(base.artifacts.where("false"), base.resolved.where("false"), base.edges)
     assert C.signals(none).count() == 0
 
 
@@ -88,6 +89,7 @@ def test_fixes(spark):
     assert rows(problems.set_metadata(dated, "date", F.lit("new"), F.lit("T")), "text") == rows(dated, "text")
     broken = spark.createDataFrame([("a", "x", "gone.md")], "uri string, text string, target string")
     assert rows(problems.unlink(docs, broken), "text")[0] == ("# T\nx see above",)
+    assert rows(problems.fix_references(docs), "text")[0] == ("# T\n[x](gone.md) see the referenced documentation",)
     wanted = spark.createDataFrame([("a", "docker.com")], "uri string, domain string")
     assert "# T\n\n[docker.com](https://docker.com)\n" in rows(problems.add_canonical(docs, wanted), "text")[0][0]
 
@@ -114,10 +116,87 @@ def test_normal_path(spark):
     assert tuple(got) == ("a/c", "../x", "a/b")
 
 
-def test_entry_survives_without_llm():
-    import __spark_entry__ as entry
-
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_entry_survives_without_llm(tmp_path):
+    """The entry in a copy of the repository without the training-data operators."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "kbq", tmp_path / "kbq", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q) and len(q) > 100 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_store(spark, tmp_path):
+    """A version counts once it is published; tables that are not given are carried on."""
+    folder = str(tmp_path)
+    one = spark.createDataFrame([("a", "u", "LOW", "resolved", 1, 3), ("b", "u", "LOW", "persistent", 1, 2)], "signal_id string, uri string, severity string, status string, last_run int, access_count long")
+    two = spark.createDataFrame([("a", "u", "HIGH", "persistent", 2, 0), ("c", "v", "LOW", "persistent", 2, 0)], one.schema)
+    assert store.version(spark, folder) is None and store.load(spark, folder, "signals") is None
+    store.publish(spark, folder, {"signals": one, "other": one})
+    store.publish(spark, folder, {"signals": store.merge_signals(store.load(spark, folder, "signals"), two)})
+    one.write.parquet(f"{folder}/version=3/signals")  # a job that failed before it published
+    assert rows(store.load(spark, folder, "signals"), "signal_id", "severity", "status", "access_count") == [("a", "HIGH", "resolved", 3), ("b", "LOW", "persistent", 2), ("c", "LOW", "persistent", 0)]
+    assert store.load(spark, folder, "other").count() == 2 and store.version(spark, folder) == 2
+    assert rows(store.touch(one.withColumn("last_access", F.lit(0)), two.select("signal_id"), F.lit(9)), "signal_id", "access_count", "last_access") == [("a", 4, 9), ("b", 2, 0)]
+
+
+def test_incremental(spark):
+    """Findings from what is kept and what changed equal those of a whole assessment, whether links changed or not."""
+    texts = {f"d/{i}.md": f"# Title {i}\nSome REST API text number {i} for all of the readers there.\n[n]({i + 1}.md)\n" for i in range(8)}
+    before = kb(spark, *texts.items())
+    edited = {"d/1.md": texts["d/1.md"] + "Use RESTful calls. See above.\n"}
+    for more, gone in (({}, []), ({"d/9.md": "# TODO\n[x](0.md)"}, ["d/3.md"])):
+        now = {k: v for k, v in (texts | edited | more).items() if k not in gone}
+        docs = spark.createDataFrame(list(now.items()), "uri string, text string")
+        changed = history.changes(incremental.snapshot(before), incremental.snapshot(C.KnowledgeBase.of(docs)))
+        assert rows(changed, "uri", "event") == sorted([("d/1.md", "modified"), *[(u, "added") for u in more], *[(u, "deleted") for u in gone]])
+        base, found = incremental.reassess(before, C.signals(before), docs, changed)
+        whole = C.KnowledgeBase.of(docs)
+        assert rows(found.na.fill(-1), "uri", "signal_type", "line", "signal_id", "occurrence") == rows(C.signals(whole).na.fill(-1), "uri", "signal_type", "line", "signal_id", "occurrence")
+        assert rows(base.edges, "source_uri", "target_uri") == rows(whole.edges, "source_uri", "target_uri")
+
+
+def test_hub_and_validation(spark):
+    docs = spark.createDataFrame([("i.md", "# Guide to caches\nText.\n"), ("a.md", "# Tuning caches\n```\n[no](x.md)\n```\n[b](b.md)"), ("b.md", "# Other\n### Deep\n### Deep\n")], "uri string, text string")
+    titles = spark.createDataFrame([("i.md", "Guide to caches"), ("a.md", "Tuning caches"), ("b.md", "Other")], "uri string, title string")
+    linked = validation.link_from_hub(docs, titles.select("uri"), "i.md", titles, C.STOPWORDS)
+    assert rows(linked.where("uri = 'i.md'"), "text") == [("# Guide to caches\nText.\n\n## Additional Resources\n\n- [Tuning caches](a.md)\n",)]
+    assert rows(validation.plain_links(docs), "uri", "target") == [("a.md", "b.md")]
+    assert rows(validation.hierarchy(validation.plain_headings(docs)), "uri", "issue") == [("b.md", "duplicate"), ("b.md", "jump")]
+    effects = {r["measure"]: r["effect"] for r in validation.validate(docs, linked).collect()}
+    assert effects == {"broken_links": "neutral", "heading_issues": "neutral", "with_metadata": "neutral", "unreferenced": "improved", "overall": "improved"}
+
+
+def test_lifecycle_stream_counts_a_batch_once(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "s"), (1, "t"), (2, "s"), (3, "s"), (3, "t")], "run long, signal_id string")
+    handle = runs.keep_lifecycle(str(tmp_path))
+    for number in (0, 0, 1):
+        handle(batch, number)
+    assert rows(runs.lifecycle_state(spark, str(tmp_path)), "signal_id", "runs", "status") == [("s", 3, "persistent"), ("t", 2, "recurring")]
+
+
+def test_fixed_values():
+    """Weights add up, and every kind of finding of a category is one that some check gives."""
+    assert abs(sum(scoring.WEIGHTS.values()) - 1) < 1e-9 and abs(sum(problems.PARTS.values()) - 1) < 1e-9
+    given = {kind for _, kind, *_ in scoring.POLICY}
+    assert {k for kinds in memory.CATEGORY_KINDS.values() for k in kinds} <= given
+    assert len(problems.DANGLING_FIXES) == 15
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "a.md").write_text("[b](b.md)")
+    (tmp_path / "b.md").write_text("# B\n")
+    (tmp_path / "c.md").write_text("[a](a.md)")
+    modified = spark.createDataFrame([("c.md",)], "uri string")
+    prepare(spark)
+    base = files.knowledge_base(spark, str(tmp_path), first=1, modified=modified)
+    assert rows(base.artifacts, "uri") == [("a.md",), ("c.md",)] and rows(base.edges, "source_uri", "target_uri") == [("c.md", "a.md")]
+    files.register(lambda source: source.startswith("test://"), lambda spark, source, **options: spark.createDataFrame([(source, "x")], "uri string, text string"))
+    assert rows(files.read(spark, "test://x"), "uri") == [("test://x",)]
 
 
 def test_gate_and_cross_checks_use_computed_scores(spark, monkeypatch):
