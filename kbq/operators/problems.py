@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,6 +167,20 @@ def synthesis(clustered: DataFrame, ranked: DataFrame) -> DataFrame:
     return per.withColumn("strategy", strategy)
 
 
+#: Further rules by name: functions of findings and the corpus's score that give (rule, fires).
+CUSTOM_RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+
+
+def cross_check(name: str):
+    """Register a rule of one's own, which cross_checks then runs too."""
+
+    def add(f: Callable[[DataFrame, DataFrame], DataFrame]):
+        CUSTOM_RULES[name] = f
+        return f
+
+    return add
+
+
 def cross_checks(signals: DataFrame, score: DataFrame) -> DataFrame:
     """(rule, fires): five rules over the counts of findings and over documents that have two kinds at once. score: one row with the corpus's `connectivity`."""
     n = lambda kind: F.count_if(F.col("signal_type") == kind)
@@ -184,7 +200,10 @@ def cross_checks(signals: DataFrame, score: DataFrame) -> DataFrame:
         "terminology_contradiction": (F.col("terminology_variant") >= 2) & (F.col("contradiction") >= 1),
     }
     rows = F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(c, F.lit(False)).alias("fires")) for k, c in rules.items()])
-    return one.crossJoin(F.broadcast(score.select("connectivity"))).select(F.explode(rows).alias("r")).select("r.*")
+    found = one.crossJoin(F.broadcast(score.select("connectivity"))).select(F.explode(rows).alias("r")).select("r.*")  # one row each
+    for rule in CUSTOM_RULES.values():
+        found = found.unionByName(rule(signals, score).select("rule", "fires"))
+    return found
 
 
 def steps(signals: DataFrame) -> DataFrame:

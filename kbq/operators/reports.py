@@ -86,6 +86,17 @@ def explanation(scorecard: DataFrame, contributors: DataFrame, by: list[str]) ->
     )
 
 
+def collector_metrics(known: DataFrame, interpreted: DataFrame) -> DataFrame:
+    """(collector_id, metric, value): of every registered check its findings, the documents that have one, their share of all, and the findings of each severity."""
+    spark = known.sparkSession
+    checks = spark.createDataFrame([(name,) for name in C.REGISTRY], "collector_id string")
+    per = interpreted.groupBy("collector_id").agg(F.count("*").alias("findings"), F.countDistinct("uri").alias("documents"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in S.RANKS])
+    total = known.agg(F.count("*").alias("total"))
+    wide = checks.join(per, "collector_id", "left").fillna(0).crossJoin(F.broadcast(total))  # one row
+    values = {"findings": F.col("findings"), "documents": F.col("documents"), "share": F.when(F.col("total") > 0, F.round(F.col("documents") / F.col("total"), 6)).otherwise(0.0)} | {s.lower(): F.col(s.lower()) for s in S.RANKS}
+    return wide.select("collector_id", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])).alias("m")).select("collector_id", "m.*")
+
+
 def examples(interpreted: DataFrame, limits: dict[str, int]) -> DataFrame:
     """(severity, r, uri, collector_id, signal_type): of each severity as many examples as its limit says."""
     w = Window.partitionBy("severity").orderBy("uri", "collector_id", "signal_type", "signal_id", "occurrence")

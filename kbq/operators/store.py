@@ -96,6 +96,11 @@ def latest(rows: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(by), tie).limit(n)
 
 
+def append_log(rows: DataFrame, folder: str) -> None:
+    """Add rows (skip events, decision traces, outcomes) to a log; rows are never changed."""
+    rows.write.mode("append").parquet(folder)
+
+
 def with_previous(assessments: DataFrame, source: str = "source") -> DataFrame:
     """assessments (assessment_id, source, created_at) with `previous`, the id of the one before of the same source, and `back`, 1 for the newest. One row a run: a source's runs fit one task."""
     w = Window.partitionBy(source)

@@ -280,6 +280,22 @@ def documents_with_signals(spark, sf_dir):
     return R.documents_with_signals(kb_docs(spark, sf_dir), interpreted(spark, sf_dir))
 
 
+@query("""SELECT collector_id, unnest(['findings', 'documents', 'share', 'critical', 'high', 'medium', 'low', 'info']) AS metric, unnest([n::DOUBLE, d::DOUBLE, round(d / (SELECT count(*) FROM art), 6)::DOUBLE, c::DOUBLE, h::DOUBLE, m::DOUBLE, l::DOUBLE, 0::DOUBLE]) AS value FROM (
+  SELECT collector_id, count(signal_id) AS n, count(DISTINCT uri) AS d, count(*) FILTER (severity = 'CRITICAL') AS c, count(*) FILTER (severity = 'HIGH') AS h, count(*) FILTER (severity = 'MEDIUM') AS m, count(*) FILTER (severity = 'LOW') AS l FROM chk LEFT JOIN interp USING (collector_id) GROUP BY collector_id)""")
+def collector_metrics(spark, sf_dir):
+    return R.collector_metrics(kb_docs(spark, sf_dir), interpreted(spark, sf_dir))
+
+
+@query("SELECT outcome_id, issue_type, strategy FROM outc ORDER BY created_at DESC, outcome_id LIMIT 20")
+def recent_outcomes(spark, sf_dir):
+    """The report's twenty newest outcomes, from a log written in two parts."""
+    folder = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    rows = outcomes(spark, sf_dir)
+    for part in (0, 1):
+        store.append_log(rows.where(F.crc32("outcome_id") % 2 == part), folder)
+    return store.latest(spark.read.parquet(folder), "created_at", 20, "outcome_id").select("outcome_id", "issue_type", "strategy")
+
+
 _view_parts = {"assessments": "assess", "outcomes": "outc", "traces": "trace", "signals": "vsig", "problems": "vprob"}
 oracle.PARTS |= {
     "vsig": "SELECT signal_id, uri AS artifact_uri, collector_id, signal_type, severity, recommendation, CASE WHEN doc_id % 7 = 0 THEN 'resolved' ELSE 'persistent' END AS status, doc_id % 30 AS last_seen, doc_id % 5 AS access_count FROM interp JOIN (SELECT uri, doc_id FROM kb) USING (uri)",

@@ -179,6 +179,18 @@ def test_lifecycle_stream_counts_a_batch_once(spark, tmp_path):
     assert rows(runs.lifecycle_state(spark, str(tmp_path)), "signal_id", "runs", "status") == [("s", 3, "persistent"), ("t", 2, "recurring")]
 
 
+def test_custom_rule(spark, monkeypatch):
+    monkeypatch.setattr(problems, "CUSTOM_RULES", {})
+
+    @problems.cross_check("many_findings")
+    def many(signals, score):
+        return signals.agg((F.count("*") > 2).alias("fires")).withColumn("rule", F.lit("many_findings"))
+
+    signals = spark.createDataFrame([("c", "k", f"{i}.md") for i in range(3)], "collector_id string, signal_type string, uri string")
+    fired = {r["rule"]: r["fires"] for r in problems.cross_checks(signals, spark.createDataFrame([(100,)], "connectivity int")).collect()}
+    assert len(fired) == 6 and fired["many_findings"] and not fired["navigation_collapse"]
+
+
 def test_fixed_values():
     """Weights add up, and every kind of finding of a category is one that some check gives."""
     assert abs(sum(scoring.WEIGHTS.values()) - 1) < 1e-9 and abs(sum(problems.PARTS.values()) - 1) < 1e-9
