@@ -2,7 +2,11 @@
 
 Quality rules drop rejected documents, SimHash keeps one document of each near-duplicate class, decontamination drops
 documents that repeat the benchmark, secret scans redact what they find, and SentencePiece encodes what is left. Each
-stage works on all that its predecessor kept. Filtering stages return documents' own columns.
+stage works on all that its predecessor kept. All but the last return the columns of documents, whatever their names.
+
+Null and empty texts have no words and are rejected by the quality rules; a stage that meets them nevertheless treats
+nulls as empty texts. Rows with a null doc_id are documents like others. Of wholly repeated rows one is left after the
+near duplicates. Texts of any length are read whole. Empty tables give empty results in every stage.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from kbq.llm.common import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs that the base rules and the certified rules of their language keep. Nulls and texts under ten words go."""
     others = [c for c in docs.columns if c != "doc_id"]
     judged = quality_rules.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=tuple(others))
     named = {c: F.col(f"carry_{c}").alias(c) for c in others} | {"doc_id": F.col("doc_id")}
@@ -22,18 +27,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class: that with the smallest doc_id. Texts without words are one class."""
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those of which benchmark windows cover a twentieth or more. Texts without words stay; so does everything if there is no benchmark."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with secrets in their texts replaced; null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each of docs: its number of tokens, their checksum, and a digest of the decoded text; null texts have no tokens."""
     return sentencepiece_bpe.round_trip(docs)
 
 
