@@ -282,6 +282,59 @@ def test_quality(spark, docs, none):
     assert 0.0029 < quality_rules.upper_bound(0, 1000, 0.05) < 0.0031 and quality_rules.upper_bound(5, 5, 0.1) == 1.0
 
 
+def test_quality_risk(spark):
+    """Seven rules that each lose good documents: together they lose no more than the risk, in every stratum, on documents that were not labelled."""
+    rng = random.Random(11)
+
+    def text(bad):
+        words = [rng.choice(_WORDS) for _ in range(60)]
+        if bad:
+            return " ".join(words) + rng.choice([" $$$ ###" * 20, " !!!!" * 20, " LOUD CRY" * 3 + " LOUD" * 6])
+        return " ".join(words) + (" $" * rng.randint(0, 12) if rng.random() < 0.03 else " !" * rng.randint(0, 12) if rng.random() < 0.03 else "")
+
+    rows = [(i, text(i % 6 == 0), ["en", "de", None][i % 3]) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = docs.where("doc_id < 9000").select("doc_id", (F.col("doc_id") % 6 != 0).cast("int").alias("quality"))
+    judged = [r for r in quality_rules.judge(docs, labels).collect() if not r["base_failed"]]
+    for stratum in ("en", "de", None):
+        good = [r for r in judged if r["stratum"] == stratum and r["doc_id"] % 6]
+        assert sum(not r["kept"] for r in good) <= 0.02 * len(good)
+    bad = [r for r in judged if r["doc_id"] % 6 == 0]
+    assert sum(not r["kept"] for r in bad) > 0.6 * len(bad)
+    for n, k, p in ((40, 3, 0.1), (7, 7, 0.3), (500, 0, 0.01), (1000, 30, 0.02)):
+        from math import comb
+
+        assert abs(quality_rules.binomial_tail(k, n, p)[0] - min(1, sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))) < 1e-9
+
+
+def test_long_texts(spark, tmp_path):
+    """Texts of a megabyte beside short ones, with an empty table's shape for every operator on documents."""
+    rng = random.Random(3)
+    long = " ".join(rng.choice(_WORDS) + str(rng.randint(0, 9999)) for _ in range(120_000))
+    docs = spark.createDataFrame([(1, long, "en"), (2, long + " one more", "en"), (3, "short text", "en"), (4, None, None)], "doc_id long, text string, lang string").repartition(2)
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert near[1] == near[2] == 1 and near[3] == 3
+    gone = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert gone[1] == (120_000, 120_000) and gone[2] == (120_002, 120_000) and gone[3] == (2, 0)
+    item = spark.createDataFrame([("i", " ".join(long.split()[50_000:50_020]))], "item_id string, text string")
+    hits = {r["doc_id"]: r["n_hit"] for r in decontaminate.contaminated(docs, item).collect()}
+    assert hits[1] == hits[2] == 20 and hits[3] == 0
+    judged = {r["doc_id"]: r["n_words"] for r in quality_rules.judge(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()}
+    assert judged == {1: 120_000, 2: 120_002, 3: 2, 4: 0}
+    assert all(r["lossless"] for r in sentencepiece_bpe.round_trip(docs).collect())
+    read = {r["doc_id"]: r["n_tokens"] for r in token_files.read_files(spark, token_files.write_files(docs, f"{tmp_path}/files")).collect()}
+    assert read[2] > read[1] > 120_000 and read[4] == 1
+
+
+def test_hot_groups(spark):
+    """A third of the rows are copies of one text: classes are right and no row is lost."""
+    rows = [(i, "one text that many share here" if i % 3 == 0 else f"text number {i} with words w{i} x{i} y{i} z{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = simhash.near_duplicates(docs)
+    assert found.count() == 3000 and found.where("component_id = 0").count() == 1000
+    assert simhash.keep_one(docs).where("text like 'one text%'").count() == 1
+
+
 def test_quality_counts(docs):
     for r in quality_rules.features(docs, "lang", carry=("text",)).collect():
         t = r["carry_text"] or ""
