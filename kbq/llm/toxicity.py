@@ -1,9 +1,9 @@
 """Toxicity scores: a learned lexicon met by Levenshtein automata, and context windows that tell quotation from abuse.
 
 1. Terms are learned from all labelled training documents: every word whose log odds of standing in a toxic document,
-   and their z-score, reach their bounds. Spark counts and tests all words; those that pass reach the driver, and there
-   are far fewer of them than labelled toxic documents' words (a word needs some fifteen toxic documents to reach the
-   z-score; more than `most_terms` are an error, never a cut). They form a trie.
+   and the root of whose likelihood ratio (a z-score), reach their bounds. Spark counts and tests all words; those that
+   pass reach the driver, and there are far fewer of them than words (one needs several toxic documents and next to no
+   others to reach the z-score; more than `most_terms` are an error, never a cut). They form a trie.
 2. The Levenshtein automaton of a word and the trie are run as one deterministic automaton, whose states are sets of
    (trie node, errors) and are made when first met. Terms of 4 letters and more are found with one error (a letter
    changed, added or lost), shorter ones exactly. Each distinct word of a batch is run once.
@@ -133,16 +133,19 @@ def _document_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(tidy(run), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(train: DataFrame, z: float = 4.0, least_odds: float = 1.5, most_terms: int = 1_000_000) -> dict[str, float]:
+def learn_lexicon(train: DataFrame, z: float = 4.5, least_odds: float = 1.5, most_terms: int = 1_000_000) -> dict[str, float]:
     """Log odds of the words that mark toxic rows: all that reach both bounds. train: text and toxic (0 or 1)."""
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return {}
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    a_not, b_not = F.lit(n_toxic + 1) - a, F.lit(n_clean + 1) - b
-    counted = _document_counts(train).where("toxic > 0").select("word", (F.log(a / a_not) - F.log(b / b_not)).alias("odds"), F.sqrt(1 / a + 1 / a_not + 1 / b + 1 / b_not).alias("error"))
-    found = materialise(counted.where((F.col("odds") >= least_odds) & (F.col("odds") >= F.lit(z) * F.col("error"))).select("word", "odds"), "lexicon")
+    a, b, total = F.col("toxic"), F.col("clean"), n_toxic + n_clean
+    odds = F.log((a + 0.5) / (n_toxic - a + 0.5)) - F.log((b + 0.5) / (n_clean - b + 0.5))
+    share = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    with_it, without = (a + b) / total, (total - a - b) / total
+    ratio = 2 * (share(a, with_it * n_toxic) + share(b, with_it * n_clean) + share(n_toxic - a, without * n_toxic) + share(n_clean - b, without * n_clean))
+    counted = _document_counts(train).where("toxic > 0").select("word", odds.alias("odds"), ratio.alias("ratio"))
+    found = materialise(counted.where((F.col("odds") >= least_odds) & (F.col("ratio") >= z * z)).select("word", "odds"), "lexicon")
     if (n := found.count()) > most_terms:
         raise ValueError(f"{n} words reach the bounds; raise z")
     return {r["word"]: r["odds"] for r in found.orderBy("word").collect()}

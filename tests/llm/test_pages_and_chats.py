@@ -25,6 +25,26 @@ def test_chats(spark):
     assert chat_format.format_chats(chats.where("false")).count() == 0
 
 
+def test_long_chats(spark):
+    """A turn of a megabyte and a conversation of many turns."""
+    long = "word <|im_end|> " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, ["user", "assistant"][i % 2], f"turn {i}") for i in range(2000)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_chats(chats)).collect()}
+    assert got[1]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest() and got[2]["n_turns"] == 2000
+
+
+def test_toxicity_keeps_every_term(spark):
+    """Rare terms reach the bounds by their counts alone, however many there are; long texts are read whole."""
+    rows = [(i, f"a quite plain note about thing{i % 50}" + (f" badword{i % 40}x" if i % 2 else ""), i % 2) for i in range(4000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    train = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int")
+    assert {w for w in toxicity.learn_lexicon(train) if w.startswith("bad")} == {f"badword{k}x" for k in range(1, 40, 2)}
+    long = docs.limit(0).union(spark.createDataFrame([(9000, "plain " * 200_000 + "badword1x " * 30)], docs.schema)).union(docs)
+    got = {r["doc_id"]: r["n_hits"] for r in toxicity.score(long, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()}
+    assert got[9000] == 30
+
+
 def test_token_mask():
     offsets = np.array([(0, 2), (2, 5), (5, 5), (5, 9), (9, 12)])
     assert chat_format.token_mask(offsets, [(3, 6), (6, 6), (9, 10)]).tolist() == [False, True, True, True, True]
