@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbq.llm import chat_format, decontaminate, html_extract, merkle, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup, token_files, toxicity
+from kbq.llm import chat_format, decontaminate, embedding_dups, html_extract, merkle, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup, token_files, toxicity, whitening
 
-_MODULES = [chat_format, decontaminate, html_extract, merkle, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup, token_files, toxicity]
+_MODULES = [chat_format, decontaminate, embedding_dups, html_extract, merkle, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup, token_files, toxicity, whitening]
 
 
 def queries() -> dict:
