@@ -43,11 +43,12 @@ VERIFICATION = "verif|test|check|confirm|validate|troubleshoot|error|debug|commo
 
 @dataclass
 class KnowledgeBase:
-    """Parsed artifacts, their links with what they lead to, and the edges among them."""
+    """Parsed artifacts, their links with what they lead to, the edges among them, and the navigation edges that were given."""
 
     artifacts: DataFrame
     resolved: DataFrame
     edges: DataFrame
+    navigation: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame, navigation: DataFrame | None = None) -> "KnowledgeBase":
@@ -60,7 +61,7 @@ class KnowledgeBase:
         edges = graph.cross_references(resolved)
         if navigation is not None:
             edges = edges.unionByName(navigation)
-        return cls(parsed, resolved, written(graph.prune(edges, parsed), "edges"))
+        return cls(parsed, resolved, written(graph.prune(edges, parsed), "edges"), navigation)
 
 
 #: id -> (dimension, scope, function); scope cross_artifact means findings depend on other documents.
@@ -129,14 +130,19 @@ def _any_term() -> str:
     return r"(?i)\b(?:" + "|".join(_quoted(t) for t in sorted({t.lower() for t in TERMS}, key=lambda t: (-len(t), t))) + r")\b"
 
 
-@collector("terminology_consistency", "consistency", "cross_artifact")
-def terminology_variants(kb: KnowledgeBase) -> DataFrame:
-    """Documents that use another spelling of a term than most documents do. A text is read once for all terms; which spellings a place uses is told from its few distinct forms."""
+def term_uses(parsed: DataFrame) -> DataFrame:
+    """(uri, term_group, variant, place): the spellings that documents use; place is that in the list of terms."""
     group = lambda t: "".join(c for c in t.lower() if c not in " -_/")
     uses = lambda t: F.exists("forms", lambda m: m.rlike(("(?i)" if t.islower() else "") + rf"\b{_quoted(t)}\b"))
     rows = [F.when(uses(t), F.struct(F.lit(group(t)).alias("term_group"), F.lit(t).alias("variant"), F.lit(i).alias("place"))) for i, t in enumerate(TERMS)]
-    forms = kb.artifacts.select("uri", F.array_distinct(F.regexp_extract_all("all_text", F.lit(_any_term()), F.lit(0))).alias("forms")).where(F.size("forms") > 0)
-    used = forms.select("uri", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("uri", "r.*")
+    forms = parsed.select("uri", F.array_distinct(F.regexp_extract_all("all_text", F.lit(_any_term()), F.lit(0))).alias("forms")).where(F.size("forms") > 0)
+    return forms.select("uri", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("uri", "r.*")
+
+
+@collector("terminology_consistency", "consistency", "cross_artifact")
+def terminology_variants(kb: KnowledgeBase) -> DataFrame:
+    """Documents that use another spelling of a term than most documents do. A text is read once for all terms; which spellings a place uses is told from its few distinct forms."""
+    used = term_uses(kb.artifacts)
     counts = used.groupBy("term_group", "variant", "place").agg(F.count("*").alias("n"), F.min("uri").alias("first_uri"))
     order = Window.partitionBy("term_group").orderBy(F.desc("n"), "first_uri", "place")
     ranked = counts.withColumn("r", F.row_number().over(order)).withColumn("variants", F.count("*").over(Window.partitionBy("term_group")))
@@ -158,10 +164,15 @@ def contradictions(kb: KnowledgeBase) -> DataFrame:
     return version_conflicts(kb).select(common).union(deprecation_conflicts(kb).select(common)).union(default_conflicts(kb).select(common))
 
 
+def version_claims(parsed: DataFrame) -> DataFrame:
+    """(uri, subject, version): the versions that documents ask for."""
+    pairs = F.arrays_zip(F.regexp_extract_all("all_text", F.lit(VERSION), F.lit(1)).alias("subject"), F.regexp_extract_all("all_text", F.lit(VERSION), F.lit(2)).alias("version"))
+    return parsed.select("uri", F.explode(pairs).alias("c")).select("uri", F.lower("c.subject").alias("subject"), "c.version")
+
+
 def version_conflicts(kb: KnowledgeBase) -> DataFrame:
     """Claims of a version above the lowest that any document claims for the subject."""
-    pairs = F.arrays_zip(F.regexp_extract_all("all_text", F.lit(VERSION), F.lit(1)).alias("subject"), F.regexp_extract_all("all_text", F.lit(VERSION), F.lit(2)).alias("version"))
-    claims = kb.artifacts.select("uri", F.explode(pairs).alias("c")).select("uri", F.lower("c.subject").alias("subject"), "c.version")
+    claims = version_claims(kb.artifacts)
     low = claims.groupBy("subject").agg(F.min(F.struct(version_order(F.col("version")).alias("o"), "version"))["version"].alias("lowest"))
     high = claims.join(low, "subject").where("version <> lowest").groupBy("uri", "subject").agg(F.max("version").alias("version"), F.max("lowest").alias("lowest"))
     return _found(high, "contradiction_detection", "version_conflict", subject=F.col("subject"), version=F.col("version"), lowest=F.col("lowest"))
@@ -183,6 +194,23 @@ def _contexts(text: Column, pattern: str, reach: int) -> Column:
     return F.aggregate(rows, start, step, lambda done: done["found"])
 
 
+def _word_pairs(parsed: DataFrame, pattern: str, reach: int) -> DataFrame:
+    useful = lambda words: F.array_sort(F.filter(words, lambda w: ~w.isin(SMALL_WORDS)))
+    pairs = lambda w: F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda b: F.concat_ws(" ", a, b))))
+    around = parsed.where(F.col("all_text").rlike(pattern)).select("uri", F.explode(_contexts(F.col("all_text"), pattern, reach)).alias("w"))
+    return around.select("uri", F.explode(pairs(useful(F.col("w")))).alias("pair")).distinct()
+
+
+def advice_pairs(parsed: DataFrame) -> DataFrame:
+    """(uri, pair): pairs of words around what documents recommend."""
+    return _word_pairs(parsed, RECOMMENDATION, 30)
+
+
+def claim_pairs(parsed: DataFrame) -> DataFrame:
+    """(uri, pair): pairs of words around what documents call deprecated."""
+    return _word_pairs(parsed, DEPRECATION, 50)
+
+
 def deprecation_conflicts(kb: KnowledgeBase) -> DataFrame:
     """Documents that call something deprecated in words of which another document's recommendation shares two.
 
@@ -190,19 +218,21 @@ def deprecation_conflicts(kb: KnowledgeBase) -> DataFrame:
     one is enough, two tell whether it is another than the claim's own. So the work is that of one join on pairs with
     one row a pair on the right, however frequent a word is.
     """
-    useful = lambda words: F.array_sort(F.filter(words, lambda w: ~w.isin(SMALL_WORDS)))
-    pairs = lambda w: F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda b: F.concat_ws(" ", a, b))))
-    side = lambda pattern, reach: kb.artifacts.where(F.col("all_text").rlike(pattern)).select("uri", F.explode(_contexts(F.col("all_text"), pattern, reach)).alias("w")).select("uri", F.explode(pairs(useful(F.col("w")))).alias("pair")).distinct()
-    advice = side(RECOMMENDATION, 30).groupBy("pair").agg(F.min("uri").alias("first"), F.max("uri").alias("last"))
-    hit = side(DEPRECATION, 50).join(advice, "pair").where("first <> uri or last <> uri")
+    advice = advice_pairs(kb.artifacts).groupBy("pair").agg(F.min("uri").alias("first"), F.max("uri").alias("last"))
+    hit = claim_pairs(kb.artifacts).join(advice, "pair").where("first <> uri or last <> uri")
     return _found(hit.select("uri").distinct(), "contradiction_detection", "deprecation_vs_recommendation")
 
 
+def default_claims(parsed: DataFrame) -> DataFrame:
+    """(uri, feature, value): the defaults that documents state."""
+    pairs = F.arrays_zip(F.regexp_extract_all("all_text", F.lit(FEATURE), F.lit(1)).alias("feature"), F.regexp_extract_all("all_text", F.lit(FEATURE), F.lit(2)).alias("value"))
+    stated = parsed.where(F.contains(F.lower("all_text"), F.lit("by default")))  # the pattern is slow on other texts
+    return stated.select("uri", F.explode(pairs).alias("c")).select("uri", F.lower(T.strip(F.col("c.feature"))).alias("feature"), F.lower("c.value").isin("enabled", "on", "true").alias("value"))
+
+
 def default_conflicts(kb: KnowledgeBase) -> DataFrame:
     """Documents that state a default for a feature of which another value is stated too."""
-    pairs = F.arrays_zip(F.regexp_extract_all("all_text", F.lit(FEATURE), F.lit(1)).alias("feature"), F.regexp_extract_all("all_text", F.lit(FEATURE), F.lit(2)).alias("value"))
-    stated = kb.artifacts.where(F.contains(F.lower("all_text"), F.lit("by default")))  # the pattern is slow on other texts
-    claims = stated.select("uri", F.explode(pairs).alias("c")).select("uri", F.lower(T.strip(F.col("c.feature"))).alias("feature"), F.lower("c.value").isin("enabled", "on", "true").alias("value"))
+    claims = default_claims(kb.artifacts)
     split = claims.groupBy("feature").agg(F.countDistinct("value").alias("n")).where("n > 1").select("feature")
     return _found(claims.join(split, "feature", "left_semi").select("uri", "feature").distinct(), "contradiction_detection", "boolean_default_conflict", feature=F.col("feature"))
 
@@ -223,10 +253,15 @@ def missing_canonical(kb: KnowledgeBase) -> DataFrame:
     return _found(found, "canonical_source", "missing_canonical_source", discriminator=mark, keyword=F.col("keyword"), domain=F.col("domain"))
 
 
+def signatures(parsed: DataFrame) -> DataFrame:
+    """(uri, signature): the opening words of documents, if there are enough."""
+    signature = F.lower(T.strip(F.regexp_replace(F.substring("all_text", 1, 200), r"\s+", " ")))
+    return parsed.select("uri", signature.alias("signature")).where("length(signature) > 50")
+
+
 def duplicate_content(kb: KnowledgeBase) -> DataFrame:
     """Documents whose first 200 characters are another's too."""
-    signature = F.lower(T.strip(F.regexp_replace(F.substring("all_text", 1, 200), r"\s+", " ")))
-    signed = kb.artifacts.select("uri", signature.alias("signature")).where("length(signature) > 50")
+    signed = signatures(kb.artifacts)
     shared = signed.groupBy("signature").agg(F.count("*").alias("copies")).where("copies > 1")
     return _found(signed.join(shared, "signature"), "canonical_source", "duplicate_content", copies=F.col("copies"))
 
@@ -290,6 +325,13 @@ def incomplete_workflows(kb: KnowledgeBase) -> DataFrame:
     return _found(found, "workflow_completeness", "incomplete_workflow", missing=F.col("missing"))
 
 
+def named(every: DataFrame) -> DataFrame:
+    """Findings with signal_id and occurrence: see `signals`."""
+    key = F.concat(F.concat_ws(":", "collector_id", "uri", "signal_type"), F.when(F.col("discriminator") != "", F.concat(F.lit(":"), F.col("discriminator"))).otherwise(""))
+    marked = every.withColumn("signal_id", F.substring(F.sha2(key, 256), 1, 16))
+    return marked.withColumn("occurrence", F.row_number().over(Window.partitionBy("signal_id").orderBy(F.col("line").asc_nulls_first())))
+
+
 def signals(kb: KnowledgeBase, enabled: list[str] | None = None, as_of: str = "2024-06-30") -> DataFrame:
     """Findings of the enabled checks (all if none are named) with signal_id and occurrence.
 
@@ -298,6 +340,4 @@ def signals(kb: KnowledgeBase, enabled: list[str] | None = None, as_of: str = "2
     common = ["uri", "collector_id", "signal_type", "line", "discriminator"]
     parts = [f(kb, as_of=as_of) if name == "freshness" else f(kb) for name, (_, _, f) in sorted(REGISTRY.items()) if not enabled or name in enabled]
     every = reduce(DataFrame.union, [p.select(common) for p in parts])
-    key = F.concat(F.concat_ws(":", "collector_id", "uri", "signal_type"), F.when(F.col("discriminator") != "", F.concat(F.lit(":"), F.col("discriminator"))).otherwise(""))
-    named = every.withColumn("signal_id", F.substring(F.sha2(key, 256), 1, 16))
-    return named.withColumn("occurrence", F.row_number().over(Window.partitionBy("signal_id").orderBy(F.col("line").asc_nulls_first())))
+    return named(every)

@@ -11,21 +11,29 @@ from kbq.functions import text as T
 _TRIED = ["md", "mdx", "txt", "rst"]
 
 
-def resolve(links: DataFrame, known: DataFrame) -> DataFrame:
-    """Internal links with `resolved`, the document they lead to (null if none); pure anchors are left out.
-
-    links: uri, pos, text, target, line, is_internal; known: uri. Candidates by rank: relative to the document's
-    folder, as it stands, without a leading ./, and with each extension. One equi-join finds the first that exists.
-    """
+def _inner(links: DataFrame) -> DataFrame:
     clean = F.regexp_replace(F.replace(F.col("target"), F.lit("\\"), F.lit("/")), "[#?].*$", "")
-    inner = links.where("is_internal").withColumn("clean", clean).where("clean <> ''")
+    return links.where("is_internal").withColumn("clean", clean).where("clean <> ''")
+
+
+def candidates(links: DataFrame) -> DataFrame:
+    """(uri, pos, rank, candidate): the documents that an internal link may lead to, the first that exists does."""
     here = lambda c: T.normal_path(F.concat(T.directory(F.col("uri")), c))
     tries = [here(F.col("clean")), F.col("clean"), F.when(F.col("clean").startswith("./"), F.expr("substring(clean, 3)"))]
     bare = ~F.col("clean").rlike(r"\.(md|mdx|txt|rst)$")
     for ext in _TRIED:
         tries += [F.when(bare, F.concat("clean", F.lit(f".{ext}"))), F.when(bare, here(F.concat("clean", F.lit(f".{ext}"))))]
     ranked = F.array_compact(F.array(*[F.when(t.isNotNull(), F.struct(F.lit(i).alias("rank"), t.alias("candidate"))) for i, t in enumerate(tries)]))
-    asked = inner.select("uri", "pos", F.explode(ranked).alias("c")).select("uri", "pos", "c.*")
+    return _inner(links).select("uri", "pos", F.explode(ranked).alias("c")).select("uri", "pos", "c.*")
+
+
+def resolve(links: DataFrame, known: DataFrame) -> DataFrame:
+    """Internal links with `resolved`, the document they lead to (null if none); pure anchors are left out.
+
+    links: uri, pos, text, target, line, is_internal; known: uri. Candidates by rank: relative to the document's
+    folder, as it stands, without a leading ./, and with each extension. One equi-join finds the first that exists.
+    """
+    inner, asked = _inner(links), candidates(links)
     hits = asked.join(known.select(F.col("uri").alias("candidate")), "candidate").groupBy("uri", "pos").agg(F.min_by("candidate", "rank").alias("resolved"))
     return inner.join(hits, ["uri", "pos"], "left").select("uri", "pos", "text", "target", "clean", "line", "resolved")
 

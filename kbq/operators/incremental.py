@@ -21,22 +21,26 @@ def reassess(previous: C.KnowledgeBase, signals: DataFrame, docs: DataFrame, cha
 
     changed: uri, event (added, modified, deleted), links_changed. Only added and modified documents are parsed. Checks
     of single documents run on those, and their other findings are kept; checks across documents run on the kept
-    parses. Edges are taken over where neither links nor the set of documents changed. If more than `most` of the
-    documents changed, everything is assessed anew.
+    parses (`maintained` keeps indexes for those as well). Navigation edges are taken over from the previous knowledge
+    base. If more than `most` of the documents changed, everything is assessed anew.
     """
     counts = changed.agg(F.count("*").alias("n"), F.count_if(F.col("links_changed") | (F.col("event") != "modified")).alias("moved")).first()
     if counts["n"] > most * docs.count():
-        kb = C.KnowledgeBase.of(docs)
+        kb = C.KnowledgeBase.of(docs, previous.navigation)
         return kb, C.signals(kb, **options)
     ids = changed.select("uri")
     fresh = written(parse.artifacts(docs.join(ids, "uri", "left_semi")), "fresh")
     parsed = written(previous.artifacts.join(ids, "uri", "left_anti").unionByName(fresh), "artifacts")
+    links_of = parse.links(parsed if counts["moved"] else fresh)
+    resolved = graph.resolve(links_of, parsed)
+    if not counts["moved"]:
+        resolved = previous.resolved.join(ids, "uri", "left_anti").unionByName(resolved)
+    resolved = written(resolved, "resolved")
+    edges = previous.edges
     if counts["moved"]:
-        resolved = written(graph.resolve(parse.links(parsed), parsed), "resolved")
-        edges = written(graph.prune(graph.cross_references(resolved), parsed), "edges")
-    else:
-        resolved, edges = previous.resolved, previous.edges
-    kb = C.KnowledgeBase(parsed, resolved, edges)
+        found = graph.cross_references(resolved)
+        edges = written(graph.prune(found if previous.navigation is None else found.unionByName(previous.navigation), parsed), "edges")
+    kb = C.KnowledgeBase(parsed, resolved, edges, previous.navigation)
     single = [name for name, (_, scope, _) in C.REGISTRY.items() if scope == "per_artifact"]
     across = [name for name in C.REGISTRY if name not in single]
     kept = signals.where(F.col("collector_id").isin(single)).join(ids, "uri", "left_anti")

@@ -1,44 +1,255 @@
-"""Runs kept as tables: versions written whole and then published, upserts, access counts and reads.
+"""Runs kept as tables: versions that are published whole by one of several writers, keyed tables, upserts, access counts and reads.
 
-A store is a folder with a sub-folder for each version, holding one Parquet folder a table, and a table `published` of
-version numbers. A version counts once its number is published, which is the last thing written: readers see a whole
-version or the one before, and a job that fails halfway leaves only files that nobody reads.
+A store is a folder with data and a folder `versions` that holds a small file a version, which says where each table
+lies. A version counts once its file is there, and that file is created only if no other job has created it (compare and
+set), so readers see a whole version or the one before, two writers never take one number, and a job that fails halfway
+leaves only files that nobody reads. A writer that comes second takes over what the first one published and, if it had
+read any of that, computes its change anew.
+
+Keyed tables lie in buckets by a hash of their key, sorted and with Bloom filters, and within a bucket by the value of
+one more column if that is named. Reads by key or value open only the folders that can hold it; an upsert rewrites only
+the buckets of its keys.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kbq.session import small
+
+
+def _file(spark: SparkSession, path: str):
+    """(Hadoop file system, path)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its content in one step; False if there is one of that name already."""
+    files, target = _file(spark, path)
+    _, temporary = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    out = files.create(temporary, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    jvm = spark._jvm
+    try:
+        if files.getUri().getScheme() == "file":  # renaming a local file replaces the target, a link does not
+            local = lambda p: jvm.java.io.File(files.makeQualified(p).toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(target), local(temporary))
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(temporary, target, none)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        files.delete(temporary, False)
+    return True
 
 
 def version(spark: SparkSession, folder: str) -> int | None:
     """The newest published version; None in a new store."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/published")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    files, path = _file(spark, f"{folder}/versions")
+    if not files.exists(path):
         return None
-    return spark.read.schema("version long").parquet(f"{folder}/published").agg(F.max("version")).first()[0]
-
-
-def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame]) -> int:
-    """Write the tables as the next version; tables of the version before that are not given are carried on by reference."""
-    last = version(spark, folder)
-    number = (last or 0) + 1
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/version={number}/{name}")
-    places = {} if last is None else {r["name"]: r["place"] for r in spark.read.parquet(f"{folder}/version={last}/_places").collect()}
-    places |= {name: f"{folder}/version={number}/{name}" for name in tables}
-    spark.createDataFrame(list(places.items()), "name string, place string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/version={number}/_places")
-    spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").parquet(f"{folder}/published")
-    return number
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+@dataclass
+class Snapshot:
+    """The tables of one version. What is read from it is noted, to tell whether a change depends on what another writer published."""
+
+    spark: SparkSession
+    folder: str
+    number: int | None
+    tables: dict
+    used: set[tuple[str, str | None]] = field(default_factory=set)
+
+    @classmethod
+    def newest(cls, spark: SparkSession, folder: str) -> "Snapshot":
+        number = version(spark, folder)
+        return cls(spark, folder, number, {} if number is None else json.loads(spark.read.text(f"{folder}/versions/{number}", wholetext=True).first()[0]))
+
+    def load(self, name: str) -> DataFrame | None:
+        """A whole table; None if there is none of that name."""
+        self.used.add((name, None))
+        entry = self.tables.get(name)
+        if entry is None:
+            return None
+        return self._read(entry, entry["buckets"]) if "buckets" in entry else self.spark.read.parquet(entry["place"])
+
+    def _read(self, entry: dict, buckets, values: list | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(entry["schema"])
+        wanted = None if values is None else {f"v{str(v).encode().hex().upper()}" for v in values}
+        paths = []
+        for b in buckets:
+            place, parts = entry["buckets"].get(str(b), (None, []))
+            paths += [f"{place}/part={p}" for p in parts if wanted is None or p in wanted]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def lookup(self, name: str, values: list) -> DataFrame:
+        """Rows of a keyed table with one of a few values of its first key column, from their buckets alone."""
+        entry = self.tables[name]
+        keys = self.spark.createDataFrame([(str(v),) for v in values], f"{entry['key'][0]} string")
+        return self.matching(name, keys).where(F.col(entry["key"][0]).cast("string").isin([str(v) for v in values]))
+
+    def matching(self, name: str, keys: DataFrame) -> DataFrame:
+        """Rows of a keyed table whose first key column stands in keys; only buckets of those are opened, of which there is a fixed number."""
+        entry = self.tables[name]
+        first = entry["key"][0]
+        asked = keys.select(F.col(first)).distinct()
+        buckets = [r[0] for r in asked.select(bucket_of(F.col(first), entry["n"])).distinct().collect()]
+        self.used |= {(name, str(b)) for b in buckets}
+        return self._read(entry, buckets).join(small(asked), first, "left_semi")
+
+    def with_value(self, name: str, values: list) -> DataFrame:
+        """Rows of a keyed table whose `within` column has one of the values; other folders are not opened."""
+        self.used.add((name, None))
+        entry = self.tables[name]
+        return self._read(entry, entry["buckets"], values)
+
+    def buckets(self, name: str, rows: DataFrame) -> DataFrame | None:
+        """The buckets that hold the keys of rows; None if there is no such table."""
+        entry = self.tables.get(name)
+        if entry is None:
+            self.used.add((name, None))
+            return None
+        wanted = [r[0] for r in rows.select(bucket_of(F.col(entry["key"][0]), entry["n"])).distinct().collect()]
+        self.used |= {(name, str(b)) for b in wanted}
+        return self._read(entry, wanted)
+
+
+def bucket_of(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(n)).cast("int").alias("bucket")
+
+
+@dataclass
+class Keyed:
+    """Rows for the buckets of a keyed table: `rows` are all that these buckets hold from now on, `touched` the numbers of those."""
+
+    rows: DataFrame
+    key: list[str]
+    n: int = 64
+    within: str | None = None
+    touched: list[int] | None = None
+    #: Files a bucket is cut into, so that a key with a large share of the rows does not make one of them long.
+    files: int = 1
+
+
+def upserted(snapshot: Snapshot, name: str, incoming: DataFrame, key: list[str], n: int = 64, within: str | None = None, merged: Callable[[DataFrame, DataFrame], DataFrame] | None = None, gone: DataFrame | None = None, files: int = 1) -> Keyed:
+    """The change that puts incoming rows over those of the same key, or what merged(current, incoming) makes of the buckets concerned; gone: keys to be dropped."""
+    n = snapshot.tables.get(name, {}).get("n", n)
+    concerned = incoming.select(key[0]) if gone is None else incoming.select(key[0]).union(gone.select(key[0]))
+    touched = [r[0] for r in concerned.select(bucket_of(F.col(key[0]), n)).distinct().collect()]  # as many as there are buckets at most
+    current = snapshot.buckets(name, concerned)
+    if current is None:
+        return Keyed(incoming, key, n, within, touched, files)
+    kept = current if gone is None else current.join(gone.select(*key), key, "left_anti")
+    return Keyed((merged or (lambda old, new: old.join(new, key, "left_anti").unionByName(new)))(kept, incoming), key, n, within, touched, files)
+
+
+def _write(spark: SparkSession, folder: str, name: str, change: DataFrame | Keyed) -> dict:
+    """Write a table's new data, under a name of its own, and say where it lies."""
+    place = f"{folder}/data/{name}-{uuid.uuid4().hex}"
+    if isinstance(change, DataFrame):
+        change.write.parquet(place)
+        return {"place": place}
+    rows = change.rows
+    value = F.lit("all") if change.within is None else F.concat(F.lit("v"), F.hex(F.col(change.within).cast("string").cast("binary")))
+    cut = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in change.key]), F.lit(change.files))
+    marked = rows.withColumn("bucket", bucket_of(F.col(change.key[0]), change.n)).withColumn("part", F.coalesce(value, F.lit("null")))
+    dealt = marked.repartition("bucket", cut).sortWithinPartitions("bucket", "part", *change.key)
+    dealt.write.partitionBy("bucket", "part").option("parquet.bloom.filter.enabled#" + change.key[0], "true").parquet(place)
+    files, root = _file(spark, place)
+    held = {}
+    for b in files.listStatus(root):
+        if b.isDirectory():
+            held[b.getPath().getName().split("=")[1]] = [f"{place}/{b.getPath().getName()}", [p.getPath().getName().split("=", 1)[1] for p in files.listStatus(b.getPath()) if p.isDirectory()]]
+    return {"key": change.key, "n": change.n, "within": change.within, "schema": json.loads(rows.schema.json()), "buckets": held, "touched": None if change.touched is None else [str(b) for b in change.touched]}
+
+
+def _put(tables: dict, written: dict) -> dict:
+    """tables with what was written put in place, bucket by bucket in keyed tables."""
+    out = dict(tables)
+    for name, entry in written.items():
+        touched = entry.get("touched")
+        held = out.get(name)
+        if touched is not None and held is not None:
+            kept = {b: x for b, x in held["buckets"].items() if b not in touched}
+            out[name] = {k: v for k, v in entry.items() if k != "touched"} | {"buckets": kept | entry["buckets"]}
+        else:
+            out[name] = {k: v for k, v in entry.items() if k != "touched"}
+    return out
+
+
+def _changed(name: str, bucket: str | None, before: dict, now: dict) -> bool:
+    a, b = before.get(name), now.get(name)
+    return a != b if bucket is None or a is None or b is None else a["buckets"].get(bucket) != b["buckets"].get(bucket)
+
+
+def transact(spark: SparkSession, folder: str, change: Callable[[Snapshot], dict[str, DataFrame | Keyed]], tries: int = 50) -> int:
+    """Publish the tables that `change` makes of the newest version, as the next one; tables it doesn't name are carried on.
+
+    If other writers publish meanwhile, their tables and buckets are taken over; where the change had read any of those, it
+    is computed again from the newest version. So no writer's rows are lost.
+    """
+    for _ in range(tries):
+        base = Snapshot.newest(spark, folder)
+        written = {name: _write(spark, folder, name, made) for name, made in change(base).items()}
+        newest = base
+        while not any(_changed(name, bucket, base.tables, newest.tables) for name, bucket in base.used):
+            number = (newest.number or 0) + 1
+            if create_if_absent(spark, f"{folder}/versions/{number}", json.dumps(_put(newest.tables, written))):
+                return number
+            newest = Snapshot.newest(spark, folder)
+    raise RuntimeError(f"{tries} other versions were published meanwhile")
+
+
+def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame | Keyed]) -> int:
+    """Publish tables as they are, whatever stood there before."""
+    return transact(spark, folder, lambda _: tables)
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
     """A table of the newest published version; None if there is none."""
-    last = version(spark, folder)
-    if last is None:
-        return None
-    place = spark.read.parquet(f"{folder}/version={last}/_places").where(F.col("name") == name).first()
-    return None if place is None else spark.read.parquet(place["place"])
+    return Snapshot.newest(spark, folder).load(name)
+
+
+def fork(spark: SparkSession, folder: str, to: str) -> str:
+    """A new store that begins with the newest version of another; data is shared, not copied."""
+    create_if_absent(spark, f"{to}/versions/1", json.dumps(Snapshot.newest(spark, folder).tables))
+    return to
+
+
+def retain(spark: SparkSession, folder: str, versions: int) -> int:
+    """Forget all but the newest versions and delete the data that none of the kept ones names; the number of versions forgotten. Readers of forgotten versions must have ended."""
+    newest = version(spark, folder) or 0
+    files, path = _file(spark, f"{folder}/versions")
+    if not newest:
+        return 0
+    numbers = sorted(int(f.getPath().getName()) for f in files.listStatus(path) if f.getPath().getName().isdigit())
+    keep, drop = numbers[-versions:], numbers[:-versions]
+    named = "".join(r[0] for r in spark.read.text([f"{folder}/versions/{n}" for n in keep], wholetext=True).collect())
+    old = "".join(r[0] for r in spark.read.text([f"{folder}/versions/{n}" for n in drop], wholetext=True).collect()) if drop else ""
+    for n in drop:
+        files.delete(_file(spark, f"{folder}/versions/{n}")[1], False)
+    for d in files.listStatus(_file(spark, f"{folder}/data")[1]):
+        name = d.getPath().getName()
+        if name in old and name not in named:  # what no version names yet may be another writer's
+            files.delete(d.getPath(), True)
+    return len(drop)
 
 
 def merge(current: DataFrame, incoming: DataFrame, key: list[str], keep: dict[str, Column] | None = None) -> DataFrame:

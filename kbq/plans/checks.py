@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from kbq.functions import text as T
@@ -11,7 +9,7 @@ from kbq.operators import collectors as C
 from kbq.operators import graph, parse
 from kbq.plans.fixture import kb_docs
 from kbq.plans.oracle import sql
-from kbq.session import prepare, table
+from kbq.session import once_per_input, prepare, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +31,7 @@ def parsed(spark, sf_dir):
     return kb(spark, sf_dir).artifacts
 
 
-@lru_cache(maxsize=4)
+@once_per_input
 def kb(spark, sf_dir):
     """The knowledge base of one input folder; queries of a session share it."""
     return C.KnowledgeBase.of(kb_docs(spark, sf_dir))

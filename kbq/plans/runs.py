@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kbq.operators import collectors as C
 from kbq.operators import history as H
 from kbq.operators import incremental as I
+from kbq.operators import maintained as M
 from kbq.operators import reports as R
 from kbq.operators import scoring as S
 from kbq.operators import store
@@ -17,7 +18,8 @@ from kbq.plans.checks import _big, kb
 from kbq.plans.fixture import kb_docs
 from kbq.plans.oracle import sql
 from kbq.plans.scores import by_document, document_scorecard, interpreted, seen
-from kbq.session import prepare, shared_folder, table
+from kbq.session import once_per_input, prepare, shared_folder, table
+from kbq.streaming import runs as stream_runs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -154,20 +156,57 @@ def oldest_open_signals(spark, sf_dir):
 _CHANGED = "SELECT doc_id, lang, source, uri, CASE WHEN doc_id % 10 = 2 THEN text || chr(10) || 'See above. Use RESTful calls. [more](doc_' || doc_id || '.md)' || chr(10) ELSE text END AS text FROM ({kb}) WHERE doc_id % 10 <> 1"
 
 
-@query()
-def incremental_signals(spark, sf_dir):
-    """A tenth of the documents is new, another gone, another edited: findings from the kept ones and what must be run again."""
+#: Read by Spark SQL and by DuckDB alike: navigation edges, among them some whose ends come, go or are reached by nothing else.
+NAVIGATION_SQL = "SELECT uri AS source_uri, 'kb/s' || cast((doc_id + 2) % 20 as string) || '/doc_' || cast(doc_id + 2 as string) || '.md' AS target_uri, CASE WHEN doc_id % 24 = 0 THEN 'navigation' ELSE 'parent_child' END AS relation_type FROM {kb} AS docs WHERE doc_id % 12 = 0"
+
+
+@once_per_input
+def kept_assessment(spark, sf_dir):
+    """A store with the assessment of nine tenths of the documents, navigation edges included."""
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
     docs = kb_docs(spark, sf_dir)
+    M.build(spark, folder, docs.where("doc_id % 10 <> 0").select("uri", "text"), spark.sql(NAVIGATION_SQL, kb=docs))
+    return folder
+
+
+def edits(spark, sf_dir):
+    """(uri, text, event): a tenth of the documents is new, another gone, another edited."""
+    docs = kb_docs(spark, sf_dir).where("doc_id % 10 in (0, 1, 2)")
     edited = F.concat("text", F.lit("\nSee above. Use RESTful calls. [more](doc_"), F.col("doc_id").cast("string"), F.lit(".md)\n"))
-    now = docs.where("doc_id % 10 <> 1").withColumn("text", F.when(F.col("doc_id") % 10 == 2, edited).otherwise(F.col("text")))
-    before = C.KnowledgeBase.of(docs.where("doc_id % 10 <> 0"))
-    changed = now.where("doc_id % 10 in (0, 2)").select("uri", F.when(F.col("doc_id") % 10 == 0, "added").otherwise("modified").alias("event"), F.lit(True).alias("links_changed"))
-    gone = docs.where("doc_id % 10 = 1").select("uri", F.lit("deleted").alias("event"), F.lit(True).alias("links_changed"))
-    _, found = I.reassess(before, C.signals(before), now.select("uri", "text"), changed.unionByName(gone))
-    return _big(found, "occurrence")
+    return docs.select("doc_id", "uri", F.when(F.col("doc_id") % 10 == 2, edited).otherwise(F.col("text")).alias("text"), F.when(F.col("doc_id") % 10 == 1, "deleted").otherwise("written").alias("event"))
+
 
+_nav = "(SELECT * FROM (" + NAVIGATION_SQL.format(kb=f"({oracle.PARTS['kb']})") + ") WHERE source_uri IN (SELECT uri FROM kb) AND target_uri IN (SELECT uri FROM kb))"
+_NAV_PARTS = {
+    "kb": _CHANGED.format(kb=oracle.PARTS["kb"]),
+    "edge": f"{oracle.PARTS['edge']} UNION ALL SELECT source_uri, target_uri, relation_type FROM {_nav}",
+    "c_orphan": f"{oracle.PARTS['c_orphan']} AND uri NOT IN (SELECT target_uri FROM {_nav}) AND uri NOT IN (SELECT source_uri FROM {_nav})",
+}
 
-ORACLES["incremental_signals"] = sql("SELECT uri, collector_id, signal_type, line, mark AS discriminator, signal_id, occurrence::BIGINT AS occurrence FROM signal", {"kb": _CHANGED.format(kb=oracle.PARTS["kb"])})
+
+@query()
+def incremental_signals(spark, sf_dir):
+    """The findings after the edits, from the indexes of the assessment before."""
+    folder = store.fork(spark, kept_assessment(spark, sf_dir), f"{shared_folder(spark)}/edited-{uuid.uuid4().hex}")
+    rows = edits(spark, sf_dir)
+    M.edit(spark, folder, rows.where("event <> 'deleted'"), rows.where("event = 'deleted'"))
+    return _big(M.load(spark, folder)[1], "occurrence")
+
+
+@query()
+def stream_maintained(spark, sf_dir):
+    """The same edits, as a change stream of two deliveries of which the second repeats part of the first."""
+    folder = store.fork(spark, kept_assessment(spark, sf_dir), f"{shared_folder(spark)}/streamed-{uuid.uuid4().hex}")
+    rows = edits(spark, sf_dir)
+    for at, kept in enumerate(("doc_id % 20 < 10", "doc_id % 20 >= 5")):
+        rows.where(kept).select("uri", "text", "event", F.lit(at).alias("at")).coalesce(1).write.mode("append").parquet(f"{folder}-changes")
+    changes = spark.readStream.schema("uri string, text string, event string, at int").option("maxFilesPerTrigger", 1).parquet(f"{folder}-changes")
+    stream_runs.run_once(changes, M.changes(folder), f"{folder}-checkpoint")
+    return _big(M.load(spark, folder)[1], "occurrence")
+
+
+for _name in ("incremental_signals", "stream_maintained"):
+    ORACLES[_name] = sql("SELECT uri, collector_id, signal_type, line, mark AS discriminator, signal_id, occurrence::BIGINT AS occurrence FROM signal", _NAV_PARTS)
 
 
 @query("SELECT lang, sha256(string_agg(DISTINCT part, chr(10) ORDER BY part)) AS digest FROM (SELECT lang, collector_id || '|' || signal_type || '|' || severity || '|' || penalty AS part FROM interp) GROUP BY lang")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from kbq.plans import oracle
 from kbq.plans.checks import _big, kb
 from kbq.plans.fixture import kb_docs
 from kbq.plans.oracle import sql
-from kbq.session import prepare, table, written
+from kbq.session import once_per_input, prepare, table, written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,7 +51,7 @@ def query(oracle_sql: str | None = None):
     return add
 
 
-@lru_cache(maxsize=4)
+@once_per_input
 def interpreted(spark, sf_dir):
     docs = kb_docs(spark, sf_dir).select("uri", "lang")
     return written(S.interpret(C.signals(kb(spark, sf_dir)), S.policy(spark)).join(docs, "uri"), "signals")

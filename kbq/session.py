@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that a side of a join may have and still be sent to every executor (tens of MB at the widths used here).
+BROADCAST_ROWS = 200_000
 
 #: Settings every job of the engine expects; all can be changed at run time.
 SETTINGS = {
@@ -28,6 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once_per_input(make):
+    """make(spark, sf_dir), kept for later queries of the session that read the same documents: by their path, files, bytes and time of change."""
+    kept: dict[tuple, object] = {}
+
+    @wraps(make)
+    def shared(spark: SparkSession, sf_dir: str):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        summary = files.getContentSummary(path)
+        key = (spark.sparkContext.applicationId, sf_dir, summary.getLength(), summary.getFileCount(), files.getFileStatus(path).getModificationTime())
+        if key not in kept:
+            while len(kept) > 3:
+                kept.pop(next(iter(kept)))
+            kept[key] = make(spark, sf_dir)
+        return kept[key]
+
+    return shared
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, for tables that a job writes on its way; a folder of its own only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -42,3 +66,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most `rows` rows; otherwise Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
