@@ -14,17 +14,31 @@ EXTENSIONS = ["md", "markdown", "mdx", "txt", "rst"]
 
 
 def read_tree(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(uri, text) of the documents below a folder or bucket prefix, local or not; uri is relative to it. exclude: substrings of uris."""
-    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).withColumn("path", F.col("_metadata.file_path"))
-    tail = root.rstrip("/").split("://")[-1]
-    uri = F.regexp_replace(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), rf"^.*?\Q{tail}\E/?", "")
-    found = rows.select(uri.alias("uri"), F.col("value").alias("text"))
-    found = found.where(F.lower(F.regexp_extract("uri", r"\.([^./]*)$", 1)).isin(EXTENSIONS))
+    """(uri, text) of the documents below a folder or bucket prefix, local or not, or of a single document; exclude: substrings of uris.
+
+    uri is relative to the folder (of a single document its name), in plain characters and with forward slashes; other
+    extensions are left out, unless the root itself is one file. Rows have no order; `in_order` gives them that of uris.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    single = files.exists(path) and files.getFileStatus(path).isFile()
+    top = files.makeQualified(path.getParent() if single else path).toUri().getPath().rstrip("/")
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
+    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))  # the reader gives an encoded address
+    below = F.regexp_replace(F.replace(plain, F.lit("\\"), F.lit("/")), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    found = rows.withColumn("below", below).select(F.substring(F.col("below"), len(top) + 2, 2**31 - 1).alias("uri"), F.col("value").alias("text"))
+    if not single:
+        found = found.where(F.lower(F.regexp_extract("uri", r"\.([^./]*)$", 1)).isin(EXTENSIONS))
     for part in exclude:
         found = found.where(~F.contains("uri", F.lit(part)))
     return found
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """Documents by uri."""
+    return docs.orderBy("uri")
+
+
 def read_table(rows: DataFrame, uri: str, text: str) -> DataFrame:
     """Documents that already lie in a table's columns."""
     return rows.select(F.col(uri).cast("string").alias("uri"), F.col(text).cast("string").alias("text"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from kbq.operators import history, store
+from kbq.operators import store
 from kbq.session import written
 
 
@@ -31,35 +33,87 @@ def append_once(stream: DataFrame, out: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def lifecycle_state(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The newest state that keep_lifecycle published; None before the first."""
-    return store.load(spark, folder, "lifecycle")
+#: Runs stand a day apart on the clock that closes them.
+_DAY = 86_400_000
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for as long as a query is started, which keeps it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+class _Lifecycle(StatefulProcessor):
+    """Per finding: what the closed runs add up to, and the runs it was seen in that are still open. A run is closed when the watermark passes its day."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.closed = handle.getValueState("closed", "first long, last long, runs long, gap boolean")
+        self.open = handle.getMapState("open", "run long", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for run in {r["run"] for r in rows}:
+            if key[0] is not None and not self.open.containsKey((run,)):
+                self.open.updateValue((run,), (True,))
+                self.handle.registerTimer(run * _DAY)
+        return iter([])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = expiredTimerInfo.getExpiryTimeInMs() // _DAY
+        due = sorted(k[0] for k in self.open.keys() if k[0] <= until)
+        first, last, n, gap = self.closed.get() if self.closed.exists() else (None, None, 0, False)
+        for run in due:
+            self.open.removeKey((run,))
+            first, last, n, gap = run if first is None else first, run, n + 1, gap or (last is not None and run - last > 1)
+        if due:
+            self.closed.update((first, last, n, gap))
+            yield Row(signal_id=key[0], first_seen=first, last_seen=last, runs=n, gap=gap)
 
-def keep_lifecycle(folder: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch handler that carries the state of findings over arriving runs (run, signal_id), in order of the run.
 
-    Runs at or before the last one counted are passed over, so a batch that is given twice changes nothing; the state and
-    the run it stands at are published together.
+def lifecycle_changes(seen: DataFrame, lateness: int) -> DataFrame:
+    """(signal_id, first_seen, last_seen, runs, gap), a row each time closed runs change a finding, of a stream (run, signal_id).
+
+    A run may come in any number of batches, repeated and out of order; it is closed once a run `lateness` later has come.
+    Rows of closed runs are dropped. A row without signal_id only moves the clock on. State is one entry a finding, in
+    RocksDB: start the query under `setting(spark, *state_store())`.
     """
+    timed = seen.select(F.col("run").cast("long").alias("run"), "signal_id", F.timestamp_millis(F.col("run").cast("long") * _DAY).alias("at")).withWatermark("at", f"{lateness} days")
+    return timed.groupBy("signal_id").transformWithState(_Lifecycle(), "signal_id string, first_seen long, last_seen long, runs long, gap boolean", "Append", "EventTime")
+
+
+def state_store() -> tuple[str, str]:
+    return "spark.sql.streaming.stateStore.providerClass", _ROCKSDB
+
+
+def keep_lifecycle(seen: DataFrame, folder: str, checkpoint: str, lateness: int = 5) -> None:
+    """Carry the lifecycle of findings over all that has arrived of a stream (run, signal_id) into the store in `folder`: each batch touches the buckets of its findings only, and one that is given twice changes nothing."""
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = lifecycle_state(spark, folder)
-        at = store.load(spark, folder, "at")
-        done = at.first()["run"] if at is not None else 0
-        rows = batch.where(F.col("run") > done)
-        runs = sorted(r["run"] for r in rows.select("run").distinct().collect())  # numbers of runs, not rows
-        for run in runs:
-            current = rows.where(F.col("run") == run)
-            if state is None:
-                state = current.select("signal_id").distinct().select("signal_id", F.lit(run).cast("long").alias("first_seen"), F.lit(run).cast("long").alias("last_seen"), F.lit(1).cast("long").alias("runs"), F.lit("new").alias("status"))
-            else:
-                state = written(history.advance(state, current, run), "lifecycle")
-        if runs:
-            store.publish(spark, folder, {"lifecycle": state, "at": spark.createDataFrame([(runs[-1],)], "run long")})
+        newest = batch.groupBy("signal_id").agg(F.max_by(F.struct(*batch.columns), "runs").alias("x")).select("x.*")
+        if newest.isEmpty():
+            return
+        newest = written(newest, "lifecycle")
+        store.transact(batch.sparkSession, folder, lambda now: {"lifecycle": store.upserted(now, "lifecycle", newest, ["signal_id"], n=16)})
+
+    with setting(seen.sparkSession, *state_store()):
+        query = lifecycle_changes(seen, lateness).writeStream.outputMode("append").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
-    return handle
+
+def lifecycle_state(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(signal_id, first_seen, last_seen, runs, status) after the last closed run; None before the first."""
+    kept = store.load(spark, folder, "lifecycle")
+    if kept is None:
+        return None
+    last = kept.agg(F.max("last_seen").alias("last_run"))
+    status = F.when(F.col("last_seen") < F.col("last_run"), "resolved").when(F.col("gap"), "recurring").when(F.col("first_seen") == F.col("last_run"), "new").otherwise("persistent")
+    return kept.join(F.broadcast(last)).select("signal_id", "first_seen", "last_seen", "runs", status.alias("status"))
 
 
 def split_bad(batch: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
@@ -68,15 +122,27 @@ def split_bad(batch: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
     return batch.where(ok), batch.where(~ok)
 
 
-def assess_new(ledger: str, out: str, assess: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch handler that appends assess(batch) once for each batch number: batches in the ledger are passed over."""
+def once_by_key(stream: DataFrame, key: str, at: str, lateness: str) -> DataFrame:
+    """A stream with the first row of each key among those that come within `lateness` of each other by their time `at`."""
+    return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
+
+
+def assess_once(folder: str, key: str, assess: Callable[[DataFrame], DataFrame], name: str = "assessed") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch handler that adds assess(rows) to a table of the store for rows whose key is not recorded yet, and records the keys in the same version.
+
+    So a delivery counts once however often it comes: in one batch, in later ones, or under another checkpoint.
+    """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/batch={number}")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return
-        assess(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        spark.range(1).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        rows = written(batch.dropDuplicates([key]), "arrived")
+
+        def change(now: store.Snapshot) -> dict:
+            known = now.buckets("keys", rows.select(key)) if "keys" in now.tables else None
+            fresh = rows if known is None else rows.join(known.select(key), key, "left_anti")
+            found = assess(written(fresh, "unseen"))
+            return {name: store.upserted(now, name, found, [key, *[c for c in found.columns if c != key]], n=16), "keys": store.upserted(now, "keys", fresh.select(key), [key], n=16)}
+
+        store.transact(spark, folder, change)
 
     return handle

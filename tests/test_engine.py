@@ -171,14 +171,6 @@ def test_hub_and_validation(spark):
     assert effects == {"broken_links": "neutral", "heading_issues": "neutral", "with_metadata": "neutral", "unreferenced": "improved", "overall": "improved"}
 
 
-def test_lifecycle_stream_counts_a_batch_once(spark, tmp_path):
-    batch = spark.createDataFrame([(1, "s"), (1, "t"), (2, "s"), (3, "s"), (3, "t")], "run long, signal_id string")
-    handle = runs.keep_lifecycle(str(tmp_path))
-    for number in (0, 0, 1):
-        handle(batch, number)
-    assert rows(runs.lifecycle_state(spark, str(tmp_path)), "signal_id", "runs", "status") == [("s", 3, "persistent"), ("t", 2, "recurring")]
-
-
 def test_custom_rule(spark, monkeypatch):
     monkeypatch.setattr(problems, "CUSTOM_RULES", {})
 
@@ -199,6 +191,19 @@ def test_fixed_values():
     assert len(problems.DANGLING_FIXES) == 15
 
 
+def test_odd_paths(spark, tmp_path):
+    """Folders and files with spaces, percent signs and other letters; a single file; roots with and without a slash or scheme."""
+    root = tmp_path / "my docs 100%+é"
+    (root / "x y").mkdir(parents=True)
+    for name in ("a.md", "x y/b c.txt", "x y/é%20+.rst", "skip.py"):
+        (root / name).write_text(name)
+    want = [("a.md", "a.md"), ("x y/b c.txt", "x y/b c.txt"), ("x y/é%20+.rst", "x y/é%20+.rst")]
+    for given in (str(root), f"{root}/"):
+        assert [tuple(r) for r in files.in_order(files.read(spark, given)).collect()] == want
+    assert [tuple(r) for r in files.read(spark, str(root / "x y" / "b c.txt")).collect()] == [("b c.txt", "x y/b c.txt")]
+    assert files.read(spark, str(root / "x y" / "b c.txt"), exclude=("b c",)).count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.md").write_text("[b](b.md)")
     (tmp_path / "b.md").write_text("# B\n")
