@@ -65,3 +65,13 @@ def orphans(known: DataFrame, resolved: DataFrame, edges: DataFrame) -> DataFram
     left = known.select("uri").join(reached.union(parents).distinct(), "uri", "left_anti")
     several = known.agg(F.count("*").alias("n")).where("n > 1").select(F.lit(True).alias("several"))
     return left.join(F.broadcast(several)).select("uri")
+
+
+def neighbours(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uri, children, parents, references, referenced_by, linked): for every document its edges by kind, and whether it has one with another document."""
+    ends = lambda a, b: edges.select(F.col(a).alias("uri"), F.col(b).alias("other"), "relation_type")
+    of = lambda kind, name: F.count_if(F.col("relation_type") == kind).alias(name)
+    out = ends("source_uri", "target_uri").groupBy("uri").agg(of("parent_child", "children"), of("cross_reference", "references"), F.count_if(F.col("other") != F.col("uri")).alias("away"))
+    into = ends("target_uri", "source_uri").groupBy("uri").agg(of("parent_child", "parents"), of("cross_reference", "referenced_by"), F.count_if(F.col("other") != F.col("uri")).alias("near"))
+    joined = known.select("uri").join(out, "uri", "left").join(into, "uri", "left").fillna(0)
+    return joined.select("uri", "children", "parents", "references", "referenced_by", (F.col("away") + F.col("near") > 0).alias("linked"))

@@ -79,21 +79,67 @@ def upsert(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame
 
 
 def ema(outcomes: DataFrame, alpha: float = 0.3, start: float | None = 0.5) -> DataFrame:
-    """(issue_type, strategy, n, ema) of outcomes (issue_type, strategy, at, value) in time order, in closed form.
+    """(issue_type, strategy, n, ema) of outcomes (issue_type, strategy, at, value) in time order.
 
-    start: the value before the first outcome; None takes the first outcome itself.
+    start: the value before the first outcome; None takes the first outcome itself. A step x -> (1 - alpha) x + alpha v
+    composes, so a history is cut by time into blocks, which fold apart and are then joined in order: a strategy with a
+    large share of the outcomes lies in many partitions, and none of them waits for another.
     """
-    order = Window.partitionBy("issue_type", "strategy").orderBy("at")
-    whole = Window.partitionBy("issue_type", "strategy")
-    numbered = outcomes.withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(whole))
-    keep = F.lit(1 - alpha)
-    weight = F.pow(keep, F.col("n") - F.col("i")) * F.lit(alpha)
-    if start is None:
-        weight = F.when(F.col("i") == 1, F.pow(keep, F.col("n") - 1)).otherwise(weight)
-    total = F.sum(weight * F.col("value"))
+    key, keep = ["issue_type", "strategy"], F.lit(1 - alpha)
+    dealt = outcomes.select(*key, "at", F.col("value").cast("double").alias("value")).repartitionByRange(*key, "at").withColumn("block", F.spark_partition_id())
+    inside = Window.partitionBy(*key, "block")
+    placed = dealt.withColumn("i", F.row_number().over(inside.orderBy("at", "value"))).withColumn("m", F.count("*").over(inside))
+    folded = placed.groupBy(*key, "block").agg(F.max("m").alias("n"), F.sum(F.pow(keep, F.col("m") - F.col("i")) * F.lit(alpha) * F.col("value")).alias("own"), F.min_by("value", "i").alias("head"))
+    later = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = folded.withColumn("later", later).withColumn("first", F.row_number().over(Window.partitionBy(*key).orderBy("block")) == 1)
+    own = F.col("own")
+    if start is None:  # the first outcome counts whole
+        own = own + F.when(F.col("first"), keep * F.pow(keep, F.col("n") - 1) * F.col("head")).otherwise(F.lit(0.0))
+    total = F.sum(own * F.pow(keep, F.col("later")))
     if start is not None:
-        total = total + F.lit(start) * F.pow(keep, F.max("n"))
-    return numbered.groupBy("issue_type", "strategy").agg(F.max("n").alias("n"), total.alias("ema"))
+        total = total + F.lit(start) * F.pow(keep, F.sum("n"))
+    return joined.groupBy(*key).agg(F.sum("n").alias("n"), total.alias("ema"))
+
+
+def floored(scores: DataFrame, share: float, by: list[str]) -> DataFrame:
+    """scores (key..., strategy, n, ema) with `adjusted`, no less than `share` of the best of its key, and `floor_applied`. One row a strategy."""
+    floor = F.lit(share) * F.max("ema").over(Window.partitionBy(*by))
+    return scores.withColumn("adjusted", F.greatest("ema", floor)).withColumn("floor_applied", F.col("ema") < floor)
+
+
+def next_run(outcomes: DataFrame) -> DataFrame:
+    """(run_idx): one more than the outcomes recorded."""
+    return outcomes.agg((F.count("*") + 1).alias("run_idx"))
+
+
+def eligibility(current: DataFrame, last: DataFrame | None) -> DataFrame:
+    """One row (eligible, new, unchanged, removed) from the ids (signal_id) of a run and of the one analysed last (None: the first): a run is worth an analysis if it is the first or has new findings."""
+    now = current.select("signal_id").distinct()
+    if last is None:
+        return now.agg(F.lit(True).alias("eligible"), F.count("*").alias("new"), F.lit(0).cast("long").alias("unchanged"), F.lit(0).cast("long").alias("removed"))
+    both = now.withColumn("now", F.lit(True)).join(last.select("signal_id").distinct().withColumn("before", F.lit(True)), "signal_id", "full_outer")
+    return both.agg(F.count_if(F.col("before").isNull()).alias("new"), F.count_if(F.col("now") & F.col("before")).alias("unchanged"), F.count_if(F.col("now").isNull()).alias("removed")).select((F.col("new") > 0).alias("eligible"), "new", "unchanged", "removed")
+
+
+def series(runs: DataFrame) -> DataFrame:
+    """(run, score, delta, trend): the score of every run, its step from the run before and the trajectory up to it: over three runs, more than 3 points are improving or worsening. One row a run."""
+    order = Window.orderBy("run")
+    back = F.coalesce(F.lag("score", 2).over(order), F.lag("score", 1).over(order))
+    step = F.col("score") - back
+    trend = F.when(back.isNull(), "unknown").when(step > 3, "improving").when(step < -3, "worsening").otherwise("stable")
+    return runs.select("run", "score", (F.col("score") - F.lag("score").over(order)).alias("delta"), trend.alias("trend"))
+
+
+def with_status(state: DataFrame, statuses: list[str], run: int | None = None) -> DataFrame:
+    """Rows of a lifecycle state with one of the statuses. run: only those that were last seen in the run before it, as those that it resolved were."""
+    found = state.where(F.col("status").isin(statuses))
+    return found if run is None else found.where(F.col("last_seen") == run - 1)
+
+
+def clipped_rises(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(metric, rise): how much each metric (metric, value) of a run exceeds the one before, zero if it doesn't; a missing one counts zero."""
+    both = before.select("metric", F.col("value").alias("a")).join(after.select("metric", F.col("value").alias("b")), "metric", "full_outer").fillna(0)
+    return both.select("metric", F.greatest(F.lit(0), F.col("b") - F.col("a")).alias("rise"))
 
 
 def diagnosis_quality(pairs: DataFrame, last: int = 100, least: int = 20) -> DataFrame:

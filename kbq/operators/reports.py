@@ -119,6 +119,60 @@ def documents_with_signals(known: DataFrame, interpreted: DataFrame) -> DataFram
     return known.select("uri").join(per, "uri", "left").select("uri", F.coalesce("signals", F.lit(0)).alias("signals"), F.coalesce("kinds", F.lit("")).alias("kinds"))
 
 
+def first_rows(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first n rows of each group. Each task keeps n of a group before anything is shuffled (a limit on the rank, which Spark applies to parts and then to their union), so a group may have any size."""
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= n)
+
+
+def _sampled(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """(key..., sample): the first n findings of each group as `uri:line`, one after another."""
+    mark = F.concat_ws(":", "uri", F.col("line").cast("string"))
+    few = first_rows(rows, by, ["uri", F.col("line").asc_nulls_first(), "signal_id", "occurrence"], n)
+    return few.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", mark.alias("mark")))), lambda x: x["mark"]), " ").alias("sample"))
+
+
+def contributor_details(interpreted: DataFrame, causes: DataFrame, n: int = 5) -> DataFrame:
+    """What costs how much, by dimension, check, kind and cause: findings, documents, highest severity, penalty, the gains of mending them, recommendation and the first n findings. causes: see `causes`; findings without one have their kind as cause."""
+    spark = interpreted.sparkSession
+    checks = spark.createDataFrame([(name, d) for name, (d, _, _) in C.REGISTRY.items()], "collector_id string, dimension string")
+    sizes = checks.groupBy("dimension").agg(F.count("*").alias("checks")).join(spark.createDataFrame(list(S.WEIGHTS.items()), "dimension string, weight double"), "dimension")
+    named = causes.select("uri", "collector_id", "signal_type", F.coalesce("line", F.lit(-1)).alias("at"), "cause").groupBy("uri", "collector_id", "signal_type", "at").agg(F.min("cause").alias("cause"))
+    keys = ["dimension", "collector_id", "signal_type", "cause"]
+    found = interpreted.withColumn("at", F.coalesce("line", F.lit(-1))).join(named, ["uri", "collector_id", "signal_type", "at"], "left").withColumn("cause", F.coalesce("cause", "signal_type")).join(F.broadcast(checks), "collector_id")  # one row a check
+    per = found.groupBy(*keys).agg(F.count("*").alias("signals"), F.countDistinct("uri").alias("documents"), F.sum("penalty").alias("penalty"), F.max_by("severity", severity_rank("severity")).alias("severity"), F.min("recommendation").alias("recommendation"))
+    total = interpreted.groupBy("collector_id").agg(F.sum("penalty").alias("total"))
+    gain = F.greatest(F.lit(0), 100 - F.greatest(F.lit(0), F.col("total") - F.col("penalty"))) - F.greatest(F.lit(0), 100 - F.col("total"))
+    joined = per.join(F.broadcast(total), "collector_id").join(F.broadcast(sizes), "dimension").withColumn("collector_gain", gain)  # a row a check, a row a dimension
+    scored = joined.withColumn("dimension_gain", F.round(F.col("collector_gain") / F.col("checks"), 6)).withColumn("score_gain", F.round(F.col("collector_gain") / F.col("checks") * F.col("weight"), 6))
+    return scored.join(_sampled(found, keys, n), keys).select(*keys, "signals", "documents", "severity", "penalty", "collector_gain", "dimension_gain", "score_gain", "recommendation", "sample")
+
+
+def type_details(interpreted: DataFrame, n: int = 5) -> DataFrame:
+    """(signal_type, severity, signals, documents, sample): counts by kind and severity with the first n findings."""
+    keys = ["signal_type", "severity"]
+    return interpreted.groupBy(*keys).agg(F.count("*").alias("signals"), F.countDistinct("uri").alias("documents")).join(_sampled(interpreted, keys, n), keys)
+
+
+def cluster_details(interpreted: DataFrame) -> DataFrame:
+    """(collector_id, signal_type, uri, n, representative, ids): the findings of one kind in one document, the first of them in words, and the ids of all; a cluster is part of one document."""
+    text = F.concat(*[x for c, name in (("collector_id", "collector"), ("signal_type", "type"), ("severity", "severity"), ("uri", "artifact")) for x in (F.lit(f"{name}="), F.col(c), F.lit(", "))], F.lit("recommendation="), F.coalesce("recommendation", F.lit("")))
+    first = F.min_by(text, F.struct(F.coalesce("line", F.lit(-1)), "signal_id", "occurrence"))
+    return interpreted.groupBy("collector_id", "signal_type", "uri").agg(F.count("*").alias("n"), first.alias("representative"), F.array_join(F.array_sort(F.collect_set("signal_id")), " ").alias("ids"))
+
+
+def top_directions(changes: DataFrame, n: int = 5) -> DataFrame:
+    """The n greatest regressions and the n greatest improvements of contributor_changes."""
+    keys = [c for c in changes.columns if c not in ("gain_delta", "signals_delta", "change")]
+    order = [F.desc(F.abs("gain_delta")), F.desc(F.abs("signals_delta")), *keys]
+    return first_rows(changes.where("change <> 'unchanged'"), ["change"], order, n)
+
+
+def strategy_rates(outcomes: DataFrame) -> DataFrame:
+    """(strategy, outcomes, successes, rate, mean_attempts) of outcomes (strategy, success, attempt): each strategy's share of successes and the mean attempt of those."""
+    won = F.col("success")
+    return outcomes.groupBy("strategy").agg(F.count("*").alias("outcomes"), F.count_if(won).alias("successes"), F.round(F.avg(won.cast("int")), 6).alias("rate"), F.round(F.coalesce(F.avg(F.when(won, F.col("attempt"))), F.lit(0.0)), 6).alias("mean_attempts"))
+
+
 #: Reporting views over stored tables, read by Spark SQL and DuckDB alike; {as_of} is a timestamp literal.
 VIEWS = {
     "knowledge_health": "SELECT assessment_id, score, dimensions, signals_count, created_at FROM {assessments} ORDER BY created_at DESC, assessment_id DESC LIMIT 1",

@@ -269,6 +269,33 @@ def merge_signals(current: DataFrame, incoming: DataFrame) -> DataFrame:
     })
 
 
+def merge_lifecycle(current: DataFrame, seen: DataFrame, run: str) -> DataFrame:
+    """(signal_id, first_run, last_run, status) after a run: every finding that was seen is persistent, unless it is resolved; verification alone changes that (`verified`)."""
+    new = seen.select("signal_id", F.lit(run).alias("first_run"), F.lit(run).alias("last_run"), F.lit("persistent").alias("status"))
+    return merge(current, new, ["signal_id"], {"first_run": F.coalesce("old.first_run", "new.first_run"), "status": F.when(F.col("old.status") == "resolved", F.col("old.status")).otherwise(F.coalesce("new.status", "old.status"))})
+
+
+def verified(lifecycle: DataFrame, outcome: DataFrame) -> DataFrame:
+    """The lifecycle after a verification (signal_id, gone): what is gone is resolved, what is there although it was resolved is recurring."""
+    joined = lifecycle.join(outcome.select("signal_id", "gone"), "signal_id", "left")
+    status = F.when(F.col("gone"), "resolved").when(~F.col("gone") & (F.col("status") == "resolved"), "recurring").otherwise(F.col("status"))
+    return joined.withColumn("status", status).drop("gone")
+
+
+def persist(spark: SparkSession, folder: str, run: str, artifacts: DataFrame, signals: DataFrame, assessment: DataFrame, n: int = 16) -> int:
+    """Publish a run whole, or not at all: artifacts by uri, findings (signal_id, uri, severity, status, last_run, access_count) by id with `merge_signals`, the run's links to them, their lifecycle, and its assessment row (assessment_id, ...). Other runs may be published at the same time; the number of the version."""
+
+    def change(now: Snapshot) -> dict:
+        links = signals.select(F.lit(run).alias("assessment_id"), "signal_id")
+        return {
+            "artifacts": upserted(now, "artifacts", artifacts, ["uri"], n), "signals": upserted(now, "signals", signals, ["signal_id"], n, merged=merge_signals),
+            "links": upserted(now, "links", links, ["assessment_id", "signal_id"], n, files=8), "assessments": upserted(now, "assessments", assessment, ["assessment_id"], n),
+            "lifecycle": upserted(now, "lifecycle", signals.select("signal_id", F.lit(run).alias("first_run"), F.lit(run).alias("last_run"), F.lit("persistent").alias("status")), ["signal_id"], n, merged=lambda old, new: merge_lifecycle(old, new, run)),
+        }
+
+    return transact(spark, folder, change)
+
+
 def record_modified(current: DataFrame, uris: DataFrame) -> DataFrame:
     """(uri, source, modified_at) with the latest time of each document and source."""
     return current.unionByName(uris).groupBy("uri", "source").agg(F.max("modified_at").alias("modified_at"))

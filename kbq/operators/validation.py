@@ -78,6 +78,20 @@ def link_from_hub(docs: DataFrame, orphans: DataFrame, hub: str, titles: DataFra
     return docs.crossJoin(F.broadcast(listed)).select("uri", added.alias("text"))
 
 
+def link_from_hubs(docs: DataFrame, orphans: DataFrame, hubs: DataFrame, titles: DataFrame, stopwords: list[str]) -> DataFrame:
+    """docs(uri, text) in which the text of every hub of hubs(uri) ends with a list of links to orphans(uri) whose titles (uri, title) share a word with its own.
+
+    Hubs and orphans meet by words (an inverted index of the orphans' titles); a hub's list is part of that hub's text,
+    and only hubs' texts are joined to lists.
+    """
+    words = titles.select("uri", "title", F.explode(title_words(F.col("title"), stopwords)).alias("word"))
+    lost = words.join(orphans.select("uri"), "uri", "left_semi").select(F.col("uri").alias("orphan"), F.col("title").alias("orphan_title"), "word")
+    met = words.join(hubs.select("uri"), "uri", "left_semi").select("uri", "word").join(lost, "word").where("orphan <> uri").select("uri", "orphan", "orphan_title").distinct()
+    lists = met.groupBy("uri").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- ["), F.col("orphan_title"), F.lit("]("), F.col("orphan"), F.lit(")")))), "\n").alias("list"))
+    added = F.when(F.col("list").isNotNull(), F.concat(F.regexp_replace("text", r"\s+\z", ""), F.lit("\n\n## Additional Resources\n\n"), F.col("list"), F.lit("\n"))).otherwise(F.col("text"))
+    return docs.join(lists, "uri", "left").select("uri", added.alias("text"))
+
+
 def create_missing(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """docs(uri, text) with the documents of wanted(uri, text) that are not there yet, one of each uri."""
     return docs.select("uri", "text").unionByName(wanted.join(docs.select("uri"), "uri", "left_anti").groupBy("uri").agg(F.min("text").alias("text")))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbq.plans import checks, remember, runs, scores, work
+from kbq.plans import checks, details, remember, runs, scores, work
 
-_MODULES = [checks, scores, work, runs, remember]
+_MODULES = [checks, scores, work, runs, remember, details]
 
 
 def queries() -> dict:
