@@ -12,7 +12,8 @@ from kbq.operators import history as H
 from kbq.operators import reports as R
 from kbq.operators import store
 from kbq.operators import validation as V
-from kbq.plans import scores
+from kbq.operators import vector_index
+from kbq.plans import scores, work
 from kbq.plans.checks import _big, kb
 from kbq.plans.fixture import kb_docs
 from kbq.plans.oracle import _list, sql
@@ -168,3 +169,11 @@ def touched_signals(spark, sf_dir):
     store.transact(spark, folder, lambda now: {"signals": store.upserted(now, "signals", store.touch(now.matching("signals", read), read, F.lit(7)), ["signal_id"])})
     asked = known.where("signal_id LIKE '7%'")
     return store.Snapshot.newest(spark, folder).matching("signals", asked).select("signal_id", "access_count")
+
+
+@query(work.ORACLES["cosine_topk"])
+def cosine_topk_indexed(spark, sf_dir):
+    """The five nearest rows of every vector whose id is divisible by 20, by the index."""
+    rows = table(prepare(spark), sf_dir, "embeddings").select("vec_id", "embedding")
+    found, _ = vector_index.search(vector_index.build(rows), rows.where("vec_id % 20 = 0"))
+    return _big(found, "rank")
