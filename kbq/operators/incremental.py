@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kbq.operators import collectors as C
 from kbq.operators import graph, parse
+from kbq.operators import scoring as S
 from kbq.session import written
 
 
@@ -48,6 +49,18 @@ def reassess(previous: C.KnowledgeBase, signals: DataFrame, docs: DataFrame, cha
     return kb, kept.unionByName(of_fresh).unionByName(C.signals(kb, across, **options))
 
 
+#: Raise these when policy entries or the tables' structure change their meaning.
+POLICY_VERSION, SCHEMA_VERSION = "1.0", "1.0"
+
+
+def configuration(spark, enabled: list[str] | None = None, weights: dict[str, float] | None = None, versions: dict[str, str] | None = None, policy: DataFrame | None = None) -> DataFrame:
+    """(part): what findings and scores of an assessment are measured by: versions of policy and structure, the checks that ran and theirs, the dimensions' weights, and every policy entry."""
+    names = sorted(enabled if enabled is not None else C.REGISTRY)
+    rows = [f"policy_version={POLICY_VERSION}", f"schema_version={SCHEMA_VERSION}"] + [f"check={n}@{(versions or {}).get(n, '1.0')}" for n in names] + [f"weight={d}:{w}" for d, w in (weights or S.WEIGHTS).items()]
+    entries = (S.policy(spark) if policy is None else policy).select(F.concat(F.lit("policy="), F.concat_ws("|", "collector_id", "signal_type", "severity", F.col("penalty").cast("string"))).alias("part"))
+    return spark.createDataFrame([(r,) for r in rows], "part string").unionByName(entries)
+
+
 def fingerprint(parts: DataFrame, by: list[str]) -> DataFrame:
     """(key..., digest) of what makes assessments comparable: parts (key..., part), strings such as policy entries, checks and weights."""
     return parts.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("part")), "\n"), 256).alias("digest"))

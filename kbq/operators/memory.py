@@ -112,3 +112,80 @@ def memory_summary(outcomes: DataFrame) -> DataFrame:
     again = F.col("uses") > 1
     best = F.max_by(F.when(again, F.col("strategy")), F.when(again, F.struct("mean_gain", "strategy")))
     return per.groupBy("issue_type").agg(F.sum("failed").alias("avoided"), F.count_if(again).alias("reused"), best.alias("best"))
+
+
+#: What a proposed step of a type settles besides the kind it names.
+IMPLIED_KINDS = {"add_metadata:date": ["no_date_signal", "stale_content"], "update_document:add_canonical_link": ["missing_canonical_source"], "create_relationship:": ["orphan_artifact"]}
+
+
+def covered(steps: DataFrame) -> DataFrame:
+    """(signal_type, uri) that steps (step_type, signal_type, uri, detail) settle: the kind a step names, and those that its type and detail (metadata key or action) imply."""
+    rows = [(k.split(":")[0], k.split(":")[1], kind) for k, kinds in IMPLIED_KINDS.items() for kind in kinds]
+    implied = steps.sparkSession.createDataFrame(rows, "step_type string, needs string, implied string")
+    more = steps.join(F.broadcast(implied), "step_type").where("needs = '' or needs = detail").select(F.col("implied").alias("signal_type"), "uri")
+    return steps.where(F.coalesce("signal_type", F.lit("")) != "").select("signal_type", "uri").unionByName(more).distinct()
+
+
+def uncovered(concrete: DataFrame, steps: DataFrame, failed: DataFrame) -> DataFrame:
+    """The mapped steps (signal_type, uri, ...) of findings that no proposed step settles and that did not fail before."""
+    return drop_failed(concrete, failed).join(covered(steps), ["signal_type", "uri"], "left_anti")
+
+
+def place_mapped(steps: DataFrame, concrete: DataFrame, failed: DataFrame, confidence: DataFrame, outcomes: DataFrame, by: str, sure: float = 0.6) -> DataFrame:
+    """(by, settled, uncovered, first): whether the mapped steps go before a run's own proposals.
+
+    They do, unless they were tried and failed (outcomes: by, strategy, verification_outcome), or the proposals are a
+    better challenger: they settle more mapped findings than are left, and the first one's confidence (confidence: by,
+    confidence) is at least `sure`. All rows carry the run's key `by`; without uncovered steps there is nothing to place.
+    """
+    keys = [by, "signal_type", "uri"]
+    rows = [(k.split(":")[0], k.split(":")[1], kind) for k, kinds in IMPLIED_KINDS.items() for kind in kinds]
+    implied = steps.sparkSession.createDataFrame(rows, "step_type string, needs string, implied string")
+    more = steps.join(F.broadcast(implied), "step_type").where("needs = '' or needs = detail").select(by, F.col("implied").alias("signal_type"), "uri")
+    settled = steps.where(F.coalesce("signal_type", F.lit("")) != "").select(*keys).unionByName(more).distinct().withColumn("hit", F.lit(True))
+    open_steps = concrete.select(*keys).distinct().join(failed.select("signal_type", "uri").distinct(), ["signal_type", "uri"], "left_anti")
+    per = open_steps.join(settled, keys, "left").groupBy(by).agg(F.count_if(F.col("hit")).alias("settled"), F.count_if(F.col("hit").isNull()).alias("uncovered"))
+    lost = outcomes.where((F.lower("strategy") == "signal_mapped_remediation") & F.col("verification_outcome").isin("misdiagnosed", "unchanged", "regressed")).select(by).distinct().withColumn("lost", F.lit(True))
+    judged = per.join(confidence.groupBy(by).agg(F.max("confidence").alias("confidence")), by, "left").join(lost, by, "left").where("uncovered > 0")
+    challenger = (F.col("settled") > F.col("uncovered")) & (F.coalesce("confidence", F.lit(0.0)) >= sure)
+    return judged.select(by, "settled", "uncovered", (F.col("lost").isNull() & ~challenger).alias("first"))
+
+
+def outcome_records(runs: DataFrame) -> DataFrame:
+    """What is remembered of runs (run_id, stage, categories, strategies, score_before, score_after, outcome, explanation, attempt): a success if the run was completed, else a failure with its explanation; the first category and strategy, or `unknown`."""
+    done = F.col("stage") == "completed"
+    first = lambda c: F.coalesce(F.try_element_at(F.col(c), F.lit(1)), F.lit("unknown"))
+    return runs.select(
+        "run_id", first("categories").alias("issue_type"), first("strategies").alias("strategy"), F.when(done, "success").otherwise("failure").alias("result"), "score_before", "score_after", (F.col("score_after") - F.col("score_before")).alias("score_change"),
+        F.when(done, "").otherwise(F.coalesce("explanation", F.lit(""))).alias("failure_reason"), F.coalesce("attempt", F.lit(1)).alias("attempt"), F.coalesce("outcome", F.lit("")).alias("verification_outcome"),
+    )
+
+
+def memory_influence(issues: DataFrame, outcomes: DataFrame, scores: DataFrame) -> DataFrame:
+    """(issue_type, retrieved, avoided, reused, rationale): what earlier outcomes say of each issue in issues(issue_type).
+
+    A strategy that succeeded with the greatest change of score is reused; else failed ones are avoided; else the best of
+    scores (issue_type, strategy, adjusted) is suggested; else there is nothing to go by.
+    """
+    ok, bad = F.col("verification_outcome") == "resolved", F.col("verification_outcome").isin("unchanged", "regressed", "misdiagnosed")
+    change = F.col("score_after") - F.col("score_before")
+    per = outcomes.groupBy("issue_type").agg(F.count("*").alias("retrieved"), F.countDistinct(F.when(bad, F.col("strategy"))).alias("avoided"), F.max_by(F.when(ok, F.col("strategy")), F.when(ok, F.struct(change, "strategy"))).alias("won"))
+    best = scores.groupBy("issue_type").agg(F.max_by("strategy", F.struct("adjusted", "strategy")).alias("suggested"))
+    joined = issues.select("issue_type").distinct().join(per, "issue_type", "left").join(best, "issue_type", "left").fillna(0, ["retrieved", "avoided"])
+    rationale = F.when(F.col("won").isNotNull(), "reused").when(F.col("avoided") > 0, "avoided").when(F.col("suggested").isNotNull(), "suggested").otherwise("none")
+    return joined.select("issue_type", "retrieved", "avoided", F.coalesce("won", F.when(rationale == "suggested", F.col("suggested"))).alias("reused"), rationale.alias("rationale"))
+
+
+def merged_context(issues: DataFrame, primary: DataFrame, secondary: DataFrame) -> DataFrame:
+    """(issue_type, source, attempts, successful, failed): the history of each issue from the primary store's outcomes, or from the secondary's where the primary has none; strategies in alphabetical order."""
+
+    def told(outcomes: DataFrame, name: str) -> DataFrame:
+        names = lambda kept: F.array_join(F.array_sort(F.collect_set(F.when(kept, F.col("strategy")))), ",")
+        good = F.col("verification_outcome").isin("resolved", "partially_resolved")
+        return outcomes.groupBy("issue_type").agg(F.lit(name).alias("source"), F.count("*").alias("attempts"), names(good).alias("successful"), names(~good).alias("failed"))
+
+    asked = issues.select("issue_type").distinct()
+    one, two = told(primary, "primary"), told(secondary, "secondary")
+    found = asked.join(one, "issue_type").unionByName(asked.join(one, "issue_type", "left_anti").join(two, "issue_type"))
+    none = asked.join(found, "issue_type", "left_anti").select("issue_type", F.lit("none").alias("source"), F.lit(0).cast("long").alias("attempts"), F.lit("").alias("successful"), F.lit("").alias("failed"))
+    return found.unionByName(none)

@@ -176,14 +176,14 @@ def strategy_rates(outcomes: DataFrame) -> DataFrame:
 #: Reporting views over stored tables, read by Spark SQL and DuckDB alike; {as_of} is a timestamp literal.
 VIEWS = {
     "knowledge_health": "SELECT assessment_id, score, dimensions, signals_count, created_at FROM {assessments} ORDER BY created_at DESC, assessment_id DESC LIMIT 1",
-    "signals": "SELECT signal_id, artifact_uri, collector_id, signal_type, severity, recommendation, status, last_seen, access_count FROM {signals}",
-    "problem_queue": "SELECT problem_id, category, artifact_uri, salience, status FROM {problems} WHERE salience > 0",
-    "remediation_history": "SELECT outcome_id, issue_type, strategy, verification_outcome, score_before, score_after, tokens_used, created_at FROM {outcomes}",
+    "signals": "SELECT signal_id, artifact_uri, collector_id, signal_type, severity, score, recommendation, ai_impact, status, last_seen, access_count, created_at FROM {signals}",
+    "problem_queue": "SELECT problem_id, category, artifact_uris, salience, encoding_score, outcome_score, retrieval_score, staleness_factor, status, description, created_at, updated_at FROM {problems} WHERE salience > 0",
+    "remediation_history": "SELECT outcome_id, issue_type, strategy, strategy_description, verification_outcome, score_before, score_after, proposal_reasoning, tokens_used, latency_ms, forked, created_at FROM {outcomes}",
     "health_trend": "SELECT date_trunc('day', created_at) AS day, avg(score) AS avg_score, count(*) AS assessment_count, avg(signals_count) AS avg_signals FROM {assessments} WHERE created_at > {as_of} - INTERVAL '30' DAY GROUP BY date_trunc('day', created_at)",
-    "decision_traces": "SELECT t.trace_id, t.outcome_id, t.stage, t.created_at, h.issue_type, h.strategy FROM {traces} t LEFT JOIN {outcomes} h ON t.outcome_id = h.outcome_id",
+    "decision_traces": "SELECT t.trace_id, t.outcome_id, t.stage, t.reasoning, t.llm_metadata, t.created_at, h.issue_type, h.strategy FROM {traces} t LEFT JOIN {outcomes} h ON t.outcome_id = h.outcome_id",
     "remediation_metrics": "SELECT count(*) AS total_workflows, count(*) FILTER (WHERE verification_outcome = 'resolved') AS problems_resolved, count(*) FILTER (WHERE verification_outcome = 'partially_resolved') AS problems_partially_resolved, round(avg(score_after - score_before), 6) AS avg_score_improvement, round(avg(tokens_used), 6) AS avg_tokens_per_workflow FROM {outcomes}",
-    "assessment_history": "SELECT assessment_id, score, dimensions, signals_count, source, created_at FROM {assessments}",
-    "remediation_context": "SELECT outcome_id, issue_type, strategy, verification_outcome, score_before, score_after, modification_steps, tokens_used, created_at FROM {outcomes}",
+    "assessment_history": "SELECT assessment_id, score, dimensions, signals_count, source, git_commit, created_at FROM {assessments}",
+    "remediation_context": "SELECT outcome_id, issue_type, strategy, strategy_description, verification_outcome, score_before, score_after, proposal_reasoning, modification_steps, tokens_used, created_at FROM {outcomes}",
 }
 
 

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from kbq.operators import collectors as C
 from kbq.operators import graph
 from kbq.operators import history as H
+from kbq.operators import incremental as I
+from kbq.operators import memory as M
 from kbq.operators import reports as R
+from kbq.operators import scoring as S
 from kbq.operators import store
 from kbq.operators import validation as V
 from kbq.operators import vector_index
-from kbq.plans import scores, work
+from kbq.plans import oracle, scores, work
 from kbq.plans.checks import _big, kb
 from kbq.plans.fixture import kb_docs
 from kbq.plans.oracle import _list, sql
-from kbq.plans.runs import _CHANGES, contributor_changes, outcomes, two_runs
+from kbq.plans.runs import _CHANGES, assessments, contributor_changes, outcomes, two_runs
 from kbq.plans.runs import ORACLES as _RUN_ORACLES
 from kbq.plans.scores import _weight, interpreted, run_scores, seen
 from kbq.session import prepare, shared_folder, table
@@ -177,3 +180,97 @@ def cosine_topk_indexed(spark, sf_dir):
     rows = table(prepare(spark), sf_dir, "embeddings").select("vec_id", "embedding")
     found, _ = vector_index.search(vector_index.build(rows), rows.where("vec_id % 20 = 0"))
     return _big(found, "rank")
+
+
+#: Each source's runs use all checks but one; that and the policy are what a digest is made of.
+_WITHOUT = {"alpha": "freshness", "beta": "topic_purity"}
+
+
+def _parts_sql(source):
+    rows = [f"policy_version={I.POLICY_VERSION}", f"schema_version={I.SCHEMA_VERSION}"] + [f"check={n}@1.0" for n in C.REGISTRY if n != _WITHOUT[source]] + [f"weight={d}:{w}" for d, w in S.WEIGHTS.items()]
+    listed = " UNION ALL ".join(f"SELECT '{r}' AS part" for r in rows)
+    return f"SELECT '{source}' AS source, part FROM ({listed} UNION ALL SELECT 'policy=' || collector_id || '|' || signal_type || '|' || severity || '|' || penalty FROM pol)"
+
+
+@query(f"SELECT assessment_id, digest, coalesce(digest = lag(digest) OVER (ORDER BY run), true) AS comparable FROM assess JOIN (SELECT source, sha256(string_agg(DISTINCT part, chr(10) ORDER BY part)) AS digest FROM ({_parts_sql('alpha')} UNION ALL {_parts_sql('beta')}) GROUP BY source) USING (source)")
+def comparable_runs(spark, sf_dir):
+    """The digest of each run's configuration, and whether it can be compared with the run before."""
+    parts = [I.configuration(spark, [n for n in C.REGISTRY if n != left_out]).withColumn("source", F.lit(source)) for source, left_out in _WITHOUT.items()]
+    digests = I.fingerprint(parts[0].unionByName(parts[1]), ["source"])
+    runs = assessments(spark, sf_dir).join(F.broadcast(digests), "source")  # a row a source
+    return runs.select("assessment_id", "digest", F.expr("coalesce(digest = lag(digest) over (order by run), true)").alias("comparable"))
+
+
+oracle.PARTS |= {
+    "mapped": "SELECT DISTINCT signal_type, uri, lang FROM interp WHERE signal_type IN ('no_date_signal', 'orphan_artifact', 'missing_canonical_source')",
+    "proposed": "SELECT uri, lang, CASE doc_id % 4 WHEN 0 THEN 'add_metadata' WHEN 1 THEN 'create_relationship' WHEN 2 THEN 'update_document' ELSE 'add_metadata' END AS step_type, CASE doc_id % 4 WHEN 0 THEN 'date' WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'add_canonical_link' ELSE 'rewrite' END ELSE '' END AS detail, CASE WHEN doc_id % 4 = 3 THEN 'missing_canonical_source' END AS signal_type FROM kb WHERE doc_id % 5 <> 0 AND lang <> 'en'",
+    "settled": "SELECT DISTINCT uri, k AS signal_type FROM (SELECT uri, unnest(list_concat(CASE WHEN signal_type IS NULL THEN [] ELSE [signal_type] END, CASE WHEN step_type = 'add_metadata' AND detail = 'date' THEN ['no_date_signal', 'stale_content'] WHEN step_type = 'update_document' AND detail = 'add_canonical_link' THEN ['missing_canonical_source'] WHEN step_type = 'create_relationship' THEN ['orphan_artifact'] ELSE [] END)) AS k FROM proposed)",
+}
+
+
+def mapped_steps(spark, sf_dir):
+    """(signal_type, uri, lang): findings that have a mapped step."""
+    return interpreted(spark, sf_dir).where("signal_type in ('no_date_signal', 'orphan_artifact', 'missing_canonical_source')").select("signal_type", "uri", "lang").distinct()
+
+
+def proposed_steps(spark, sf_dir):
+    d = F.col("doc_id")
+    kind = F.when(d % 4 == 1, "create_relationship").when(d % 4 == 2, "update_document").otherwise("add_metadata")
+    detail = F.when(d % 4 == 0, "date").when(d % 4 == 2, F.when(d % 3 == 0, "add_canonical_link").otherwise("rewrite")).otherwise("")
+    return kb_docs(spark, sf_dir).where("doc_id % 5 <> 0 and lang <> 'en'").select("uri", "lang", kind.alias("step_type"), detail.alias("detail"), F.when(d % 4 == 3, "missing_canonical_source").alias("signal_type"))
+
+
+def _failed(spark, sf_dir):
+    return mapped_steps(spark, sf_dir).where("uri like '%9.md'").select("signal_type", "uri")
+
+
+@query("SELECT signal_type, uri FROM mapped WHERE uri NOT LIKE '%9.md' AND (uri, signal_type) NOT IN (SELECT uri, signal_type FROM settled)")
+def uncovered_steps(spark, sf_dir):
+    """Mapped steps that no proposal settles and that did not fail before."""
+    return M.uncovered(mapped_steps(spark, sf_dir).select("signal_type", "uri"), proposed_steps(spark, sf_dir), _failed(spark, sf_dir))
+
+
+@query("SELECT lang, settled, uncovered, lang <> 'de' AND NOT (settled > uncovered AND lang = 'fr') AS first FROM (SELECT lang, count(*) FILTER ((uri, signal_type) IN (SELECT uri, signal_type FROM settled)) AS settled, count(*) FILTER ((uri, signal_type) NOT IN (SELECT uri, signal_type FROM settled)) AS uncovered FROM mapped WHERE uri NOT LIKE '%9.md' GROUP BY lang) WHERE uncovered > 0")
+def mapped_steps_placed(spark, sf_dir):
+    """By language as runs: whether mapped steps go first. Those of de failed before; only the proposals for fr are sure."""
+    docs = kb_docs(spark, sf_dir).select("lang").distinct()
+    sure = docs.select("lang", F.when(F.col("lang") == "fr", 0.7).otherwise(0.4).alias("confidence"))
+    past = docs.where("lang = 'de'").select("lang", F.lit("signal_mapped_remediation").alias("strategy"), F.lit("unchanged").alias("verification_outcome"))
+    return M.place_mapped(proposed_steps(spark, sf_dir), mapped_steps(spark, sf_dir), _failed(spark, sf_dir), sure, past, "lang")
+
+
+@query("SELECT outcome_id AS run_id, CASE WHEN tokens_used % 11 = 0 THEN 'unknown' ELSE issue_type END AS issue_type, CASE WHEN tokens_used % 13 = 0 THEN 'unknown' ELSE strategy END AS strategy, CASE WHEN tokens_used % 4 = 0 THEN 'failure' ELSE 'success' END AS result, score_before, score_after, score_after - score_before AS score_change, CASE WHEN tokens_used % 4 = 0 AND tokens_used % 8 <> 0 THEN proposal_reasoning ELSE '' END AS failure_reason, CASE WHEN tokens_used % 5 = 0 THEN 1 ELSE tokens_used % 5 END AS attempt, verification_outcome FROM outc")
+def recorded_outcomes(spark, sf_dir):
+    """Outcome records of runs, some without category, strategy, explanation or attempt."""
+    t = F.col("tokens_used")
+    none = F.array().cast("array<string>")
+    runs = outcomes(spark, sf_dir).select(
+        F.col("outcome_id").alias("run_id"), F.when(t % 4 == 0, "failed").otherwise("completed").alias("stage"), F.when(t % 11 == 0, none).otherwise(F.array("issue_type")).alias("categories"), F.when(t % 13 == 0, none).otherwise(F.array("strategy", F.lit("x"))).alias("strategies"),
+        "score_before", "score_after", F.col("verification_outcome").alias("outcome"), F.when(t % 8 != 0, F.col("proposal_reasoning")).alias("explanation"), F.when(t % 5 != 0, t % 5).alias("attempt"),
+    )
+    return M.outcome_records(runs)
+
+
+_history = "SELECT * FROM outc WHERE NOT (issue_type < '05' AND verification_outcome = 'resolved') AND NOT (issue_type < '03' AND verification_outcome <> 'partially_resolved') AND issue_type > '00'"
+
+
+@query(f"""SELECT issue_type, coalesce(retrieved, 0) AS retrieved, coalesce(avoided, 0) AS avoided, coalesce(won, CASE WHEN coalesce(avoided, 0) = 0 THEN suggested END) AS reused, CASE WHEN won IS NOT NULL THEN 'reused' WHEN avoided > 0 THEN 'avoided' WHEN suggested IS NOT NULL THEN 'suggested' ELSE 'none' END AS rationale
+  FROM (SELECT DISTINCT issue_type FROM outc) LEFT JOIN (SELECT issue_type, count(*) AS retrieved, count(DISTINCT strategy) FILTER (verification_outcome IN ('unchanged', 'regressed', 'misdiagnosed')) AS avoided, first(strategy ORDER BY score_after - score_before DESC, strategy DESC) FILTER (verification_outcome = 'resolved') AS won FROM ({_history}) GROUP BY issue_type) USING (issue_type)
+  LEFT JOIN (SELECT issue_type, max(strategy) AS suggested FROM ({_history}) GROUP BY issue_type) USING (issue_type)""")
+def memory_rationales(spark, sf_dir):
+    """What is reused, avoided or suggested: some issues have no success, some only partial ones, one no history."""
+    rows = outcomes(spark, sf_dir)
+    kept = rows.where("not (issue_type < '05' and verification_outcome = 'resolved') and not (issue_type < '03' and verification_outcome <> 'partially_resolved') and issue_type > '00'")
+    ranks = kept.select("issue_type", "strategy").distinct().withColumn("adjusted", F.lit(0.5))
+    return M.memory_influence(rows.select("issue_type"), kept, ranks)
+
+
+_told = lambda rows, name: f"SELECT issue_type, '{name}' AS source, count(*) AS attempts, coalesce(string_agg(DISTINCT strategy, ',' ORDER BY strategy) FILTER (verification_outcome IN ('resolved', 'partially_resolved')), '') AS successful, coalesce(string_agg(DISTINCT strategy, ',' ORDER BY strategy) FILTER (verification_outcome NOT IN ('resolved', 'partially_resolved')), '') AS failed FROM outc WHERE {rows} GROUP BY issue_type"
+_FIRST, _SECOND = "issue_type >= '10'", "issue_type < '10' AND issue_type >= '02' AND tokens_used % 2 = 0"
+
+
+@query(f"SELECT * FROM ({_told(_FIRST, 'primary')}) UNION ALL SELECT * FROM ({_told(_SECOND, 'secondary')}) UNION ALL SELECT DISTINCT issue_type, 'none', 0, '', '' FROM outc WHERE issue_type < '02'")
+def merged_contexts(spark, sf_dir):
+    """History of every issue, from the store that has it."""
+    rows = outcomes(spark, sf_dir)
+    return M.merged_context(rows, rows.where(_FIRST), rows.where("issue_type >= '02' AND tokens_used % 2 = 0"))

@@ -25,11 +25,11 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 #: Read by Spark SQL and by DuckDB alike: a day of events is a run of one of two sources, an event is a remediation.
-ASSESSMENTS_SQL = """SELECT 'run-' || lpad(cast(run as string), 3, '0') AS assessment_id, run, score, 'events=' || cast(signals_count as string) AS dimensions, signals_count, CASE WHEN run % 3 = 0 THEN 'beta' ELSE 'alpha' END AS source, created_at
+ASSESSMENTS_SQL = """SELECT 'run-' || lpad(cast(run as string), 3, '0') AS assessment_id, run, score, 'events=' || cast(signals_count as string) AS dimensions, signals_count, CASE WHEN run % 3 = 0 THEN 'beta' ELSE 'alpha' END AS source, substring(md5(cast(run as string)), 1, 8) AS git_commit, created_at
   FROM (SELECT row_number() OVER (ORDER BY created_at) AS run, score, signals_count, created_at FROM (SELECT date_trunc('day', ts) AS created_at, cast(round(100 * avg(cast(CASE WHEN value < 50 THEN 1 ELSE 0 END as double))) as int) AS score, count(*) AS signals_count FROM {events} GROUP BY 1))"""
 OUTCOMES_SQL = """SELECT cast(event_id as string) AS outcome_id, lpad(cast(user_id % 20 as string), 2, '0') AS issue_type, event_type AS strategy, CASE WHEN value >= 75 THEN 'resolved' WHEN value >= 50 THEN 'partially_resolved' WHEN value >= 10 THEN 'unchanged' ELSE 'regressed' END AS verification_outcome,
-  cast(floor(value) as int) AS score_before, cast(floor(value) as int) + cast(event_id % 7 as int) - 2 AS score_after, cast(event_id % 1000 as int) AS tokens_used, 'set_date:kb/s' || cast(event_id % 20 as string) AS modification_steps, 'kb/s' || cast(user_id % 500 as string) AS uri, ts AS created_at FROM {events}"""
-TRACES_SQL = "SELECT 't' || cast(event_id as string) AS trace_id, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE cast(event_id as string) END AS outcome_id, event_type AS stage, ts AS created_at FROM {events} WHERE event_id % 3 = 0"
+  cast(floor(value) as int) AS score_before, cast(floor(value) as int) + cast(event_id % 7 as int) - 2 AS score_after, cast(event_id % 1000 as int) AS tokens_used, 'try ' || event_type AS strategy_description, 'because of ' || cast(user_id % 7 as string) AS proposal_reasoning, cast(event_id % 500 as int) AS latency_ms, event_id % 9 = 0 AS forked, 'set_date:kb/s' || cast(event_id % 20 as string) AS modification_steps, 'kb/s' || cast(user_id % 500 as string) AS uri, ts AS created_at FROM {events}"""
+TRACES_SQL = "SELECT 't' || cast(event_id as string) AS trace_id, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE cast(event_id as string) END AS outcome_id, event_type AS stage, 'step ' || cast(event_id % 4 as string) AS reasoning, 'tokens ' || cast(event_id % 90 as string) AS llm_metadata, ts AS created_at FROM {events} WHERE event_id % 3 = 0"
 _of_run = lambda kept, more: f"SELECT signal_id, uri, severity, {more} FROM interp JOIN (SELECT uri, doc_id FROM kb) USING (uri) WHERE occurrence = 1 AND {kept}"
 _pair = "SELECT i.*, k.doc_id FROM interp i JOIN (SELECT uri, doc_id FROM kb) k USING (uri) WHERE NOT (doc_id % 10 = {0} AND collector_id = '{1}')"
 oracle.PARTS |= {
@@ -337,31 +337,47 @@ def recent_outcomes(spark, sf_dir):
 
 _view_parts = {"assessments": "assess", "outcomes": "outc", "traces": "trace", "signals": "vsig", "problems": "vprob"}
 oracle.PARTS |= {
-    "vsig": "SELECT signal_id, uri AS artifact_uri, collector_id, signal_type, severity, recommendation, CASE WHEN doc_id % 7 = 0 THEN 'resolved' ELSE 'persistent' END AS status, doc_id % 30 AS last_seen, doc_id % 5 AS access_count FROM interp JOIN (SELECT uri, doc_id FROM kb) USING (uri)",
-    "vprob": "SELECT collector_id || ':' || signal_type || ':' || uri AS problem_id, collector_id AS category, uri AS artifact_uri, CASE WHEN penalty > 10 THEN penalty / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS salience, 'open' AS status FROM (SELECT DISTINCT collector_id, signal_type, uri, penalty FROM interp)",
+    "vsig": "SELECT signal_id, uri AS artifact_uri, collector_id, signal_type, severity, penalty::INT AS score, recommendation, 'hides ' || signal_type AS ai_impact, CASE WHEN doc_id % 7 = 0 THEN 'resolved' ELSE 'persistent' END AS status, doc_id % 30 AS last_seen, doc_id % 5 AS access_count, doc_id % 40 AS created_at FROM interp JOIN (SELECT uri, doc_id FROM kb) USING (uri)",
+    "vprob": "SELECT collector_id || ':' || signal_type || ':' || uri AS problem_id, collector_id AS category, uri AS artifact_uris, CASE WHEN penalty > 10 THEN penalty / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS salience, penalty / 100.0::DOUBLE AS encoding_score, 0.5::DOUBLE AS outcome_score, 1 - penalty / 200.0::DOUBLE AS retrieval_score, 1.0::DOUBLE AS staleness_factor, 'open' AS status, signal_type || ' in ' || uri AS description, (penalty % 7)::INT AS created_at, (penalty % 11)::INT AS updated_at FROM (SELECT DISTINCT collector_id, signal_type, uri, penalty FROM interp)",
 }
 
 
 def _view_tables(spark, sf_dir, name):
     """The tables that a view's text names."""
     found = interpreted(spark, sf_dir)
-    d = F.col("doc_id")
-    make = {
-        "assessments": lambda: assessments(spark, sf_dir),
-        "outcomes": lambda: outcomes(spark, sf_dir),
-        "traces": lambda: _events(spark, sf_dir, TRACES_SQL),
-        "signals": lambda: found.join(kb_docs(spark, sf_dir).select("uri", "doc_id"), "uri").select("signal_id", F.col("uri").alias("artifact_uri"), "collector_id", "signal_type", "severity", "recommendation", F.when(d % 7 == 0, "resolved").otherwise("persistent").alias("status"), (d % 30).alias("last_seen"), (d % 5).alias("access_count")),
-        "problems": lambda: found.select("collector_id", "signal_type", "uri", "penalty").distinct().select(F.concat_ws(":", "collector_id", "signal_type", "uri").alias("problem_id"), F.col("collector_id").alias("category"), F.col("uri").alias("artifact_uri"), F.when(F.col("penalty") > 10, F.col("penalty") / 100).otherwise(0.0).alias("salience"), F.lit("open").alias("status")),
-    }
+    d, p = F.col("doc_id"), F.col("penalty")
+
+    def signals():
+        rows = found.join(kb_docs(spark, sf_dir).select("uri", "doc_id"), "uri")
+        return rows.select("signal_id", F.col("uri").alias("artifact_uri"), "collector_id", "signal_type", "severity", p.cast("int").alias("score"), "recommendation", F.concat(F.lit("hides "), "signal_type").alias("ai_impact"), F.when(d % 7 == 0, "resolved").otherwise("persistent").alias("status"), (d % 30).alias("last_seen"), (d % 5).alias("access_count"), (d % 40).alias("created_at"))
+
+    def problems():
+        rows = found.select("collector_id", "signal_type", "uri", "penalty").distinct()
+        parts = [F.when(p > 10, p / 100).otherwise(0.0).alias("salience"), (p / 100).alias("encoding_score"), F.lit(0.5).alias("outcome_score"), (1 - p / 200).alias("retrieval_score"), F.lit(1.0).alias("staleness_factor")]
+        return rows.select(F.concat_ws(":", "collector_id", "signal_type", "uri").alias("problem_id"), F.col("collector_id").alias("category"), F.col("uri").alias("artifact_uris"), *parts, F.lit("open").alias("status"), F.concat("signal_type", F.lit(" in "), "uri").alias("description"), (p % 7).cast("int").alias("created_at"), (p % 11).cast("int").alias("updated_at"))
+
+    make = {"assessments": lambda: assessments(spark, sf_dir), "outcomes": lambda: outcomes(spark, sf_dir), "traces": lambda: _events(spark, sf_dir, TRACES_SQL), "signals": signals, "problems": problems}
     return {k: f() for k, f in make.items() if "{" + k + "}" in R.VIEWS[name]}
 
 
+#: The documented columns of each view, and what they are taken from.
+_VIEW_COLUMNS = {
+    "knowledge_health": ("assessment_id, score, dimensions, signals_count, created_at", "(SELECT *, row_number() OVER (ORDER BY created_at DESC, assessment_id DESC) AS r FROM assess) WHERE r = 1"),
+    "signals": ("signal_id, artifact_uri, collector_id, signal_type, severity, score, recommendation, ai_impact, status, last_seen, access_count, created_at", "vsig"),
+    "problem_queue": ("problem_id, category, artifact_uris, salience, encoding_score, outcome_score, retrieval_score, staleness_factor, status, description, created_at, updated_at", "vprob WHERE salience > 0"),
+    "remediation_history": ("outcome_id, issue_type, strategy, strategy_description, verification_outcome, score_before, score_after, proposal_reasoning, tokens_used, latency_ms, forked, created_at", "outc"),
+    "health_trend": ("day, avg(score) AS avg_score, count(*) AS assessment_count, avg(signals_count) AS avg_signals", "(SELECT *, date_trunc('day', created_at) AS day FROM assess WHERE created_at > TIMESTAMP '2024-01-01 00:00:00') GROUP BY day"),
+    "decision_traces": ("trace_id, t.outcome_id, stage, reasoning, llm_metadata, t.created_at, issue_type, strategy", "trace t LEFT JOIN outc h ON h.outcome_id = t.outcome_id"),
+    "remediation_metrics": ("count(*) AS total_workflows, sum((verification_outcome = 'resolved')::INT)::BIGINT AS problems_resolved, sum((verification_outcome = 'partially_resolved')::INT)::BIGINT AS problems_partially_resolved, round(avg(score_after - score_before), 6) AS avg_score_improvement, round(avg(tokens_used), 6) AS avg_tokens_per_workflow", "outc"),
+    "assessment_history": ("assessment_id, score, dimensions, signals_count, source, git_commit, created_at", "assess"),
+    "remediation_context": ("outcome_id, issue_type, strategy, strategy_description, verification_outcome, score_before, score_after, proposal_reasoning, modification_steps, tokens_used, created_at", "outc"),
+}
+
+
 def _register_view(name):
-    text = R.VIEWS[name].replace("{as_of}", "TIMESTAMP '2024-01-31 00:00:00'")
-    for k, part in _view_parts.items():
-        text = text.replace("{" + k + "}", part)
+    columns, source = _VIEW_COLUMNS[name]
     QUERIES[f"view_{name}"] = lambda spark, sf_dir: _plain_times(R.view(prepare(spark), name, **_view_tables(spark, sf_dir, name)))
-    ORACLES[f"view_{name}"] = sql(f"SELECT * FROM ({text})")
+    ORACLES[f"view_{name}"] = sql(f"SELECT {columns} FROM {source}")
 
 
 for _name in R.VIEWS:
