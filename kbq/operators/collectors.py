@@ -41,6 +41,10 @@ STEPS = r"(?im)(?:^|\n)\s*(?:#{1,6}\s+)?(?:\d+\.|step\s+\d+|step\s*\d)"
 VERIFICATION = "verif|test|check|confirm|validate|troubleshoot|error|debug|common issue|faq"
 
 
+#: One of these is in every match of DANGLING.
+DANGLING_WORDS = "above|below|earlier|previous|following|next step|aforementioned|latter|former"
+
+
 @dataclass
 class KnowledgeBase:
     """Parsed artifacts, their links with what they lead to, the edges among them, and the navigation edges that were given."""
@@ -106,8 +110,10 @@ def mixed_topics(kb: KnowledgeBase) -> DataFrame:
 def dangling_references(kb: KnowledgeBase) -> DataFrame:
     """Documents with paragraphs that refer to what is outside of them."""
     count = lambda c, p: F.size(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
-    of = lambda p: reduce(lambda a, b: a + b, [count(F.lower(p["text"]), d) for d in DANGLING] + [count(p["text"], u) for u in UNDEFINED])
-    per = kb.artifacts.select("uri", F.aggregate(F.transform("paragraphs", of), F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
+    lowered = kb.artifacts.select("uri", F.transform("paragraphs", lambda p: F.struct(F.lower(p["text"]).alias("low"), p["text"].alias("text"))).alias("ps"))
+    may = lowered.select("uri", F.filter("ps", lambda p: p["low"].rlike(DANGLING_WORDS) | p["text"].rlike("|".join(UNDEFINED))).alias("ps")).where(F.size("ps") > 0)  # few paragraphs have any
+    of = lambda p: reduce(lambda a, b: a + b, [count(p["low"], d) for d in DANGLING] + [count(p["text"], u) for u in UNDEFINED])
+    per = may.select("uri", F.aggregate(F.transform("ps", of), F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
     return _found(per.where("n > 0"), "context_independence", "dangling_reference", dangling_reference_count=F.col("n"))
 
 
@@ -142,7 +148,7 @@ def term_uses(parsed: DataFrame) -> DataFrame:
 @collector("terminology_consistency", "consistency", "cross_artifact")
 def terminology_variants(kb: KnowledgeBase) -> DataFrame:
     """Documents that use another spelling of a term than most documents do. A text is read once for all terms; which spellings a place uses is told from its few distinct forms."""
-    used = term_uses(kb.artifacts)
+    used = written(term_uses(kb.artifacts), "terms")  # few rows, read three times
     counts = used.groupBy("term_group", "variant", "place").agg(F.count("*").alias("n"), F.min("uri").alias("first_uri"))
     order = Window.partitionBy("term_group").orderBy(F.desc("n"), "first_uri", "place")
     ranked = counts.withColumn("r", F.row_number().over(order)).withColumn("variants", F.count("*").over(Window.partitionBy("term_group")))
@@ -167,7 +173,7 @@ def contradictions(kb: KnowledgeBase) -> DataFrame:
 def version_claims(parsed: DataFrame) -> DataFrame:
     """(uri, subject, version): the versions that documents ask for."""
     pairs = F.arrays_zip(F.regexp_extract_all("all_text", F.lit(VERSION), F.lit(1)).alias("subject"), F.regexp_extract_all("all_text", F.lit(VERSION), F.lit(2)).alias("version"))
-    return parsed.select("uri", F.explode(pairs).alias("c")).select("uri", F.lower("c.subject").alias("subject"), "c.version")
+    return parsed.where(F.col("all_text").rlike(VERSION)).select("uri", F.explode(pairs).alias("c")).select("uri", F.lower("c.subject").alias("subject"), "c.version")
 
 
 def version_conflicts(kb: KnowledgeBase) -> DataFrame:
@@ -245,10 +251,10 @@ def canonical_source(kb: KnowledgeBase) -> DataFrame:
 
 def missing_canonical(kb: KnowledgeBase) -> DataFrame:
     """Documents that speak of a technology without a link to its own site."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(d).alias("domain")) for k, d in CANONICAL.items()])
-    linked = lambda d: F.exists("links", lambda x: ~x["is_internal"] & F.contains(x["target"], d))
-    lacking = F.filter(pairs, lambda p: F.contains(F.lower("all_text"), p["keyword"]) & ~linked(p["domain"]))
-    found = kb.artifacts.select("uri", F.explode(lacking).alias("p")).select("uri", "p.keyword", "p.domain")
+    linked = lambda d: F.exists("links", lambda x: ~x["is_internal"] & F.contains(x["target"], F.lit(d)))
+    lacking = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(k)) & ~linked(d), F.struct(F.lit(k).alias("keyword"), F.lit(d).alias("domain"))) for k, d in CANONICAL.items()]))
+    lowered = kb.artifacts.select("uri", "links", F.lower("all_text").alias("low"))
+    found = lowered.select("uri", F.explode(lacking).alias("p")).select("uri", "p.keyword", "p.domain")
     mark = F.concat(F.lit("canonical_domain="), F.col("domain"), F.lit("|topic_keyword="), F.col("keyword"))
     return _found(found, "canonical_source", "missing_canonical_source", discriminator=mark, keyword=F.col("keyword"), domain=F.col("domain"))
 
@@ -271,9 +277,10 @@ def document_date() -> Column:
     formats = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'"]
     of_key = lambda k: F.coalesce(*[F.try_to_timestamp(F.try_element_at("metadata", F.lit(k)), F.lit(f)) for f in formats]).cast("date")
     head = F.substring("all_text", 1, 2000)
-    iso = F.try_to_timestamp(F.concat_ws("-", *[F.regexp_extract(head, ISO_DATE, g) for g in (1, 2, 3)]), F.lit("yyyy-M-d")).cast("date")
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(head, WRITTEN_DATE, 1), 1, 3)))
-    written = F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(head, WRITTEN_DATE, 3), month, F.regexp_extract(head, WRITTEN_DATE, 2)), F.lit("yyyy-M-d")).cast("date")
+    first = lambda pattern, use: F.element_at(F.transform(F.array(F.regexp_extract(head, pattern, 0)), use), 1)  # noqa: E731  the head is searched once, its match taken apart
+    iso = first(ISO_DATE, lambda m: F.try_to_timestamp(F.concat_ws("-", *[F.regexp_extract(m, ISO_DATE, g) for g in (1, 2, 3)]), F.lit("yyyy-M-d")).cast("date"))
+    month = lambda m: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(m, WRITTEN_DATE, 1), 1, 3)))
+    written = first(WRITTEN_DATE, lambda m: F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(m, WRITTEN_DATE, 3), month(m), F.regexp_extract(m, WRITTEN_DATE, 2)), F.lit("yyyy-M-d")).cast("date"))
     return F.coalesce(*map(of_key, DATE_KEYS), iso, written)
 
 
@@ -312,8 +319,8 @@ def orphan_documents(kb: KnowledgeBase) -> DataFrame:
 @collector("workflow_completeness", "workflow")
 def incomplete_workflows(kb: KnowledgeBase) -> DataFrame:
     """How-to guides without prerequisites, numbered steps, a check or code."""
-    low, title = F.lower("all_text"), F.lower("title")
-    guide = low.rlike("|".join(WORKFLOW)) | title.rlike("|".join(WORKFLOW))
+    low, title = F.col("low"), F.lower("title")
+    guide = reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for c in (F.col("low"), title) for w in WORKFLOW])
     steps = F.size(F.regexp_extract_all("all_text", F.lit(STEPS), F.lit(0)))
     missing = F.array_compact(F.array(
         F.when(~low.rlike(PREREQUISITES), "prerequisites"),
@@ -321,7 +328,8 @@ def incomplete_workflows(kb: KnowledgeBase) -> DataFrame:
         F.when(~low.rlike(VERIFICATION), "verification_step"),
         F.when(F.size("code_blocks") == 0, "code_examples"),
     ))
-    found = kb.artifacts.where(guide).select("uri", F.array_join(missing, ",").alias("missing")).where("missing <> ''")
+    lowered = kb.artifacts.select("uri", "title", "all_text", "code_blocks", F.lower("all_text").alias("low"))
+    found = lowered.where(guide).select("uri", F.array_join(missing, ",").alias("missing")).where("missing <> ''")
     return _found(found, "workflow_completeness", "incomplete_workflow", missing=F.col("missing"))
 
 

@@ -19,7 +19,7 @@ def causes(kb: C.KnowledgeBase) -> DataFrame:
     most = F.max_by("ref", F.struct("n", -F.col("first")))
     broken = kb.resolved.where("resolved is null").groupBy("uri", F.col("target").alias("ref")).agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     texts = F.array_join(F.transform("paragraphs", lambda p: F.lower(p["text"])), "\n")
-    phrases = kb.artifacts.select("uri", F.posexplode(F.regexp_extract_all(texts, F.lit("|".join(C.DANGLING)), F.lit(0))).alias("pos", "ref")).groupBy("uri", "ref").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    phrases = kb.artifacts.select("uri", texts.alias("low")).where(F.col("low").rlike(C.DANGLING_WORDS)).select("uri", F.posexplode(F.regexp_extract_all("low", F.lit("|".join(C.DANGLING)), F.lit(0))).alias("pos", "ref")).groupBy("uri", "ref").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     of = lambda refs, collector, kind: refs.groupBy("uri").agg(most.alias("cause")).select("uri", F.lit(collector).alias("collector_id"), F.lit(kind).alias("signal_type"), F.lit(None).cast("int").alias("line"), "cause")
     return heads.union(of(broken, "link_integrity", "broken_link")).union(of(phrases, "context_independence", "dangling_reference"))
 
