@@ -87,10 +87,15 @@ def parse(source: str | None) -> Page:
                 page.marks[node] |= text[-1] in ".!?:…\"”»" or ". " in text
         linked = 0
 
+    def drop(depth: int) -> None:
+        for n in stack[depth:]:
+            opened[page.tag[n]] -= 1
+        del stack[depth:]
+
     def close_to(depth: int) -> None:
         nonlocal links
         flush()
-        del stack[depth:]
+        drop(depth)
         links = 0
 
     def say(raw: str) -> None:
@@ -101,6 +106,7 @@ def parse(source: str | None) -> Page:
             linked += len(text.strip())
 
     at = 0
+    opened: Counter[str] = Counter()  # open elements by name, the root aside
     never: set[str] = set()  # elements that are not closed any more
     while m := _MARKUP.search(source, at):
         if m.start() > at:
@@ -131,24 +137,25 @@ def parse(source: str | None) -> Page:
                 links = max(0, links + (-1 if closing else 1))
             continue
         if closing:
+            if not opened[name]:  # a stray end tag: the open elements are not searched
+                flush()
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if page.tag[stack[depth]] == name:
                     close_to(depth)
                     break
-            else:
-                flush()
             continue
         flush()
         links = 0
         if name in _NO_P_INSIDE and page.tag[stack[-1]] == "p":
-            stack.pop()
+            drop(len(stack) - 1)
         if name in _CLOSES:
             closed, borders = _CLOSES[name]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[c] for c in closed) else ():
                 if page.tag[stack[depth]] in borders:
                     break
                 if page.tag[stack[depth]] in closed:
-                    del stack[depth:]
+                    drop(depth)
                     break
         if name in _VOID:
             continue
@@ -168,6 +175,7 @@ def parse(source: str | None) -> Page:
         page.marks.append(False)
         if not attributes.endswith("/"):
             stack.append(len(page.tag) - 1)
+            opened[name] += 1
     if at < len(source):
         say(source[at:])
     flush()

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -171,3 +172,10 @@ def test_pipeline(spark, tmp_path):
     assert set(left) == {*range(1, 30), 104} and left[104].endswith('[secret]"')
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == set(left) and all(out[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for d, t in left.items())
+
+
+def test_stray_tags_take_linear_time():
+    """End tags of elements that aren't open don't search the open ones."""
+    began = time.process_time()
+    page = html_extract.parse("<div>" * 8000 + "some text" + "</x>" * 8000 + "</p>" * 8000)
+    assert time.process_time() - began < 3 and len(page.tag) == 8001
