@@ -20,11 +20,13 @@ rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,11 +192,24 @@ def text_features(texts: pa.Array, automaton: LexiconAutomaton, cache: dict[str,
     return out
 
 
+#: The automaton that this Python worker built last, by the name that its lexicon was sent under.
+_BUILT: dict[str, LexiconAutomaton] = {}
+
+
+def _automaton(name: str, lexicon: Broadcast) -> LexiconAutomaton:
+    """The automaton of a lexicon, built once a worker: its later tasks find it again."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = LexiconAutomaton(lexicon.value)
+    return _BUILT[name]
+
+
 def features(docs: DataFrame, lexicon: dict[str, float], reach: int = 8) -> DataFrame:
-    """(doc_id, FEATURES...), a row for each row of docs."""
+    """(doc_id, FEATURES...), a row for each row of docs. The lexicon is sent to each executor once."""
+    name, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, cache = LexiconAutomaton(lexicon), {}
+        automaton, cache = _automaton(name, sent), {}
         for batch in slices(batches, "text", 4 << 20):
             if len(cache) > 200_000:
                 cache.clear()
