@@ -106,10 +106,10 @@ def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets.astype(np.int64)
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
+def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
     """XXH64 of each word."""
     digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w) for w in words.to_pylist()), np.uint64, len(words))
+    return np.fromiter((digest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -5,10 +5,11 @@ b = (window + 1) // 2 words lie end to end in every document, so each window hol
 repeated window's block is met by a rolling probe of b words at the other place.
 
 1. Every document's blocks are indexed and every rolling window of b words is a probe. Both travel as packed arrays,
-   sorted and freed of repeats in each task, so a passage that millions of documents share costs one entry a task. A
-   bucket's task finds which blocks' words occur in more than one place.
+   sorted and freed of repeats in each task. Blocks whose words a task meets again are settled there: they are hits, and
+   only that their words repeat is told to others. So a passage that millions of documents share costs its bucket one
+   entry a task. A bucket's task finds which of the other blocks' words occur in more than one place.
 2. Documents with such blocks extend the hits to both sides: every window over a hit block is looked up over the corpus
-   by its words' fingerprint of 96 bits (from two independent rolling hashes; the chance that any two unequal ones of
+   by its words' fingerprint of 96 bits (from rolling hashes of two seeded hashes of each word; the chance that any two unequal ones of
    10^13 windows share theirs is below one in a thousand). Windows that repeat within a batch are settled there and travel once, whatever
    their number. Runs of repeated windows are the maximal exact repeats; their words are removed.
 
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbq.llm.common import ascii_words, bounded_batches, column, grouped, materialise, mix, n_buckets, pack_ints, rolling, rows_of, slices, starts_within, tidy, unpack, unpack_ints, word_hashes
+from kbq.llm.common import ascii_words, bounded_batches, column, grouped, materialise, n_buckets, pack_ints, rolling, rows_of, slices, starts_within, tidy, unpack, unpack_ints, word_hashes
 
 #: Words or windows a task holds before it hands on their packed arrays.
 _HELD = 3_000_000
@@ -66,11 +67,16 @@ def hit_blocks(keyed: DataFrame, block: int) -> DataFrame:
             twice = code[count > 1]
             h, k1, k2, number = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3, 4))
             b_bucket = (h >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(b_bucket, kind="stable")
-            h, k1, k2, number, b_bucket = (x[order] for x in (h, k1, k2, number, b_bucket))
+            settled = np.isin(b_bucket << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)), twice, kind="sort")
+            spread = np.where(settled, k1.view(np.uint64) % np.uint64(buckets), b_bucket)  # settled blocks needn't meet their words' bucket
+            order = np.lexsort((spread, settled))
+            h, k1, k2, number, spread = (x[order] for x in (h, k1, k2, number, spread))
+            n_open = len(h) - int(settled.sum())
+            done = [(int(b), b"", b"", b"", k1[n_open:][s].tobytes(), k2[n_open:][s].tobytes(), number[n_open:][s].astype(np.int32).tobytes()) for b, s in _by_bucket(spread[n_open:])]
+            h, k1, k2, number, b_bucket = (x[:n_open] for x in (h, k1, k2, number, spread))
             t_cut = np.searchsorted(twice >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
             b_cut = np.searchsorted(b_bucket, np.arange(buckets + 1, dtype=np.uint64))
-            rows = []
+            rows = done
             for bucket, s in _by_bucket(code >> np.uint64(32)):
                 t, b = slice(t_cut[bucket], t_cut[bucket + 1]), slice(b_cut[bucket], b_cut[bucket + 1])
                 rows.append((bucket, pack_ints(code[s] & np.uint64(0xFFFFFFFF), True), pack_ints(twice[t] & np.uint64(0xFFFFFFFF), True), h[b].astype(np.uint32).tobytes(), k1[b].tobytes(), k2[b].tobytes(), number[b].astype(np.int32).tobytes()))
@@ -101,8 +107,10 @@ def hit_blocks(keyed: DataFrame, block: int) -> DataFrame:
         for _, rows in grouped(batches, "bucket"):
             seen, count = np.unique(unpack_ints(rows.column("probes").to_pylist(), True), return_counts=True)
             again = np.union1d(seen[count > 1], unpack_ints(rows.column("twice").to_pylist(), True))
-            hit = np.isin(unpack(rows, "hash", np.uint32), again)
-            out = [pa.array(unpack(rows, name, dtype)[hit]) for name, dtype in (("k1", np.int64), ("k2", np.int64), ("number", np.int32))]
+            is_open = pc.greater(pc.binary_length(rows.column("hash")), 0)
+            waiting, settled = rows.filter(is_open), rows.filter(pc.invert(is_open))
+            hit = np.isin(unpack(waiting, "hash", np.uint32), again)
+            out = [pa.array(np.concatenate([unpack(waiting, name, dtype)[hit], unpack(settled, name, dtype)])) for name, dtype in (("k1", np.int64), ("k2", np.int64), ("number", np.int32))]
             yield pa.RecordBatch.from_arrays(out, names=["k1", "k2", "number"])
 
     packed = keyed.mapInArrow(tidy(pack), schema).repartition("bucket").sortWithinPartitions("bucket")
@@ -139,7 +147,7 @@ def repeated_windows(hit: DataFrame, window: int, block: int) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            _, _, offsets, h = _flat_hashes(column(batch, "text"))
+            words, index, offsets, h = _flat_hashes(column(batch, "text"))
             at = starts_within(offsets, window)
             if not len(at):
                 continue
@@ -150,7 +158,7 @@ def repeated_windows(hit: DataFrame, window: int, block: int) -> DataFrame:
             marks[np.repeat(offsets[:-1], np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy().astype(np.int64) * block] = True
             over = marks[at + -within % block]  # the first block that begins in the window; it ends in it too
             at, row, within = at[over], row[over], within[over]
-            first, second = rolling(h, window)[at], rolling(mix(h ^ np.uint64(0x2545F4914F6CDD1D)), window)[at]
+            first, second = rolling(h, window)[at], rolling(word_hashes(words, 1)[index], window)[at]
             order, begins = _runs(first, second)
             several = np.diff(np.concatenate([begins, [len(order)]])) > 1
             here = np.zeros(len(order), bool)  # windows that repeat within the batch

@@ -155,6 +155,20 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_substring_dedup_of_a_passage_in_most_documents(spark, monkeypatch):
+    """A passage over many tasks, repeated within each, some of them holding it once: settled blocks and those that meet elsewhere agree."""
+    rng = random.Random(8)
+    texts = [" ".join(f"u{d}x{i}" for i in range(rng.randint(0, 30))) + f" {_PASSAGE} " * (d % 5 != 1) + " ".join(f"v{d}x{i}" for i in range(rng.randint(0, 50))) for d in range(40)]
+    lists = [WORD.findall(t) for t in texts]
+    seen = Counter(tuple(w[i : i + 35]) for w in lists for i in range(len(w) - 34))
+    want = sorted((d, len(w), len({i + j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(35)})) for d, w in enumerate(lists))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts, held in ((1, 3_000_000), (7, 3_000_000), (40, 3_000_000), (5, 150)):
+        monkeypatch.setattr(substring_dedup, "_HELD", held)
+        found = substring_dedup.remove_repeats(docs.repartition(parts))
+        assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in found.collect()) == want
+
+
 def test_decontaminate(spark, docs, none):
     items = spark.createDataFrame([("i1", _PASSAGE.upper()), ("i2", "x y"), (None, "W5!"), ("i3", None), ("i4", "zz zz"), ("i2", "x y")], "item_id string, text string")
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
