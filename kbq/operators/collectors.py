@@ -93,16 +93,21 @@ def keywords(heading: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(heading), F.lit("[a-z]{2,}"), F.lit(0)), lambda w: ~w.isin(STOPWORDS)))
 
 
-@collector("topic_purity", "retrieval")
-def mixed_topics(kb: KnowledgeBase) -> DataFrame:
-    """Documents whose top-level headings share out their keywords too evenly."""
+def topic_measures(parsed: DataFrame) -> DataFrame:
+    """(uri, clusters, largest, entropy) of documents with two headings or more: how their top-level headings share out keywords."""
     top = F.array_min(F.transform("headings", lambda h: h["level"]))
-    heads = kb.artifacts.where(F.size("headings") >= 2).select("uri", top.alias("top"), F.posexplode("headings").alias("pos", "h"))
+    heads = parsed.where(F.size("headings") >= 2).select("uri", top.alias("top"), F.posexplode("headings").alias("pos", "h"))
     starts = (F.col("h.level") == F.col("top")).cast("int")
     marked = heads.withColumn("cluster", F.sum(starts).over(Window.partitionBy("uri").orderBy("pos"))).where("cluster > 0")
     sizes = marked.select("uri", "cluster", F.explode_outer(keywords(F.col("h.text"))).alias("k")).groupBy("uri", "cluster").agg((F.countDistinct("k") + 1).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("uri"))
-    per = sizes.withColumn("p", share).groupBy("uri").agg(F.count("*").alias("clusters"), F.max("p").alias("largest"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+    return sizes.withColumn("p", share).groupBy("uri").agg(F.count("*").alias("clusters"), F.max("p").alias("largest"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+
+
+@collector("topic_purity", "retrieval")
+def mixed_topics(kb: KnowledgeBase) -> DataFrame:
+    """Documents whose top-level headings share out their keywords too evenly."""
+    per = topic_measures(kb.artifacts)
     return _found(per.where("clusters > 1 and largest < 0.7"), "topic_purity", "mixed_topics", cluster_count=F.col("clusters"), largest_cluster_ratio=F.round("largest", 3), topic_entropy=F.round("entropy", 3))
 
 
@@ -316,11 +321,16 @@ def orphan_documents(kb: KnowledgeBase) -> DataFrame:
     return _found(found, "link_integrity", "orphan")
 
 
+def guides(parsed: DataFrame) -> DataFrame:
+    """The parsed documents that are how-to guides, with their text in small letters as `low`."""
+    lowered = parsed.withColumn("low", F.lower("all_text"))
+    return lowered.where(reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for c in (F.col("low"), F.lower("title")) for w in WORKFLOW]))
+
+
 @collector("workflow_completeness", "workflow")
 def incomplete_workflows(kb: KnowledgeBase) -> DataFrame:
     """How-to guides without prerequisites, numbered steps, a check or code."""
-    low, title = F.col("low"), F.lower("title")
-    guide = reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for c in (F.col("low"), title) for w in WORKFLOW])
+    low = F.col("low")
     steps = F.size(F.regexp_extract_all("all_text", F.lit(STEPS), F.lit(0)))
     missing = F.array_compact(F.array(
         F.when(~low.rlike(PREREQUISITES), "prerequisites"),
@@ -328,8 +338,7 @@ def incomplete_workflows(kb: KnowledgeBase) -> DataFrame:
         F.when(~low.rlike(VERIFICATION), "verification_step"),
         F.when(F.size("code_blocks") == 0, "code_examples"),
     ))
-    lowered = kb.artifacts.select("uri", "title", "all_text", "code_blocks", F.lower("all_text").alias("low"))
-    found = lowered.where(guide).select("uri", F.array_join(missing, ",").alias("missing")).where("missing <> ''")
+    found = guides(kb.artifacts.select("uri", "title", "all_text", "code_blocks")).select("uri", F.array_join(missing, ",").alias("missing")).where("missing <> ''")
     return _found(found, "workflow_completeness", "incomplete_workflow", missing=F.col("missing"))
 
 

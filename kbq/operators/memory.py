@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbq.session import small
+
 # Strategies that say nothing, step types and what becomes of them, and the kinds of findings of each category.
 GENERIC_STRATEGIES = ["unknown", "", "manual_review", "fix", "improve"]
 IMPLEMENTED_STEPS = ["add_metadata", "update_document", "create_relationship", "create_document"]
@@ -69,6 +71,11 @@ def first_of_duplicates(steps: DataFrame) -> DataFrame:
     return steps.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def distinct_proposals(steps: DataFrame, proposals: DataFrame) -> DataFrame:
+    """proposals (proposal, ...) with n_steps, the steps that are left to them by `first_of_duplicates`; emptied ones are dropped."""
+    return proposals.join(first_of_duplicates(steps).groupBy("proposal").agg(F.count("*").alias("n_steps")), "proposal")
+
+
 def acceptable(proposals: DataFrame, failed: DataFrame) -> DataFrame:
     """proposals (strategy, description, n_steps) that name a strategy, describe it in 20 characters or more, have a step and did not fail before."""
     low = F.lower("strategy")
@@ -78,7 +85,7 @@ def acceptable(proposals: DataFrame, failed: DataFrame) -> DataFrame:
 
 def constrain(steps: DataFrame, replacements: DataFrame) -> DataFrame:
     """steps (step_type, signal_type, ...) with `action` and `to_type`: implemented types are kept; disabled ones are replaced by the type that replacements(signal_type, to_type) gives for the finding, or skipped; unknown ones are skipped."""
-    joined = steps.join(F.broadcast(replacements), "signal_type", "left")
+    joined = steps.join(small(replacements), "signal_type", "left")
     ready, off = F.col("step_type").isin(IMPLEMENTED_STEPS), F.col("step_type").isin(DISABLED_STEPS)
     action = F.when(ready, "kept").when(off & F.col("to_type").isNotNull(), "replaced").when(off, "skipped_disabled").otherwise("skipped_unknown")
     return joined.withColumn("action", action).withColumn("to_type", F.when(ready, F.col("step_type")).when(F.col("action") == "replaced", F.col("to_type")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbq.functions import text as T
+from kbq.session import small
 
 # Weights of severities and salience parts, half-lives in days, budget and step weights.
 SEVERITY_WEIGHTS = {"CRITICAL": 1.0, "HIGH": 0.7, "MEDIUM": 0.4, "LOW": 0.1}
@@ -99,7 +100,7 @@ def salience(problems: DataFrame, signals: DataFrame, dimensions: DataFrame, str
         joined = joined.withColumn("outcome", F.lit(0.5))
     else:
         best = strategies.groupBy(F.col("issue_type").alias("signal_type")).agg((1 - F.max("rate")).alias("outcome"))
-        joined = joined.join(F.broadcast(best), "signal_type", "left").withColumn("outcome", F.coalesce("outcome", F.lit(0.5)))
+        joined = joined.join(small(best), "signal_type", "left").withColumn("outcome", F.coalesce("outcome", F.lit(0.5)))
     if ages is None:
         joined = joined.withColumn("fresh", F.lit(1.0))
     else:

@@ -97,6 +97,37 @@ def collector_metrics(known: DataFrame, interpreted: DataFrame) -> DataFrame:
     return wide.select("collector_id", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])).alias("m")).select("collector_id", "m.*")
 
 
+def collector_reports(kb: C.KnowledgeBase, found: DataFrame) -> DataFrame:
+    """(collector_id, score, severity): what each check says of the whole corpus by itself, before any policy, from its findings' number or share."""
+    n = lambda kind: F.count_if(F.col("signal_type") == kind)
+    of = lambda collector: F.count_if(F.col("collector_id") == collector)
+    counts = found.agg(
+        n("mixed_topics").alias("mixed"), n("dangling_reference").alias("dangling"), of("heading_quality").alias("headings"), (n("placeholder") + n("numbered_only")).alias("bad_headings"), of("terminology_consistency").alias("terms"), of("contradiction_detection").alias("claims"),
+        n("missing_canonical_source").alias("canonical"), n("stale_content").alias("stale"), n("no_date_signal").alias("undated"), n("orphan_artifact").alias("unreached"), n("orphan").alias("orphans"), n("incomplete_workflow").alias("incomplete"),
+    )
+    shared = C.signatures(kb.artifacts).groupBy("signature").agg(F.count("*").alias("n")).where("n > 1")
+    one = [kb.artifacts.agg(F.count("*").alias("total")), kb.resolved.agg(F.count_if(F.col("resolved").isNull()).alias("broken")), shared.agg(F.count("*").alias("copies")), C.guides(kb.artifacts).agg(F.count("*").alias("guides")), C.topic_measures(kb.artifacts).agg(F.coalesce(F.avg("entropy"), F.lit(0.0)).alias("entropy"))]
+    for x in one:
+        counts = counts.crossJoin(F.broadcast(x))  # one row each
+    c = F.col
+    share = lambda x, of_what, most: (x * most / F.greatest(of_what, F.lit(1))).cast("int")
+    graded = lambda high, medium: F.when(high, "HIGH").when(medium, "MEDIUM").otherwise("LOW")
+    told = {
+        "topic_purity": (100 - c("mixed") * 15 - (c("entropy") * 10).cast("int"), F.when(c("mixed") > 0, "HIGH").otherwise("LOW")),
+        "context_independence": (100 - c("dangling") * 10, F.when(c("dangling") > 0, "MEDIUM").otherwise("LOW")),
+        "heading_quality": (100 - c("headings") * 5, graded(c("bad_headings") > 0, c("headings") > 0)),
+        "terminology_consistency": (100 - share(c("terms"), c("total"), 50), graded(c("terms") > c("total") * 0.2, c("terms") > 0)),
+        "contradiction_detection": (100 - c("claims") * 10, graded(c("claims") > 5, c("claims") > 0)),
+        "canonical_source": (100 - c("canonical") * 3 - c("copies") * 10, graded(c("copies") > 3, (c("canonical") > 0) | (c("copies") > 0))),
+        "freshness": (100 - share(c("stale") + c("undated"), c("total"), 100), graded(c("stale") > c("total") * 0.3, (c("stale") > 0) | (c("undated") > c("total") * 0.5))),
+        "knowledge_connectivity": (100 - share(c("unreached"), c("total"), 100), graded(c("unreached") > c("total") * 0.3, c("unreached") > 0)),
+        "link_integrity": (100 - c("broken") * 5 - c("orphans") * 2, graded(c("broken") > 5, (c("broken") > 0) | (c("orphans") > 0))),
+        "workflow_completeness": (F.when(c("guides") == 0, 100).otherwise(share(c("guides") - c("incomplete"), c("guides"), 100)), graded(c("incomplete") > c("guides") * 0.5, c("incomplete") > 0)),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("collector_id"), F.greatest(F.lit(0), score).cast("int").alias("score"), severity.alias("severity")) for k, (score, severity) in told.items()])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def examples(interpreted: DataFrame, limits: dict[str, int]) -> DataFrame:
     """(severity, r, uri, collector_id, signal_type): of each severity as many examples as its limit says."""
     w = Window.partitionBy("severity").orderBy("uri", "collector_id", "signal_type", "signal_id", "occurrence")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbq.operators.collectors import REGISTRY
+from kbq.session import small
 
 # Severity and penalty of each kind of finding, weights and thresholds.
 POLICY = [
@@ -55,7 +56,7 @@ def invalid_entries(entries: DataFrame) -> DataFrame:
 
 def interpret(signals: DataFrame, entries: DataFrame) -> DataFrame:
     """signals with severity, penalty and recommendation; a kind without an entry is LOW and costs all 100 points."""
-    joined = signals.join(F.broadcast(entries), ["collector_id", "signal_type"], "left")
+    joined = signals.join(small(entries), ["collector_id", "signal_type"], "left")
     return joined.withColumn("severity", F.coalesce("severity", F.lit("LOW"))).withColumn("penalty", F.coalesce("penalty", F.lit(100)))
 
 

@@ -70,12 +70,7 @@ def title_words(title: Column, stopwords: list[str]) -> Column:
 
 def link_from_hub(docs: DataFrame, orphans: DataFrame, hub: str, titles: DataFrame, stopwords: list[str]) -> DataFrame:
     """docs(uri, text) in which the hub's text ends with a list of links to orphans (uri) whose titles (uri, title) share a word with the hub's; the list is one document's text."""
-    words = titles.select("uri", "title", title_words(F.col("title"), stopwords).alias("words"))
-    of_hub = F.broadcast(words.where(F.col("uri") == hub).select(F.col("words").alias("hub_words")))  # one row
-    near = words.join(orphans.select("uri"), "uri", "left_semi").where(F.col("uri") != hub).crossJoin(of_hub).where(F.arrays_overlap("words", "hub_words"))
-    listed = near.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("uri"), F.lit(")")))), "\n").alias("list"))
-    added = F.when((F.col("uri") == hub) & (F.col("list") != ""), F.concat(F.regexp_replace("text", r"\s+\z", ""), F.lit("\n\n## Additional Resources\n\n"), F.col("list"), F.lit("\n"))).otherwise(F.col("text"))
-    return docs.crossJoin(F.broadcast(listed)).select("uri", added.alias("text"))
+    return link_from_hubs(docs, orphans, titles.where(F.col("uri") == hub).select("uri"), titles, stopwords)
 
 
 def link_from_hubs(docs: DataFrame, orphans: DataFrame, hubs: DataFrame, titles: DataFrame, stopwords: list[str]) -> DataFrame:

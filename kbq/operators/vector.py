@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbq.session import written
+
 STOPWORDS = "a an and are as at be by for from has have in is it its of on or that the this to was were will with".split()
 
 
@@ -87,8 +89,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, block: int = 2000)
                 keep = found > -2
                 yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], found.shape)[keep]), pa.array(ids[order][keep]), pa.array(found[keep])], names=["query_id", "vec_id", "similarity"])
 
-    asked = _blocks(queries, block).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    pairs = _blocks(rows, block).crossJoin(asked)
+    asked = written(_blocks(queries, block).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix")), "queries")
+    pairs = written(_blocks(rows, block), "rows").crossJoin(asked)  # written, so that no pair of partitions packs them again
     found = pairs.mapInArrow(best, "query_id long, vec_id long, similarity double").withColumn("similarity", F.round("similarity", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -20,7 +20,7 @@ from kbq.plans import oracle, scores, work
 from kbq.plans.checks import _big, kb
 from kbq.plans.fixture import kb_docs
 from kbq.plans.oracle import _list, sql
-from kbq.plans.runs import _CHANGES, assessments, contributor_changes, outcomes, two_runs
+from kbq.plans.runs import _CHANGES, assessments, contributor_changes, outcomes, run_pair, two_runs
 from kbq.plans.runs import ORACLES as _RUN_ORACLES
 from kbq.plans.scores import _weight, interpreted, run_scores, seen
 from kbq.session import prepare, shared_folder, table
@@ -274,3 +274,77 @@ def merged_contexts(spark, sf_dir):
     """History of every issue, from the store that has it."""
     rows = outcomes(spark, sf_dir)
     return M.merged_context(rows, rows.where(_FIRST), rows.where("issue_type >= '02' AND tokens_used % 2 = 0"))
+
+
+_of = lambda c: f"(SELECT count(*) FROM signal WHERE collector_id = '{c}')"
+_kind = lambda k: f"(SELECT count(*) FROM signal WHERE signal_type = '{k}')"
+_all = "(SELECT count(*) FROM art)"
+_guides = f"(SELECT count(*) FROM txt JOIN title USING (uri) WHERE regexp_matches(lower(all_text), '{'|'.join(C.WORKFLOW)}') OR regexp_matches(lower(title), '{'|'.join(C.WORKFLOW)}'))"
+_entropy = "(SELECT avg(e) FROM (SELECT -sum(p * log2(p)) AS e FROM (SELECT uri, n / sum(n) OVER (PARTITION BY uri) AS p FROM clu) GROUP BY uri))"
+_copies = "(SELECT count(*) FROM (SELECT signature FROM sig WHERE length(signature) > 50 GROUP BY signature HAVING count(*) > 1))"
+_broken = "(SELECT count(*) FROM res WHERE resolved IS NULL)"
+_graded = lambda high, medium: f"CASE WHEN {high} THEN 'HIGH' WHEN {medium} THEN 'MEDIUM' ELSE 'LOW' END"
+_told = {
+    "topic_purity": (f"100 - {_kind('mixed_topics')} * 15 - trunc({_entropy} * 10)", f"CASE WHEN {_kind('mixed_topics')} > 0 THEN 'HIGH' ELSE 'LOW' END"),
+    "context_independence": (f"100 - {_of('context_independence')} * 10", f"CASE WHEN {_of('context_independence')} > 0 THEN 'MEDIUM' ELSE 'LOW' END"),
+    "heading_quality": (f"100 - {_of('heading_quality')} * 5", _graded(f"{_kind('placeholder')} + {_kind('numbered_only')} > 0", f"{_of('heading_quality')} > 0")),
+    "terminology_consistency": (f"100 - trunc({_of('terminology_consistency')} * 50 / {_all})", _graded(f"{_of('terminology_consistency')} > {_all} * 0.2", f"{_of('terminology_consistency')} > 0")),
+    "contradiction_detection": (f"100 - {_of('contradiction_detection')} * 10", _graded(f"{_of('contradiction_detection')} > 5", f"{_of('contradiction_detection')} > 0")),
+    "canonical_source": (f"100 - {_kind('missing_canonical_source')} * 3 - {_copies} * 10", _graded(f"{_copies} > 3", f"{_kind('missing_canonical_source')} + {_copies} > 0")),
+    "freshness": (f"100 - trunc({_of('freshness')} * 100 / {_all})", _graded(f"{_kind('stale_content')} > {_all} * 0.3", f"{_kind('stale_content')} > 0 OR {_kind('no_date_signal')} > {_all} * 0.5")),
+    "knowledge_connectivity": (f"100 - trunc({_kind('orphan_artifact')} * 100 / {_all})", _graded(f"{_kind('orphan_artifact')} > {_all} * 0.3", f"{_kind('orphan_artifact')} > 0")),
+    "link_integrity": (f"100 - {_broken} * 5 - {_kind('orphan')} * 2", _graded(f"{_broken} > 5", f"{_broken} + {_kind('orphan')} > 0")),
+    "workflow_completeness": (f"trunc(({_guides} - {_kind('incomplete_workflow')}) * 100 / {_guides})", _graded(f"{_kind('incomplete_workflow')} > {_guides} * 0.5", f"{_kind('incomplete_workflow')} > 0")),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS collector_id, greatest(0, {score})::INT AS score, {severity} AS severity" for k, (score, severity) in _told.items()))
+def collector_reports(spark, sf_dir):
+    return R.collector_reports(kb(spark, sf_dir), interpreted(spark, sf_dir))
+
+
+_diff = "SELECT signal_id, CASE WHEN o.signal_id IS NULL THEN 'new' WHEN n.signal_id IS NULL THEN 'resolved' ELSE 'persistent' END AS change FROM sold o FULL JOIN snew n USING (signal_id)"
+
+
+@query(f"""SELECT signal_id, '{{"signal_id":"' || signal_id || '","change":"' || change || '"}}' AS json FROM ({_diff})""")
+def exported_diff(spark, sf_dir):
+    """The changes between two runs as JSON objects."""
+    first, second = two_runs(spark, sf_dir)
+    return store.to_json(H.signal_diff(first, second).select("signal_id", "change"), ["signal_id"])
+
+
+@query(f"""SELECT run, '{{"run":' || run || ',"score":' || score || ',"trend":"' || trend || '"}}' AS json FROM (SELECT run, score, CASE WHEN {_back} IS NULL THEN 'unknown' WHEN score - {_back} > 3 THEN 'improving' WHEN score - {_back} < -3 THEN 'worsening' ELSE 'stable' END AS trend FROM runs)""")
+def exported_trend(spark, sf_dir):
+    rows = H.series(run_scores(spark, sf_dir)).select(F.col("run").cast("long").alias("run"), F.col("score").cast("int").alias("score"), "trend")
+    return store.to_json(rows, ["run"])
+
+
+@query("SELECT metric, greatest(0, sum(CASE WHEN r = 'b' THEN 1 ELSE -1 END))::BIGINT AS rise FROM (SELECT 'a' AS r, signal_type AS metric FROM ra UNION ALL SELECT 'b', signal_type FROM rb) GROUP BY metric")
+def metric_rises(spark, sf_dir):
+    """How much the number of findings of each kind rose between two runs, zero where it fell."""
+    counted = [x.groupBy(F.col("signal_type").alias("metric")).agg(F.count("*").alias("value")) for x in run_pair(spark, sf_dir)]
+    return H.clipped_rises(*counted)
+
+
+@query()
+def validation_measures(spark, sf_dir):
+    """All measures of the corpus before and after: links to missing documents became text, half of the front matter went."""
+    docs = kb_docs(spark, sf_dir)
+    mended = F.regexp_replace("text", r"\[gone\]\(missing_\d+\.md\)", "gone")
+    bare = F.when(F.col("doc_id") % 6 == 3, F.regexp_replace(mended, r"\A---\n(?s:.*?)\n---\n", "")).otherwise(mended)
+    return V.validate(docs.select("uri", "text"), docs.select("uri", bare.alias("text")))
+
+
+ORACLES["validation_measures"] = sql("""SELECT measure, a AS before, b AS after, CASE WHEN a = b THEN 'neutral' WHEN (b > a) = (measure = 'with_metadata') THEN 'improved' ELSE 'degraded' END AS effect FROM (
+  SELECT 'broken_links' AS measure, count(*) FILTER (resolved IS NULL) AS a, count(*) FILTER (resolved IS NULL AND clean NOT LIKE 'missing%') AS b FROM res UNION ALL SELECT 'heading_issues', 0, 0 UNION ALL SELECT 'with_metadata', count(*) FILTER (doc_id % 3 = 0), count(*) FILTER (doc_id % 6 = 0) FROM kb
+  UNION ALL SELECT 'unreferenced', count(*), count(*) FROM art WHERE uri NOT IN (SELECT resolved FROM res WHERE resolved IS NOT NULL AND resolved <> uri)) UNION ALL SELECT 'overall', NULL, NULL, 'neutral'""")
+
+
+@query()
+def proposals_left(spark, sf_dir):
+    """Proposals with the steps that are left once later duplicates are dropped; those that have none are gone."""
+    rows = table(prepare(spark), sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("proposal"), F.col("doc_id").alias("step"), F.concat(F.lit("kind "), (F.col("doc_id") % 3).cast("string")).alias("step_type"), (F.col("doc_id") % 90).cast("string").alias("uri"), F.concat(F.lit("Do  it "), F.upper("lang")).alias("description"))
+    return M.distinct_proposals(rows, rows.select("proposal").distinct())
+
+
+ORACLES["proposals_left"] = sql("SELECT proposal, count(*) AS n_steps FROM (SELECT doc_id // 100 AS proposal, row_number() OVER (PARTITION BY doc_id % 3, doc_id % 90, lower(lang) ORDER BY doc_id // 100, doc_id) AS r FROM documents) WHERE r = 1 GROUP BY proposal")
