@@ -1,7 +1,8 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every block element is a node with a hidden label, content or boilerplate. A node's potential comes from what is seen
-of it (tag, what its class, id and role say, length, link share and sentence marks of its own text); the potential of
+of it (tag, what its class, id and role say, length, link share and sentence marks of its own text; a header within an article
+or main element is a tag of its own, as it has the title); the potential of
 a parent and child pair says how labels follow each other, by the child's kind of tag. All are counts from labelled
 pages, smoothed. Sum-product messages go up the tree and down again, for the nodes of many pages at a time, level by
 level; text is kept where the marginal of content is at least one half.
@@ -52,8 +53,10 @@ _TAG_NO = {t: i for i, t in enumerate(_TAGS)}
 #: Kinds of child tags that have transition potentials of their own.
 _KINDS = {"article": 1, "main": 1, "section": 2, "div": 2, "nav": 3, "header": 3, "footer": 3, "aside": 3, "form": 3}
 _N_KINDS = 4
+#: The tag's number of a header within an article or main element, which is no page header: it has the title.
+_INNER_HEADER = len(_TAGS) + 1
 #: Numbers of values of a node's features: tag, names, text length, link share, sentence mark.
-_SIZES = (len(_TAGS) + 1, 4, 4, 4, 2)
+_SIZES = (len(_TAGS) + 2, 4, 4, 4, 2)
 
 
 class Page:
@@ -212,6 +215,11 @@ class Nodes:
             n = b - a
             level = order[np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)]
             depth[level] = len(self.levels)
+        within = np.fromiter((t in ("article", "main") for t in tags), bool, len(tags))
+        for level in self.levels[1:]:
+            within[level] |= within[self.parent[level]]
+        inner = within & (self.features[:, 0] == _TAG_NO["header"])
+        self.features[inner, 0], self.kind[inner] = _INNER_HEADER, _KINDS["section"]
 
     def labels(self, pages: list[Page], own_main: bool) -> np.ndarray:
         """1 for nodes inside the marked main part, 0 for others. own_main: the mark is the page's article or main element."""
@@ -287,6 +295,8 @@ def labelled_pages() -> list[str]:
     ]
     body = "<h1>A title of the story</h1><p>The first paragraph tells what happened, where and when. It has some sentences, and they go on for a while.</p><p>Short one.</p><h2>A part</h2><p>Then more text follows with <a href='/l'>a link</a> in it, and it too is of some length, as texts are.</p><ul><li>one point of a list.</li><li>and a second point</li></ul><p>No.</p><blockquote><p>Somebody said this and that.</p></blockquote><p>A closing paragraph that sums up what was said before, so that readers can go home.</p>"
     plain = "<p>Only two paragraphs make up this page. They are not very long, but they say it all.</p><p>That is it</p>"
+    titles = ["<header><h1>A title of the story</h1></header>", "<header><h1>A title of the story</h1><p>Told by one who was there</p></header>", "<header><div><h1>A title</h1><h2>And what it is about, in a line.</h2></div></header>"]
+    rest = "<p>The first paragraph tells what happened, where and when. It has some sentences.</p><p>Then more text follows, and it too is of some length, as texts are.</p>"
     pages = []
     for (i, main), (j, other) in product(enumerate(mains), enumerate(others)):
         after = others[(j + i + 4) % len(others)].format(' data-label="other"')
@@ -296,11 +306,15 @@ def labelled_pages() -> list[str]:
         core = main.format(' data-label="content"') + inner + end
         wrapped = f'<div class="wrapper">{core}</div>' if (i + j) % 3 == 0 else core
         pages.append(f"<!DOCTYPE html><html><head><title>T</title></head><body>{before}{wrapped}{after}</body></html>")
-    for i, other in enumerate(others):  # the main part without an element of its own
+    for i, other in enumerate([*others, *others[::3]]):  # the main part without an element of its own
         marked = other.format(' data-label="other"')
         pages.append(f'<html><body data-label="content">{marked if i % 3 else ""}{[body, plain][i % 2]}{"" if i % 2 else marked}</body></html>')
     for main in ["<div{}>", "<div{}><div>", "<section{}>", "<article{}>"]:  # nothing but the main part
         pages += [f'<html><body>{main.format(' data-label="content"')}{inner}</body></html>' for inner in (body, plain) for _ in range(4)]
+    for main, title, other in product(mains[:2], titles, others[::9]):  # a header of the article's own
+        end = "</" + re.match(r"<(\w+)", main)[1] + ">"
+        marked = other.format(' data-label="other"')
+        pages.append(f"<html><body>{others[2].format(' data-label="other"')}{main.format(' data-label="content"')}{title}{rest}{end}{marked}</body></html>")
     return pages
 
 

@@ -127,6 +127,19 @@ def test_odd_markup(model):
     assert text("<div>" * 5_000 + body + "</div>" * 5_000).startswith("Some words")
 
 
+def test_headers_of_articles(model):
+    """The title in an article's own header is text of the article; page headers, and headers named as such, are not."""
+    text = lambda page: html_extract.extract([page], model)[0]
+    body = "<p>Some words of a story, told at length here.</p><p>And some more of it, as it goes on.</p>"
+    kept = "Some words of a story, told at length here.\nAnd some more of it, as it goes on."
+    page_header = "<header><h2>The Daily Site</h2><p>News and more since long ago.</p></header>"
+    for main in ("article", "main"):
+        for title in ("<h1>A tale</h1>", "<div><h1>A tale</h1></div>", "<hgroup><h1>A tale</h1></hgroup>"):
+            assert text(f"<body>{page_header}<{main}><header>{title}</header>{body}</{main}></body>") == "A tale\n" + kept
+        assert text(f'<body><{main}><header class="site-header"><p>Welcome to all of you.</p></header>{body}</{main}></body>') == kept
+    assert text(f"<body><div>{page_header}</div><article>{body}</article></body>") == kept
+
+
 def test_messages_are_exact(model):
     """Marginals against the sum over all labellings of a small tree."""
     from itertools import product
