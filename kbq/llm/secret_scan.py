@@ -6,7 +6,7 @@ A-Za-z0-9+/_=-. A window of WINDOW characters slides over a candidate; counts of
 classes, and the sum of c * log2(c) over the characters, are updated by the one that enters and the one that leaves.
 The classes in a window name its kind, and each kind has a bound of its own (BITS, from the windows of random strings
 over its alphabet): `entropy_hex` (hexadecimal digits of one case, with a letter and a digit), `entropy_letters`
-(letters of one case), `entropy_alnum` (letters of one case and digits), `entropy_mixed` (letters of both cases, with
+(letters of one case, with ODD_PAIRS or more neighbours that words hardly have), `entropy_alnum` (letters of one case and digits), `entropy_mixed` (letters of both cases, with
 or without digits) and `entropy_base64` (with any of +/_=-). Windows whose Shannon entropy reaches the bound are joined
 to spans by kind; windows of decimal digits only have none. The allow-list suppresses candidates that are wholly words
 or identifiers (ALLOWED_WHOLE), and windows that overlap a well-known sample string (ALLOWED_PART). Base spans are
@@ -36,13 +36,24 @@ KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_letters", "entropy_a
 
 WINDOW = 20
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
-#: Least entropy of a window in bits, by kind. Nineteen in twenty windows of random hex, alnum and mixed strings reach theirs.
-BITS = {"entropy_hex": 2.75, "entropy_letters": 3.9, "entropy_alnum": 3.48, "entropy_mixed": 3.72, "entropy_base64": 3.9}
-#: Candidates that are wholly one of these are no secrets: words, dashed identifiers, camel case, UUIDs.
-ALLOWED_WHOLE = ["^[A-Z]?[a-z]++$", "^[A-Z]++$", "^[a-z]++(?:[-_/+=][a-z]++)*+$", "^[a-z]*+(?:[A-Z][a-z]++)++$", "^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"]
+#: Least entropy of a window in bits, by kind. Nineteen in twenty windows of random hex, letters, alnum and mixed strings reach theirs.
+BITS = {"entropy_hex": 2.75, "entropy_letters": 3.35, "entropy_alnum": 3.48, "entropy_mixed": 3.72, "entropy_base64": 3.9}
+#: Candidates that are wholly one of these are no secrets: capitalised words, dashed identifiers, camel case, UUIDs. Words of one case are told by their pairs of letters.
+ALLOWED_WHOLE = ["^[A-Z][a-z]++$", "^[a-z]++(?:[-_/+=][a-z]++)++$", "^[a-z]*+(?:[A-Z][a-z]++)++$", "^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"]
 #: Windows that overlap one of these are no secrets.
 ALLOWED_PART = ["(?i:example)", "0123456789", "(?i:abcdefghij)"]
 
+#: The letters that often follow each letter in English, German, French and Spanish words.
+FOLLOWERS = {
+    "a": "bcdfgiklmnprstuvwyz", "b": "abeilorsuy", "c": "acehiklortu", "d": "adeiorsuy", "e": "abcdefghiklmnpqrstuvwxyz", "f": "aefilortu", "g": "aeghilnorstu", "h": "aeilmnortu", "i": "abcdefgklmnopqrstvz",
+    "j": "aeou", "k": "aeilnostu", "l": "adefiklmostuvy", "m": "abeimopsu", "n": "acdefgiklnoqstuvyz", "o": "abcdfgiklmnoprstuvw", "p": "aehiloprstu", "q": "u", "r": "abcdefgiklmnoprstuvy",
+    "s": "acehiklmnopqstuwy", "t": "aehilorstuwyz", "u": "abcdefgilmnprst", "v": "aeior", "w": "aehinors", "x": "aceiptu", "y": "aeilmnopst", "z": "aeiotuwz",
+}
+#: Least number of other pairs among the 19 of a window of letters. Random windows have 10 on average, one in a thousand of English words without blanks has 6.
+ODD_PAIRS = 6
+#: 1 for each pair of letters that words hardly have, by 26 * first + second.
+_ODD = "".join(str(int(b not in FOLLOWERS[a])) for a in FOLLOWERS for b in FOLLOWERS)
+
 _SCALE = 1_000_000
 _TERMS = [0, *(round(c * log2(c) * _SCALE) for c in range(1, WINDOW + 1))]
 #: Entropy is log2(W) - sum / W: a window reaches its bound if its sum is at most this.
@@ -112,13 +123,20 @@ def _high_windows(text: Column) -> Column:
     within = lambda k, first, stop: ((k >= first) & (k < stop)).cast("int")
     classes = {"digit": [(0, 10)], "upper": [(10, 36)], "lower": [(36, 62)], "other": [(62, len(ALPHABET))], "beyond": [(16, 36), (42, 62)]}  # beyond: letters that are no hexadecimal digits
 
+    def odd(a: Column, b: Column) -> Column:
+        """1 if b hardly follows a in words, of the codes of two letters; 0 where one is none."""
+        letters = within(a, 10, 62) * within(b, 10, 62) == 1
+        return F.when(letters, F.substring(F.lit(_ODD), (a - 10) % 26 * 26 + (b - 10) % 26 + 1, F.lit(1)).cast("int")).otherwise(F.lit(0))
+
     def step(state: Column, i: Column) -> Column:
         """i: the place, from 1, of the character that enters."""
         enters = code(i)
         leaves = F.when(i > WINDOW, code(i - WINDOW)).otherwise(F.lit(-1))
-        return _let(F.struct(enters.alias("enters"), leaves.alias("leaves")), lambda e: moved(state, i, e["enters"], e["leaves"]))
+        after = F.when(i > WINDOW, code(i - WINDOW + 1)).otherwise(F.lit(-1))
+        return _let(F.struct(enters.alias("enters"), leaves.alias("leaves"), after.alias("after")), lambda e: moved(state, i, e["enters"], e["leaves"], e["after"]))
 
-    def moved(state: Column, i: Column, enters: Column, leaves: Column) -> Column:
+    def moved(state: Column, i: Column, enters: Column, leaves: Column, after: Column) -> Column:
+        """after: the character behind the one that leaves."""
         c_in = count(state["counts"], enters)
         c_out = F.greatest(count(state["counts"], F.greatest(leaves, F.lit(0))), F.lit(1))
         out = F.when(leaves >= 0, term(c_out - 1) - term(c_out)).otherwise(F.lit(0).cast("long"))
@@ -126,7 +144,8 @@ def _high_windows(text: Column) -> Column:
         total = F.when(same, state["total"]).otherwise(state["total"] + term(c_in + 1) - term(c_in) + out)
         counts = F.when(same, state["counts"]).otherwise(F.transform(state["counts"], lambda c, k: c + (k == enters).cast("int") - (k == leaves).cast("int")))
         seen = [(state[name] + sum(within(enters, a, b) - within(leaves, a, b) for a, b in ranges)).alias(name) for name, ranges in classes.items()]
-        return _let(F.struct(counts.alias("counts"), total.alias("total"), *seen), lambda now: judged(state, i, now))
+        pairs = state["odd"] + odd(state["last"], enters) - odd(leaves, after)
+        return _let(F.struct(counts.alias("counts"), total.alias("total"), *seen, enters.alias("last"), pairs.alias("odd")), lambda now: judged(state, i, now))
 
     def judged(state: Column, i: Column, now: Column) -> Column:
         number = {k: F.lit(KINDS.index(k)) for k in BITS}
@@ -140,11 +159,11 @@ def _high_windows(text: Column) -> Column:
         joins = F.coalesce((last["stop"] >= begin) & (last["kind"] == kind), F.lit(False))
         fresh = F.struct(F.when(joins, last["start"]).otherwise(begin).alias("start"), kind.alias("kind"), i.alias("stop"))
         before = F.when(joins, F.slice(state["spans"], F.lit(1), F.size(state["spans"]) - 1)).otherwise(state["spans"])
-        high = (i >= WINDOW) & (now["total"] <= F.element_at(limits, kind + 1))
+        high = (i >= WINDOW) & (now["total"] <= F.element_at(limits, kind + 1)) & ((kind != number["entropy_letters"]) | (now["odd"] >= ODD_PAIRS))
         spans = F.when(high, F.concat(before, F.array(fresh))).otherwise(state["spans"])
-        return F.struct(now["counts"].alias("counts"), now["total"].alias("total"), *[now[name].alias(name) for name in classes], spans.alias("spans"))
+        return F.struct(now["counts"].alias("counts"), now["total"].alias("total"), *[now[name].alias(name) for name in classes], now["last"].alias("last"), now["odd"].alias("odd"), spans.alias("spans"))
 
-    first = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("total"), *[F.lit(0).alias(name) for name in classes], F.array().cast(_SPANS).alias("spans"))
+    first = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("total"), *[F.lit(0).alias(name) for name in classes], F.lit(-1).alias("last"), F.lit(0).alias("odd"), F.array().cast(_SPANS).alias("spans"))
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), first, step, lambda state: state["spans"])
 
 
@@ -278,6 +297,8 @@ def _sql() -> str:
     assign = rf"""({names})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
     terms = "[" + ", ".join(map(str, _TERMS)) + "]"
     greedy = lambda patterns: "|".join(f"({p})" for p in patterns).replace("++", "+").replace("*+", "*")  # noqa: E731  the same matches
+    at = lambda q: f"(ascii(substring(lower(s), ({q})::BIGINT, 1)) - 97)"
+    pairs = f"list_sum(list_transform(range(1, {WINDOW}), lambda q: substring('{_ODD}', ({at('q')} * 26 + {at('q + 1')} + 1)::BIGINT, 1)::INT))"
     place = lambda kind, pattern, more="": rf"""
   SELECT doc_id, {kind} AS kind, start, start + length(m[i]) AS stop, m[i] AS match FROM (
     SELECT doc_id, m, i, list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i-1], lambda s: length(s))), 0) AS start {', v' if more else ''}
@@ -290,8 +311,8 @@ pieces AS (SELECT doc_id, g[i] AS piece, start + coalesce(list_sum(list_transfor
 w AS (SELECT doc_id, start, start + j AS a, substring(piece, (j + 1)::BIGINT, {WINDOW}) AS s FROM pieces, unnest(range(0, length(piece) - {WINDOW - 1})) AS t(j)),
 e AS (SELECT doc_id, start, a, CASE WHEN regexp_matches(s, '[+/_=-]') THEN {KINDS.index("entropy_base64")} WHEN regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[a-z]') THEN {KINDS.index("entropy_mixed")} WHEN NOT regexp_matches(s, '[0-9]') THEN {KINDS.index("entropy_letters")}
   WHEN NOT regexp_matches(s, '[A-Za-z]') THEN 0 WHEN NOT regexp_matches(s, '[G-Zg-z]') THEN {KINDS.index("entropy_hex")} ELSE {KINDS.index("entropy_alnum")} END AS k2,
-  list_sum(list_transform(list_distinct(string_split(s, '')), lambda x: ({terms})[length(s) - length(replace(s, x, '')) + 1])) AS total FROM w),
-h AS (SELECT doc_id, k2, start, a FROM e WHERE total <= ({[LIMITS.get(k, -1) for k in KINDS]})[k2 + 1]),
+  list_sum(list_transform(list_distinct(string_split(s, '')), lambda x: ({terms})[length(s) - length(replace(s, x, '')) + 1])) AS total, s FROM w),
+h AS (SELECT doc_id, k2, start, a FROM e WHERE total <= ({[LIMITS.get(k, -1) for k in KINDS]})[k2 + 1] AND (k2 <> {KINDS.index("entropy_letters")} OR {pairs} >= {ODD_PAIRS})),
 o AS (SELECT *, coalesce(a > lag(a) OVER (PARTITION BY doc_id, k2, start ORDER BY a) + {WINDOW}, TRUE)::INT AS fresh FROM h),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, k2, start ORDER BY a) AS run FROM o),
 spans AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT doc_id, k2, min(a), max(a) + {WINDOW} FROM r GROUP BY doc_id, k2, start, run),

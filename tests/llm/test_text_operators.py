@@ -247,7 +247,8 @@ def high_spans(text):
                 continue
             else:
                 kind = "entropy_alnum" if has("[G-Zg-z]") else "entropy_hex"
-            if -sum(n / 20 * log2(n / 20) for n in Counter(w).values()) + 1e-6 >= secret_scan.BITS[kind]:
+            odd = sum(b.lower() not in secret_scan.FOLLOWERS[a.lower()] for a, b in zip(w, w[1:])) if kind == "entropy_letters" else 20
+            if odd >= secret_scan.ODD_PAIRS and -sum(n / 20 * log2(n / 20) for n in Counter(w).values()) + 1e-6 >= secret_scan.BITS[kind]:
                 spans = runs.setdefault(kind, [])
                 if spans and spans[-1][1] >= i:
                     spans[-1][1] = i + 20
@@ -273,6 +274,20 @@ def test_entropy_windows(spark):
     assert len(kinds) == len(secret_scan.BITS)
 
 
+def test_entropy_recall(spark):
+    """Random strings of each alphabet are found, and long words are let alone."""
+    rng = random.Random(3)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    sets = {"lower": low, "upper": up, "hex": digits + "abcdef", "alnum": low + digits, "both": low + up, "mixed": low + up + digits, "base64": low + up + digits + "+/"}
+    rows = [(name, n, f"it is {''.join(rng.choice(s) for _ in range(n))} they say") for name, s in sets.items() for n in (20, 24, 32) for _ in range(100)]
+    found = spark.createDataFrame(rows, "name string, n int, text string").withColumn("hit", (F.size(secret_scan.entropy_spans(F.col("text"))) > 0).cast("int"))
+    recall = {(r["name"], r["n"]): r["share"] for r in found.groupBy("name", "n").agg(F.avg("hit").alias("share")).collect()}
+    assert all(share >= (0.85 if n == 20 else 0.9) for (_, n), share in recall.items()), recall
+    words = ["internationalisation", "Donaudampfschifffahrtsgesellschaft", "donaudampfschifffahrtsgesellschaft", "electroencephalographically", "anticonstitutionnellement", "counterrevolutionaries", "INTERNATIONALIZATION", "thequickbrownfoxjumpsoverthelazydog", "o" * 40, "", None]
+    calm = spark.createDataFrame([(w,) for w in words], "text string").select("text", secret_scan.secret_spans(F.col("text")).alias("s"))
+    assert [r["text"] for r in calm.where(F.size("s") > 0).collect()] == []
+
+
 def test_secrets_in_long_texts(spark):
     """A megabyte of dashed words, a hundred thousand matches, and a key at the end of each."""
     key = "ZmFrZVNlY3JldEtleTEyMzQ1Njc4OTA"
