@@ -168,6 +168,43 @@ def synthesis(clustered: DataFrame, ranked: DataFrame) -> DataFrame:
     return per.withColumn("strategy", strategy)
 
 
+def systemic_steps(clustered: DataFrame, ranked: DataFrame, tried: list[str] | None = None) -> DataFrame:
+    """(cluster, pattern, strategy, salience, proposed, uri, step_type, description): a step for each document of each root-cause cluster.
+
+    clustered: root_causes' rows; ranked: (problem_id, salience); tried: strategies that failed before, of whose patterns a
+    second version is proposed. `proposed` marks the most salient cluster (of equals the first by pattern and cluster), the
+    one that is to be fixed next. Documents of problems without a salience have no step.
+    """
+    name = F.concat(F.lit("systemic_"), F.col("pattern"))
+    strategy = F.when(name.isin(list(tried or [])), F.concat(name, F.lit("_v2"))).otherwise(name)
+    salient = clustered.join(ranked.select("problem_id", "salience"), "problem_id")
+    per = salient.groupBy("pattern", "cluster").agg(F.max("salience").alias("salience"))
+    best = per.agg(F.min(F.struct((-F.col("salience")).alias("s"), "pattern", "cluster")).alias("best"))
+    told = F.concat(F.lit("Address "), F.col("pattern"), F.lit(" pattern: "), F.substring("cluster", 1, 100))
+    proposals = per.crossJoin(F.broadcast(best)).withColumn("proposed", (F.col("best.pattern") == F.col("pattern")) & (F.col("best.cluster") == F.col("cluster"))).drop("best")  # one row
+    documents = salient.select("pattern", "cluster", "uri").distinct()
+    return documents.join(proposals, ["pattern", "cluster"]).select("cluster", "pattern", strategy.alias("strategy"), "salience", "proposed", "uri", F.lit("update_document").alias("step_type"), told.alias("description"))
+
+
+def basic_proposals(hypotheses: DataFrame, tried: DataFrame) -> DataFrame:
+    """(run_id, strategy, causes): what to propose for a run when nothing is known but its hypotheses.
+
+    hypotheses: (run_id, idx, category), in order of idx; tried: (run_id, strategy). The first cause's category is
+    addressed, unless it is missing, empty or was tried under that name: then someone has to look (`manual_review`).
+    """
+    first = hypotheses.groupBy("run_id").agg(F.count("*").alias("causes"), F.min_by("category", "idx").alias("category"))
+    known = tried.select("run_id", F.col("strategy").alias("category")).distinct().withColumn("known", F.lit(True))
+    manual = F.col("known").isNotNull() | (F.coalesce("category", F.lit("")) == "")
+    return first.join(known, ["run_id", "category"], "left").select("run_id", F.when(manual, "manual_review").otherwise(F.concat(F.lit("address_"), F.col("category"))).alias("strategy"), "causes")
+
+
+def hypothesis_problems(hypotheses: DataFrame) -> DataFrame:
+    """(run_id, problem_id, category, description, evidence_summary, uri): each hypothesis (run_id, idx, category, hypothesis, evidence array<string>, uris array<string>) as a problem, a row for each of its documents (one with a null uri if it names none)."""
+    category = F.when(F.coalesce("category", F.lit("")) == "", "unknown").otherwise(F.col("category"))
+    rows = hypotheses.withColumn("category", category).withColumn("uri", F.explode_outer("uris"))
+    return rows.select("run_id", F.concat_ws("_", F.lit("kp"), "category", F.col("idx").cast("string")).alias("problem_id"), "category", F.col("hypothesis").alias("description"), F.array_join("evidence", "; ").alias("evidence_summary"), "uri")
+
+
 #: Further rules by name: functions of findings and the corpus's score that give (rule, fires).
 CUSTOM_RULES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
 

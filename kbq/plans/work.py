@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kbq.operators import collectors as C
@@ -106,6 +107,40 @@ def root_cause_proposals(spark, sf_dir):
     return P.synthesis(P.root_causes(problem_rows(spark, sf_dir)), ranked)
 
 
+@query(f"""SELECT * FROM (WITH j AS (SELECT pattern, cluster, q.uri, salience FROM prob4 q JOIN ({_SALIENCE}) s ON q.problem_id = s.collector_id || ':' || s.signal_type || ':' || s.uri),
+  per AS (SELECT pattern, cluster, max(salience) AS salience FROM j GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY salience DESC, pattern, cluster) = 1 AS proposed FROM per)
+  SELECT DISTINCT cluster, pattern, 'systemic_' || pattern || CASE pattern WHEN 'category' THEN '_v2' ELSE '' END AS strategy, r.salience, proposed, uri, 'update_document' AS step_type, 'Address ' || pattern || ' pattern: ' || cluster[1:100] AS description FROM j JOIN r USING (pattern, cluster))""")
+def root_cause_steps(spark, sf_dir):
+    ranked = salience(spark, sf_dir).select(F.concat_ws(":", "collector_id", "signal_type", "uri").alias("problem_id"), "salience")
+    return P.systemic_steps(P.root_causes(problem_rows(spark, sf_dir)), ranked, ["systemic_category"])
+
+
+_HYPOTHESES = """SELECT uri AS run_id, row_number() OVER (PARTITION BY uri ORDER BY collector_id, signal_type) - 1 AS idx, CASE WHEN collector_id = 'freshness' THEN NULL ELSE collector_id END AS category, signal_type || ' in ' || uri AS hypothesis, [signal_type, n || ' findings'] AS evidence, [uri, uri || '#' || signal_type] AS uris
+  FROM (SELECT uri, collector_id, signal_type, count(*) AS n FROM interp GROUP BY ALL)"""
+
+
+def hypotheses(spark, sf_dir):
+    """A hypothesis for each kind of finding of a document, by document; those on freshness have no category."""
+    kinds = interpreted(spark, sf_dir).groupBy("uri", "collector_id", "signal_type").agg(F.count("*").alias("n"))
+    idx = F.row_number().over(Window.partitionBy("uri").orderBy("collector_id", "signal_type")).cast("long") - 1  # at most one row a kind
+    return kinds.select(
+        F.col("uri").alias("run_id"), idx.alias("idx"), F.when(F.col("collector_id") != "freshness", F.col("collector_id")).alias("category"), F.concat("signal_type", F.lit(" in "), "uri").alias("hypothesis"),
+        F.array("signal_type", F.concat(F.col("n").cast("string"), F.lit(" findings"))).alias("evidence"), F.array("uri", F.concat("uri", F.lit("#"), "signal_type")).alias("uris"),
+    )
+
+
+@query(f"SELECT run_id, CASE WHEN category IS NULL OR (category = 'canonical_source' AND run_id LIKE '%1.md') THEN 'manual_review' ELSE 'address_' || category END AS strategy, causes FROM (SELECT run_id, category, idx, count(*) OVER (PARTITION BY run_id) AS causes FROM ({_HYPOTHESES})) WHERE idx = 0")
+def basic_proposals(spark, sf_dir):
+    """Proposals without more knowledge: documents whose name ends in 1 have tried to address their canonical source."""
+    tried = kb_docs(spark, sf_dir).where("uri LIKE '%1.md'").select(F.col("uri").alias("run_id"), F.lit("canonical_source").alias("strategy"))
+    return P.basic_proposals(hypotheses(spark, sf_dir), tried)
+
+
+@query(f"SELECT run_id, 'kp_' || coalesce(category, 'unknown') || '_' || idx AS problem_id, coalesce(category, 'unknown') AS category, hypothesis AS description, array_to_string(evidence, '; ') AS evidence_summary, unnest(uris) AS uri FROM ({_HYPOTHESES})")
+def hypothesis_problems(spark, sf_dir):
+    return P.hypothesis_problems(hypotheses(spark, sf_dir))
+
+
 _has = lambda a, b: f"EXISTS (SELECT uri FROM interp WHERE {a} INTERSECT SELECT uri FROM interp WHERE {b})"
 _n = lambda c: f"(SELECT count(*) FROM interp WHERE {c})"
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kbq.operators import collectors, graph, history, incremental, memory, reports, scoring, store, validation
+from kbq.operators import problems as P
 from kbq.session import prepare
 
 
@@ -101,3 +102,19 @@ def test_frozen_constants(spark):
     held = scoring.policy(spark).select("collector_id", "signal_type", "severity", "penalty")
     assert spark.createDataFrame(expected, names).join(held, [n.split()[0] for n in names.split(", ")], "left_anti").collect() == []
     assert abs(sum(scoring.WEIGHTS.values()) - 1) < 1e-12 and set(scoring.WEIGHTS) == {d for d, _, _ in collectors.REGISTRY.values()}
+
+
+def test_proposals_without_more_knowledge(spark):
+    """The first cause is addressed unless it has no category or was tried; a problem for each hypothesis; steps of clusters, the most salient first."""
+    rows = [("a", 1, "x", "h1", ["e1", "e2"], ["u1", "u2"]), ("a", 0, "y", "h0", [], ["u1"]), ("b", 0, None, "h", None, None), ("c", 0, "y", "h", ["e"], []), ("d", 0, "", "h", ["e"], ["u"])]
+    causes = spark.createDataFrame(rows, "run_id string, idx long, category string, hypothesis string, evidence array<string>, uris array<string>")
+    tried = spark.createDataFrame([("c", "y"), ("c", "y"), ("a", "x")], "run_id string, strategy string")
+    got = {r["run_id"]: (r["strategy"], r["causes"]) for r in P.basic_proposals(causes, tried).collect()}
+    assert got == {"a": ("address_y", 2), "b": ("manual_review", 1), "c": ("manual_review", 1), "d": ("manual_review", 1)}
+    found = sorted((r["run_id"], r["problem_id"], r["evidence_summary"] or "", r["uri"] or "") for r in P.hypothesis_problems(causes).collect())
+    assert found == [("a", "kp_x_1", "e1; e2", "u1"), ("a", "kp_x_1", "e1; e2", "u2"), ("a", "kp_y_0", "", "u1"), ("b", "kp_unknown_0", "", ""), ("c", "kp_y_0", "e", ""), ("d", "kp_unknown_0", "e", "u")]
+    clustered = spark.createDataFrame([("p1", "u1", "directory", "d/"), ("p2", "u1", "directory", "d/"), ("p3", "u2", "category", "k"), ("p4", "u3", "category", "l"), ("p5", "u4", "singleton", "p5")], "problem_id string, uri string, pattern string, cluster string")
+    ranked = spark.createDataFrame([("p1", 0.2), ("p2", 0.4), ("p3", 0.9), ("p4", 0.9)], "problem_id string, salience double")
+    steps = sorted((r["cluster"], r["strategy"], r["salience"], r["proposed"], r["uri"]) for r in P.systemic_steps(clustered, ranked, ["systemic_directory"]).collect())
+    assert steps == [("d/", "systemic_directory_v2", 0.4, False, "u1"), ("k", "systemic_category", 0.9, True, "u2"), ("l", "systemic_category", 0.9, False, "u3")]
+    assert P.systemic_steps(clustered.where("false"), ranked).count() == 0 and P.basic_proposals(causes.where("false"), tried).count() == 0
