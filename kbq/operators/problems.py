@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbq.functions import text as T
-from kbq.session import small
+from kbq.session import small, written
 
 # Weights of severities and salience parts, half-lives in days, budget and step weights.
 SEVERITY_WEIGHTS = {"CRITICAL": 1.0, "HIGH": 0.7, "MEDIUM": 0.4, "LOW": 0.1}
@@ -316,10 +316,10 @@ def verify_problems(problems: DataFrame, ids: DataFrame, places: DataFrame, kind
     the kinds of its category (kinds: category, signal_type) on its places(problem_id, uri), if any were there before.
     """
     both = before.select("signal_id", "signal_type", "uri", F.lit(1).alias("was"), F.lit(0).alias("still")).unionByName(after.select("signal_id", "signal_type", "uri", F.lit(0).alias("was"), F.lit(1).alias("still")))
-    flags = both.groupBy("signal_id", "signal_type", "uri").agg(F.max("was").alias("was"), F.max("still").alias("still"))
+    flags = written(both.groupBy("signal_id", "signal_type", "uri").agg(F.max("was").alias("was"), F.max("still").alias("still")), "flags")  # read for ids and for kinds
     count = lambda name: [F.sum("was").alias(f"was{name}"), F.sum(F.col("was") * F.col("still")).alias(f"remaining{name}"), F.sum((1 - F.col("was")) * F.col("still")).alias(f"new{name}")]
     known = flags.groupBy("signal_id").agg(F.max("was").alias("was"), F.max("still").alias("still"))
-    by_id = ids.distinct().join(known, "signal_id").groupBy("problem_id").agg(*count(""))
+    by_id = written(ids.distinct().join(known, "signal_id").groupBy("problem_id").agg(*count("")), "by-id")
     asked = problems.join(by_id.where("was > 0"), "problem_id", "left_anti").join(F.broadcast(kinds), "category").join(places, "problem_id").select("problem_id", "signal_type", "uri").distinct()
     by_kind = asked.join(flags, ["signal_type", "uri"]).groupBy("problem_id").agg(*count("_k"))
     per = problems.select("problem_id").join(by_id, "problem_id", "left").join(by_kind, "problem_id", "left").fillna(0)

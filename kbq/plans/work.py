@@ -86,7 +86,7 @@ oracle.PARTS |= {
 
 def problem_rows(spark, sf_dir):
     """Problems of which some lie outside of folders, are of kinds or categories of their own, or name evidence."""
-    found = P.clusters(interpreted(spark, sf_dir)).join(kb_docs(spark, sf_dir).select("uri", "doc_id"), "uri")
+    found = interpreted(spark, sf_dir).select("collector_id", "signal_type", "uri", "doc_id").distinct()
     d = F.col("doc_id")
     evidence = F.when(d % 16 == 0, F.array(F.concat(F.lit("heading "), (d % 7).cast("string")), F.concat(F.lit("doc "), d.cast("string")))).otherwise(F.array().cast("array<string>"))
     return found.select(

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from kbq.operators import memory
-from kbq.session import prepare
+from kbq.plans import remember, runs
+from kbq.session import prepare, written
+from kbq.streaming import runs as streamed
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -34,3 +36,43 @@ def test_similar_meets_only_the_newest(spark, monkeypatch):
         want += [(p, o, True) for o in close] or [(p, o, False) for _, o, _ in same[:3]]
     assert rows(found) == sorted(want, key=repr)
     assert kept["newest"].groupBy("issue_type", "uri").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_closed_runs_fold_once(spark):
+    """Closed runs are folded by joins and aggregates; a batch that is given again changes nothing, a gap between batches is one."""
+    closed = lambda *seen: spark.createDataFrame(list(seen), "run long, signal_id string")
+    one = streamed.folded(None, closed((1, "a"), (2, "a"), (1, "b"), (3, "b")))
+    assert rows(one) == [("a", 1, 2, 2, False), ("b", 1, 3, 2, True)]
+    two = closed((3, "a"), (4, "a"), (5, "c"))
+    then = streamed.folded(one, two)
+    assert rows(then) == [("a", 1, 4, 4, False), ("c", 5, 5, 1, False)]
+    assert rows(streamed.folded(then, two)) == []
+    assert rows(streamed.folded(then, closed((6, "a")))) == [("a", 1, 6, 5, True)]
+
+
+def test_arrivals_are_dealt(spark, monkeypatch):
+    """Documents arrive in as many files as they are read in, not through one task."""
+
+    class Enough(Exception):
+        pass
+
+    def stop(folder, *_):
+        raise Enough(folder.removesuffix("/store"))
+
+    docs = spark.range(300).select(F.concat(F.lit("d"), "id", F.lit("7.md")).alias("uri"), F.lit("text").alias("text")).repartition(6)
+    monkeypatch.setattr(remember, "kb_docs", lambda *_: docs)
+    monkeypatch.setattr(remember.R, "assess_once", stop)
+    with pytest.raises(Enough) as done:
+        remember.stream_assessed(spark, "")
+    assert len(spark.read.parquet(f"{done.value}/arrivals").inputFiles()) > 2
+
+
+def test_runs_are_told_apart_without_a_join(spark, monkeypatch):
+    """Findings know their document's number; and a table that is small on disk is not broadcast unless it was measured."""
+    found = written(spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("heading_quality").alias("collector_id"), F.lit("u").alias("uri"), F.lit("LOW").alias("severity"), F.lit("s").alias("signal_id"), F.lit(1).alias("occurrence")), "found")
+    monkeypatch.setattr(runs, "interpreted", lambda *_: found)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before, after = runs.run_pair(spark, "")
+    assert before.count() == 1800 and after.count() == 2000
+    assert not any("Join" in plan(df) for df in (*runs.run_pair(spark, ""), *runs.two_runs(spark, "")))
+    assert "Broadcast" not in plan(found.join(found.select("doc_id", F.lit(1).alias("x")), "doc_id"))
