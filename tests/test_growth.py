@@ -1,11 +1,12 @@
 """Work that must not grow faster than its input: what meets what is looked at beside the results."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from kbq.operators import memory
+from kbq.operators import collectors, memory, validation
 from kbq.plans import remember, runs
 from kbq.session import prepare, written
 from kbq.streaming import runs as streamed
@@ -76,3 +77,42 @@ def test_runs_are_told_apart_without_a_join(spark, monkeypatch):
     assert before.count() == 1800 and after.count() == 2000
     assert not any("Join" in plan(df) for df in (*runs.run_pair(spark, ""), *runs.two_runs(spark, "")))
     assert "Broadcast" not in plan(found.join(found.select("doc_id", F.lit(1).alias("x")), "doc_id"))
+
+
+def test_hubs_of_the_same_words_share_a_list(spark, monkeypatch):
+    """A list is made for each set of words, not for each hub; a hub that is an orphan is not in its own; both ways of joining agree."""
+    docs = spark.createDataFrame([(f"h{i}", "hub") for i in range(6)] + [(f"o{i}", "text") for i in range(4)], "uri string, text string")
+    titles = spark.createDataFrame([(f"h{i}", "The guide" if i < 5 else "Other words") for i in range(6)] + [(f"o{i}", f"Guide {i}") for i in range(4)], "uri string, title string")
+    hubs, lost = docs.where("uri like 'h%' or uri = 'o0'").select("uri"), docs.where("uri like 'o%' or uri = 'h4'").select("uri")
+    kept = {}
+    plain = validation.written
+    monkeypatch.setattr(validation, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    line = {u: f"- [{t}]({u})" for u, t in map(tuple, titles.collect())}
+    listed = lambda *uris: "\n\n## Additional Resources\n\n" + "\n".join(sorted(line[u] for u in uris)) + "\n"
+    orphans = ["o0", "o1", "o2", "o3", "h4"]
+    want = {f"h{i}": "hub" + listed(*[o for o in orphans if o != f"h{i}"]) for i in range(5)} | {"h5": "hub", "o0": "text" + listed("o1", "o2", "o3", "h4")} | {f"o{i}": "text" for i in (1, 2, 3)}
+    for most in (validation.LIST_BYTES, 0):
+        monkeypatch.setattr(validation, "LIST_BYTES", most)
+        kept.clear()
+        assert dict(rows(validation.link_from_hubs(docs, lost, hubs, titles, ["the"]))) == want
+        assert kept["lists"].count() == 3  # of four hubs, of h4 and of o0
+
+
+def test_documents_are_dealt_before_they_are_parsed(spark):
+    """A file with one row group is parsed by more than one task."""
+    one = written(spark.range(400).select(F.concat(F.lit("d"), "id", F.lit(".md")).alias("uri"), F.lit("# T\n\ntext").alias("text")).coalesce(1), "one")
+    kb = collectors.KnowledgeBase.of(one)
+    assert len(one.inputFiles()) == 1 and len(kb.artifacts.inputFiles()) > 4
+
+
+def test_terms_are_those_of_the_pattern(spark):
+    """Terms that are looked for where a text contains them are those that the pattern of all terms finds."""
+    rng = random.Random(5)
+    parts = [p for t in collectors.TERMS for p in (t, t.upper(), t + "s")] + ["rest", "open", "fast", "web", "ci", "java", "2.0", "x"]
+    texts = [(f"u{i}", "".join(rng.choice(parts) + rng.choice([" ", "-", ".", "/", "_", ""]) for _ in range(6))) for i in range(300)]
+    want = set()
+    for uri, text in texts:
+        forms = re.findall(collectors._any_term(), text, re.A)
+        want |= {(uri, t) for t in collectors.TERMS if any(re.search(rf"\b{re.escape(t)}\b", f, (re.I if t.islower() else 0) | re.A) for f in forms)}
+    found = collectors.term_uses(spark.createDataFrame(texts, "uri string, all_text string"))
+    assert set(rows(found, "uri", "variant")) == want
