@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from kbq.functions import text as T
 from kbq.operators import graph
+from kbq.session import written
+
+#: Bytes that the lists of hubs may have and still be sent to every executor.
+LIST_BYTES = 64 << 20
 
 
 def plain_links(docs: DataFrame) -> DataFrame:
@@ -76,15 +80,22 @@ def link_from_hub(docs: DataFrame, orphans: DataFrame, hub: str, titles: DataFra
 def link_from_hubs(docs: DataFrame, orphans: DataFrame, hubs: DataFrame, titles: DataFrame, stopwords: list[str]) -> DataFrame:
     """docs(uri, text) in which the text of every hub of hubs(uri) ends with a list of links to orphans(uri) whose titles (uri, title) share a word with its own.
 
-    Hubs and orphans meet by words (an inverted index of the orphans' titles); a hub's list is part of that hub's text,
-    and only hubs' texts are joined to lists.
+    Hubs whose titles have the same words have the same list, so a list is made once for each set of words (and for each hub
+    that is an orphan itself, which is not in its own list), by an inverted index of the orphans' titles. Texts meet their
+    list last: what is shuffled are lists and texts, not a list a hub.
     """
-    words = titles.select("uri", "title", F.explode(title_words(F.col("title"), stopwords)).alias("word"))
-    lost = words.join(orphans.select("uri"), "uri", "left_semi").select(F.col("uri").alias("orphan"), F.col("title").alias("orphan_title"), "word")
-    met = words.join(hubs.select("uri"), "uri", "left_semi").select("uri", "word").join(lost, "word").where("orphan <> uri").select("uri", "orphan", "orphan_title").distinct()
-    lists = met.groupBy("uri").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- ["), F.col("orphan_title"), F.lit("]("), F.col("orphan"), F.lit(")")))), "\n").alias("list"))
+    line = F.concat(F.lit("- ["), F.col("title"), F.lit("]("), F.col("uri"), F.lit(")"))
+    lost = titles.join(orphans.select("uri").distinct(), "uri", "left_semi").select(F.col("uri").alias("orphan"), line.alias("line"), F.explode(title_words(F.col("title"), stopwords)).alias("word"))
+    own = orphans.select("uri").distinct().withColumn("own", F.col("uri"))
+    asked = titles.join(hubs.select("uri"), "uri", "left_semi").join(own, "uri", "left").select("uri", F.to_json(F.struct(F.array_sort(F.array_distinct(title_words(F.col("title"), stopwords))).alias("words"), "own")).alias("kind"), "own", title_words(F.col("title"), stopwords).alias("words"))
+    kinds = asked.dropDuplicates(["kind"]).select("kind", "own", F.explode("words").alias("word"))
+    met = kinds.join(lost, "word").where("own is null or orphan <> own").select("kind", "orphan", "line").distinct()
+    lists = written(met.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("list")), "lists")
     added = F.when(F.col("list").isNotNull(), F.concat(F.regexp_replace("text", r"\s+\z", ""), F.lit("\n\n## Additional Resources\n\n"), F.col("list"), F.lit("\n"))).otherwise(F.col("text"))
-    return docs.join(lists, "uri", "left").select("uri", added.alias("text"))
+    placed = docs.join(asked.select("uri", "kind"), "uri", "left")
+    if (lists.agg(F.sum(F.octet_length("list"))).first()[0] or 0) <= LIST_BYTES:
+        return placed.join(F.broadcast(lists), "kind", "left").select("uri", added.alias("text"))  # measured
+    return placed.where("kind is not null").join(lists, "kind", "left").select("uri", added.alias("text")).unionByName(placed.where("kind is null").select("uri", "text"))
 
 
 def create_missing(docs: DataFrame, wanted: DataFrame) -> DataFrame:
