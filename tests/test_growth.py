@@ -116,3 +116,15 @@ def test_terms_are_those_of_the_pattern(spark):
         want |= {(uri, t) for t in collectors.TERMS if any(re.search(rf"\b{re.escape(t)}\b", f, (re.I if t.islower() else 0) | re.A) for f in forms)}
     found = collectors.term_uses(spark.createDataFrame(texts, "uri string, all_text string"))
     assert set(rows(found, "uri", "variant")) == want
+
+
+def test_views_of_runs_need_no_findings(spark, monkeypatch):
+    """The assessment history reads events alone."""
+
+    def never(*_):
+        raise AssertionError("findings were computed")
+
+    monkeypatch.setattr(runs, "interpreted", never)
+    events = spark.createDataFrame([("2024-01-01 10:00:00", 40.0), ("2024-01-02 10:00:00", 60.0)], "ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
+    monkeypatch.setattr(runs, "table", lambda *_: events)
+    assert rows(runs.QUERIES["view_assessment_history"](spark, ""), "assessment_id", "score") == [("run-001", 100), ("run-002", 0)]
