@@ -49,13 +49,14 @@ def entries(parsed: DataFrame) -> DataFrame:
     """(key, sub, uri), distinct: what documents add to the indexes by their own texts."""
     none = F.lit("").alias("sub")
     links = parse.links(parsed).where("is_internal")
+    texts = C.traits(parsed)
     parts = [
-        C.term_uses(parsed).select(_key("term", F.col("term_group")), F.lpad(F.col("place").cast("string"), 4, "0").alias("sub"), "uri"),
-        C.version_claims(parsed).select(_key("version", F.col("subject")), F.col("version").alias("sub"), "uri"),
-        C.default_claims(parsed).select(_key("default", F.col("feature")), F.col("value").cast("string").alias("sub"), "uri"),
-        C.signatures(parsed).select(_key("copy", F.col("signature")), none, "uri"),
-        C.advice_pairs(parsed).select(_key("advice", F.col("pair")), none, "uri"),
-        C.claim_pairs(parsed).select(_key("advice", F.col("pair")), F.lit("claim").alias("sub"), "uri"),
+        C.term_uses(texts).select(_key("term", F.col("term_group")), F.lpad(F.col("place").cast("string"), 4, "0").alias("sub"), "uri"),
+        C.version_claims(texts).select(_key("version", F.col("subject")), F.col("version").alias("sub"), "uri"),
+        C.default_claims(texts).select(_key("default", F.col("feature")), F.col("value").cast("string").alias("sub"), "uri"),
+        C.signatures(texts).select(_key("copy", F.col("signature")), none, "uri"),
+        C.advice_pairs(texts).select(_key("advice", F.col("pair")), none, "uri"),
+        C.claim_pairs(texts).select(_key("advice", F.col("pair")), F.lit("claim").alias("sub"), "uri"),
         parsed.select(_key("known", F.col("uri")), none, "uri"),
         graph.candidates(links).select(_key("known", F.col("candidate")), F.lit("asked").alias("sub"), "uri"),
         links.select(_key("to", F.col("target")), F.lit("link").alias("sub"), "uri"),

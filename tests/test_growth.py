@@ -128,3 +128,19 @@ def test_views_of_runs_need_no_findings(spark, monkeypatch):
     events = spark.createDataFrame([("2024-01-01 10:00:00", 40.0), ("2024-01-02 10:00:00", 60.0)], "ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     monkeypatch.setattr(runs, "table", lambda *_: events)
     assert rows(runs.QUERIES["view_assessment_history"](spark, ""), "assessment_id", "score") == [("run-001", 100), ("run-002", 0)]
+
+
+def test_one_pass_over_texts(spark):
+    """All checks that look for words read the artifacts' texts in one stage; their findings start from its narrow table. The gates pass all that the exact patterns match."""
+    phrases = ["as mentioned above", "as mentioned below", "as discussed above", "as discussed earlier", "see above", "see below", "previous example", "previous section", "following section", "the above", "the below", "the previous", "the following", "in the previous step", "in the next step", "the aforementioned", "the latter", "the former"]
+    texts = [f"# T\n\nSo it goes, {p}." for p in phrases] + ["# T\n\nOne.\n\n  it is so.\n\nthose  option too.", "# T\n\nWord, the thing is\nenabled  by default; x is off by default.", "# T\n\nneeds Python 3.9.1 and OAuth 2.0", "# T\n\nplain"]
+    kb = collectors.KnowledgeBase.of(spark.createDataFrame([(f"{i}.md", t) for i, t in enumerate(texts)], "uri string, text string"))
+    found = {r.uri: r.dangling_reference_count for r in collectors.dangling_references(kb).collect()}
+    assert found == {f"{i}.md": 1 + (p == "in the previous step") for i, p in enumerate(phrases)} | {f"{len(phrases)}.md": 2}  # that one is two phrases
+    assert {r.ref for r in collectors.dangling_phrases(kb.traits).collect()} >= set(phrases) - {"in the previous step"}
+    at = len(phrases) + 1
+    assert {(r.uri, r.feature, r.value) for r in collectors.default_claims(kb.traits).collect()} == {(f"{at}.md", "the thing", True)}  # a feature has three characters or more
+    assert [tuple(r) for r in collectors.version_claims(kb.traits).collect()] == [(f"{at + 1}.md", "python", "3.9.1")]
+    assert [r.variant for r in collectors.term_uses(kb.traits).collect() if r.uri == f"{at + 1}.md"] and all(next(s for s in collectors.TERM_STEMS if s in t.lower()) for t in collectors.TERMS)
+    plan = collectors.signals(kb)._jdf.queryExecution().executedPlan().toString()
+    assert "all_text" not in plan and "paragraphs" not in plan
