@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side of a join may have and still be sent to every executor (a few MB at the row widths used here).
 BROADCAST_ROWS = 200_000
+#: Rows that a table of keys may have and still be sent whole, whether its keys are hot or not (under 1 MB).
+FEW_ROWS = 20_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -67,10 +69,16 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
 
     A key with more than its share of the rows (over a quarter of a shuffle partition's mean) is sent to every executor,
     so its rows stay where they are; there are at most four such keys for each partition. The other keys meet by a
-    shuffle. table is read twice: give one that is written.
+    shuffle. A table of few rows is sent whole, and nothing is sent if no key has more than its share: each broadcast
+    and each job costs the driver memory. table is read twice: give one that is written.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    least = (table.agg(F.sum("n")).first()[0] or 0) / (4 * parts)
+    size, total, most = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    least = total / (4 * parts)
+    if size <= FEW_ROWS:
+        return rows.join(F.broadcast(table.drop("n")), key)
+    if most <= least:
+        return rows.join(table.drop("n"), key)
     hot, cold = table.where(F.col("n") > least).drop("n"), table.where(F.col("n") <= least).drop("n")
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 

@@ -223,8 +223,8 @@ def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of edges (a, b) by alternating large-star and small-star rounds.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most. root is the component's
-    smallest node as signed integers. Nodes without edges have no row.
+    Each star is written to the shared folder, so a lost executor costs one at most and no plan holds more than one. root
+    is the component's smallest node as signed integers. Nodes without edges have no row.
     """
     spark: SparkSession = edges.sparkSession
 
@@ -240,23 +240,21 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m"), F.col("u")))
         return out.where("a <> b").distinct()
 
-    def state(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        return tuple(row)
+    def settled(df: DataFrame) -> bool:
+        """Whether df is stars alone: every node is a root, or has one edge to a root. Then nothing would change any more."""
+        ends = df.select(F.col("a").alias("u"), F.lit(0).alias("above"), F.lit(1).alias("below")).union(df.select("b", F.lit(1), F.lit(0)))
+        per = ends.groupBy("u").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+        return per.where("above > 1 or above = 1 and below = 1").isEmpty()
 
     ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     path = write_scratch(ordered, "links")
     current = read_back(spark, path, ordered.schema)
-    before = state(current)
-    while True:
-        following = star(star(current, large=True), large=False)
-        next_path = write_scratch(following, "links")
-        drop_scratch(spark, path)
-        path, current = next_path, read_back(spark, next_path, ordered.schema)
-        now = state(current)
-        if now == before:
-            return current.select(F.col("b").alias("node"), F.col("a").alias("root")).union(current.select("a", "a").distinct())
-        before = now
+    while not settled(current):
+        for large in (True, False):
+            next_path = write_scratch(star(current, large), "links")
+            drop_scratch(spark, path)
+            path, current = next_path, read_back(spark, next_path, ordered.schema)
+    return current.select(F.col("b").alias("node"), F.col("a").alias("root")).union(current.select("a", "a").distinct())
 
 
 def classed(docs: DataFrame, first: Column, width: int = 4, seed: int = 42, max_distance: int = 4) -> tuple[DataFrame, DataFrame]:

@@ -74,6 +74,24 @@ def test_simhash_crowded_keys(spark, monkeypatch):
     assert components_of(fp, [(a, b) for a, b in simhash.forests(fp, 0, 4)]) == want
 
 
+def test_components_take_few_jobs(spark):
+    """Every job and broadcast costs the driver memory: graphs that are stars already take no round, others a few jobs a round."""
+    jobs = lambda: spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+
+    def rooted(pairs):
+        before = jobs()
+        found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        return found, jobs() - before
+
+    stars = [(10 * k, 10 * k + i) for k in range(30) for i in range(1, 10)]
+    found, n = rooted(stars)
+    assert found == {x: x // 10 * 10 for x in range(300)} and n <= 10
+    path = [(i, i + 1) for i in range(20)] + [(100 + i, 500) for i in range(50)]
+    found, n = rooted(path)
+    assert found == {i: 0 for i in range(21)} | {i: 100 for i in [*range(100, 150), 500]} and n <= 110
+    assert rooted([(3, 3)])[0] == {} and rooted([(1, 2), (2, 1), (1, 2)])[0] == {1: 1, 2: 1}
+
+
 def components_of(fp, links):
     parent = {int(x): int(x) for x in fp}
 
