@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from kbq.operators import collectors, memory, validation
+from kbq.functions import text as T
+from kbq.operators import collectors, memory, parse, validation
 from kbq.plans import remember, runs
 from kbq.session import prepare, written
 from kbq.streaming import runs as streamed
@@ -144,3 +145,19 @@ def test_one_pass_over_texts(spark):
     assert [r.variant for r in collectors.term_uses(kb.traits).collect() if r.uri == f"{at + 1}.md"] and all(next(s for s in collectors.TERM_STEMS if s in t.lower()) for t in collectors.TERMS)
     plan = collectors.signals(kb)._jdf.queryExecution().executedPlan().toString()
     assert "all_text" not in plan and "paragraphs" not in plan
+
+
+def test_plain_parts_are_not_looked_for_by_patterns(spark):
+    """Parts of a text are found by a scan of bytes, and patterns run on the lines or paragraphs that contain a part of theirs."""
+    parsed = parse.artifacts(spark.createDataFrame([("a.md", "x")], "uri string, text string"))
+    plan = lambda name: collectors._lowered(parsed).select(collectors.TRAITS[name]().alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert collectors.PREREQUISITES not in plan("missing") and collectors.VERIFICATION not in plan("missing")
+    assert "RLIKE(" in plan("terms") and "RLIKE(all_text" not in plan("terms")
+    text = "# T\n\nUse the Fast\nAPI, or xFastAPIs and rapid_api.\nThe API\n\nA Fast API, FASTAPI.\n\nsee above and xsee above; the previous, the previousx\n"
+    found = collectors._lowered(parse.artifacts(spark.createDataFrame([("a.md", text)], "uri string, text string")))
+    got = found.select("word_count", collectors.terms().alias("terms"), collectors.references().alias("refs")).first()
+    assert [t["variant"] for t in got["terms"]] == ["Fast API", "fastapi", "API", "api"]
+    assert got["refs"]["n"] == 2 and got["refs"]["phrases"] == ["see above", "the previous"]
+    words = ["", " ", "\n", "a", " a\n\nb ", "a\tb\x0b\x0cc\r\nd", "a \t", "  b", "a  b\n c"]
+    counted = spark.createDataFrame([(w,) for w in words], "t string").select("t", T.word_count(F.col("t")).alias("n")).collect()
+    assert {r["t"]: r["n"] for r in counted} == {w: len([x for x in re.split(r"[ \t\n\x0b\f\r]+", w) if x]) for w in words}
