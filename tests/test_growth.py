@@ -161,3 +161,22 @@ def test_plain_parts_are_not_looked_for_by_patterns(spark):
     words = ["", " ", "\n", "a", " a\n\nb ", "a\tb\x0b\x0cc\r\nd", "a \t", "  b", "a  b\n c"]
     counted = spark.createDataFrame([(w,) for w in words], "t string").select("t", T.word_count(F.col("t")).alias("n")).collect()
     assert {r["t"]: r["n"] for r in counted} == {w: len([x for x in re.split(r"[ \t\n\x0b\f\r]+", w) if x]) for w in words}
+
+
+def test_parts_are_told_by_one_pass(spark):
+    """No check looks through whole texts for one part after the other; what the pass says is what a search for each part says."""
+    rng = random.Random(7)
+    parts = [p for ps in (*collectors.GATES.values(), *collectors.EACH.values()) for p in ps]
+    cut = lambda p: p[rng.randint(0, 2) : len(p) - rng.randint(0, 2)]
+    texts = ["", "x\nit\x0b is", "it that \x0bvalue", "so it is", "\u0085those options", *["".join(rng.choice([rng.choice(parts), cut(rng.choice(parts)), " ", "é", "\n"]) for _ in range(5)) for _ in range(400)]]
+    docs = spark.createDataFrame([(f"{i}.md", t.upper()) for i, t in enumerate(texts)], "uri string, all_text string")
+    found = {r.uri: (r.low, r.has) for r in collectors._lowered(docs).select("uri", "low", "has").collect()}
+    for i, t in enumerate(texts):
+        low, has = found[f"{i}.md"]
+        assert [has[n] for n in collectors.GATES] == [any(p in low for p in ps) for ps in collectors.GATES.values()], t
+        assert [has[n] for n in collectors.EACH] == [[p for p in ps if p in low] for ps in collectors.EACH.values()], t
+    java = docs.select("uri", F.lower("all_text").rlike(collectors.UNDEFINED_ANY).alias("x"))
+    assert all(found[r.uri][1]["undefined"] for r in java.collect() if r.x) and not found["3.md"][1]["undefined"]
+    parsed = parse.artifacts(spark.createDataFrame([("a.md", "x")], "uri string, text string"))
+    plan = collectors._lowered(parsed).select(*[make().alias(name) for name, make in collectors.TRAITS.items()])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(low#" not in plan and "array(low#" not in plan
