@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kbq.functions import text as T
-from kbq.operators import collectors, memory, parse, validation
+from kbq.operators import collectors, memory, parse, scoring, validation
 from kbq.plans import remember, runs
 from kbq.session import prepare, written
 from kbq.streaming import runs as streamed
@@ -180,3 +180,19 @@ def test_parts_are_told_by_one_pass(spark):
     parsed = parse.artifacts(spark.createDataFrame([("a.md", "x")], "uri string, text string"))
     plan = collectors._lowered(parsed).select(*[make().alias(name) for name, make in collectors.TRAITS.items()])._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(low#" not in plan and "array(low#" not in plan
+
+
+def test_scores_of_documents_take_one_row_a_document(spark, monkeypatch):
+    """Scores are those of the grid of documents and checks without that grid; explanations shuffle findings by document and nothing else."""
+    rng = random.Random(11)
+    found = written(spark.createDataFrame([(f"u{rng.randint(0, 8)}", rng.choice([*collectors.REGISTRY, "freshness"]), f"t{rng.randint(0, 2)}", "LOW", rng.choice([5, 20, 60])) for _ in range(120)], "uri string, collector_id string, signal_type string, severity string, penalty int"), "found")
+    docs = written(spark.createDataFrame([(f"u{i}",) for i in range(12)], "uri string"), "docs")
+    whole = scoring.overall(scoring.dimension_scores(scoring.collector_scores(found, docs), ["uri"]), ["uri"])
+    assert rows(scoring.scorecards(found, docs)) == rows(whole) and len(rows(whole)) == 12
+    assert scoring.scorecards(found, docs).dtypes == whole.dtypes
+    monkeypatch.setattr(runs, "interpreted", lambda *_: found)
+    monkeypatch.setattr(runs, "kb_docs", lambda *_: docs)
+    told = runs.QUERIES["score_explanations"](spark, "")
+    assert rows(told) == rows(runs.R.explanation(whole, scoring.contributors(found, ["uri"]), ["uri"]))
+    plan = runs.QUERIES["score_explanations"](spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "NestedLoop" not in plan
