@@ -196,3 +196,12 @@ def test_scores_of_documents_take_one_row_a_document(spark, monkeypatch):
     assert rows(told) == rows(runs.R.explanation(whole, scoring.contributors(found, ["uri"]), ["uri"]))
     plan = runs.QUERIES["score_explanations"](spark, "")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 3 and "NestedLoop" not in plan
+
+
+def test_parsed_texts_are_written_twice(spark):
+    """What is written of parsed documents is their body and sections; the rest comes from these."""
+    kb = collectors.KnowledgeBase.of(spark.createDataFrame([("a.md", "# T\n\nOne.\n\nTwo.\n\n## U\n\n| x |\n\nThree.")], "uri string, text string"))
+    files = spark.read.parquet(kb.artifacts.inputFiles()[0])
+    assert {"body", "sections"} < set(files.columns) and not {"all_text", "paragraphs"} & set(files.columns)
+    one = kb.artifacts.first()
+    assert one["all_text"] == "One.\n\nTwo.\n\n| x |\n\nThree." and [p["text"] for p in one["paragraphs"]] == ["One.", "Two.", "Three."]
