@@ -226,8 +226,7 @@ def idf(spark, sf_dir):
   FROM {_FEATURES} JOIN (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM {_FEATURES} GROUP BY term) USING (term), range(0, 3) AS r(k)) GROUP BY uri, dim)""")
 def tfidf_hashed_long(spark, sf_dir):
     docs = table(prepare(spark), sf_dir, "documents").select(F.col("doc_id").alias("uri"), "text")
-    weights = V.idf(V.document_frequencies(docs), docs).select("term", "idf")
-    return V.embed(V.features(docs), weights).withColumn("value", F.round("value", 6))
+    return V.embedded(docs).withColumn("value", F.round("value", 6))
 
 
 @query("""SELECT query_id, vec_id, similarity, rank::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, r.vec_id, round(list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: q.embedding[i]::DOUBLE * r.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(r.embedding, lambda x: x::DOUBLE * x::DOUBLE)))), 6) AS similarity

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kbq.functions import text as T
-from kbq.operators import collectors, memory, parse, scoring, validation
+from kbq.operators import collectors, memory, parse, scoring, validation, vector
 from kbq.plans import remember, runs
 from kbq.session import prepare, written
 from kbq.streaming import runs as streamed
@@ -205,3 +205,21 @@ def test_parsed_texts_are_written_twice(spark):
     assert {"body", "sections"} < set(files.columns) and not {"all_text", "paragraphs"} & set(files.columns)
     one = kb.artifacts.first()
     assert one["all_text"] == "One.\n\nTwo.\n\n| x |\n\nThree." and [p["text"] for p in one["paragraphs"]] == ["One.", "Two.", "Three."]
+
+
+@pytest.mark.parametrize("known", [0, 6, 1000])
+def test_terms_are_not_shuffled_with_their_documents(spark, known):
+    """Vectors are those of all terms of all documents, by rows and by joins; what is shuffled of a document is its rare words, and its text if it has some."""
+    rng = random.Random(13)
+    words = ["the", "banana", "x1", "ananas", "Zürich9", "a" * 70, *[f"w{i}" for i in range(9)]]
+    texts = [(i, " ".join(rng.choice(words[: rng.randint(1, len(words))]) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(60, None), (61, ""), (1, "banana twice"), (1, None)]
+    docs = written(spark.createDataFrame(texts, "uri long, text string"), "docs")
+    merged = docs.groupBy("uri").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    want = vector.embed(vector.features(merged), vector.idf(vector.document_frequencies(merged), merged).select("term", "idf"))
+    found = vector.embedded(docs, known=known)
+    assert found.dtypes == want.dtypes
+    near = lambda df: {(r.uri, r.dim): r.value for r in df.collect()}
+    assert near(found) == pytest.approx(near(want), abs=1e-12) and len(near(want)) > 1000
+    plan = vector.embedded(docs.where("uri > 1 and text not like '%aaa%'"), known=known)._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Join" in plan) == (known < 1000) and "explode" not in plan
+    assert near(vector.embedded(docs.where("uri > 1").select(F.when(F.col("uri") > 2, F.col("uri")).alias("uri"), "text"), known=known)).keys() >= {(None, d) for u, d in near(want) if u == 2}
