@@ -8,7 +8,8 @@ read any of that, computes its change anew.
 
 Keyed tables lie in buckets by a hash of their key, sorted and with Bloom filters, and within a bucket by the value of
 one more column if that is named. Reads by key or value open only the folders that can hold it; an upsert rewrites only
-the buckets of its keys.
+the buckets of its keys. Where rows are wide, it can lie as a layer over them instead, which takes the place of rows of
+its keys when they are read; buckets are rewritten once there are a few layers.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbq.session import small
+from kbq.session import freed, small
 
 
 def _file(spark: SparkSession, path: str):
@@ -86,18 +87,29 @@ class Snapshot:
         entry = self.tables.get(name)
         if entry is None:
             return None
-        return self._read(entry, entry["buckets"]) if "buckets" in entry else self.spark.read.parquet(entry["place"])
+        return self._read(entry, sorted({b for held in (entry["buckets"], *entry.get("layers", [])) for b in held})) if "buckets" in entry else self.spark.read.parquet(entry["place"])
 
     def _read(self, entry: dict, buckets, values: list | None = None) -> DataFrame:
         schema = T.StructType.fromJson(entry["schema"])
         wanted = None if values is None else {f"v{str(v).encode().hex().upper()}" for v in values}
-        paths = []
-        for b in buckets:
-            place, parts = entry["buckets"].get(str(b), (None, []))
-            paths += [f"{place}/part={p}" for p in parts if wanted is None or p in wanted]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+
+        def rows(held: dict, schema: T.StructType) -> DataFrame | None:
+            paths = []
+            for b in buckets:
+                place, parts = held.get(str(b), (None, []))
+                paths += [f"{place}/part={p}" for p in parts if wanted is None or p in wanted]
+            return self.spark.read.schema(schema).parquet(*paths) if paths else None
+
+        found = rows(entry["buckets"], schema)
+        found = self.spark.createDataFrame([], schema) if found is None else found
+        over = [x for layer in entry.get("layers", []) if (x := rows(layer, T.StructType(schema.fields + [T.StructField(_GONE, T.BooleanType())]))) is not None]
+        if not over:
+            return found
+        found = found.withColumns({_GONE: F.lit(False), _LAYER: F.lit(0)})
+        for i, layer in enumerate(over):
+            found = found.unionByName(layer.withColumn(_LAYER, F.lit(i + 1)))
+        newest = found.withColumn(_TOP, F.max(_LAYER).over(Window.partitionBy(*entry["key"])))
+        return newest.where((F.col(_LAYER) == F.col(_TOP)) & ~F.col(_GONE)).select(*schema.names)
 
     def lookup(self, name: str, values: list) -> DataFrame:
         """Rows of a keyed table with one of a few values of its first key column, from their buckets alone."""
@@ -135,6 +147,13 @@ def bucket_of(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(n)).cast("int").alias("bucket")
 
 
+#: Tables stay, so they are written small: filters of keys as large as a file needs them, not a MB each.
+_FORMAT = {"compression": "zstd", "parquet.bloom.filter.adaptive.enabled": "true"}
+
+#: Columns of layers: whether a row only says that its key is gone, which layer it is of, and which is the newest with its key.
+_GONE, _LAYER, _TOP = "_gone", "_layer", "_top"
+
+
 @dataclass
 class Keyed:
     """Rows for the buckets of a keyed table: `rows` are all that these buckets hold from now on, `touched` the numbers of those."""
@@ -146,6 +165,20 @@ class Keyed:
     touched: list[int] | None = None
     #: Files a bucket is cut into, so that a key with a large share of the rows does not make one of them long.
     files: int = 1
+    #: What is made of the rows once they lie by their buckets.
+    then: Callable[[DataFrame], DataFrame] | None = None
+    #: Whether the rows lie over what the buckets hold, with a column that says whether a key is gone.
+    layer: bool = False
+
+
+def layered(snapshot: Snapshot, name: str, incoming: DataFrame, key: list[str], gone: DataFrame, n: int = 64, files: int = 1, most: int = 8) -> Keyed:
+    """The change of `upserted` as a layer that holds no more than the incoming rows and the keys that are gone; buckets are not read. The buckets concerned are rewritten instead once the table has `most` layers. A layer takes the place of all rows of its keys."""
+    held = snapshot.tables.get(name)
+    if held is None or held["within"] is not None or len(held.get("layers", [])) >= most:
+        return upserted(snapshot, name, incoming, key, n, gone=gone, files=files)
+    lost = gone.select(*key).join(incoming.select(*key), key, "left_anti")
+    rows = incoming.withColumn(_GONE, F.lit(False)).unionByName(lost.withColumn(_GONE, F.lit(True)), allowMissingColumns=True)
+    return Keyed(rows, key, held["n"], files=files, layer=True)
 
 
 def upserted(snapshot: Snapshot, name: str, incoming: DataFrame, key: list[str], n: int = 64, within: str | None = None, merged: Callable[[DataFrame, DataFrame], DataFrame] | None = None, gone: DataFrame | None = None, files: int = 1) -> Keyed:
@@ -164,20 +197,29 @@ def _write(spark: SparkSession, folder: str, name: str, change: DataFrame | Keye
     """Write a table's new data, under a name of its own, and say where it lies."""
     place = f"{folder}/data/{name}-{uuid.uuid4().hex}"
     if isinstance(change, DataFrame):
-        change.write.parquet(place)
+        with freed(spark):
+            change.write.option("compression", "zstd").parquet(place)
         return {"place": place}
-    rows = change.rows
     value = F.lit("all") if change.within is None else F.concat(F.lit("v"), F.hex(F.col(change.within).cast("string").cast("binary")))
     cut = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in change.key]), F.lit(change.files))
-    marked = rows.withColumn("bucket", bucket_of(F.col(change.key[0]), change.n)).withColumn("part", F.coalesce(value, F.lit("null")))
-    dealt = marked.repartition("bucket", cut).sortWithinPartitions("bucket", "part", *change.key)
-    dealt.write.partitionBy("bucket", "part").option("parquet.bloom.filter.enabled#" + change.key[0], "true").parquet(place)
+    bucket = bucket_of(F.col(change.key[0]), change.n)
+    dealt = change.rows.repartition(bucket, cut)
+    rows = dealt if change.then is None else change.then(dealt)
+    marked = rows.withColumn("bucket", bucket).withColumn("part", F.coalesce(value, F.lit("null"))).sortWithinPartitions("bucket", "part", *change.key)
+    with freed(spark):
+        marked.write.partitionBy("bucket", "part").options(**_FORMAT, **{"parquet.bloom.filter.enabled#" + change.key[0]: "true"}).parquet(place)
     files, root = _file(spark, place)
     held = {}
     for b in files.listStatus(root):
         if b.isDirectory():
             held[b.getPath().getName().split("=")[1]] = [f"{place}/{b.getPath().getName()}", [p.getPath().getName().split("=", 1)[1] for p in files.listStatus(b.getPath()) if p.isDirectory()]]
-    return {"key": change.key, "n": change.n, "within": change.within, "schema": json.loads(rows.schema.json()), "buckets": held, "touched": None if change.touched is None else [str(b) for b in change.touched]}
+    return {"key": change.key, "n": change.n, "within": change.within, "schema": json.loads(rows.schema.json()), "buckets": held, "touched": None if change.touched is None else [str(b) for b in change.touched], "layer": change.layer}
+
+
+def put(spark: SparkSession, folder: str, name: str, rows: Keyed) -> tuple[dict, DataFrame]:
+    """Write a whole keyed table: what a change may name in its place, and its rows, read back. It counts once that change is published."""
+    entry = _write(spark, folder, name, rows)
+    return entry, Snapshot(spark, folder, None, {name: entry}).load(name)
 
 
 def _put(tables: dict, written: dict) -> dict:
@@ -186,28 +228,32 @@ def _put(tables: dict, written: dict) -> dict:
     for name, entry in written.items():
         touched = entry.get("touched")
         held = out.get(name)
-        if touched is not None and held is not None:
-            kept = {b: x for b, x in held["buckets"].items() if b not in touched}
-            out[name] = {k: v for k, v in entry.items() if k != "touched"} | {"buckets": kept | entry["buckets"]}
+        plain = {k: v for k, v in entry.items() if k not in ("touched", "layer")}
+        if entry.get("layer") and held is not None:
+            out[name] = held | {"layers": held.get("layers", []) + [entry["buckets"]]}
+        elif touched is not None and held is not None:
+            kept = lambda buckets: {b: x for b, x in buckets.items() if b not in touched}
+            out[name] = plain | {"buckets": kept(held["buckets"]) | entry["buckets"], "layers": [x for layer in held.get("layers", []) if (x := kept(layer))]}
         else:
-            out[name] = {k: v for k, v in entry.items() if k != "touched"}
+            out[name] = plain
     return out
 
 
 def _changed(name: str, bucket: str | None, before: dict, now: dict) -> bool:
     a, b = before.get(name), now.get(name)
-    return a != b if bucket is None or a is None or b is None else a["buckets"].get(bucket) != b["buckets"].get(bucket)
+    held = lambda entry: [layer.get(bucket) for layer in (entry["buckets"], *entry.get("layers", [])) if bucket in layer]
+    return a != b if bucket is None or a is None or b is None else held(a) != held(b)
 
 
-def transact(spark: SparkSession, folder: str, change: Callable[[Snapshot], dict[str, DataFrame | Keyed]], tries: int = 50) -> int:
-    """Publish the tables that `change` makes of the newest version, as the next one; tables it doesn't name are carried on.
+def transact(spark: SparkSession, folder: str, change: Callable[[Snapshot], dict[str, DataFrame | Keyed | dict]], tries: int = 50) -> int:
+    """Publish the tables that `change` makes of the newest version, or has `put`, as the next one; tables it doesn't name are carried on.
 
     If other writers publish meanwhile, their tables and buckets are taken over; where the change had read any of those, it
     is computed again from the newest version. So no writer's rows are lost.
     """
     for _ in range(tries):
         base = Snapshot.newest(spark, folder)
-        written = {name: _write(spark, folder, name, made) for name, made in change(base).items()}
+        written = {name: made if isinstance(made, dict) else _write(spark, folder, name, made) for name, made in change(base).items()}
         newest = base
         while not any(_changed(name, bucket, base.tables, newest.tables) for name, bucket in base.used):
             number = (newest.number or 0) + 1
@@ -217,7 +263,7 @@ def transact(spark: SparkSession, folder: str, change: Callable[[Snapshot], dict
     raise RuntimeError(f"{tries} other versions were published meanwhile")
 
 
-def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame | Keyed]) -> int:
+def publish(spark: SparkSession, folder: str, tables: dict[str, DataFrame | Keyed | dict]) -> int:
     """Publish tables as they are, whatever stood there before."""
     return transact(spark, folder, lambda _: tables)
 

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbq.operators import store
-from kbq.session import written
+from kbq.session import setting, written
 
 
 def stream_table(spark: SparkSession, folder: str, like: DataFrame, names: str = "*") -> DataFrame:
@@ -37,17 +36,6 @@ _DAY = 86_400_000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    """A session setting for as long as a query is started, which keeps it."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def closed_runs(seen: DataFrame, lateness: int) -> DataFrame:
     """(run, signal_id), once each, of the closed runs of a stream (run, signal_id).
 

@@ -1,12 +1,15 @@
 """Stores with several writers, keyed tables, and assessments kept up to date by edits."""
 
+import os
 import random
 import tempfile
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from kbq import session
 from kbq.operators import collectors, maintained, store
 from kbq.session import prepare
 
@@ -119,3 +122,58 @@ def test_edits_of_most_documents_and_own_checks(spark):
             assert rows_of(maintained.load(spark, folder)[1]) == rows_of(collectors.signals(collectors.KnowledgeBase.of(frame(docs))))
     finally:
         del collectors.REGISTRY["own_check"]
+
+
+def test_layers_take_the_place_of_rows(spark):
+    """Layers, read with what they lie over, are what upserts make of it; buckets are rewritten after a few."""
+    rng, folder, held = random.Random(9), fresh_folder(), {f"k{i}": 0 for i in range(30)}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id string, n int")
+    store.publish(spark, folder, {"rows": store.Keyed(frame(held), ["id"], 4)})
+    first = store.Snapshot.newest(spark, folder).tables["rows"]["buckets"]
+    for step in range(1, 5):
+        new = {f"k{rng.randint(0, 40)}": step for _ in range(4)}
+        gone = rng.sample(sorted(held), 3)
+        store.transact(spark, folder, lambda now, new=new, gone=gone: {"rows": store.layered(now, "rows", frame(new), ["id"], spark.createDataFrame([(g,) for g in gone], "id string"), most=3)})
+        held = {k: v for k, v in held.items() if k not in gone} | new
+        now = store.Snapshot.newest(spark, folder)
+        assert dict(map(tuple, now.load("rows").collect())) == held
+        assert [r["n"] for r in now.lookup("rows", [next(iter(new))]).collect()] == [step]
+        assert (now.tables["rows"]["buckets"] == first) == (step < 4)
+    assert len(now.tables["rows"]["layers"]) < 3 + 1
+
+
+def test_edits_leave_texts_where_they_are(spark, monkeypatch):
+    """A text is kept once; an edit reads and rewrites no other document's and leaves no table beside its version."""
+    root = fresh_folder()
+    folder, shared = f"{root}/store", f"{root}/shared"
+    docs = spark.createDataFrame([(f"a{i}.md", f"# A\n\nNumber {i} and docker.\n\n## B\n\n[x](a{i + 1}.md)") for i in range(40)], "uri string, text string")
+    new = spark.createDataFrame([("a3.md", "# New\n\ntext")], docs.schema)
+    with monkeypatch.context() as m:
+        m.setattr(session, "shared_folder", lambda _: shared)
+        maintained.build(spark, folder, docs, buckets=4)
+        kept = store.Snapshot.newest(spark, folder)
+        maintained.edit(spark, folder, new, docs.where("uri = 'a7.md'").select("uri"))
+    assert os.listdir(shared) == []
+    assert not {"sections", "paragraphs", "all_text"} & set(kept.load("artifacts").columns)
+    now = store.Snapshot.newest(spark, folder)
+    assert now.tables["artifacts"]["buckets"] == kept.tables["artifacts"]["buckets"] and len(now.tables["artifacts"]["layers"]) == 1
+    kb, found = maintained.load(spark, folder)
+    assert kb.artifacts.count() == 39 and kb.artifacts.where("uri = 'a3.md'").first()["all_text"] == "text"
+    assert rows_of(found) == rows_of(collectors.signals(collectors.KnowledgeBase.of(docs.where("uri not in ('a3.md', 'a7.md')").union(new))))
+
+
+def test_shuffle_files_go_when_a_table_is_there(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while files.hasNext():
+            names.add(files.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+
+    there = shuffled()
+    table = session.written(spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 11).alias("k")).count(), "groups")
+    until = time.time() + 20
+    while shuffled() - there and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - there
+    assert table.count() == 11
