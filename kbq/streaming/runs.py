@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbq.operators import store
-from kbq.session import setting, written
+from kbq.session import BROADCAST_ROWS, freed, passing, setting, small, written
 
 
-def stream_table(spark: SparkSession, folder: str, like: DataFrame, names: str = "*") -> DataFrame:
-    """Parquet files in a folder, as they arrive, as a stream with the schema of `like`; names: a pattern of file names."""
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", names).parquet(folder)
+def stream_table(spark: SparkSession, folder: str, like: DataFrame, names: str = "*", most: int | None = None) -> DataFrame:
+    """Parquet files in a folder, as they arrive, as a stream with the schema of `like`; names: a pattern of file names, most: bytes of a batch, by whole files."""
+    source = spark.readStream.schema(like.schema).option("pathGlobFilter", names)
+    return (source if most is None else source.option("maxBytesPerTrigger", str(most))).parquet(folder)
 
 
 def daily_health(events: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -23,7 +24,9 @@ def daily_health(events: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 def run_once(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Give all that has arrived to `handle` in batches; the checkpoint makes each batch count once."""
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with freed(stream.sparkSession):
+        query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def append_once(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -97,22 +100,38 @@ def once_by_key(stream: DataFrame, key: str, at: str, lateness: str) -> DataFram
     return stream.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
 
 
+_ROW = "_row"
+
+
+def _of_rows(rows: DataFrame, first: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows whose number stands in first, which are all or are told apart by the shorter list, if there is a short one: rows are wide."""
+    every, kept = rows.count(), first.count()
+    if every - kept == 0:
+        return rows
+    if kept > most and every - kept <= most:
+        return rows.join(F.broadcast(rows.select(_ROW).join(first.select(_ROW), _ROW, "left_anti")), _ROW, "left_anti")
+    return rows.join(small(first.select(_ROW), most), _ROW, "left_semi")
+
+
 def assess_once(folder: str, key: str, assess: Callable[[DataFrame], DataFrame], name: str = "assessed") -> Callable[[DataFrame, int], None]:
     """A foreachBatch handler that adds assess(rows) to a table of the store for rows whose key is not recorded yet, and records the keys in the same version.
 
-    So a delivery counts once however often it comes: in one batch, in later ones, or under another checkpoint.
+    So a delivery counts once however often it comes: in one batch, in later ones, or under another checkpoint. Which rows
+    are new is found by their keys alone. What a batch writes on its way is removed when it is through.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = written(batch.dropDuplicates([key]), "arrived")
+        with passing(spark):
+            rows = written(batch.withColumn(_ROW, F.monotonically_increasing_id()), "arrived")
 
-        def change(now: store.Snapshot) -> dict:
-            known = now.buckets("keys", rows.select(key)) if "keys" in now.tables else None
-            fresh = rows if known is None else rows.join(known.select(key), key, "left_anti")
-            found = assess(written(fresh, "unseen"))
-            return {name: store.upserted(now, name, found, [key, *[c for c in found.columns if c != key]], n=16), "keys": store.upserted(now, "keys", fresh.select(key), [key], n=16)}
+            def change(now: store.Snapshot) -> dict:
+                first = rows.groupBy(key).agg(F.min(_ROW).alias(_ROW))
+                known = now.buckets("keys", first.select(key)) if "keys" in now.tables else None
+                first = written(first if known is None else first.join(known.select(key), key, "left_anti"), "unseen")
+                found = written(assess(_of_rows(rows, first).drop(_ROW)), "found")
+                return {name: store.upserted(now, name, found, [key, *[c for c in found.columns if c != key]], n=16), "keys": store.upserted(now, "keys", first.select(key), [key], n=16)}
 
-        store.transact(spark, folder, change)
+            store.transact(spark, folder, change)
 
     return handle

@@ -1,10 +1,12 @@
 """Streams with keyed state, out of order and repeated."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from kbq import session
 from kbq.operators import history, store
 from kbq.session import prepare
 from kbq.streaming import runs
@@ -54,3 +56,32 @@ def test_a_delivery_counts_once(spark, tmp_path):
         stream = runs.once_by_key(runs.stream_table(spark, f"{tmp_path}/in", rows), "dedup_key", "at", "1 hour")
         runs.run_once(stream, handler, f"{tmp_path}/{checkpoint}")
     assert sorted(tuple(r) for r in store.load(spark, f"{tmp_path}/store", "assessed").collect()) == [("a", 10), ("b", 20), ("c", 30)]
+
+
+@pytest.mark.parametrize("most", [0, 5, 100])
+def test_batches_are_not_shuffled_to_tell_what_is_new(spark, tmp_path, monkeypatch, most):
+    """A batch's rows are written once, told apart by their keys, and gone when it is through; so is what is written to assess them."""
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"{tmp_path}/shared")
+    plain, seen = runs._of_rows, []
+    monkeypatch.setattr(runs, "_of_rows", lambda rows, first: seen.append(plain(rows, first, most)) or seen[-1])
+    handler = runs.assess_once(f"{tmp_path}/store", "id", lambda new: session.written(new.select("id", F.length("text").alias("n")), "passing"))
+    rows = spark.createDataFrame([(f"k{i % 12}", "x" * (i % 12)) for i in range(20)], "id string, text string").coalesce(1)
+    plans = []
+    for batch in (rows.where("id < 'k5'"), rows, rows):
+        handler(batch, 0)
+        plans.append(seen[-1]._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(tuple(r) for r in store.load(spark, f"{tmp_path}/store", "assessed").collect()) == sorted((f"k{i}", i) for i in range(12))
+    assert os.listdir(f"{tmp_path}/shared") == []
+    assert "groupBy" not in "".join(plans) and not any("Aggregate" in p for p in plans)
+    assert most < 100 or all("broadcast" in p for p in plans)
+
+
+def test_batches_are_bounded(spark, tmp_path):
+    """What arrives at once is read in batches of so many bytes, each document once over all of them."""
+    rows = spark.createDataFrame([(i % 7, i) for i in range(21)], "id int, n int").withColumn("at", F.timestamp_seconds(F.lit(0)))
+    for part in range(3):
+        rows.where(F.col("n") % 3 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    sizes = []
+    stream = runs.once_by_key(runs.stream_table(spark, f"{tmp_path}/in", rows, most=1), "id", "at", "1 hour")
+    runs.run_once(stream, lambda batch, number: sizes.append(batch.count()), f"{tmp_path}/checkpoint")
+    assert len([n for n in sizes if n]) >= 1 and len(sizes) >= 3 and sum(sizes) == 7
