@@ -78,10 +78,10 @@ def test_batches_are_not_shuffled_to_tell_what_is_new(spark, tmp_path, monkeypat
 
 def test_batches_are_bounded(spark, tmp_path):
     """What arrives at once is read in batches of so many bytes, each document once over all of them."""
-    rows = spark.createDataFrame([(i % 7, i) for i in range(21)], "id int, n int").withColumn("at", F.timestamp_seconds(F.lit(0)))
+    rows = spark.createDataFrame([(i % 7, i) for i in range(21)], "id int, n int").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000)))
     for part in range(3):
         rows.where(F.col("n") % 3 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     sizes = []
     stream = runs.once_by_key(runs.stream_table(spark, f"{tmp_path}/in", rows, most=1), "id", "at", "1 hour")
     runs.run_once(stream, lambda batch, number: sizes.append(batch.count()), f"{tmp_path}/checkpoint")
-    assert len([n for n in sizes if n]) >= 1 and len(sizes) >= 3 and sum(sizes) == 7
+    assert len(sizes) >= 3 and sum(sizes) == 7
